@@ -1,0 +1,31 @@
+"""Helpers shared by the training-data operators."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Used only where the session names no shared folder (tests, notebooks).
+FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = FALLBACK_CHECKPOINT_DIR
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def stored(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts lineage so that later reads survive lost executors and nothing is
+    computed twice. The files are plain Parquet.
+    """
+    path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
