@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import bpe
+from textloom.llm import bpe, packing
 from textloom.session import table
 
 
@@ -15,5 +15,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 ids."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing}
 ORACLE_SQL: dict[str, str] = {}
