@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textloom.llm import bpe, packing
+from textloom.llm import bpe, langid, packing
 from textloom.session import table
 
 
@@ -15,11 +16,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_column(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
 
 
+def in_fold(mod: int) -> Column:
+    """Whether crc32 of the document's id, as text, leaves 1."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod == 1, F.lit(False))
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~in_fold(3))
+    return langid.predict(docs.withColumn("held_out", in_fold(3)), model, keep=["doc_id", "held_out"])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 2048 ids."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_packing": op6_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op3_langid": op3_langid, "op6_packing": op6_packing}
 ORACLE_SQL: dict[str, str] = {}
