@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,26 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "textloo
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; any Spark-readable path works."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Used only where the session names no shared folder (tests, notebooks).
+FALLBACK_SHARED_DIR = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    return (path or FALLBACK_SHARED_DIR).rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Cuts lineage: later reads survive lost executors, and nothing is computed
+    twice. Rows are as they were written, so an operator may rely on values
+    that another evaluation could produce in another order.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
