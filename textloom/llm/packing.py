@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import read_file
-from textloom.llm.common import stored
+from textloom.session import stored
 
 CAPACITY = 2048
 #: Entries of a worker's table of encoded chunks.
@@ -241,5 +241,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> Da
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Tokenise, cut and pack. The cut table is written once to the shared folder."""
-    cut = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, ids), docs.sparkSession)
+    cut = stored(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, ids))
     return pack(cut, capacity, id_col)
