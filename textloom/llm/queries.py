@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, langid, packing, simhash
+from textloom.llm import bpe, langid, packing, quality, simhash
 from textloom.session import table
 
 
@@ -28,6 +28,11 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", in_fold(3)), model, keep=["doc_id", "held_out"])
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality.rules(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,5 +44,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_langid": op3_langid, "op5_simhash": op5_simhash, "op6_packing": op6_packing}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op5_simhash": op5_simhash, "op6_packing": op6_packing}
 ORACLE_SQL: dict[str, str] = {}
