@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, langid, packing, quality, simhash
+from textloom.llm import bpe, langid, packing, pii, quality, simhash
 from textloom.session import table
 
 
@@ -44,5 +44,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op5_simhash": op5_simhash, "op6_packing": op6_packing}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii}
 ORACLE_SQL: dict[str, str] = {}
