@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import read_file
+from textloom.llm.bpe import byte_alphabet, read_file
 from textloom.session import stored
 
 CAPACITY = 2048
@@ -63,6 +63,13 @@ class Chunked:
         # marks may compose with a letter before it is lower-cased; a run of punctuation, or of marks
         # that a letter turns into, must stay whole: only plain letters and digits may precede a cut
         self.marks = re.compile(r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]|<\|")
+        # a chunk of such letters is one word that normalising leaves alone: the library's model takes it as it is
+        self.word = re.compile(r"[a-zß-öø-ÿ]+")
+        self.model = self.tokenizer.model
+        self.stand_ins = {b: c for c, b in byte_alphabet().items()}
+        probe = "übere"
+        if self._word(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            self.word = re.compile(r"(?!)")
         self.runs = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-įı-ſ\s][.,]")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -75,19 +82,28 @@ class Chunked:
             chunks = self._chunks(text or "")
             table = self.table
             try:
-                out.append(b"".join([table[c] for c in chunks]))
+                out.append(b"".join(map(table.__getitem__, chunks)))
             except KeyError:
                 missing = list(dict.fromkeys(c for c in chunks if c not in table))
                 if len(table) + len(missing) > CHUNK_CACHE:
                     table.clear()
                     missing = list(dict.fromkeys(chunks))
-                for k in range(0, len(missing), CHUNK_CACHE):
-                    part = missing[k : k + CHUNK_CACHE]
+                rest = []
+                for c in missing:
+                    if self.word.fullmatch(c):
+                        table[c] = _packed(self._word(c))
+                    else:
+                        rest.append(c)
+                for k in range(0, len(rest), 4096):
+                    part = rest[k : k + 4096]
                     got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
                     table.update(zip(part, [_packed(e.ids) for e in got], strict=True))
                 out.append(b"".join([table[c] for c in chunks]))
         return out
 
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_ins))]
+
     def _chunks(self, text: str) -> list[str]:
         if text.isascii() and "<|" not in text or not self.marks.search(text):
             text = text.encode().lower().decode()
