@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, langid, packing, pii, quality, simhash
+from textloom.llm import bpe, chat, langid, maxent, packing, pii, quality, sharding, simhash
 from textloom.session import table
 
 
@@ -49,5 +49,37 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii}
-ORACLE_SQL: dict[str, str] = {}
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight, near equal in bytes, and its place there."""
+    placed, _ = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", in_fold(5))
+    return maxent.score(docs, ~F.col("held_out"), keep=("held_out",))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent}
+_CHAT_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, count(*) AS n, list(role || chr(1) || text ORDER BY turn NULLS FIRST, role, text) AS said,
+         string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS shown
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, CAST(n AS BIGINT) AS n_turns, CAST(0 AS BIGINT) AS segment, shown AS text
+FROM c
+WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.said[1] = c.said[1] AND d.n > c.n AND d.said[1:c.n] = c.said)
+  AND NOT EXISTS (SELECT 1 FROM c d WHERE d.said = c.said AND d.conv_id < c.conv_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_chat": _CHAT_SQL}
