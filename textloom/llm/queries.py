@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, chat, langid, maxent, packing, pii, quality, sharding, simhash
+from textloom.llm import ann, bpe, chat, langid, maxent, packing, pii, quality, sharding, simhash
 from textloom.session import table
 
 
@@ -33,6 +33,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector, by inner product."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -66,7 +71,7 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(docs, ~F.col("held_out"), keep=("held_out",))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent}
 _CHAT_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
