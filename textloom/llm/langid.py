@@ -139,11 +139,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
     fields = [docs.schema[c] for c in keep]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{label_as}` string, `{score_as}` double"
 
+    at = keep.index(text_col) if text_col in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            got = [model.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            cols = [*batch.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
+            got = [model.predict(t.as_py()) for t in batch.column(at)]
+            cols = [*batch.columns[: len(keep)], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, [*keep, label_as, score_as])
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text")).mapInArrow(run, schema)
+    read = [F.col(f"`{c}`") for c in keep] + ([] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")])
+    return docs.select(*read).mapInArrow(run, schema)

@@ -36,6 +36,8 @@ from textloom.session import stored
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
+#: Before the names of columns that are carried along, so that none clashes.
+_KEEP = "__in_"
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
 
 def _measured(docs: DataFrame, keep: list[str], host_col: str, text_col: str) -> DataFrame:
     named = docs.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[F.col(f"`{c}`").alias(_KEEP + c) for c in keep],
         F.coalesce(F.xxhash64(F.col(f"`{host_col}`")), F.lit(0)).alias("host"),
         F.col(f"`{text_col}`").alias("__text"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("doc"),
@@ -103,7 +105,28 @@ def rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     above = frequent_lines(each, limits)
     hits = each.select("row", "host", "line", "words").join(above, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
+    measured = measured.withColumnRenamed(_KEEP + id_col, id_col)
     out = measured.drop("lines", "host", "doc").join(hits, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
     out = out.withColumn("base_failed", failed)
     out = out.withColumn("kept", ~failed & (F.col("n_words") - F.col("removed_words") >= limits.min_left * F.col("n_words")))
     return out.select(F.col(f"`{id_col}`"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
+
+
+def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", limits: Limits | None = None) -> DataFrame:
+    """The documents that are kept, without the lines above the limits; same columns.
+
+    Lines that go take their line feed along; a text without such lines is left
+    as it is.
+    """
+    limits = limits or Limits()
+    measured = _measured(docs, docs.columns, host_col, text_col)
+    each = measured.select("row", "host", "doc", F.explode("lines").alias("l")).select("row", "host", "doc", "l.*")
+    hits = each.select("row", "host", "line", "words").join(frequent_lines(each, limits), ["host", "line"])
+    hits = hits.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
+    failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
+    left = measured.filter(~failed).select("row", "n_words", *[f"`{_KEEP}{c}`" for c in docs.columns]).join(hits, "row", "left")
+    left = left.filter(F.col("n_words") - F.coalesce("removed_words", F.lit(0)) >= limits.min_left * F.col("n_words"))
+    text = F.col(f"`{_KEEP}{text_col}`")
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x))))
+    left = left.withColumn(f"{_KEEP}{text_col}", F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(text))
+    return left.select(*[F.col(f"`{_KEEP}{c}`").alias(c) for c in docs.columns])
