@@ -361,15 +361,25 @@ def orthography_probable(c: Column) -> Column:
 
 
 def difficulty_rule(confidence: Column, examples: Column) -> Column:
-    """Of a rule, by its confidence and its number of examples."""
+    """Of a rule: harder with less confidence or fewer examples."""
     conf = F.coalesce(confidence, F.lit(0.5))
-    return F.when((conf >= 0.9) & (examples >= 3), "basic").when((conf >= 0.7) & (examples >= 1), "intermediate").otherwise("advanced")
+    return F.when((conf < 0.6) | (examples < 2), "hard").when((conf < 0.8) | (examples < 4), "medium").otherwise("easy")
 
 
-def difficulty_entry(c: Column, has_notes: Column) -> Column:
-    """Of an entry, by its number of words and its notes."""
-    n = F.size(F.filter(F.split(collapse(c), " "), lambda t: t != "")) + F.when(has_notes, 1).otherwise(0)
-    return F.when(n <= 2, "easy").when(n <= 5, "medium").otherwise("hard")
+def difficulty_entry(english: Column, notes: Column, examples: Column) -> Column:
+    """Of an entry: words of its definition, 5 for notes, 2 for each example."""
+    n = F.size(F.filter(F.split(collapse(english), " "), lambda t: t != ""))
+    n = n + F.when(F.trim(text(notes)) != "", 5).otherwise(0) + 2 * F.greatest(F.coalesce(F.size(examples), F.lit(0)), F.lit(0))
+    return F.when(n <= 6, "easy").when(n <= 16, "medium").otherwise("hard")
+
+
+# The keywords of a term and the rule type they mean, first match first.
+TERM_TYPES = [("prefix|suffix|affix", "morphology"), ("negative|negation", "syntax"), ("phonology|sound", "phonology"), ("translat", "translation")]
+
+
+def term_rule_type(c: Column) -> Column:
+    low = F.lower(text(c))
+    return reduce(lambda a, kv: F.when(low.rlike(kv[0]), kv[1]).otherwise(a), reversed(TERM_TYPES), F.lit("morphology"))
 
 
 def redact_key(c: Column) -> Column:
