@@ -41,3 +41,34 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             return stars.union(roots.select("node", F.col("node").alias("component")))
         before = state
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+
+
+def families(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """Each node's family (its smallest member), the family's size, and a split that keeps families whole."""
+    from textloom.functions.text import sha_bucket
+
+    found = connected_components(edges, src, dst).withColumnRenamed("component", "family")
+    sizes = found.groupBy("family").agg(F.count("*").alias("family_size"))
+    sizes = sizes.withColumn("split", F.when(sha_bucket(F.col("family")) == 0, "heldout").otherwise("train"))
+    return found.join(sizes, "family").select("node", "family", "family_size", "split")
+
+
+def reference_edges(entries: DataFrame, keys: DataFrame, kinds: list[str]) -> DataFrame:
+    """One edge for each reference of each kind: src, src_plain, kind, dst_plain, dst_ids and resolved.
+
+    ``entries`` has entry_id, plain and an array column of each kind; ``keys``
+    has the trusted entries' entry_id and plain.
+    """
+    from functools import reduce
+
+    from textloom.operators.relops import resolve_refs
+
+    each = reduce(DataFrame.unionByName, [entries.select(F.col("entry_id").alias("src"), F.col("plain").alias("src_plain"), F.lit(k).alias("kind"), F.explode(k).alias("dst_plain")) for k in kinds])
+    return resolve_refs(each, "dst_plain", keys, "plain", "entry_id")
+
+
+def equivalent_edges(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """One edge for each attested form of an English entry and each entry that has it."""
+    forms = entries.select(F.col("entry_id").alias("src"), F.col("english").alias("src_plain"), F.explode("attested_forms").alias("dst_plain"))
+    ids = keys.select(F.col("plain").alias("dst_plain"), F.col("entry_id").alias("dst"))
+    return forms.join(ids, "dst_plain").select("src", "src_plain", F.lit("english_equivalent").alias("kind"), "dst_plain", F.array("dst").alias("dst_ids"), F.lit(True).alias("resolved"))
