@@ -1 +1,235 @@
+"""Queries of row expansion: lexicon, rules, interlinear texts, pages and conversations as tasks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.functions import udfs
+from textloom.operators import graph, relops, splits, taskgen, verdicts
+from textloom.plans.registry import query
+from textloom.session import table
+
+_ALLOWED = f"[^{X.ALPHABET}]"
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon made of parts: a headword in syllables, a gloss, forms, and one reference each.
+
+    Brands are headwords, so parts of a brand are homographs; a part refers to
+    the brand before its own.
+    """
+    p = table(spark, sf_dir, "part")
+    n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    word = lambda k: F.concat(F.translate(k.cast("string"), "0123456789", "aeiouabcde"), F.lit("kin"))
+    split = F.when(X.sha_bucket(word(n)) == 0, "heldout").otherwise("train")
+    return p.select(
+        F.format_string("e%06d", "p_partkey").alias("entry_id"), (F.col("p_partkey") % 300).cast("int").alias("page"), word(n).alias("plain"),
+        F.concat(F.left(word(n), F.lit(2)), F.lit("-"), F.substring(word(n), F.lit(3), F.lit(20)), F.lit("'")).alias("headword"), F.array(F.left(word(n), F.lit(2)), F.substring(word(n), F.lit(3), F.lit(20))).alias("syllables"),
+        F.when(F.col("p_size") % 3 == 0, "n.").when(F.col("p_size") % 3 == 1, "adv.").otherwise("x.").alias("pos"), F.when(F.col("p_size") % 4 != 0, F.lower("p_type")).alias("gloss"),
+        F.when(F.col("p_size") % 5 == 0, F.array(word(n + 1))).otherwise(F.array().cast("array<string>")).alias("inflected_forms"), F.when(F.col("p_size") % 2 == 0, F.array(word(n - 1))).otherwise(F.array().cast("array<string>")).alias("derived_from"),
+        F.array(word(n + 2)).alias("see_also"), (F.col("p_size") > 3).alias("headword_ok"), split.alias("split"),
+    )
+
+
+@query("""
+WITH b AS (SELECT p_partkey, p_size, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS n, lower(p_type) AS t FROM part),
+e AS (SELECT *, translate(CAST(n AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin' AS w, translate(CAST(n - 1 AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin' AS ref, sha256(translate(CAST(n AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin') AS h,
+  CASE WHEN p_size % 3 = 0 THEN 'n.' WHEN p_size % 3 = 1 THEN 'adv.' ELSE 'x.' END AS pos, CASE WHEN p_size % 4 <> 0 THEN t END AS gloss FROM b),
+s AS (SELECT *, (6 * list_sum(list_transform(string_split(h[1:63], ''), lambda c: strpos('0123456789abcdef', c) - 1)) + strpos('0123456789abcdef', h[64]) - 1) % 10 = 0 AS held FROM e WHERE p_size > 3),
+k AS (SELECT w, count(*) AS n_same, arg_min(gloss, p_partkey) AS first_gloss FROM (SELECT w, p_partkey, gloss FROM s) GROUP BY w), f AS (SELECT w, gloss AS g1 FROM (SELECT w, gloss, row_number() OVER (PARTITION BY w ORDER BY p_partkey) AS r FROM s) WHERE r = 1),
+j AS (SELECT s.*, k.n_same AS root_n, f.g1 AS root_gloss FROM s LEFT JOIN k ON s.ref = k.w AND s.p_size % 2 = 0 LEFT JOIN f ON k.w = f.w)
+SELECT task, split, count(*) AS n FROM (
+  SELECT 'syllabify' AS task, held FROM j UNION ALL SELECT 'pos', held FROM j WHERE pos <> 'x.' UNION ALL SELECT 'inflect', held FROM j WHERE p_size % 5 = 0
+  UNION ALL SELECT 'root', held FROM j WHERE root_n IS NOT NULL UNION ALL SELECT 'lookup_root_gloss', held FROM j WHERE root_n = 1 AND root_gloss IS NOT NULL
+  UNION ALL SELECT 'gloss', held FROM j WHERE gloss IS NOT NULL AND NOT held UNION ALL SELECT 'lookup_gloss', held FROM j WHERE gloss IS NOT NULL) x, (SELECT unnest([true, false]) AS v, unnest(['heldout', 'train']) AS split) y WHERE x.held = y.v GROUP BY ALL
+""")
+def entry_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taskgen.entry_to_tasks(lexicon(spark, sf_dir)).groupBy("task", "split").agg(F.count("*").alias("n"))
+
+
+@query()
+def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks themselves, with their ids, prompts and accepted answers."""
+    return taskgen.entry_to_tasks(lexicon(spark, sf_dir)).select("id", "task", "split", "prompt", "answer", "accepted", "hops", "target_plain")
+
+
+@query()
+def recall_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to 300 training tasks of each recalled kind, which stay in training too."""
+    pool = taskgen.entry_to_tasks(lexicon(spark, sf_dir)).filter(F.col("split") == "train").filter(F.col("task").isin("gloss", "lookup_gloss"))
+    return splits.limit_per_group(pool.select("task", "id"), ["task"], "id", 300)
+
+
+def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English entries made of suppliers: two forms each, of which lexicon words are attested."""
+    keys = lexicon(spark, sf_dir).filter("headword_ok").select("plain").distinct()
+    s = table(spark, sf_dir, "supplier").withColumn("n", (F.col("s_suppkey") % 60).cast("string"))
+    word = F.concat(F.translate("n", "0123456789", "aeiouabcde"), F.lit("kin"))
+    s = s.select(F.format_string("s%05d", "s_suppkey").alias("entry_id"), F.lower("s_name").alias("english"), F.lit("n.").alias("pos"), F.array(word, F.concat(word, F.lit("ta"))).alias("forms"), F.when(F.col("s_suppkey") % 10 == 0, "heldout").otherwise("train").alias("split"))
+    hit = s.select("entry_id", F.posexplode("forms").alias("i", "plain")).join(keys, "plain", "left_semi")
+    hit = hit.groupBy("entry_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "plain"))), lambda x: x["plain"]).alias("attested_forms"))
+    return s.join(hit, "entry_id", "left").withColumn("attested_forms", F.coalesce("attested_forms", F.array().cast("array<string>")))
+
+
+@query("""
+WITH k AS (SELECT DISTINCT translate(regexp_extract(p_brand, '(\\d+)', 1), '0123456789', 'aeiouabcde') || 'kin' AS w FROM part WHERE p_size > 3),
+e AS (SELECT printf('s%05d', s_suppkey) AS entry_id, s_suppkey % 10 = 0 AS held, translate(CAST(s_suppkey % 60 AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin' AS w FROM supplier)
+SELECT entry_id, 'all_forms' AS gold_tier, w AS answer FROM e WHERE NOT held UNION ALL SELECT entry_id, 'two_witnesses', w FROM e WHERE NOT held AND w IN (SELECT w FROM k)
+""")
+def english_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taskgen.english_to_tasks(_english(spark, sf_dir)).select("entry_id", "gold_tier", "answer")
+
+
+@query()
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of the lexicon and equivalents of the English entries, counted by kind and state."""
+    lex, eng = lexicon(spark, sf_dir), _english(spark, sf_dir)
+    keys = lex.filter("headword_ok").select("entry_id", "plain")
+    edges = graph.reference_edges(lex, keys, ["derived_from", "see_also"]).unionByName(graph.equivalent_edges(eng, keys))
+    return edges.groupBy("kind", "resolved").agg(F.count("*").alias("n"), F.sum(F.size("dst_ids")).alias("targets"))
+
+
+@query("""
+SELECT count(*) AS entries, count(*) FILTER (WHERE p_size > 3) AS headword_ok, count(*) FILTER (WHERE p_size % 4 <> 0) AS with_gloss, count(*) FILTER (WHERE p_size % 5 = 0) AS with_forms, count(DISTINCT translate(regexp_extract(p_brand, '(\\d+)', 1), '0123456789', 'aeiouabcde')) AS words FROM part
+""")
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon(spark, sf_dir).agg(F.count("*").alias("entries"), F.count_if("headword_ok").alias("headword_ok"), F.count_if(F.col("gloss").isNotNull()).alias("with_gloss"), F.count_if(F.size("inflected_forms") > 0).alias("with_forms"), F.countDistinct("plain").alias("words"))
+
+
+@query()
+def lookup_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solved lookup conversations of the lexicon's lookup tasks."""
+    lex = lexicon(spark, sf_dir)
+    shown = lex.filter("headword_ok").withColumn("t", taskgen.format_entry(F.col("headword"), F.col("pos"), F.col("gloss"), F.col("derived_from"), F.col("inflected_forms"), F.col("page")))
+    shown = relops.dedup_first(shown, ["plain"], ["entry_id"]).select("plain", F.col("t").alias("text"))
+    tasks = taskgen.entry_to_tasks(lex).filter(F.startswith("task", F.lit("lookup"))).withColumn("word", F.regexp_extract("prompt", r"Dakota word (\w+)", 1))
+    return taskgen.lookup_dialogue(tasks.select("id", "word", "target_plain", "hops", "prompt", "answer"), shown)
+
+
+@query("""
+WITH e AS (SELECT p_partkey, p_name, p_type, p_size FROM part), n AS (SELECT *, len(string_split(trim(lower(p_type)), ' ')) + CASE WHEN p_size % 2 = 0 THEN 5 ELSE 0 END + 2 * (p_size % 3) AS score FROM e)
+SELECT p_partkey AS entry_id, d AS direction, CASE WHEN score <= 6 THEN 'easy' WHEN score <= 16 THEN 'medium' ELSE 'hard' END AS difficulty, CASE WHEN d = 'dakota_to_english' THEN p_type ELSE p_name END AS answer FROM n, (SELECT unnest(['dakota_to_english', 'english_to_dakota']) AS d)
+""")
+def entry_to_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("dakota"), F.col("p_type").alias("english"), F.lit("n.").alias("pos"), F.when(F.col("p_size") % 2 == 0, F.lit("red.")).alias("morphological_notes"), F.slice(F.array("p_name", "p_type"), F.lit(1), F.col("p_size") % 3).alias("examples"))
+    return taskgen.entry_to_bidirectional(e).select("entry_id", "direction", "difficulty", "answer")
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules made of parts, with their line items as examples."""
+    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
+    word = F.concat(F.lit("ta"), F.translate(F.col("l_orderkey").cast("string"), "0123456789", "aeiouabcde"), F.lit("ku"))
+    ex = items.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", word.alias("w"), F.concat("l_returnflag", F.lit(" thing")).alias("e")))), 1, 6).alias("items"))
+    p = table(spark, sf_dir, "part").join(ex, "p_partkey", "left")
+    shape = lambda c: F.transform(F.coalesce(c, F.array().cast(p.schema["items"].dataType)), lambda x: F.struct(x["w"].alias("dakota"), x["e"].alias("english"), F.lit("").alias("gloss"), F.lit("").alias("notes")))
+    kinds = F.element_at(F.array(F.lit("morphology"), F.lit("syntax"), F.lit("translation")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return p.select(
+        F.format_string("r%06d", "p_partkey").alias("rule_id"), kinds.alias("rule_type"), F.concat(F.lit("Rule of "), "p_type").alias("rule_description"), F.when(F.col("p_size") % 2 == 0, F.lit("add -ku or ta- to nouns")).alias("dakota_pattern"), F.lit("").alias("constraints"), F.lit("why").alias("english_explanation"),
+        X.difficulty_rule(F.lit(0.9), F.size(shape(F.col("items")))).alias("difficulty"), shape(F.col("items")).alias("positive_examples"), F.slice(shape(F.col("items")), F.lit(1), F.col("p_size") % 2).alias("negative_examples"), F.array().cast("array<string>").alias("exceptions"),
+    )
+
+
+@query("""
+WITH i AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_linenumber <= 4),
+x AS (SELECT l_partkey, count(*) AS n FROM i WHERE k <= 6 GROUP BY 1),
+r AS (SELECT p_partkey, coalesce(n, 0) AS n, p_size, p_partkey % 3 AS kind, CASE WHEN coalesce(n, 0) < 2 THEN 'hard' WHEN coalesce(n, 0) < 4 THEN 'medium' ELSE 'easy' END AS level FROM part LEFT JOIN x ON p_partkey = l_partkey),
+t AS (
+  SELECT 'word_translation' AS task_type, level AS difficulty, n AS c FROM r
+  UNION ALL SELECT 'reverse_translation', 'advanced', n FROM r WHERE level <> 'easy'
+  UNION ALL SELECT 'morphology', level, n FROM r WHERE kind = 0
+  UNION ALL SELECT 'multi_step_morphology', 'hard', n FROM r WHERE kind = 0 AND p_size % 2 = 0
+  UNION ALL SELECT 'affix_insertion', 'medium', n FROM r WHERE kind = 0 AND p_size % 2 = 0
+  UNION ALL SELECT 'syntax', level, n FROM r WHERE kind = 1
+  UNION ALL SELECT 'identify_pattern', level, 1 FROM r WHERE p_size % 2 = 0
+  UNION ALL SELECT 'positive_negative_evidence', 'medium', 1 FROM r WHERE n > 0 AND p_size % 2 = 1
+  UNION ALL SELECT 'exception_trigger', 'hard', 1 FROM r WHERE n > 0 AND p_size % 2 = 1)
+SELECT task_type, difficulty, CAST(sum(c) AS BIGINT) AS n FROM t GROUP BY 1, 2 HAVING sum(c) > 0
+""")
+def rule_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taskgen.rule_to_tasks(rules(spark, sf_dir)).groupBy("task_type", "difficulty").agg(F.count("*").alias("n"))
+
+
+@query()
+def rule_task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule tasks themselves, with their prompts and answers."""
+    return taskgen.rule_to_tasks(rules(spark, sf_dir)).drop("maker")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, string_split(text, ' ')[1:6] AS w, string_split(replace(text, 'e', '3'), ' ')[1:4] AS g, text FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) || '.' || turn AS text_id, CAST(i - 1 AS BIGINT) AS pos, CASE WHEN i <= least(len(w), len(g)) THEN 'word_translation' WHEN i = least(len(w), len(g)) + 1 THEN 'sentence_translation' ELSE 'reverse_translation' END AS task_type,
+       CASE WHEN i <= least(len(w), len(g)) THEN g[i] WHEN i = least(len(w), len(g)) + 1 THEN replace(text, 'e', '3') ELSE text END AS answer
+FROM (SELECT *, unnest(range(1, least(len(w), len(g)) + 3)) AS i FROM c)
+""")
+def interlinear_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = lambda c: F.split(c, " ")
+    t = table(spark, sf_dir, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("text_id"), F.slice(words(F.col("text")), 1, 6).alias("words"), F.slice(words(F.translate("text", "e", "3")), 1, 4).alias("glosses"), F.col("text").alias("dakota"), F.translate("text", "e", "3").alias("english"))
+    return taskgen.interlinear_to_tasks(t).select("text_id", F.col("pos").cast("long").alias("pos"), "task_type", "answer")
+
+
+@query("""
+SELECT a.conv_id, a.turn, count(*) AS n, array_to_string(list(b.role ORDER BY b.turn), ',') AS roles FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.role = 'assistant' GROUP BY a.conv_id, a.turn
+""")
+def conversation_prefix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = taskgen.conversation_prefixes(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return out.select("conv_id", "turn", F.size("messages").cast("long").alias("n"), F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"))
+
+
+@query("SELECT doc_id, 'system,user,assistant' AS roles, lang AS asked, source AS said FROM documents")
+def to_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = taskgen.to_chat(table(spark, sf_dir, "documents"), "You are brief.", "lang", "source", ["doc_id"])
+    content = lambda i: F.element_at("messages", i)["content"]
+    return out.select("doc_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), content(2).alias("asked"), content(3).alias("said"))
+
+
+@query()
+def to_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("dakota"), F.col("p_type").alias("english"), F.lit("n.").alias("pos"), F.lit(None).cast("string").alias("morphological_notes"), F.array("p_brand").alias("examples"))
+    return taskgen.to_instruction(e)
+
+
+@query("""
+WITH g AS (SELECT page_id AS page, url, length(html) AS n FROM pages)
+SELECT page, 'rule' AS kind, 'r' || page AS rule_id, 'morphology' AS rule_type, 2::BIGINT AS n_examples, 0.5::DOUBLE AS confidence FROM g
+UNION ALL SELECT page, 'text', 't' || page || '_translation', 'translation', 1, 0.7 FROM g UNION ALL SELECT page, 'term', 'term_p' || page || '_sound_shift', 'phonology', 1, 0.8 FROM g WHERE n % 2 = 0
+""")
+def page_to_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, texts and terms of page documents made of web pages."""
+    none = F.array().cast("array<string>")
+    p = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("page"),
+        F.array(F.struct(F.concat(F.lit("r"), "page_id").alias("rule_id"), F.lit("morphology").alias("rule_type"), F.col("url").alias("description"), F.lit("-ku").alias("pattern"), F.array("url", "url").alias("examples"), F.lit(None).cast("double").alias("confidence"))).alias("rules"),
+        F.array(F.struct(F.concat(F.lit("t"), "page_id").alias("text_id"), F.array("url").alias("lines"), F.lit(None).cast("double").alias("confidence"))).alias("texts"),
+        F.array(F.struct(F.when(F.length("html") % 2 == 0, "sound shift").otherwise("").alias("term"), F.col("url").alias("definition"), none.alias("examples"))).alias("terms"),
+    )
+    return taskgen.page_to_rules(p).select("page", "kind", "rule_id", "rule_type", F.col("n_examples").cast("long").alias("n_examples"), "confidence")
+
+
+@query("SELECT count(*) * 3 AS rules, CAST(sum(2 + 1 + 1) AS BIGINT) AS examples FROM pages")
+def nested_size_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages").withColumn("rules", F.array(*[F.array(*["url"] * n) for n in (2, 1, 1)]))
+    return p.agg(F.sum(F.size("rules")).alias("rules"), F.sum(F.aggregate("rules", F.lit(0).cast("long"), lambda a, r: a + F.size(r))).alias("examples"))
+
+
+@query()
+def transformations_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = rules(spark, sf_dir).select("rule_id", (F.col("rule_type") == "morphology").alias("testable"), F.transform("positive_examples", lambda e: F.struct(X.strip_affixes(e["dakota"], F.array(F.lit("-ku"), F.lit("ta-"))).alias("base"), e["dakota"].alias("result"))).alias("transformations"))
+    return taskgen.transformations_to_tasks(r, 3)
+
+
+@query()
+def repair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of the rules, repaired against the forms of the lexicon."""
+    t = taskgen.rule_to_tasks(rules(spark, sf_dir)).filter(F.col("task_type").isin("affix_insertion", "reverse_translation", "morphology", "positive_negative_evidence"))
+    t = t.select(F.concat_ws(":", "rule_id", "example", "task_type").alias("id"), "task_type", "rule_id", "answer", F.col("base_form").alias("source"), "required_affixes")
+    lex = lexicon(spark, sf_dir).select(F.col("plain").alias("form"), F.coalesce("gloss", F.lit("")).alias("english"))
+    ex = rules(spark, sf_dir).select("rule_id", F.explode("positive_examples").alias("e")).select("rule_id", F.col("e.dakota").alias("form"), F.col("e.english").alias("english"))
+    return verdicts.repair(t, lex, ex)
+
+
+@query()
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "part")
+    return d.select("p_partkey", udfs.stable_id("task_")(F.col("p_name"), F.col("p_partkey"), F.col("p_type"), F.col("p_brand")).alias("task_id"))

@@ -1 +1,72 @@
+"""Queries of Structured Streaming, drained to a table so that they can be compared with batch."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.plans.registry import query
+from textloom.session import shared_dir, table
+from textloom.streaming import sessions
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as lookup episodes: an assistant's turns look a word up, and answer from turn 5 on."""
+    said = F.when(F.col("role") != "assistant", F.col("text")).when(F.col("turn") >= 5, F.lit("ANSWER: x")).otherwise(F.concat(F.lit("LOOKUP: w"), F.col("turn")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", said.alias("text"), F.lit("w3").alias("target"))
+
+
+@query()
+def lookup_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateful episodes over a stream of turns; the last state of each."""
+    at, turns = _place(spark), _turns(spark, sf_dir)
+    turns.repartition(1).write.parquet(f"{at}/in")
+    stream = sessions.lookup_episodes(spark.readStream.schema(turns.schema).parquet(f"{at}/in"))
+    out = f"{at}/out"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("conv_id").agg(F.max_by(F.struct("lookups", "target_seen", "budget_exhausted", "done"), "batch").alias("s"))
+    return last.select("conv_id", "s.*")
+
+
+@query("""
+WITH t AS (SELECT conv_id, turn, role = 'assistant' AND turn < 5 AS ask, role = 'assistant' AND turn >= 5 AS answer FROM conversations), n AS (SELECT *, sum(ask::INT) OVER w AS asked FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT *, answer OR (ask AND asked > 3) AS stop FROM n), l AS (SELECT *, coalesce(max(stop::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM s)
+SELECT conv_id, count(*) FILTER (WHERE ask AND asked <= 3) AS lookups, bool_or(ask AND asked <= 3 AND turn = 3) AS target_seen, bool_or(ask AND asked > 3) AS budget_exhausted, bool_or(stop) AS done FROM l WHERE over = 0 GROUP BY conv_id
+""")
+def lookup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.lookup_episodes_batch(_turns(spark, sf_dir))
+
+
+@query("SELECT event_type AS metric, CAST(user_id % 10 AS BIGINT) AS step, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY ALL")
+def tail_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rows written as files, tailed as a stream, and averaged by step."""
+    at = _place(spark)
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("step"), F.create_map("event_type", "value").alias("metrics"))
+    rows.write.json(f"{at}/in")
+    name = "tail_" + uuid.uuid4().hex
+    stream = sessions.step_means(sessions.tail(spark, f"{at}/in", "step long, metrics map<string,double>"))
+    return sessions.drain_latest(stream, name, f"{at}/checkpoint").select("metric", "step", F.round("mean", 6).alias("mean"), "n")
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts by event time; batch form of the watermarked stream."""
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = sessions.windowed_counts(ev, "ts", ["event_type"], "1 day")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT user_id % 20 AS run, event_type AS group_id, round(avg(value), 6) AS mean_reward, count(*) AS rollouts, max(value) AS best FROM events GROUP BY ALL")
+def trace_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), F.lit(0).alias("pass"), F.lit(0).alias("batch"), F.col("event_type").alias("group_id"), F.col("value").alias("reward"))
+    return sessions.trace_group_stats(t).select("run", "group_id", F.round("mean_reward", 6).alias("mean_reward"), "rollouts", "best")

@@ -1 +1,163 @@
+"""Queries of text functions and classifications, on documents and parts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.functions import udfs
+from textloom.operators import verdicts
+from textloom.plans.registry import query
+from textloom.session import table
+
+_MARKED = "[áéíóúñäöüßçèêà]"
+
+
+@query(f"SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '{_MARKED}'))) AS chars, regexp_matches(text, '[^\\x00-\\x7F]') AS marked FROM documents")
+def special_char_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chars = X.special_chars(F.col("text"), "áéíóúñäöüßçèêà")
+    return table(spark, sf_dir, "documents").select("doc_id", chars.alias("chars"), X.has_marked_letter(F.col("text")).alias("marked"))
+
+
+_FUNCTION = "|".join(X.META_FUNCTION + X.META_NOUNS)
+_GLOSS = "|".join(X.META_GLOSS)
+_TERMS = ", ".join(f"'{t}'" for t in X.META_TERMS + X.META_PHRASES)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, regexp_extract(text, '^[^.\\n]*') AS g FROM documents), t AS (SELECT doc_id, g, trim(g) AS v, regexp_extract_all(lower(g), '[a-z'']+') AS w FROM d)
+SELECT doc_id, CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(g, '[^\\x00-\\x7F]') THEN 'marked'
+  WHEN lower(v) IN ({_TERMS}) OR (len(w) >= 2 AND (len(list_filter(w, lambda x: regexp_full_match(x, '{_FUNCTION}'))) > 0 OR regexp_matches(lower(v), '\\b({_GLOSS})\\b'))) THEN 'english_like' ELSE 'ascii_or_unknown' END AS class FROM t
+""")
+def gold_language_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document's first sentence."""
+    first = F.regexp_extract("text", r"^[^.\n]*", 0)
+    return table(spark, sf_dir, "documents").select("doc_id", X.gold_language(first).alias("class"))
+
+
+@query("""
+WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || 'ANSWER: `x' || doc_id || '`' || chr(10) || 'bye' WHEN doc_id % 3 = 1 THEN '<think>ANSWER: no</think>' || text ELSE text || '<think> ANSWER: open' END AS said, text FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'x' || doc_id ELSE trim(trim(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[-1]), ' `"*') END AS span, doc_id % 3 = 0 AS parsed FROM t
+""")
+def extract_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of made completions: marked, behind closed thinking, before open thinking."""
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nANSWER: `x"), "doc_id", F.lit("`\nbye"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("<think>ANSWER: no</think>"), "text")).otherwise(F.concat("text", F.lit("<think> ANSWER: open")))
+    got = X.extract_answer(said)
+    return table(spark, sf_dir, "documents").select("doc_id", got["span"].alias("span"), got["parsed"].alias("parsed"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'b' || doc_id ELSE 'f' || doc_id END AS final FROM documents
+""")
+def extract_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\\boxed{a} "), "text", F.lit(" \\boxed{b"), "doc_id", F.lit("} final answer: c"))).otherwise(F.concat("text", F.lit("\nThe final answer is f"), "doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.extract_final(said).alias("final"))
+
+
+_ALPHA = X.ALPHABET
+_FROM, _TO = "".join(X.GLYPH_VARIANTS), "".join(X.GLYPH_VARIANTS.values())
+
+
+@query(f"""
+WITH w AS (SELECT DISTINCT unnest(string_split(regexp_extract(text, '^[^\\n]*'), ' ')) AS w FROM documents), c AS (SELECT w, translate(translate(trim(translate(lower(w), '{_FROM}', '{_TO}')), '-', ''), '''', '') AS p FROM w WHERE w <> '')
+SELECT w, p AS plain, replace(p, 'ŋ', 'n') AS loose, translate(p, '{_ALPHA} ', '') <> '' AS suspect, list_sort(list_distinct(list_filter(string_split(translate(p, '{_ALPHA} ', ''), ''), lambda x: x <> ''))) AS bad FROM c
+""")
+def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and loose forms and offenders of the words of first lines."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("w")).filter("w <> ''").distinct()
+    c = F.col("w")
+    return w.select("w", X.plain(c).alias("plain"), X.loose(c).alias("loose"), X.is_suspect(c).alias("suspect"), X.bad_chars(c).alias("bad"))
+
+
+@query()
+def headwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headwords made of part types: parsed, cut, cleaned, with references and equivalents."""
+    made = F.concat(F.lower(F.translate("p_type", " ", "-")), F.when(F.col("p_partkey") % 2 == 0, F.lit("'")).otherwise(""))
+    p = X.parse_headword(made)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", p["form"].alias("form"), p["syllables"].alias("syllables"), p["stress"].alias("stress"), X.syllable_cuts(p["syllables"]).alias("cuts"), X.clean_form(F.col("p_brand")).alias("clean"),
+        X.split_refs(F.lower("p_name")).alias("refs"), X.equivalents(F.concat(F.lower("p_name"), F.lit("; wakan : rest"))).alias("equivalents"), X.pos_canonical(F.lit("v.a.")).alias("pos"),
+    )
+
+
+@query("""
+SELECT c_custkey, regexp_replace('sk-' || c_name || 'abcdefgh', 'sk-[A-Za-z0-9_-]{8,}', 'sk-***') AS redacted FROM customer WHERE NOT contains(c_name, '#')
+UNION ALL SELECT c_custkey, regexp_replace('sk-' || replace(c_name, '#', '_') || 'abcdefgh', 'sk-[A-Za-z0-9_-]{8,}', 'sk-***') FROM customer WHERE contains(c_name, '#')
+""")
+def redact_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", X.redact_key(F.concat(F.lit("sk-"), F.translate("c_name", "#", "_"), F.lit("abcdefgh"))).alias("redacted"))
+
+
+@query("""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark),
+h AS (SELECT w, left(w, 4) AS head FROM w)
+SELECT CASE WHEN w IN (SELECT w FROM k) THEN 'attested-headword' WHEN replace(w, 'n', '') IN (SELECT replace(w, 'n', '') FROM k) THEN 'ng-variant' WHEN contains(w, 'x') THEN 'alphabet-violation'
+  WHEN starts_with(w, head) AND w <> head THEN 'licensed-pending' ELSE 'unexplained' END AS verdict, CASE WHEN w = head THEN 'identity' ELSE 'prefix' END AS relation, count(*) AS n FROM h GROUP BY ALL
+""")
+def form_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents against those of the benchmark; the head of a word is its first four letters."""
+    words = lambda t: table(spark, sf_dir, t).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w")).distinct().withColumn("l", F.translate("w", "n", ""))
+    forms = words("documents").withColumn("head", F.left("w", F.lit(4)))
+    out = verdicts.form_verdict(forms, "w", "l", "head", F.contains("w", F.lit("x")), words("benchmark"), "w", "l")
+    return out.groupBy("verdict", "relation").agg(F.count("*").alias("n"))
+
+
+@query()
+def edit_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits between words of documents that share their first four letters and length, as often as they occur; 25 times at least."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,9})"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter("c >= 8")
+    keyed = w.select("w", F.concat(F.left("w", F.lit(4)), F.length("w")).alias("k"))
+    # neighbours in order, not all pairs of a key
+    near = keyed.withColumn("other", F.lead("w").over(Window.partitionBy("k").orderBy("w"))).filter("other is not null")
+    e = near.select(X.single_edit(F.col("w"), F.col("other")).alias("e"))
+    return e.groupBy("e.old", "e.new").agg(F.count("*").alias("n"), F.min("e.pos").alias("first_pos")).filter("n >= 3")
+
+
+@query()
+def coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each language's words that mined edits explain: words whose last letter swapped is a word too."""
+    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w")).distinct()
+    stems = w.select("lang", F.left("w", F.length("w") - 1).alias("s"), "w").groupBy("lang", "s").agg(F.count("*").alias("n"))
+    met = w.withColumn("s", F.left("w", F.length("w") - 1)).join(stems, ["lang", "s"])
+    return met.groupBy("lang").agg(F.count("*").alias("words"), F.avg((F.col("n") > 1).cast("double")).alias("coverage"))
+
+
+@query("SELECT doc_id, doc_id % 7 AS w, ceil((doc_id * 3 + 1) / 28.0::DOUBLE)::BIGINT * ceil((doc_id + 1) / 28.0::DOUBLE)::BIGINT AS image_tokens, length(text) // 4 + 4 * 3 + 3 AS tokens FROM documents")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", (d % 7).alias("w"), X.image_tokens(d * 3 + 1, d + 1).alias("image_tokens"), X.token_overhead(F.lit(3), F.floor(F.length("text") / 4)).alias("tokens"))
+
+
+@query()
+def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unicode forms, folded letters, stems, leaks and stable ids of titles: all need Python."""
+    head = F.substring_index("text", "\n", 1)
+    d = table(spark, sf_dir, "documents").select("doc_id", head.alias("head"), F.lag(head).over(Window.partitionBy("lang").orderBy("doc_id")).alias("other"))
+    prompt = F.concat(F.lit("Pattern: x\nExamples:\n - "), F.col("head"), F.lit("\nDo it"))
+    return d.select("doc_id", udfs.nfc("head").alias("nfc"), udfs.nfkc("head").alias("nfkc"), udfs.fold_letters("head").alias("folded"), udfs.shares_stem(F.coalesce("other", F.lit("")), F.col("head")).alias("stem"), udfs.diacritic_preservation(F.col("head"), F.coalesce("other", F.lit(""))).alias("marks"), udfs.strip_leak(prompt, F.col("head"), F.lit("x")).alias("prompt"), udfs.stable_id("task_")(F.col("head"), F.col("doc_id"), F.col("head"), F.lit("r")).alias("id"))
+
+
+@query("""
+SELECT p_partkey, list_filter([CASE WHEN p_name = '' THEN 'Missing headword' END, CASE WHEN p_size % 5 = 0 THEN 'Missing primary definition' END, CASE WHEN p_size > 40 THEN 'Warning: No part of speech specified' END], lambda x: x IS NOT NULL) AS issues, NOT (p_name = '' OR p_size % 5 = 0 OR p_size > 40) AS is_valid FROM part
+""")
+def validate_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("headword"), F.when(F.col("p_size") % 5 != 0, F.col("p_type")).alias("definition_primary"), F.col("p_partkey").cast("string").alias("entry_id"), F.lit(1.0).alias("confidence"), F.when(F.col("p_size") <= 40, F.lit("n.")).alias("part_of_speech"))
+    return verdicts.validate_entry(p).select("p_partkey", "issues", "is_valid")
+
+
+@query("""
+SELECT count(*) AS rows, 0::BIGINT AS placeholder, count(*) FILTER (WHERE NOT regexp_matches(source, '[^\\x00-\\x7F]') AND source = 'x') AS english_like, 0::BIGINT AS marked, 0::BIGINT AS empty, count(*) AS ascii_or_unknown, count(*) FILTER (WHERE doc_id % 2 = 0) AS with_affixes, count(*) FILTER (WHERE doc_id % 2 = 1) AS without_affixes FROM documents
+""")
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    d = table(spark, sf_dir, "documents").select("source", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("-ku"))).otherwise(none).alias("affixes"))
+    return verdicts.quality_counts(d, "source", "affixes")
+
+
+@query()
+def markdown_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and placeholders of cards made of documents, and their tidied text."""
+    card = F.concat(F.lit("# T\n## Uses\n"), F.substring_index("text", "\n", 1), F.lit("\n\n\n\n## Limits\n[TODO]  \n"))
+    cards = table(spark, sf_dir, "documents").select("doc_id", card.alias("card"))
+    return verdicts.model_card_checks(cards, "card", ["Uses", "Limits", "Training"]).select("doc_id", "missing", "placeholders", verdicts.markdown_normalize(F.col("card")).alias("tidy"))
