@@ -292,7 +292,7 @@ def clean_answer_display(c: Column, most: int = 280) -> Column:
 def fenced_json(c: Column) -> Column:
     """What a JSON fence holds, else the text itself."""
     inner = F.regexp_extract(text(c), r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(text(c)))
+    return F.trim(F.when(inner != "", inner).otherwise(text(c)), F.lit(" \t\r\n"))
 
 
 def json_array_slice(c: Column) -> Column:
