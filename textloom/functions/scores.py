@@ -30,24 +30,24 @@ def f1(hits: Column, predicted: Column, gold: Column) -> Column:
 
 
 def set_f1(pred: Column, gold: Column) -> Column:
-    return f1(F.size(F.array_intersect(pred, gold)), F.size(pred), F.size(gold))
+    both = F.struct(pred.alias("p"), gold.alias("g"))
+    return X.let(both, lambda v: X.let(F.size(F.array_intersect(v["p"], v["g"])), lambda n: f1(n, F.size(v["p"]), F.size(v["g"]))))
 
 
 def token_f1(answer: Column, accepted: Column) -> Column:
     """The best F1 of word sets over the accepted answers."""
-    scores = F.transform(accepted, lambda a: set_f1(X.gloss_tokens(answer), X.gloss_tokens(a)))
-    return F.coalesce(F.array_max(scores), F.lit(0.0))
+    scores = lambda own: F.transform(accepted, lambda a: set_f1(own, X.gloss_tokens(a)))
+    return X.let(X.gloss_tokens(answer), lambda own: F.coalesce(F.array_max(scores(own)), F.lit(0.0)))
 
 
 def bigrams(c: Column) -> Column:
-    inner = F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))
-    return F.when(F.length(c) >= 2, F.array_distinct(inner)).otherwise(F.array().cast("array<string>"))
+    # over characters: a substring of a long text is found by walking to it
+    pairs = lambda xs: F.zip_with(F.slice(xs, F.lit(1), F.size(xs) - 1), F.slice(xs, F.lit(2), F.size(xs)), lambda a, b: F.concat(a, b))
+    return X.let(F.split(c, ""), lambda xs: F.when(F.length(c) >= 2, F.array_distinct(pairs(xs))).otherwise(F.array().cast("array<string>")))
 
 
 def bigram_dice(a: Column, b: Column) -> Column:
-    x, y = bigrams(a), bigrams(b)
-    both = F.size(x) + F.size(y)
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * F.size(F.array_intersect(x, y)) / both).otherwise(0.0)
+    return set_f1(bigrams(a), bigrams(b))
 
 
 def _count(c: Column, ch: Column) -> Column:
@@ -56,9 +56,10 @@ def _count(c: Column, ch: Column) -> Column:
 
 def multiset_f1(pred: Column, gold: Column) -> Column:
     """F1 of the characters of two strings, each as often as it occurs."""
-    distinct = F.filter(F.array_distinct(F.split(gold, "")), lambda x: x != "")
-    hits = F.aggregate(distinct, F.lit(0), lambda a, ch: a + F.least(_count(pred, ch), _count(gold, ch)))
-    return f1(hits, F.length(pred), F.length(gold))
+    distinct = lambda g: F.filter(F.array_distinct(F.split(g, "")), lambda x: x != "")
+    hits = lambda v: F.aggregate(distinct(v["g"]), F.lit(0), lambda a, ch: a + F.least(_count(v["p"], ch), _count(v["g"], ch)))
+    both = F.struct(pred.alias("p"), gold.alias("g"))
+    return X.let(both, lambda v: X.let(hits(v), lambda n: f1(n, F.length(v["p"]), F.length(v["g"]))))
 
 
 def char_f1(pred: Column, gold: Column) -> Column:
@@ -81,7 +82,7 @@ def exact_match(span: Column, gold: Column) -> Column:
 def word_overlap(answer: Column, gold: Column) -> Column:
     """Share of the gold's distinct words that the answer has."""
     g, a = (F.array_distinct(F.filter(F.split(X.normalize_ws(c), " "), lambda t: t != "")) for c in (gold, answer))
-    return F.when(F.size(g) > 0, F.size(F.array_intersect(a, g)) / F.size(g)).otherwise(0.0)
+    return X.let(g, lambda g: F.when(F.size(g) > 0, F.size(F.array_intersect(a, g)) / F.size(g)).otherwise(0.0))
 
 
 def length_guard(span: Column, longest: Column, ratio: float = 3.0, free: int = 24) -> Column:
@@ -107,9 +108,8 @@ def length_smooth(answer: Column, gold: Column, low: float = 0.35, high: float =
 
 def affix_score(span: Column, gold: Column, affixes: Column) -> Column:
     """Share of the required affixes whose gold token the answer has; 0 if none is required."""
-    said = F.transform(F.split(X.normalize_ws(span), " "), lambda t: t)
-    hit = lambda a: F.arrays_overlap(said, F.transform(X.affix_tokens(gold, a), lambda t: F.lower(t)))
-    hits = F.size(F.filter(affixes, lambda a: F.coalesce(hit(a), F.lit(False))))
+    hit = lambda said, a: F.arrays_overlap(said, F.transform(X.affix_tokens(gold, a), lambda t: F.lower(t)))
+    hits = X.let(F.split(X.normalize_ws(span), " "), lambda said: F.size(F.filter(affixes, lambda a: F.coalesce(hit(said, a), F.lit(False)))))
     return F.when(F.coalesce(F.size(affixes), F.lit(0)) > 0, hits / F.size(affixes)).otherwise(0.0)
 
 
@@ -202,38 +202,41 @@ SCORERS: dict[str, Callable[[Column, Column, Column, Column], dict[str, Column]]
 def score(task: Column, completion: Column, gold: Column, accepted: Column, arm: Column | None = None) -> Column:
     """Struct (reward, exact, raw, parsed, answer_len, length_mult, parts) of one completion, by its task."""
     arm = F.lit("baseline") if arm is None else arm
-    answer = X.extract_answer(completion)
-    span = answer["span"]
-    names = sorted({k for name in SCORERS for k in SCORERS[name](span, gold, accepted, arm)})
-    parts = {}
-    for name in names:
-        value = F.lit(None).cast("double")
-        for kind, scorer in SCORERS.items():
-            found = scorer(span, gold, accepted, arm)
-            if name in found:
-                value = F.when(task == kind, found[name]).otherwise(value)
-        parts[name] = F.when(span == "", F.lit(0.0) if name in ("exact", "raw") else F.lit(None)).otherwise(value)
-    longest = F.greatest(F.length(X.text(gold)), F.coalesce(F.array_max(F.transform(accepted, lambda a: F.length(a))), F.lit(0)))
-    mult = length_guard(span, longest)
-    return F.struct(
-        (parts["raw"] * mult).alias("reward"),
-        *[parts[n].alias(n) for n in names],
-        _flag(answer["parsed"]).alias("parse_ok"),
-        F.length(span).cast("double").alias("answer_len"),
-        mult.alias("length_mult"),
-    )
+
+    def of(answer: Column) -> Column:
+        span = answer["span"]
+        ledgers = {kind: scorer(span, gold, accepted, arm) for kind, scorer in SCORERS.items()}
+        names = sorted({k for led in ledgers.values() for k in led})
+        null = F.lit(None).cast("double")
+        shape = lambda led: F.struct(*[led.get(n, null).cast("double").alias(n) for n in names])
+        # one ledger is computed, that of the row's task
+        chosen = shape({})
+        for kind, led in ledgers.items():
+            chosen = F.when(task == kind, shape(led)).otherwise(chosen)
+        chosen = F.when(span == "", shape({"exact": F.lit(0.0), "raw": F.lit(0.0)})).otherwise(chosen)
+        longest = F.greatest(F.length(X.text(gold)), F.coalesce(F.array_max(F.transform(accepted, lambda a: F.length(a))), F.lit(0)))
+        guard = length_guard(span, longest)
+        done = lambda led: F.struct(
+            (led["raw"] * guard).alias("reward"),
+            *[led[n].alias(n) for n in names],
+            _flag(answer["parsed"]).alias("parse_ok"),
+            F.length(span).cast("double").alias("answer_len"),
+            guard.alias("length_mult"),
+        )
+        return X.let(chosen, done)
+
+    return X.let(X.extract_answer(completion), of)
 
 
 def qa_parts(answer: Column, gold: Column) -> dict[str, Column]:
     """Exactness, terms, characters, keywords and length of a free answer."""
-    terms, keys = X.marked_terms(gold), X.top_keywords(gold)
-    found = F.size(F.filter(terms, lambda t: F.contains(X.compact(answer), X.compact(t))))
-    shared = F.size(F.array_intersect(keys, X.word_set(answer)))
+    share = lambda said: lambda terms: F.when(F.size(terms) == 0, 1.0).otherwise(F.size(F.filter(terms, lambda t: F.contains(said, X.compact(t)))) / F.size(terms))
+    shared = lambda keys: F.when(F.size(keys) == 0, 1.0).otherwise(F.size(F.array_intersect(keys, X.word_set(answer))) / F.size(keys))
     return {
         "exact": _flag(X.normalize_quotes(answer) == X.normalize_quotes(gold)),
-        "terms": F.when(F.size(terms) == 0, 1.0).otherwise(found / F.size(terms)),
+        "terms": X.let(X.compact(answer), lambda said: X.let(X.marked_terms(gold), share(said))),
         "char": multiset_f1(X.compact(answer), X.compact(gold)),
-        "keywords": F.when(F.size(keys) == 0, 1.0).otherwise(shared / F.size(keys)),
+        "keywords": X.let(X.top_keywords(gold), shared),
         "length": length_smooth(answer, gold),
     }
 

@@ -51,6 +51,16 @@ DIFFICULTY_WEIGHTS = {"basic": 1.0, "easy": 1.0, "intermediate": 1.2, "medium":
 _WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once.
+
+    Columns are expressions, so one that is used several times is computed
+    several times, and once per element inside a lambda; a lambda's variable
+    is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c: Column) -> Column:
     """Null counts as empty."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -165,9 +175,8 @@ def words(c: Column) -> Column:
 
 def gloss_tokens(c: Column) -> Column:
     """Distinct words without stop words, unless nothing is left."""
-    found = F.array_distinct(words(c))
-    kept = F.array_except(found, F.array(*map(F.lit, GLOSS_STOP)))
-    return F.when(F.size(kept) > 0, kept).otherwise(found)
+    stop = F.array(*map(F.lit, GLOSS_STOP))
+    return let(F.array_distinct(words(c)), lambda found: let(F.array_except(found, stop), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(found)))
 
 
 def forms_set(c: Column) -> Column:
@@ -189,7 +198,7 @@ def compact(c: Column) -> Column:
 def word_set(c: Column, stop: list[str] = META_FUNCTION) -> Column:
     """Distinct words of three letters or more, without stop words."""
     found = F.regexp_extract_all(normalize_quotes(c), F.lit(r"([0-9a-zćšŋḣṡǧáéíóúķśṅźėčž'ʼ-]{3,})"), 1)
-    bare = F.transform(found, lambda w: F.when(~w.isin(stop), _strip(w, "-'ʼ")))
+    bare = F.transform(found, lambda w: F.when(~w.isin(stop), _strip(w, "-'ʼ")))  # null: a stop word
     return F.array_distinct(F.filter(bare, lambda w: w.isNotNull() & (w != "")))
 
 
@@ -205,9 +214,9 @@ def marked_terms(c: Column, most: int = 12) -> Column:
     bold = F.regexp_extract_all(text(c), F.lit(r"\*\*([^*]{2,80})\*\*"), 1)
     tokens = F.regexp_extract_all(text(c), F.lit(r"([A-Za-zćšŋḣṡǧáéíóúķśṅźėčž'ʼ-]{3,})"), 1)
     seen = F.filter(tokens, lambda t: F.lower(t).rlike(f"[{SPECIAL}'ʼ-]"))
-    every = F.filter(F.transform(F.concat(quoted, bold, seen), lambda t: _strip(F.trim(t), ".,;:()[]{}")), lambda t: compact(t) != "")
-    firsts = F.filter(every, lambda t, i: ~F.exists(F.slice(F.transform(every, compact), F.lit(1), i), lambda k: k == compact(t)))
-    return F.slice(firsts, 1, most)
+    every = F.transform(F.concat(quoted, bold, seen), lambda t: let(_strip(F.trim(t), ".,;:()[]{}"), lambda x: F.struct(x.alias("t"), compact(x).alias("k"))))
+    firsts = lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, lambda y: y["k"]), x["k"]) == i + 1)
+    return F.slice(F.transform(let(F.filter(every, lambda x: x["k"] != ""), firsts), lambda x: x["t"]), 1, most)
 
 
 def special_chars(c: Column, alphabet: str = SPECIAL) -> Column:
