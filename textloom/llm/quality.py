@@ -7,7 +7,8 @@ is left are rejected. A line of a document that was copied, with or without
 small edits, is not boilerplate, though it occurs often: it always stands
 between the same lines. So a line is above the limits if it occurs in more than
 ``max_docs`` distinct documents of a host, and at least ``min_places`` of those
-put it between other neighbours.
+put it between other neighbours. (Copies of a text of two or three lines, each
+edited somewhere else, can't be told from boilerplate that way.)
 
 Everything is DataFrame code. One pass over the texts makes a narrow table
 (statistics, line hashes) in the shared folder; counts and the join back run on
@@ -45,12 +46,12 @@ class Limits:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_docs: int = 10
-    min_places: float = 0.5
+    min_places: float = 0.8
     min_left: float = 0.5
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the base statistics and ``lines``, an array of (line, place, words) per distinct line."""
+    """Add the base statistics and ``lines``, an array of (line, pos, place, words)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = docs.withColumn("__t", text)
     df = df.withColumn("__w", F.filter(F.split("__t", _SPACE), lambda w: w != ""))
@@ -68,8 +69,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     df = df.withColumn("__n", F.transform("__l", normalised))
     df = df.withColumn("__h", F.expr("transform(__n, x -> xxhash64(x))"))
-    # the place of a line: the lines around its first occurrence
-    lines = "transform(__h, (h, j) -> named_struct('line', h, 'place', xxhash64(get(__h, j - 1), get(__h, j + 1)), 'words', size(split(__n[j], ' '))))"
+    # the place of a line: the lines before and after it
+    lines = "transform(__h, (h, j) -> named_struct('line', h, 'pos', j, 'place', xxhash64(coalesce(get(__h, j - 1), 0), coalesce(get(__h, j + 1), 0)), 'words', size(split(__n[j], ' '))))"
     df = df.withColumn("lines", F.expr(lines))
     return df.drop("__t", "__w", "__l", "__s", "__p", "__n", "__h", "__bits", "__mask")
 
@@ -80,8 +81,8 @@ def normalised(line: Column) -> Column:
 
 
 def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
-    """(host, line) above the limits, of rows (host, line, place, doc)."""
-    once = lines.groupBy("host", "line", "doc").agg(F.min("place").alias("place"))
+    """(host, line) above the limits, of rows (host, line, pos, place, doc); a document counts by its first such line."""
+    once = lines.groupBy("host", "line", "doc").agg(F.min_by("place", "pos").alias("place"))
     places = once.groupBy("host", "line", "place").agg(F.count("*").alias("n"))
     sums = places.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_places"))
     return sums.filter((F.col("n_docs") > limits.max_docs) & (F.col("n_places") >= limits.min_places * F.col("n_docs"))).select("host", "line")
