@@ -130,7 +130,7 @@ def test_covering_and_forest():
     rng = random.Random(5)
     seeds = [rng.getrandbits(64) for _ in range(20)]
     fps = np.unique(np.array([s ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for s in seeds for _ in range(60)], np.uint64))
-    a, b = simhash.forest(fps, 4)
+    a, b = simhash.forest(fps.reshape(-1, 1), 0, 4, 4)
     want = plain_groups(fps.tolist(), 4)
     assert len(a) == len(fps) - len(set(want)) and all(want[x] == want[y] for x, y in zip(a, b, strict=True))
 
@@ -139,10 +139,10 @@ def test_big_lists_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = random.Random(6)
     fps = list({0x1234567890ABCDEF ^ (rng.getrandbits(12)) for _ in range(300)})
-    df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    links = simhash.links(df, 4).collect()
+    df = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "id long, fp array<long>")
+    links = simhash.links(df).collect()
     want = plain_groups(fps, 4)
-    parent = {f: f for f in fps}
+    parent = {i: i for i in range(len(fps))}
 
     def find(x):
         while parent[x] != x:
@@ -151,7 +151,28 @@ def test_big_lists_split(spark, monkeypatch):
 
     for r in links:
         parent[find(r["src"])] = find(r["dst"])
-    assert len({find(f) for f in fps}) == len(set(want))
+    assert len({find(i) for i in parent}) == len(set(want))
+
+
+def test_wide_fingerprints(spark):
+    """Two words: pairs within 11 bits in all are found for sure; none beyond the total is."""
+    rng = random.Random(8)
+    seeds = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(12)]
+    wide = {tuple(w ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for w in s) for s in seeds for _ in range(20)}
+    wide = [[x - (1 << 64) * (x >> 63) for x in f] for f in sorted(wide)]
+    df = spark.createDataFrame(list(enumerate(wide)), "id long, fp array<long>")
+    bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(wide[a], wide[b], strict=True))
+    parent = list(range(len(wide)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in simhash.links(df, 2, 5, 11).collect():
+        assert bits(r["src"], r["dst"]) <= 11
+        parent[find(r["src"])] = find(r["dst"])
+    assert all(find(a) == find(b) for a, b in combinations(range(len(wide)), 2) if bits(a, b) <= 11)
 
 
 def test_empty_and_repeats(spark):

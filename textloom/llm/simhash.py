@@ -9,6 +9,12 @@ about one fingerprint in 2^24 by chance instead of one in 256. For each pair
 that meets in a list all shared positional bytes are tallied, pairs that reach
 the guaranteed minimum stay, and their differing bits are counted to verify.
 
+A fingerprint can be several words of 64 bits, hashed with seeds of their own,
+which estimate a similarity more sharply: each word is indexed with its own
+number of differing bits, and pairs are verified on all words together. Pairs
+that differ in at most ``words * (max_bits + 1) - 1`` bits in all are found for
+sure, as one of their words must be within ``max_bits``.
+
 Equal fingerprints are one vertex. A list that many fingerprints share is split
 into blocks, every pair of blocks is searched by a task of its own, and a task
 emits a spanning forest of its links, not the links. Components come from
@@ -43,33 +49,36 @@ BLOCK = 2048
 _STEP = 1 << 15
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit SimHash of the word shingles of a whole text."""
+def fingerprint(text: str | None, words: int = WORDS, width: int = 1) -> list[int]:
+    """The SimHash of the word shingles of a whole text, ``width`` times 64 bits."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return [0] * width
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(lengths)
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     starts = (ends - lengths)[:n].tolist()
     stops = (ends[min(words, len(tokens)) - 1 :] - 1)[:n].tolist()
-    digest, ones = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest, ones = xxhash.xxh64_digest, np.zeros((width, 64), np.int64)
     for at in range(0, n, _STEP):
-        got = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)])
-        ones += np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+        shingles = [joined[i:j] for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)]
+        for k in range(width):
+            got = b"".join([digest(s, SEED + k) for s in shingles])
+            ones[k] += np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``id_col`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1) -> DataFrame:
+    """``id_col`` and ``fp``, the fingerprint as an array of signed longs."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], [id_col, "fp"])
+            got = np.array([fingerprint(t.as_py(), words, width) for t in batch.column(1)], np.uint64).reshape(-1)
+            offsets = pa.array(np.arange(0, len(got) + 1, width), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(got.view(np.int64)))], [id_col, "fp"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, fp array<long>")
 
 
 def covering(max_bits: int) -> list[tuple[int, ...]]:
@@ -86,21 +95,22 @@ def covering(max_bits: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Count filter, then verification, of fingerprints against fingerprints."""
+def close(a: np.ndarray, b: np.ndarray, word: int, max_bits: int, total_bits: int) -> np.ndarray:
+    """Rows of fingerprints against others: count filter on the indexed word, then verification on all."""
     diff = np.ascontiguousarray(a ^ b)
-    tally = (diff.view(np.uint8).reshape(*diff.shape, 8) == 0).sum(axis=-1)
-    return (tally >= 8 - max_bits) & (np.bitwise_count(diff) <= max_bits)
+    own = np.ascontiguousarray(diff[..., word])
+    tally = (own.view(np.uint8).reshape(*own.shape, 8) == 0).sum(axis=-1)
+    return (tally >= 8 - max_bits) & (np.bitwise_count(diff).sum(axis=-1) <= total_bits)
 
 
-def forest(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
+def forest(fps: np.ndarray, word: int, max_bits: int, total_bits: int) -> tuple[list[int], list[int]]:
     """A spanning forest of the links among distinct fingerprints, breadth first."""
     left, a, b = np.arange(len(fps)), [], []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            hit = close(fps[left], fps[at], max_bits)
+            hit = close(fps[left], fps[at], word, max_bits, total_bits)
             if hit.any():
                 new = left[hit].tolist()
                 a += [at] * len(new)
@@ -110,54 +120,69 @@ def forest(fps: np.ndarray, max_bits: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _links(max_bits: int):
+def _links(width: int, max_bits: int, total_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            word_of = batch.column(0).to_numpy(zero_copy_only=False)
+            lists = batch.column(1)
+            flat = lists.flatten()
+            ids = flat.field(0).to_numpy(zero_copy_only=False)
+            fps = flat.field(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            two = begin[sizes == 2]
-            two = two[close(flat[two], flat[two + 1], max_bits)]
-            a, b = [flat[two]], [flat[two + 1]]
-            for at, n in zip(begin[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                part = np.unique(flat[at : at + n])
-                x, y = forest(part, max_bits)
-                a.append(part[x])
-                b.append(part[y])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.uint64).view(np.int64)) for v in (a, b)], ["src", "dst"])
+            a, b = [], []
+            for word in range(width):
+                mine = word_of == word
+                # short lists all at once: the pairs at a distance of 1, 2, ... in the list
+                short = mine & (sizes <= 8)
+                for step in range(1, int(sizes[short].max(initial=0))):
+                    for first in range(int(sizes[short].max(initial=0)) - step):
+                        at = begin[short & (sizes > first + step)] + first
+                        hit = at[close(fps[at], fps[at + step], word, max_bits, total_bits)]
+                        a.append(ids[hit])
+                        b.append(ids[hit + step])
+                for at, n in zip(begin[mine & (sizes > 8)].tolist(), sizes[mine & (sizes > 8)].tolist(), strict=True):
+                    x, y = forest(fps[at : at + n], word, max_bits, total_bits)
+                    a.append(ids[at : at + n][x])
+                    b.append(ids[at : at + n][y])
+            cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64)) for v in (a, b)]
+            yield pa.RecordBatch.from_arrays(cols, ["src", "dst"])
 
     return run
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """A set of links ``(src, dst)`` with the components of all links within ``max_bits``.
+def links(distinct: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
+    """A set of links ``(src, dst)`` with the components of all links.
 
-    ``distinct`` is a stored table with one row for each ``fp``.
+    ``distinct`` is a stored table with one ``id`` for each ``fp``.
     """
-    byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+    total_bits = max_bits if total_bits is None else total_bits
     keys = []
-    for i, positions in enumerate(covering(max_bits)):
-        key = F.lit(i).cast("long")
-        for p in positions:
-            key = key * 256 + byte[p]
-        keys.append(key)
-    posted = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    for word in range(width):
+        byte = [F.shiftrightunsigned(F.get("fp", F.lit(word)), 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
+        for i, positions in enumerate(covering(max_bits)):
+            key = F.lit(i * width + word).cast("long")
+            for p in positions:
+                key = key * 256 + byte[p]
+            keys.append(F.struct(F.lit(word).alias("word"), key.alias("key")))
+    posted = distinct.select("id", "fp", F.explode(F.array(*keys)).alias("k")).select("id", "fp", "k.word", "k.key")
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = posted.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = met.select("key", "fp", F.explode(pairs).alias("at"))
-    lists = dealt.groupBy("key", "at").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1).select("fps")
-    return lists.mapInArrow(_links(max_bits), "src long, dst long")
+    dealt = met.select("word", "key", F.struct("id", "fp").alias("item"), F.explode(pairs).alias("at"))
+    lists = dealt.groupBy("word", "key", "at").agg(F.collect_list("item").alias("items")).filter(F.size("items") > 1).select("word", "items")
+    return lists.mapInArrow(_links(width, max_bits, total_bits), "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
     """``id_col``, ``fingerprint`` and ``component_id``, the smallest id of the document's group."""
-    fps = stored(fingerprints(docs, id_col, text_col, words))
-    distinct = stored(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
-    groups = connected_components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
-    labelled = stored(distinct.join(groups, "fp", "left").withColumn("group", F.coalesce("component", "fp")))
+    fps = stored(fingerprints(docs, id_col, text_col, words, width))
+    # ids of fingerprints are stored, so they are the same in every later read
+    distinct = stored(fps.groupBy("fp").agg(F.min(id_col).alias("first")).withColumn("id", F.monotonically_increasing_id()))
+    groups = connected_components(links(distinct, width, max_bits, total_bits)).withColumnRenamed("node", "id")
+    labelled = stored(distinct.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")))
     smallest = labelled.groupBy("group").agg(F.min("first").alias("component_id"))
     by_fp = labelled.select("fp", "group").join(smallest, "group").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(F.col(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    shown = F.array_join(F.transform("fp", lambda f: F.lower(F.lpad(F.hex(f), 16, "0"))), "")
+    return fps.join(by_fp, "fp").select(F.col(id_col), shown.alias("fingerprint"), "component_id")
