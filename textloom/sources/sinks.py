@@ -27,9 +27,9 @@ def append(rows: DataFrame, path: str, fmt: str = "json") -> None:
     rows.write.mode("append").format(fmt).save(path)
 
 
-def report(rows: DataFrame, **counters: Column) -> DataFrame:
+def report(table: DataFrame, /, **counters: Column) -> DataFrame:
     """Counters of a table as one row."""
-    return rows.agg(*[c.alias(k) for k, c in counters.items()])
+    return table.agg(*[c.alias(k) for k, c in counters.items()])
 
 
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
