@@ -87,4 +87,37 @@ WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.said[1] = c.said[1] AND d.n > c.n AN
   AND NOT EXISTS (SELECT 1 FROM c d WHERE d.said = c.said AND d.conv_id < c.conv_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_chat": _CHAT_SQL}
+_QUALITY_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), n AS (
+  SELECT *, list_transform(ls, lambda x: trim(lower(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))) AS norm FROM w
+), tri AS (
+  SELECT r, i, ws[i] AS a, ws[i + 1] AS b, ws[i + 2] AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), cover AS (
+  SELECT r, count(DISTINCT p) AS n FROM (
+    SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM tri) WHERE k > 1
+  ) GROUP BY r
+), lines AS (
+  SELECT r, host, text, j, norm[j] AS l, CASE WHEN j > 1 THEN norm[j - 1] END AS p, norm[j + 1] AS q FROM (SELECT *, unnest(range(1, len(norm) + 1)) AS j FROM n)
+), once AS (
+  SELECT host, l, text, arg_min({'p': p, 'q': q}, j) AS place FROM lines GROUP BY host, l, text
+), above AS (
+  SELECT host, l FROM (SELECT host, l, place, count(*) AS k FROM once GROUP BY host, l, place) GROUP BY host, l HAVING sum(k) > 10 AND count(*) >= 0.8::DOUBLE * sum(k)
+), hits AS (
+  SELECT r, CAST(sum(len(string_split(l, ' '))) AS BIGINT) AS removed FROM lines JOIN above USING (host, l) GROUP BY r
+), stats AS (
+  SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(list_sum(list_transform(ws, lambda x: length(x))) AS BIGINT) AS chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(cover.n, 0) AS BIGINT) AS n_repeat_words, coalesce(removed, 0) AS removed_words
+  FROM n LEFT JOIN cover USING (r) LEFT JOIN hits USING (r)
+)
+SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.5::DOUBLE * n_words AS kept, removed_words
+FROM stats
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality": _QUALITY_SQL, "op9_chat": _CHAT_SQL}
