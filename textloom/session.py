@@ -56,3 +56,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of an input with fewer parts than there are cores over all cores.
+
+    A small file is often one row group and would keep one core busy. Inputs with
+    at least as many parts as cores are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
