@@ -43,6 +43,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.session import spread
+
 #: Bounds of the per-worker tables (entries). They only save time.
 WORD_CACHE = 400_000
 ARC_CACHE = 400_000
@@ -370,4 +372,4 @@ def encode_column(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
+    return spread(docs.select(docs[id_col], docs[text_col])).mapInArrow(run, schema)

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import spread
+
 BUCKET_BITS = 15
 ORDERS = 3
 #: About how many labelled rows the fit reads.
@@ -149,4 +151,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
             yield pa.RecordBatch.from_arrays(cols, [*keep, label_as, score_as])
 
     read = [F.col(f"`{c}`") for c in keep] + ([] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")])
-    return docs.select(*read).mapInArrow(run, schema)
+    return spread(docs.select(*read)).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.bpe import byte_alphabet, read_file
-from textloom.session import stored
+from textloom.session import spread, stored
 
 CAPACITY = 2048
 #: Entries of a worker's table of encoded chunks.
@@ -154,7 +154,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, schema)
+    return spread(docs.select(docs[id_col], docs[text_col])).mapInArrow(run, schema)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
