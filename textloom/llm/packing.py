@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from array import array
@@ -34,6 +35,8 @@ from textloom.llm.bpe import byte_alphabet, read_file
 from textloom.session import spread, stored
 
 CAPACITY = 2048
+#: Orders of the lengths that are tried while a plan needs more bins than the sum of lengths.
+TRIES = 24
 #: Entries of a worker's table of encoded chunks.
 CHUNK_CACHE = 800_000
 #: Pieces of a rank bucket, about.
@@ -157,18 +160,19 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return spread(docs.select(docs[id_col], docs[text_col])).mapInArrow(run, schema)
 
 
-def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
+def fullest(counts: dict[int, int], capacity: int, rank: dict[int, float] | None = None) -> dict[int, int]:
     """The combination with least slack that holds the longest length left.
 
     A bit set ``b`` has bit ``s`` set if some choice of the lengths so far sums
-    to ``s``. Lengths come in long before short; multiples of one length are
-    added in powers of two.
+    to ``s``. Lengths come in long before short, or by ``rank``: combinations that
+    fill a bin alike differ by that. Multiples of one length are added in powers
+    of two.
     """
     first = max(counts)
     room = capacity - first
     steps: list[tuple[int, int, int]] = []  # reachable before, length, how many of it
     reach, mask = 1, (1 << (room + 1)) - 1
-    for length in sorted(counts, reverse=True):
+    for length in sorted(counts, reverse=True) if rank is None else sorted(counts, key=rank.__getitem__):
         if length > room:
             continue
         left = min(counts[length] - (length == first), room // length)
@@ -190,14 +194,31 @@ def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return found
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """All bins: how often each combination is used. At most about as many entries as lengths."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES) -> list[tuple[int, dict[int, int]]]:
+    """All bins: how often each combination is used. At most about as many entries as lengths.
+
+    If there are more bins than the sum of lengths needs, other orders of the
+    lengths are tried and the best plan is kept.
+    """
     counts = {k: v for k, v in counts.items() if v}
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("a piece is empty or longer than a sequence")
+    need = -(-sum(k * v for k, v in counts.items()) // capacity)
+    best, rng = None, random.Random(0)
+    for attempt in range(tries):
+        rank = None if attempt == 0 else {k: k if attempt == 1 else rng.random() for k in counts}
+        made = _one_plan(dict(counts), capacity, rank)
+        if best is None or sum(t for t, _ in made) < sum(t for t, _ in best):
+            best = made
+        if sum(t for t, _ in best) <= need:
+            break
+    return best
+
+
+def _one_plan(counts: dict[int, int], capacity: int, rank: dict[int, float] | None) -> list[tuple[int, dict[int, int]]]:
     out = []
     while counts:
-        found = fullest(counts, capacity)
+        found = fullest(counts, capacity, rank)
         times = min(counts[k] // n for k, n in found.items())
         out.append((times, found))
         for k, n in found.items():
