@@ -162,4 +162,5 @@ def markdown_normalize(c: Column) -> Column:
     """A blank line around headings and lists, never more than one, and one line feed at the end."""
     spaced = F.regexp_replace(c, r"(?m)^(#{1,6} .*)\n(?!\n)", "$1\n\n")
     spaced = F.regexp_replace(spaced, r"([^\n])\n(#{1,6} )", "$1\n\n$2")
-    return F.concat(F.rtrim(F.regexp_replace(F.regexp_replace(spaced, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")), F.lit("\n"))
+    tidy = F.regexp_replace(F.regexp_replace(spaced, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    return F.concat(F.regexp_replace(tidy, r"\s+$", ""), F.lit("\n"))

@@ -55,7 +55,12 @@ def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taskgen.entry_to_tasks(lexicon(spark, sf_dir)).select("id", "task", "split", "prompt", "answer", "accepted", "hops", "target_plain")
 
 
-@query()
+@query("""
+WITH e AS (SELECT p_partkey, sha256(translate(CAST(regexp_extract(p_brand, '(\\d+)', 1) AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin') AS h FROM part WHERE p_size > 3 AND p_size % 4 <> 0),
+t AS (SELECT p_partkey FROM e WHERE (6 * list_sum(list_transform(string_split(h[1:63], ''), lambda c: strpos('0123456789abcdef', c) - 1)) + strpos('0123456789abcdef', h[64]) - 1) % 10 <> 0),
+p AS (SELECT task, printf('%s:e%06d', task, p_partkey) AS id FROM t, (SELECT unnest(['gloss', 'lookup_gloss']) AS task))
+SELECT task, id FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY sha256('42|' || id), id) AS n FROM p) WHERE n <= 300
+""")
 def recall_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 300 training tasks of each recalled kind, which stay in training too."""
     pool = taskgen.entry_to_tasks(lexicon(spark, sf_dir)).filter(F.col("split") == "train").filter(F.col("task").isin("gloss", "lookup_gloss"))
@@ -82,7 +87,12 @@ def english_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taskgen.english_to_tasks(_english(spark, sf_dir)).select("entry_id", "gold_tier", "answer")
 
 
-@query()
+@query("""
+WITH b AS (SELECT p_size, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS n FROM part), k AS (SELECT translate(CAST(n AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin' AS w, count(*) AS c FROM b WHERE p_size > 3 GROUP BY 1),
+r AS (SELECT 'derived_from' AS kind, translate(CAST(n - 1 AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin' AS w FROM b WHERE p_size % 2 = 0 UNION ALL SELECT 'see_also', translate(CAST(n + 2 AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin' FROM b), s AS (SELECT translate(CAST(s_suppkey % 60 AS VARCHAR), '0123456789', 'aeiouabcde') || 'kin' AS w FROM supplier)
+SELECT kind, c IS NOT NULL AS resolved, count(*) AS n, CAST(coalesce(sum(c), 0) AS BIGINT) AS targets FROM r LEFT JOIN k USING (w) GROUP BY ALL
+UNION ALL SELECT 'english_equivalent', true, CAST(sum(c) AS BIGINT), CAST(sum(c) AS BIGINT) FROM s JOIN k USING (w)
+""")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of the lexicon and equivalents of the English entries, counted by kind and state."""
     lex, eng = lexicon(spark, sf_dir), _english(spark, sf_dir)
@@ -184,7 +194,9 @@ def to_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"), content(2).alias("asked"), content(3).alias("said"))
 
 
-@query()
+@query("""
+SELECT p_partkey AS entry_id, 'Translate the Dakota headword to English.' AS instruction, 'Dakota: ' || p_name || chr(10) || 'Part of speech: n.' || chr(10) || 'Examples: ' || p_brand AS input, p_type AS output FROM part
+""")
 def to_instruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("dakota"), F.col("p_type").alias("english"), F.lit("n.").alias("pos"), F.lit(None).cast("string").alias("morphological_notes"), F.array("p_brand").alias("examples"))
     return taskgen.to_instruction(e)
@@ -213,10 +225,13 @@ def nested_size_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.sum(F.size("rules")).alias("rules"), F.sum(F.aggregate("rules", F.lit(0).cast("long"), lambda a, r: a + F.size(r))).alias("examples"))
 
 
-@query()
+@query("""
+WITH i AS (SELECT l_partkey, translate(CAST(l_orderkey AS VARCHAR), '0123456789', 'aeiouabcde') AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_linenumber <= 4)
+SELECT printf('r%06d', l_partkey) AS rule_id, k - 1 AS i, 'Transform: ' || x AS prompt, 'ta' || x || 'ku' AS answer FROM i WHERE k <= 3 AND l_partkey % 3 = 0
+""")
 def transformations_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = rules(spark, sf_dir).select("rule_id", (F.col("rule_type") == "morphology").alias("testable"), F.transform("positive_examples", lambda e: F.struct(X.strip_affixes(e["dakota"], F.array(F.lit("-ku"), F.lit("ta-"))).alias("base"), e["dakota"].alias("result"))).alias("transformations"))
-    return taskgen.transformations_to_tasks(r, 3)
+    return taskgen.transformations_to_tasks(r, 3).withColumn("i", F.col("i").cast("long"))
 
 
 @query()
@@ -229,7 +244,9 @@ def repair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.repair(t, lex, ex)
 
 
-@query()
+@query("""
+SELECT p_partkey, 'task_' || left(sha256('{"answer": "' || p_name || '", "index": ' || p_partkey || ', "prompt": "' || p_type || '", "rule_id": "' || p_brand || '"}'), 16) AS task_id FROM part
+""")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part")
     return d.select("p_partkey", udfs.stable_id("task_")(F.col("p_name"), F.col("p_partkey"), F.col("p_type"), F.col("p_brand")).alias("task_id"))

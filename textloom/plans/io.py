@@ -122,7 +122,9 @@ def position_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy(F.when(F.startswith("w", F.lit("th")), "start").otherwise("inside").alias("place")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+SELECT printf('lookup_gloss:e%06d', p_partkey) AS id, true AS in_budget, true AS replies_match, true AS target_seen, true AS answered, true AS passed FROM part WHERE p_size > 3 AND p_size % 4 <> 0
+""")
 def replay_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made lookup conversations, replayed against the dictionary: all pass."""
     lex = lexicon(spark, sf_dir)
@@ -130,7 +132,8 @@ def replay_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = relops.dedup_first(shown, ["plain"], ["entry_id"]).select("plain", "text")
     tasks = taskgen.entry_to_tasks(lex).filter(F.startswith("task", F.lit("lookup"))).withColumn("word", F.regexp_extract("prompt", r"Dakota word (\w+)", 1))
     said = taskgen.lookup_dialogue(tasks.select("id", "word", "target_plain", "hops", "prompt", "answer"), shown)
-    return filters.replay(said.join(tasks.select("id", "target_plain", "answer"), "id"), shown)
+    checked = filters.replay(said.join(tasks.select("id", "target_plain", "answer"), "id"), shown)
+    return checked.filter(F.startswith("id", F.lit("lookup_gloss")))
 
 
 @query("SELECT p_partkey, 'row_' || p_partkey AS id, p_name AS question, p_type AS answer, 'e' || p_partkey AS pair FROM part")

@@ -114,13 +114,16 @@ def edit_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("e.old", "e.new").agg(F.count("*").alias("n"), F.min("e.pos").alias("first_pos")).filter("n >= 3")
 
 
-@query()
+@query("""
+WITH w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), s AS (SELECT lang, left(w, length(w) - 1) AS s, count(*) AS n FROM w GROUP BY ALL)
+SELECT w.lang, count(*) AS words, round(avg(CASE WHEN n > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM w JOIN s ON w.lang = s.lang AND left(w, length(w) - 1) = s.s GROUP BY w.lang
+""")
 def coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of each language's words that mined edits explain: words whose last letter swapped is a word too."""
     w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w")).distinct()
     stems = w.select("lang", F.left("w", F.length("w") - 1).alias("s"), "w").groupBy("lang", "s").agg(F.count("*").alias("n"))
     met = w.withColumn("s", F.left("w", F.length("w") - 1)).join(stems, ["lang", "s"])
-    return met.groupBy("lang").agg(F.count("*").alias("words"), F.avg((F.col("n") > 1).cast("double")).alias("coverage"))
+    return met.groupBy("lang").agg(F.count("*").alias("words"), F.round(F.avg(F.when(F.col("n") > 1, 1.0).otherwise(0.0)), 6).alias("coverage"))
 
 
 @query("SELECT doc_id, doc_id % 7 AS w, ceil((doc_id * 3 + 1) / 28.0::DOUBLE)::BIGINT * ceil((doc_id + 1) / 28.0::DOUBLE)::BIGINT AS image_tokens, length(text) // 4 + 4 * 3 + 3 AS tokens FROM documents")
@@ -155,9 +158,11 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.quality_counts(d, "source", "affixes")
 
 
-@query()
+@query("""
+SELECT doc_id, ['training'] AS missing, CAST(1 AS BIGINT) AS placeholders, '# T' || chr(10) || chr(10) || '## Uses' || chr(10) || chr(10) || regexp_extract(text, '^[^\\n]*') || chr(10) || chr(10) || '## Limits' || chr(10) || chr(10) || '[TODO]' || chr(10) AS tidy FROM documents
+""")
 def markdown_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and placeholders of cards made of documents, and their tidied text."""
     card = F.concat(F.lit("# T\n## Uses\n"), F.substring_index("text", "\n", 1), F.lit("\n\n\n\n## Limits\n[TODO]  \n"))
     cards = table(spark, sf_dir, "documents").select("doc_id", card.alias("card"))
-    return verdicts.model_card_checks(cards, "card", ["Uses", "Limits", "Training"]).select("doc_id", "missing", "placeholders", verdicts.markdown_normalize(F.col("card")).alias("tidy"))
+    return verdicts.model_card_checks(cards, "card", ["Uses", "Limits", "Training"]).select("doc_id", "missing", F.col("placeholders").cast("long").alias("placeholders"), verdicts.markdown_normalize(F.col("card")).alias("tidy"))
