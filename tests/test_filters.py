@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import filters
-from textloom.session import shared_dir, spread, stored
+from textloom.session import drop_stored, shared_dir, spread, stored
 
 
 def test_filters(spark):
@@ -55,5 +55,6 @@ def test_let_and_storage(spark):
     df = spark.range(5).withColumn("r", F.rand())
     once = stored(df)
     assert once.collect() == once.collect() and shared_dir(spark).startswith("/")
+    assert drop_stored(spark) >= 1 and drop_stored(spark) == 0
     assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(0, 10, 1, 9)).rdd.getNumPartitions() == 9

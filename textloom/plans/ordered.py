@@ -187,10 +187,16 @@ def examples_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).filter("n <= 5").select("event_id", "event_type")
 
 
-@query()
+@query(f"""
+WITH {_DAILY}, l AS (SELECT series, CAST(step AS DOUBLE) AS x0, total AS y0, CAST(lead(step) OVER w AS DOUBLE) AS x1, lead(total) OVER w AS y1 FROM t WINDOW w AS (PARTITION BY series ORDER BY step)),
+g AS (SELECT series, CAST(i AS BIGINT) AS point, min(step) + (max(step) - min(step))::DOUBLE / 99 * i AS x FROM t, (SELECT unnest(range(0, 100)) AS i) GROUP BY series, i)
+SELECT g.series, point, round(x, 6) AS step, round(CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (x - x0) * (y1 - y0) / (x1 - x0) END, 3) AS total
+FROM g ASOF JOIN l ON g.series = l.series AND g.x + 1e-7 >= l.x0
+""")
 def interp_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily series resampled to 100 even points; held against numpy in the tests."""
-    return metrics.interpolate(_daily(spark, sf_dir), ["series"], "step", "total", 100)
+    """Daily series resampled to 100 even points."""
+    out = metrics.interpolate(_daily(spark, sf_dir), ["series"], "step", "total", 100)
+    return out.select("series", F.col("point").cast("long").alias("point"), F.round("step", 6).alias("step"), F.round("total", 3).alias("total"))
 
 
 @query("""

@@ -45,6 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
     return (path or FALLBACK_SHARED_DIR).rstrip("/")
 
 
+#: What this process has stored and not dropped.
+_STORED: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this process stored, once no result that reads them is needed; returns how many."""
+    n, hadoop = len(_STORED), spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -54,6 +67,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
+    _STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
