@@ -139,7 +139,7 @@ def test_big_lists_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = random.Random(6)
     fps = list({0x1234567890ABCDEF ^ (rng.getrandbits(12)) for _ in range(300)})
-    df = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "id long, fp array<long>")
+    df = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "first long, fp array<long>")
     links = simhash.links(df).collect()
     want = plain_groups(fps, 4)
     parent = {i: i for i in range(len(fps))}
@@ -150,7 +150,7 @@ def test_big_lists_split(spark, monkeypatch):
         return x
 
     for r in links:
-        parent[find(r["src"])] = find(r["dst"])
+        parent[find(r["src"]["first"])] = find(r["dst"]["first"])
     assert len({find(i) for i in parent}) == len(set(want))
 
 
@@ -160,7 +160,7 @@ def test_wide_fingerprints(spark):
     seeds = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(12)]
     wide = {tuple(w ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for w in s) for s in seeds for _ in range(20)}
     wide = [[x - (1 << 64) * (x >> 63) for x in f] for f in sorted(wide)]
-    df = spark.createDataFrame(list(enumerate(wide)), "id long, fp array<long>")
+    df = spark.createDataFrame(list(enumerate(wide)), "first long, fp array<long>")
     bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(wide[a], wide[b], strict=True))
     parent = list(range(len(wide)))
 
@@ -170,8 +170,8 @@ def test_wide_fingerprints(spark):
         return x
 
     for r in simhash.links(df, 2, 5, 11).collect():
-        assert bits(r["src"], r["dst"]) <= 11
-        parent[find(r["src"])] = find(r["dst"])
+        assert bits(r["src"]["first"], r["dst"]["first"]) <= 11
+        parent[find(r["src"]["first"])] = find(r["dst"]["first"])
     assert all(find(a) == find(b) for a, b in combinations(range(len(wide)), 2) if bits(a, b) <= 11)
 
 

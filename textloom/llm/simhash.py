@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import connected_components
-from textloom.session import stored
+from textloom.session import spread, stored
 
 WORDS = 4
 MAX_BITS = 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             offsets = pa.array(np.arange(0, len(got) + 1, width), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(got.view(np.int64)))], [id_col, "fp"])
 
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, f"`{id_col}` {kind}, fp array<long>")
+    return spread(docs.select(docs[id_col], docs[text_col])).mapInArrow(run, f"`{id_col}` {kind}, fp array<long>")
 
 
 def covering(max_bits: int) -> list[tuple[int, ...]]:
@@ -126,7 +126,6 @@ def _links(width: int, max_bits: int, total_bits: int):
             word_of = batch.column(0).to_numpy(zero_copy_only=False)
             lists = batch.column(1)
             flat = lists.flatten()
-            ids = flat.field(0).to_numpy(zero_copy_only=False)
             fps = flat.field(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -139,13 +138,13 @@ def _links(width: int, max_bits: int, total_bits: int):
                     for first in range(int(sizes[short].max(initial=0)) - step):
                         at = begin[short & (sizes > first + step)] + first
                         hit = at[close(fps[at], fps[at + step], word, max_bits, total_bits)]
-                        a.append(ids[hit])
-                        b.append(ids[hit + step])
+                        a.append(hit)
+                        b.append(hit + step)
                 for at, n in zip(begin[mine & (sizes > 8)].tolist(), sizes[mine & (sizes > 8)].tolist(), strict=True):
                     x, y = forest(fps[at : at + n], word, max_bits, total_bits)
-                    a.append(ids[at : at + n][x])
-                    b.append(ids[at : at + n][y])
-            cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64)) for v in (a, b)]
+                    a.append(at + np.array(x, np.int64))
+                    b.append(at + np.array(y, np.int64))
+            cols = [flat.take(pa.array(np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64))) for v in (a, b)]
             yield pa.RecordBatch.from_arrays(cols, ["src", "dst"])
 
     return run
@@ -154,7 +153,8 @@ def _links(width: int, max_bits: int, total_bits: int):
 def links(distinct: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
     """A set of links ``(src, dst)`` with the components of all links.
 
-    ``distinct`` is a stored table with one ``id`` for each ``fp``.
+    ``distinct`` has one row (first, fp) for each ``fp``; links are between such
+    rows, as structs, so the smallest of a component holds its smallest ``first``.
     """
     total_bits = max_bits if total_bits is None else total_bits
     keys = []
@@ -165,24 +165,24 @@ def links(distinct: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_b
             for p in positions:
                 key = key * 256 + byte[p]
             keys.append(F.struct(F.lit(word).alias("word"), key.alias("key")))
-    posted = distinct.select("id", "fp", F.explode(F.array(*keys)).alias("k")).select("id", "fp", "k.word", "k.key")
+    posted = distinct.select(F.struct("first", "fp").alias("item"), F.explode(F.array(*keys)).alias("k")).select("item", "k.word", "k.key")
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = posted.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("item.fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = met.select("word", "key", F.struct("id", "fp").alias("item"), F.explode(pairs).alias("at"))
+    dealt = met.select("word", "key", "item", F.explode(pairs).alias("at"))
     lists = dealt.groupBy("word", "key", "at").agg(F.collect_list("item").alias("items")).filter(F.size("items") > 1).select("word", "items")
-    return lists.mapInArrow(_links(width, max_bits, total_bits), "src long, dst long")
+    kind = posted.schema["item"].dataType.simpleString()
+    return lists.mapInArrow(_links(width, max_bits, total_bits), f"src {kind}, dst {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
     """``id_col``, ``fingerprint`` and ``component_id``, the smallest id of the document's group."""
     fps = stored(fingerprints(docs, id_col, text_col, words, width))
-    # ids of fingerprints are stored, so they are the same in every later read
-    distinct = stored(fps.groupBy("fp").agg(F.min(id_col).alias("first")).withColumn("id", F.monotonically_increasing_id()))
-    groups = connected_components(links(distinct, width, max_bits, total_bits)).withColumnRenamed("node", "id")
-    labelled = stored(distinct.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")))
-    smallest = labelled.groupBy("group").agg(F.min("first").alias("component_id"))
-    by_fp = labelled.select("fp", "group").join(smallest, "group").select("fp", "component_id")
+    distinct = stored(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
+    groups = connected_components(links(distinct, width, max_bits, total_bits)).select(F.col("node.fp").alias("fp"), F.col("component.first").alias("group"))
+    by_fp = distinct.join(groups.withColumn("found", F.lit(True)), "fp", "left").select("fp", F.when(F.col("found"), F.col("group")).otherwise(F.col("first")).alias("component_id"))
+    # two stored sides: a fingerprint that many documents share is split by the adaptive skew join
+    by_fp = stored(by_fp)
     shown = F.array_join(F.transform("fp", lambda f: F.lower(F.lpad(F.hex(f), 16, "0"))), "")
     return fps.join(by_fp, "fp").select(F.col(id_col), shown.alias("fingerprint"), "component_id")
