@@ -56,8 +56,9 @@ def maximal(stored_turns: DataFrame) -> DataFrame:
     totals = blocks.select("conv", "block", "o1", "o2").join(whole.select("conv", "n"), "conv")
     prefixes = stored_turns.select("conv", "block", "pos", "h1", "h2").join(totals, ["conv", "block"]).filter("pos < n")
     prefixes = prefixes.select(F.col("pos").alias("n"), F.expr("h1 ^ o1").alias("h1"), F.expr("h2 ^ o2").alias("h2")).distinct()
-    top = whole.join(prefixes, ["n", "h1", "h2"], "left_anti")
-    return top.groupBy("n", "h1", "h2").agg(F.min("conv").alias("conv")).select("conv", "n")
+    # equal conversations meet before the join, pre-aggregated, so a hot one is a few rows
+    first = whole.groupBy("n", "h1", "h2").agg(F.min("conv").alias("conv"))
+    return first.join(prefixes, ["n", "h1", "h2"], "left_anti").select("conv", "n")
 
 
 def render(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
