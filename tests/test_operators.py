@@ -130,7 +130,7 @@ def test_repair_never_invents(spark):
 
 
 def test_tasks_and_splits_are_disjoint(spark):
-    from conftest import SF
+    from places import SF
 
     from textloom.plans.expansion import lexicon
 

@@ -8,7 +8,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF
+from places import SF
 
 from textloom.plans import registry
 

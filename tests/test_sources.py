@@ -63,7 +63,7 @@ def test_values(spark):
 
 
 def test_stream_equals_batch(spark):
-    from conftest import SF
+    from places import SF
 
     from textloom.plans import registry
 
