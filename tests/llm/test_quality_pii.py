@@ -56,6 +56,25 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert got[25]["text"] == copied
 
 
+def test_line_blocks_go_and_copies_hide_no_line(spark):
+    rng = random.Random(10)
+    footer = "all rights reserved by the owner\nterms of use and privacy"
+    pages = ["\n".join(words(rng, 20) for _ in range(4)) + "\n" + footer for _ in range(12)]
+    licence = "\n".join(f"clause {k} of the licence" for k in range(5))
+    inner = ["\n".join(words(rng, 20) for _ in range(3)) + "\n" + licence + "\n" + "\n".join(words(rng, 20) for _ in range(4)) for _ in range(12)]
+    few = [words(rng, 30) + "\n" + words(rng, 30) + "\nheld by ten pages only" for _ in range(10)]
+    hot = "subscribe to our letter today"
+    story = [words(rng, 8) for _ in range(20)]
+    copies = ["\n".join([*story[: j % 20], words(rng, 8), *story[j % 20 + 1 :], hot]) for j in range(300)]
+    spread = [words(rng, 30) + "\n" + hot + "\n" + words(rng, 30) for _ in range(200)]
+    alone = ["\n".join([words(rng, 8) if k == j % 20 else f"copy {k} of another much edited page " + "w" * k for k in range(20)]) for j in range(100)]
+    texts = pages + inner + few + copies + spread + alone
+    df = spark.createDataFrame([(i, t, "en", "host", 0) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r["doc_id"]: r["text"] for r in quality.cleaned(df, limits=quality.Limits(max_repeat_percent=100)).collect()}
+    gone = {*footer.split("\n"), *licence.split("\n"), hot}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in enumerate(texts)}
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality.rules(empty).count() == 0 and quality.cleaned(empty).count() == 0

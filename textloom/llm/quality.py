@@ -3,12 +3,14 @@
 Lines are normalised (lower case, white space collapsed) and hashed. Per host
 and line, the distinct documents that hold it are counted; equal texts are one
 document. Lines above the limits are removed and documents of which too little
-is left are rejected. A line of a document that was copied, with or without
-small edits, is not boilerplate, though it occurs often: it always stands
-between the same lines. So a line is above the limits if it occurs in more than
-``max_docs`` distinct documents of a host, and at least ``min_places`` of those
-put it between other neighbours. (Copies of a text of two or three lines, each
-edited somewhere else, can't be told from boilerplate that way.)
+is left are rejected. Copies of a document with small edits count once, so they
+neither make a line boilerplate nor hide that it is: two documents are copies if
+they share more than ``copy_share`` of the distinct lines of the larger one. A
+line is above the limits if more than ``max_docs`` documents hold it of which no
+two are copies. They are picked greedily, first within buckets of some dozens of
+documents, then among those that were picked, until one bucket a line is left;
+a line is decided once a bucket has enough of them. (Copies of a text of two or
+three lines, each edited somewhere else, share too little to be told apart.)
 
 Everything is DataFrame code. One pass over the texts makes a narrow table
 (statistics, line hashes) in the shared folder; counts and the join back run on
@@ -46,12 +48,12 @@ class Limits:
     min_words: int = 50
     max_repeat_percent: int = 50
     max_docs: int = 10
-    min_places: float = 0.8
+    copy_share: float = 0.5
     min_left: float = 0.5
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the base statistics and ``lines``, an array of (line, pos, place, words)."""
+    """Add the base statistics and ``lines``, an array of (line, words)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     df = docs.withColumn("__t", text)
     df = df.withColumn("__w", F.filter(F.split("__t", _SPACE), lambda w: w != ""))
@@ -69,8 +71,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     df = df.withColumn("__n", F.transform("__l", normalised))
     df = df.withColumn("__h", F.expr("transform(__n, x -> xxhash64(x))"))
-    # the place of a line: the lines before and after it
-    lines = "transform(__h, (h, j) -> named_struct('line', h, 'pos', j, 'place', xxhash64(coalesce(get(__h, j - 1), 0), coalesce(get(__h, j + 1), 0)), 'words', size(split(__n[j], ' '))))"
+    lines = "transform(__h, (h, j) -> named_struct('line', h, 'words', size(split(__n[j], ' '))))"
     df = df.withColumn("lines", F.expr(lines))
     return df.drop("__t", "__w", "__l", "__s", "__p", "__n", "__h", "__bits", "__mask")
 
@@ -80,12 +81,30 @@ def normalised(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, _SPACE, " ")))
 
 
-def frequent_lines(lines: DataFrame, limits: Limits) -> DataFrame:
-    """(host, line) above the limits, of rows (host, line, pos, place, doc); a document counts by its first such line."""
-    once = lines.groupBy("host", "line", "doc").agg(F.min_by("place", "pos").alias("place"))
-    places = once.groupBy("host", "line", "place").agg(F.count("*").alias("n"))
-    sums = places.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_places"))
-    return sums.filter((F.col("n_docs") > limits.max_docs) & (F.col("n_places") >= limits.min_places * F.col("n_docs"))).select("host", "line")
+def frequent_lines(measured: DataFrame, limits: Limits) -> DataFrame:
+    """(host, line) above the limits, of rows (host, doc, lines)."""
+    sets = measured.select("host", "doc", F.expr("array_distinct(transform(lines, l -> l.line))").alias("set"))
+    sets = stored(sets.groupBy("host", "doc").agg(F.first("set").alias("set")))
+    each = sets.select("host", "doc", F.explode("set").alias("line"))
+    common = each.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs)
+    hits = stored(each.join(common, ["host", "line"]))
+    # at most max_docs + 1 are picked of a bucket, so the next round needs a sixth of the buckets
+    size = 6 * (limits.max_docs + 1)
+    most = hits.agg(F.max("n")).first()[0] or 0
+    left = hits.join(sets, ["host", "doc"]).select("host", "line", F.ceil(F.col("n") / size).alias("buckets"), F.struct("doc", "set").alias("x"))
+    copies = f"size(array_intersect(a.set, x.set)) > {limits.copy_share} * greatest(size(a.set), size(x.set))"
+    pick = f"aggregate(xs, slice(xs, 1, 0), (p, x) -> CASE WHEN size(p) > {limits.max_docs} OR exists(p, a -> {copies}) THEN p ELSE concat(p, array(x)) END)"
+    above, buckets = None, -(-most // size)
+    while True:
+        bucket = F.pmod("x.doc", F.col("buckets")).alias("bucket")
+        rounds = left.groupBy("host", "line", "buckets", bucket).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+        picked = stored(rounds.select("host", "line", "buckets", F.expr(pick).alias("p")))
+        full = picked.filter(F.size("p") > limits.max_docs).select("host", "line")
+        above = full if above is None else above.union(full)
+        if buckets <= 1:
+            return above.distinct()
+        left = picked.select("host", "line", F.ceil(F.col("buckets") / 6).alias("buckets"), F.explode("p").alias("x"))
+        buckets = -(-buckets // 6)
 
 
 def _measured(docs: DataFrame, keep: list[str], host_col: str, text_col: str) -> DataFrame:
@@ -102,8 +121,8 @@ def rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     """Statistics and verdict of every document: ``id_col``, the counts, ``base_failed``, ``kept``, ``removed_words``."""
     limits = limits or Limits()
     measured = _measured(docs, [id_col], host_col, text_col)
-    each = measured.select("row", "host", "doc", F.explode("lines").alias("l")).select("row", "host", "doc", "l.*")
-    above = frequent_lines(each, limits)
+    each = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
+    above = frequent_lines(measured, limits)
     hits = each.select("row", "host", "line", "words").join(above, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     measured = measured.withColumnRenamed(_KEEP + id_col, id_col)
@@ -121,8 +140,8 @@ def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", l
     """
     limits = limits or Limits()
     measured = _measured(docs, docs.columns, host_col, text_col)
-    each = measured.select("row", "host", "doc", F.explode("lines").alias("l")).select("row", "host", "doc", "l.*")
-    hits = each.select("row", "host", "line", "words").join(frequent_lines(each, limits), ["host", "line"])
+    each = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
+    hits = each.select("row", "host", "line", "words").join(frequent_lines(measured, limits), ["host", "line"])
     hits = hits.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     left = measured.filter(~failed).select("row", "n_words", *[f"`{_KEEP}{c}`" for c in docs.columns]).join(hits, "row", "left")
