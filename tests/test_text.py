@@ -91,3 +91,26 @@ def test_udfs(spark):
     assert [g[2] for g in got] == [0.0] * 4
     one = df.limit(1).select(udfs.strip_leak(F.lit("Pattern: p\nExamples:\n - kin\nGo"), F.lit("kin"), F.lit("zz")), udfs.pattern_score(F.lit("it has p[x here"), F.lit("rule: p[x"))).first()
     assert tuple(one) == ("Pattern: (hidden)\nGo", 1.0)
+
+
+def test_edit_mining_finds_all_pairs(spark, tmp_path):
+    import random
+    from itertools import combinations
+
+    from textloom.plans import registry
+
+    rng = random.Random(12)
+    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(700)}
+    rows = [(" ".join(x.upper() if k % 3 else x for k, x in enumerate(sorted(words))) + ", 1 2!",), (None,), ("",)]
+    spark.createDataFrame(rows, "text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for a, b in combinations(sorted(words), 2):
+        pre = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        ra, rb = a[pre:], b[pre:]
+        while ra and rb and ra[-1] == rb[-1]:
+            ra, rb = ra[:-1], rb[:-1]
+        if max(len(ra), len(rb)) == 1:
+            want.setdefault((ra, rb), []).append(pre)
+    got = {(r["old"], r["new"]): (r["n"], r["first_pos"]) for r in registry.QUERIES["edit_mining"](spark, str(tmp_path)).collect()}
+    assert got == {e: (len(at), min(at)) for e, at in want.items() if len(at) >= 25}
+    assert {bool(a) + bool(b) for a, b in got} == {1, 2}

@@ -9,7 +9,7 @@ from textloom.functions import text as X
 from textloom.functions import udfs
 from textloom.operators import verdicts
 from textloom.plans.registry import query
-from textloom.session import table
+from textloom.session import stored, table
 
 _MARKED = "[áéíóúñäöüßçèêà]"
 
@@ -105,13 +105,17 @@ def form_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def edit_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits between words of documents that share their first four letters and length, as often as they occur; 25 times at least."""
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,9})"), 1)).alias("w")).groupBy("w").agg(F.count("*").alias("c")).filter("c >= 8")
-    keyed = w.select("w", F.concat(F.left("w", F.lit(4)), F.length("w")).alias("k"))
-    # neighbours in order, not all pairs of a key
-    near = keyed.withColumn("other", F.lead("w").over(Window.partitionBy("k").orderBy("w"))).filter("other is not null")
-    e = near.select(X.single_edit(F.col("w"), F.col("other")).alias("e"))
-    return e.groupBy("e.old", "e.new").agg(F.count("*").alias("n"), F.min("e.pos").alias("first_pos")).filter("n >= 3")
+    """Edits (one letter put in, taken out or changed) from a word of the documents to a later word in sort order; 25 word pairs at least."""
+    w = stored(table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("w")).distinct())
+    # a row for each letter of each word, with a hash of what is left without it
+    at = F.expr("explode(transform(sequence(1, length(w)), i -> named_struct('i', i, 'c', substring(w, i, 1), 'next', substring(w, i + 1, 1), 'gap', xxhash64(concat(substring(w, 1, i - 1), substring(w, i + 1, length(w)))))))").alias("x")
+    gaps = w.select(F.length("w").alias("size"), at).select("size", "x.*")
+    pairs = "flatten(transform(cs, (a, k) -> transform(slice(cs, k + 2, size(cs)), b -> named_struct('old', a, 'new', b))))"
+    swaps = gaps.groupBy("size", "i", "gap").agg(F.sort_array(F.collect_list("c")).alias("cs")).filter("size(cs) > 1").select("i", F.explode(F.expr(pairs)).alias("e")).select("e.old", "e.new", "i")
+    # of a run of one letter only the last counts: the others leave the same word
+    drops = gaps.filter("c <> next").join(w.select(F.xxhash64("w").alias("gap")), "gap")
+    drops = drops.select(F.when(F.col("c") < F.col("next"), F.col("c")).otherwise("").alias("old"), F.when(F.col("c") < F.col("next"), "").otherwise(F.col("c")).alias("new"), "i")
+    return swaps.union(drops).groupBy("old", "new").agg(F.count("*").alias("n"), (F.min("i") - 1).alias("first_pos")).filter("n >= 25")
 
 
 @query("""
