@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from helpers import DOCS, ODD, docs
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from textloom.llm import bpe, packing
 
@@ -40,8 +40,9 @@ def test_automaton_accepts_one_path_only():
         a, b = rng.choice(words), rng.choice(words)
         alone = ref.encode(a + b, add_special_tokens=False).ids == [vocab[a], vocab[b]]
         assert auto.arc(auto.target[vocab[a]], vocab[b]) == alone
+    assert not auto.gadget(99999, vocab["h"], vocab["e"], vocab["he"])  # they never stand side by side any more
     with pytest.raises(ValueError, match="two merges"):
-        auto.gadget(99999, vocab["h"], vocab["e"], vocab["he"])
+        auto.gadget(99999, vocab["q"], vocab["z"], vocab["he"])
 
 
 def test_small_vocabularies():
@@ -64,6 +65,44 @@ def test_small_vocabularies():
         assert enc.word(word.encode()) == [vocab[p] for p in parts]
 
 
+def test_merges_that_never_fire():
+    """Random merge lists, dead merges among them, against the library."""
+    letters, rng = {c: i for i, c in enumerate(bpe.byte_alphabet())}, random.Random(3)
+    lists = [[("a", "b"), ("b", "c"), ("a", "bc")]]
+    for _ in range(150):
+        made = {}
+        for _ in range(rng.randint(1, 8)):
+            x, y = (rng.choice([*"abc", *made]) for _ in range(2))
+            made.setdefault(x + y, (x, y))
+        lists.append(list(made.values()))
+    for merges in lists:
+        vocab = letters | {x + y: 256 + i for i, (x, y) in enumerate(merges)}
+        enc = bpe.Encoder({"model": {"type": "BPE", "vocab": vocab, "merges": [list(m) for m in merges]}, "added_tokens": []})
+        ref = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+        for word in ["abc", *("".join(rng.choice("abc") for _ in range(rng.randint(1, 12))) for _ in range(40))]:
+            assert enc.word(word.encode()) == ref.encode(word, add_special_tokens=False).ids
+
+
+def test_long_words_take_linear_work():
+    """A word without a border, above a megabyte: steps, not seconds, are counted."""
+    codec, rng = bpe.TextCodec(json.load(open(BYTE))), random.Random(5)
+    steps = []
+    for n in (300_000, 1_200_000):
+        word = "".join(rng.choice("abehinorst") for _ in range(n))
+        seen = [0]
+
+        class Counting(list):
+            def __getitem__(self, i, seen=seen):
+                seen[0] += 1
+                return super().__getitem__(i)
+
+        codec.encoder.trie = Counting(codec.encoder.trie)
+        ids = codec.encoder.word(word.encode())
+        assert codec.decode(np.array(ids, "<u4").tobytes()) == word
+        steps.append(seen[0])
+    assert steps[1] < 4.2 * steps[0]
+
+
 def test_column(spark):
     df = docs(spark, ODD)
     ref = Tokenizer.from_file(BYTE)
@@ -84,6 +123,25 @@ def test_chunks_equal_the_library(strings):
         assert np.frombuffer(ids, "<u4").tolist() == ref.encode(s, add_special_tokens=False).ids
 
 
+def test_every_code_point_beside_a_border():
+    coder, ref = packing.Chunked(open(WORD, "rb").read()), Tokenizer.from_file(WORD)
+    odd = [*range(0x250), *range(0x300, 0x310), *range(0x2000, 0x2030), 0x345, 0x3A3, 0x3C2, 0x1680, 0x180E, 0x1E9E, 0x202F, 0x205F, 0x212A, 0x3000, 0xFEFF]
+    texts = [t for c in map(chr, odd) for b in " .,'\n" for t in (f"a{c}{b}b", f"{c}{b}{c}", f"a{b}{c}.", f"{b}{c}s")]
+    for t, ids in zip(texts, coder.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
+
+
+def test_other_descriptions_go_through_the_library():
+    spec = json.load(open(WORD))
+    assert packing.splits_at_blanks(spec)
+    spec["normalizer"]["normalizers"].pop()
+    coder = packing.Chunked(json.dumps(spec).encode())
+    assert not coder.by_chunk
+    ref = Tokenizer.from_str(json.dumps(spec))
+    for t, ids in zip(["Ab, c", "x"], coder.encode(["Ab, c", "x"]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == ref.encode(t, add_special_tokens=False).ids
+
+
 def test_fullest_is_fullest():
     rng = random.Random(4)
     for _ in range(200):

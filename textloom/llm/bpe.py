@@ -48,6 +48,8 @@ from textloom.session import spread
 #: Bounds of the per-worker tables (entries). They only save time.
 WORD_CACHE = 400_000
 ARC_CACHE = 400_000
+#: Longer words are encoded each time, so the tables hold ``WORD_CACHE`` times this at most.
+LONGEST_KEPT = 256
 
 _NEVER = 1 << 60
 
@@ -91,21 +93,26 @@ class Automaton:
                 # a base symbol is older than any split
                 return True
 
-    def gadget(self, time: int, a: int, b: int, ab: int) -> None:
-        """Apply the merge ``a b -> ab``."""
+    def gadget(self, time: int, a: int, b: int, ab: int) -> bool:
+        """Apply the merge ``a b -> ab``; whether it can ever fire.
+
+        A merge of parts that never stand side by side, or that no merge makes,
+        adds no arc: its label is emitted by nothing.
+        """
+        if a not in self.born or b not in self.born:
+            return False
+        old = self.target[a]
+        if not self.arc(old, b):
+            return False
         if ab in self.born:
             raise ValueError(f"two merges make label {ab}; this automaton needs one")
-        old = self.target[a]
-        after_b = self.target[b]
-        fires = self.arc(old, b)
         self.born[ab], self.left[ab] = time, a
-        self.target[ab] = after_b
-        if not fires:
-            return  # never adjacent: no arc can be taken, as no state has it
+        self.target[ab] = self.target[b]
         self.parent.append(old)
         self.lost.append(b)
         self.split_at.append(time)
         self.target[a] = len(self.parent) - 1
+        return True
 
 
 def compile_automaton(spec: dict) -> Automaton:
@@ -139,8 +146,8 @@ def compile_automaton(spec: dict) -> Automaton:
         made.born[i], made.target[i] = -1, 0
     for time, (a, b) in enumerate(merges):
         ab = vocab[a + b]
-        made.gadget(time, vocab[a], vocab[b], ab)
-        made.arcs.append(ab)
+        if made.gadget(time, vocab[a], vocab[b], ab):
+            made.arcs.append(ab)
     return made
 
 
@@ -204,8 +211,8 @@ class Encoder:
         while pos < n:
             if label < 0:  # the longest label that begins here
                 node = 0
-                for b in keys[pos:]:
-                    node = trie[node].get(b)
+                for i in range(pos, n):
+                    node = trie[node].get(keys[i])
                     if node is None:
                         break
                     if at[node] >= 0:
@@ -258,16 +265,18 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Chunks(dict):
-    """Chunk of text -> its ids as bytes, bounded."""
+    """Chunk of text -> its ids as bytes, bounded in entries and in what they hold; long chunks aren't kept."""
 
     def __init__(self, make):
         super().__init__()
         self.make = make
 
     def __missing__(self, chunk):
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        got = self[chunk] = self.make(chunk)
+        got = self.make(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self) >= WORD_CACHE:
+                self.clear()
+            self[chunk] = got
         return got
 
 

@@ -19,6 +19,7 @@ don't matter.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bpe import byte_alphabet, read_file
+from textloom.llm.bpe import LONGEST_KEPT, byte_alphabet, read_file
 from textloom.session import spread, stored
 
 CAPACITY = 2048
@@ -43,12 +44,30 @@ CHUNK_CACHE = 800_000
 BUCKET_ROWS = 50_000
 
 
+#: What a description says whose words are runs of letters, single digits and runs of
+#: other signs, in lower case, with white space dropped.
+WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer's description makes white space a border that leaves no ids."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split, rest = steps[0], steps[1:]
+    plain = all(r.get("type") == "ByteLevel" and not r.get("add_prefix_space") and not r.get("use_regex", True) for r in rest)
+    cut = split.get("pattern") == {"Regex": WORD_PATTERN} and split.get("behavior") == "Removed" and split.get("invert") is True
+    added = all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) and not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in spec.get("added_tokens", []))
+    same = (spec.get("normalizer") or {}).get("normalizers") == WORD_NORMALIZERS
+    return same and cut and plain and len(rest) == 1 and added and not spec.get("post_processor") and not spec["model"].get("dropout")
+
+
 class Chunked:
     """Encodes a text as its tokenizer does, chunk by chunk at white space.
 
     Only for vocabularies that drop white space and treat it as a border, which
-    is checked on the description. Chunks are encoded by the library and kept in
-    a bounded table.
+    the parsed description must say (`splits_at_blanks`); others are encoded by
+    the library, whole text by whole text. Chunks are encoded by the library and
+    kept in a bounded table.
     """
 
     def __init__(self, blob: bytes):
@@ -58,10 +77,7 @@ class Chunked:
         self.tokenizer = Tokenizer.from_str(blob.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = "Ab cd,\nef. 12"
-        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
-        parts = [i for x in re.split(r"[ \n]", probe) for i in self.tokenizer.encode(x, add_special_tokens=False).ids]
-        self.by_chunk = whole == parts and "Lowercase" in blob.decode()[:4000]
+        self.by_chunk = splits_at_blanks(json.loads(blob))
         self.table: dict[str, bytes] = {}
         # marks may compose with a letter before it is lower-cased; a run of punctuation, or of marks
         # that a letter turns into, must stay whole: only plain letters and digits may precede a cut
@@ -73,7 +89,8 @@ class Chunked:
         probe = "übere"
         if self._word(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
             self.word = re.compile(r"(?!)")
-        self.runs = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-įı-ſ\s][.,]")
+        # U+001C to U+001F are no white space of the vocabulary's, though they are of Python's
+        self.runs = re.compile(r"(?:[^0-9A-Za-zÀ-ÖØ-öø-įı-ſ\s]|[\x1C-\x1F])[.,]")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -102,6 +119,9 @@ class Chunked:
                     got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
                     table.update(zip(part, [_packed(e.ids) for e in got], strict=True))
                 out.append(b"".join([table[c] for c in chunks]))
+                for c in missing:
+                    if len(c) > LONGEST_KEPT:
+                        del table[c]
         return out
 
     def _word(self, word: str) -> list[int]:
