@@ -26,6 +26,65 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def plain_buckets(text):
+    """Buckets of the 1- to 3-grams of a text, one by one."""
+    codes = [32]
+    for c in text + " ":
+        x = ord(c.lower()[0]) if c.isalpha() else 32
+        if x != 32 or codes[-1] != 32:
+            codes.append(x)
+    out, m = [], 1 << 32
+    for order in (1, 2, 3):
+        for i in range(order == 1, len(codes) - order + 1):
+            h = codes[i] * 0x9E3779B1 % m
+            for k in range(2, order + 1):
+                h = (h ^ codes[i + k - 1]) * (0x85EBCA77 + 2 * k) % m
+            out.append(((h ^ (h >> 15)) * (0xC2B2AE3D + 2 * order) % m) >> 17)
+    return out
+
+
+def test_equals_a_plain_naive_bayes(spark):
+    rows = [(r["doc_id"], r["text"][:600], r["lang"], "s", 0) for r in table(spark, SF, "documents").orderBy("doc_id").limit(60).collect()]
+    rows += [(1000 + i, t, "en", "s", 0) for i, t in enumerate(ODD)] + [(2000, "à la carte", None, "s", 0)]
+    learn = [r for r in rows if r[0] % 3 and r[1] is not None and r[2]]
+    counts, docs_of = {}, Counter(r[2] for r in learn)
+    for _, text, lang, *_ in learn:
+        counts.setdefault(lang, Counter()).update(plain_buckets(text))
+    want = {}
+    for i, text, *_ in rows:
+        if text is None or not any(map(str.isalpha, text)):
+            want[i] = ("und", 1.0)
+            continue
+        logs = {}
+        for lang, c in counts.items():
+            total = sum(c.values()) + 0.5 * (1 << 15)
+            logs[lang] = math.log(docs_of[lang] / len(learn)) + sum(math.log((c[b] + 0.5) / total) for b in plain_buckets(text))
+        best = min(sorted(logs), key=lambda x: -logs[x])
+        want[i] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values()))
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = {r["doc_id"]: r for r in langid.predict(df, langid.fit(df, F.col("doc_id") % 3 != 0), keep=["doc_id"]).collect()}
+    assert len(docs_of) > 2
+    for i, (lang, score) in want.items():
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=1e-9)
+
+
+def test_batches_and_excess(spark, monkeypatch):
+    known = langid.fit(table(spark, SF, "documents"), F.lit(True))
+    texts = [r["text"] for r in table(spark, SF, "documents").select("text").collect()] + ["q" * 1_200_000, "жзйк шщьы " * 40, None]
+    whole = known.scored(texts)
+    monkeypatch.setattr(langid, "CELLS", 1)
+    parts = [known.scored(texts[at : at + 7]) for at in range(0, len(texts), 7)]
+    for k in range(3):
+        assert [x for p in parts for x in p[k]] == pytest.approx(whole[k], rel=1e-9) if k else [x for p in parts for x in p[k]] == whole[k]
+    assert max(whole[2][:-3]) < 2 < min(whole[2][-3:-1]) and whole[2][-1] == 0
+
+
+def test_a_small_share_still_gives_rows(spark):
+    df = docs(spark, [f"text number {i} of many" for i in range(4000)])
+    some = langid.fit(df, F.lit(True), train_rows=200)
+    assert some.labels == ["en"] and langid.fit(df, F.lit(True), key_col="source", train_rows=200).labels == ["en"]
+
+
 def test_languages_of_odd_texts(spark):
     known = langid.fit(table(spark, SF, "documents"), F.lit(True))
     df = docs(spark, ODD + ["123 !!", "é"]).withColumnRenamed("n_chars", "score")

@@ -3,12 +3,13 @@
 Letters are lower-cased, runs of anything else count as one blank, and the
 1- to 3-grams of that are hashed into a fixed number of buckets. Counts by
 language come from labelled rows; the log-probability matrix (languages times
-buckets) is broadcast and texts are scored in numpy, slice by slice, so memory
-doesn't follow the length of a text.
+buckets) is broadcast. Texts are counted slice by slice into sparse rows of
+(bucket, count), and batches of such rows are multiplied with the matrix in numpy,
+so memory follows neither the length of a text nor the number of labels.
 
 The classifier is fitted on a bounded sample of the labelled rows: about
 ``train_rows`` whole texts, dealt evenly over the languages that occur, chosen
-by a hash of the row's key. Prediction covers all rows.
+by a hash of the row's key and text. Prediction covers all rows.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 1;
 ties go to the language first in order; with no labelled rows every text is
@@ -35,7 +36,10 @@ TRAIN_ROWS = 24_000
 #: The matrix is broadcast: more labels than this are refused.
 MAX_LABELS = 256
 SLICE = 1 << 20
+#: Texts that are read at once, and about the entries of a sparse batch times the labels.
+TEXTS, CELLS = 256, 1 << 21
 UNDETERMINED = "und"
+_LEAST = -(1 << 63)
 
 _LETTERS: list[np.ndarray] = []
 
@@ -73,6 +77,15 @@ def grams(text: str) -> Iterator[list[np.ndarray]]:
         tail = codes[-(ORDERS - 1) :]
 
 
+def row_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text and how often each occurs: one sparse row."""
+    sums = np.zeros(1 << BUCKET_BITS, np.int64)
+    for found in grams(text):
+        sums += np.bincount(np.concatenate(found), minlength=1 << BUCKET_BITS)
+    full = np.flatnonzero(sums)
+    return full, sums[full]
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -83,17 +96,43 @@ class Model:
     weights: np.ndarray  # buckets x labels: log probabilities
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not has_letter(text):
-            return UNDETERMINED, 1.0
+    def scored(self, texts: list[str | None]) -> tuple[list[str], list[float], list[float]]:
+        """Label, posterior probability and excess of each text, by sparse batches.
+
+        The excess is how far the mean log probability of a text's grams lies
+        below what the label's own texts have on average, in nats; unlike the
+        posterior it doesn't saturate as texts grow. It is less by four standard
+        errors, so that short texts aren't judged on a few grams.
+        """
+        labels, scores, excess = [UNDETERMINED] * len(texts), [1.0] * len(texts), [0.0] * len(texts)
+        some = [i for i, t in enumerate(texts) if has_letter(t)]
         if not self.labels:
-            return UNDETERMINED, 0.0
-        total = self.prior.copy()
-        for found in grams(text):
-            for buckets in found:
-                total += self.weights[buckets].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.labels[best], float(1.0 / np.exp(total - total[best]).sum())
+            for i in some:
+                scores[i] = 0.0
+            return labels, scores, excess
+        p = np.exp(self.weights)
+        usual = (p * self.weights).sum(axis=0)
+        sd = np.sqrt(np.maximum(0.0, (p * self.weights**2).sum(axis=0) - usual**2))
+        most = max(1 << BUCKET_BITS, CELLS // len(self.labels))
+        at = 0
+        while at < len(some):
+            rows, held = [], 0
+            while at + len(rows) < len(some) and held <= most:
+                rows.append(row_of(texts[some[at + len(rows)]]))
+                held += len(rows[-1][0])
+            starts = np.cumsum([0, *(len(b) for b, _ in rows[:-1])])
+            n = np.concatenate([n for _, n in rows])
+            sums = np.add.reduceat(self.weights[np.concatenate([b for b, _ in rows])] * n[:, None], starts)
+            sizes = np.add.reduceat(n, starts)
+            total = sums + self.prior
+            best = total.argmax(axis=1)
+            post = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            over = usual[best] - sums[np.arange(len(rows)), best] / sizes - 4 * sd[best] / np.sqrt(sizes)
+            for k in range(len(rows)):
+                i = some[at + k]
+                labels[i], scores[i], excess[i] = self.labels[best[k]], float(post[k]), float(max(0.0, over[k]))
+            at += len(rows)
+        return labels, scores, excess
 
 
 def fit(docs: DataFrame, training: Column, label_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", train_rows: int = TRAIN_ROWS) -> Model:
@@ -105,20 +144,20 @@ def fit(docs: DataFrame, training: Column, label_col: str = "lang", text_col: st
     if not sizes:
         return Model([], np.zeros((1 << BUCKET_BITS, 0)), np.zeros(0))
     names = sorted(sizes)
-    share = F.lit(0)
+    # rows below a bound on the whole range of 64-bit hashes, so a label of any size gives its share
+    below = F.lit(_LEAST)
     for name in names:
         part = min(1.0, train_rows / len(names) / sizes[name])
-        share = F.when(F.col(label_col) == name, F.lit(int(part * 1_000_000))).otherwise(share)
-    sample = rows.filter(F.pmod(F.xxhash64(F.col(key_col), F.lit("langid")), F.lit(1_000_000)) < share)
+        below = F.when(F.col(label_col) == name, F.lit(min(-_LEAST - 1, _LEAST + int(part * 2**64)))).otherwise(below)
+    sample = rows.filter(F.xxhash64(F.col(key_col), F.lit("langid"), F.col(text_col)) <= below)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 into = sums.setdefault(label, np.zeros(1 << BUCKET_BITS, np.int64))
-                for found in grams(text.as_py()):
-                    for buckets in found:
-                        into += np.bincount(buckets, minlength=1 << BUCKET_BITS)
+                buckets, n = row_of(text.as_py())
+                into[buckets] += n
         for label, into in sums.items():
             full = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(full), pa.string()), pa.array(full, pa.int32()), pa.array(into[full])], ["label", "bucket", "n"])
@@ -134,21 +173,23 @@ def fit(docs: DataFrame, training: Column, label_col: str = "lang", text_col: st
     return Model(names, weights, prior)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, label_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
-    """Add the prediction to the columns ``keep`` (default: all but clashing names)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in (label_as, score_as)] if keep is None else keep
-    fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{label_as}` string, `{score_as}` double"
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, label_as: str = "lang_pred", score_as: str = "score", excess_as: str | None = None) -> DataFrame:
+    """Add the prediction to the columns ``keep`` (default: all but clashing names).
 
-    at = keep.index(text_col) if text_col in keep else len(keep)
+    Only texts go to Python and only predictions come back.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    added = {"label": label_as, "score": score_as} | ({"excess": excess_as} if excess_as else {})
+    keep = [c for c in docs.columns if c not in added.values()] if keep is None else keep
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            got = [model.predict(t.as_py()) for t in batch.column(at)]
-            cols = [*batch.columns[: len(keep)], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, label_as, score_as])
-
-    read = [F.col(f"`{c}`") for c in keep] + ([] if text_col in keep else [F.col(f"`{text_col}`").alias("__text")])
-    return spread(docs.select(*read)).mapInArrow(run, schema)
+            parts = [sent.value.scored(batch.slice(at, TEXTS).to_pylist()) for at in range(0, len(batch), TEXTS)]
+            cols = [[x for p in parts for x in p[k]] for k in range(3)]
+            yield pa.StructArray.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], ["label", "score", "excess"])
+
+    # not deterministic to the optimizer, so that a filter on the result doesn't predict once more
+    found = F.arrow_udf(run, "label string, score double, excess double").asNondeterministic()
+    rows = spread(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept"), F.col(f"`{text_col}`").alias("text")))
+    rows = rows.select("kept", found("text").alias("found"))
+    return rows.select(*[F.col(f"kept.`{c}`") for c in keep], *[F.col(f"found.{k}").alias(v) for k, v in added.items()])
