@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import stored
+from textloom.session import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -17,7 +17,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     then its smaller neighbours to the smallest it knows) until the edges stop
     changing; they then form one star per component. The number of rounds grows
     with the logarithm of the longest chain. Edges stay distributed, each round
-    is written to the shared folder, and only two numbers reach the driver.
+    is written to the shared folder, the round before is deleted, and only two
+    numbers reach the driver. Vertices are best 64-bit numbers: others cost
+    sorts where those are hashed.
 
     Returns ``(node, component)`` for every vertex of an edge. Self-loops and
     edges with a null end are ignored; repeated edges count once; an empty table
@@ -34,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         near = large.join(small, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(near.union(small.select("u", F.col("m").alias("v"))).distinct())
+        last, now = now, stored(near.union(small.select("u", F.col("m").alias("v"))).distinct())
+        discard(last, least, large, small)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             roots = now.select(F.col("v").alias("node")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +36,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: Used only where the session names no shared folder (tests, notebooks).
+#: Used only by local sessions that name no shared folder (tests, notebooks).
 FALLBACK_SHARED_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    On a cluster that setting must be there, as a machine's own folder is no shared one.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return (path or FALLBACK_SHARED_DIR).rstrip("/")
+    if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = FALLBACK_SHARED_DIR
+    return path.rstrip("/")
 
 
 #: What this process has stored and not dropped.
@@ -51,13 +59,25 @@ _STORED: list[str] = []
 
 def drop_stored(spark: SparkSession) -> int:
     """Delete the tables that this process stored, once no result that reads them is needed; returns how many."""
-    n, hadoop = len(_STORED), spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_STORED)
     while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _STORED.pop())
     return n
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, such as those of an earlier round."""
+    for df in tables:
+        if df.stored_at in _STORED:
+            _STORED.remove(df.stored_at)
+            _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -69,7 +89,9 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
     _STORED.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def spread(df: DataFrame) -> DataFrame:
