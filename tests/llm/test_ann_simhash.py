@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 from helpers import DOCS, ODD, WORD, docs, low
 from pyspark.sql import functions as F
@@ -127,52 +128,125 @@ def test_covering_and_forest():
     for bits in range(8):
         family = simhash.covering(bits)
         assert all(any(set(c) <= set(s) for c in family) for s in combinations(range(8), 8 - bits))
+    pairs = [p for c in simhash.triples(24) for p in combinations(c, 2)]
+    assert len(pairs) == len(set(pairs)) >= 3 * 80
     rng = random.Random(5)
     seeds = [rng.getrandbits(64) for _ in range(20)]
     fps = np.unique(np.array([s ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 3))) & (2**64 - 1) for s in seeds for _ in range(60)], np.uint64))
-    a, b = simhash.forest(fps.reshape(-1, 1), 0, 4, 4)
+    u, v = simhash.forest(np.zeros(len(fps), np.int64), np.arange(len(fps)), fps.reshape(-1, 1), 4, 4)
     want = plain_groups(fps.tolist(), 4)
-    assert len(a) == len(fps) - len(set(want)) and all(want[x] == want[y] for x, y in zip(a, b, strict=True))
-
-
-def test_big_lists_split(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BLOCK", 16)
-    rng = random.Random(6)
-    fps = list({0x1234567890ABCDEF ^ (rng.getrandbits(12)) for _ in range(300)})
-    df = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "first long, fp array<long>")
-    links = simhash.links(df).collect()
-    want = plain_groups(fps, 4)
-    parent = {i: i for i in range(len(fps))}
+    assert len(u) == len(fps) - len(set(want)) and all(want[x] == want[y] for x, y in zip(u, v, strict=True))
+
+
+def test_forest_is_lightest(monkeypatch):
+    """Weights of the forest against Kruskal's, links thinned on the way or not."""
+    rng = np.random.default_rng(7)
+    for held in (1 << 20, 40):
+        monkeypatch.setattr(simhash, "HELD", held)
+        fps = rng.integers(0, 2**14, size=(90, 1), dtype=np.uint64)
+        bits = lambda i, j: bin(int(fps[i, 0] ^ fps[j, 0])).count("1")  # noqa: E731, B023
+        lists = np.repeat([0, 1, 2], [1, 29, 60])
+        u, v = simhash.forest(lists, np.arange(90), fps, 0, 5)
+        parent, want = list(range(90)), []
+        for w, i, j in sorted((bits(i, j), i, j) for i, j in combinations(range(90), 2) if lists[i] == lists[j] and bits(i, j) <= 5):
+            a, b = i, j
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[a] = b
+                want.append(w)
+        assert sorted(bits(i, j) for i, j in zip(u, v, strict=True)) == want
+
+
+def joined(n, rows):
+    parent = list(range(n))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for r in links:
-        parent[find(r["src"]["first"])] = find(r["dst"]["first"])
-    assert len({find(i) for i in parent}) == len(set(want))
+    for r in rows:
+        parent[find(r["src"])] = find(r["dst"])
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 100])
+def test_big_lists_split(spark, monkeypatch, rows):
+    """A list of several blocks, and lists that go on over Arrow batches and looks."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    rng = random.Random(6)
+    fps = list({0x1234567890ABCDEF ^ (rng.getrandbits(12)) for _ in range(300)})
+    df = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "vid long, fp array<long>")
+    want = plain_groups(fps, 4)
+    assert len(set(joined(len(fps), simhash.links(df).collect()))) == len(set(want))
 
 
 def test_wide_fingerprints(spark):
-    """Two words: pairs within 11 bits in all are found for sure; none beyond the total is."""
+    """Two words: nearly all pairs within 11 bits meet; none beyond the total is linked."""
     rng = random.Random(8)
     seeds = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(12)]
     wide = {tuple(w ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (2**64 - 1) for w in s) for s in seeds for _ in range(20)}
     wide = [[x - (1 << 64) * (x >> 63) for x in f] for f in sorted(wide)]
-    df = spark.createDataFrame(list(enumerate(wide)), "first long, fp array<long>")
+    df = spark.createDataFrame(list(enumerate(wide)), "vid long, fp array<long>")
     bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(wide[a], wide[b], strict=True))
-    parent = list(range(len(wide)))
+    rows = simhash.links(df, 2, 5, 11).collect()
+    assert all(bits(r["src"], r["dst"]) <= 11 for r in rows)
+    root = joined(len(wide), rows)
+    assert all(root[a] == root[b] for a, b in combinations(range(len(wide)), 2) if bits(a, b) <= 11)
+
+
+def test_recall_and_precision_of_exact_links(spark):
+    """Pairs of a similarity of 0.8 and more by five-word shingles: at least nine in ten share a group, and no group has others."""
+    rng, texts = random.Random(9), []
+    for _ in range(120):
+        w = [str(rng.randrange(5000)) for _ in range(rng.randint(40, 400))]
+        texts.append(w)
+        for _ in range(4):
+            v = list(w)
+            for _ in range(rng.randint(0, len(w) // 35)):
+                v[rng.randrange(len(v))] = str(rng.randrange(5000))
+            texts.append(v)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for k in range(0, len(sets), 5) for a, b in combinations(range(k, k + 5), 2)}
+    pairs = [p for p, j in alike.items() if j >= 0.8]
+    edge = [p for p in pairs if alike[p] < 0.9]
+    df = docs(spark, [" ".join(w) for w in texts] + [None, "", " "])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, words=5, width=3, total_bits=40, similarity=0.8).collect()}
+    assert len(edge) > 100 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs) and sum(got[a] == got[b] for a, b in edge) >= 0.9 * len(edge)
+    parent = list(range(len(texts)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for r in simhash.links(df, 2, 5, 11).collect():
-        assert bits(r["src"]["first"], r["dst"]["first"]) <= 11
-        parent[find(r["src"]["first"])] = find(r["dst"]["first"])
-    assert all(find(a) == find(b) for a, b in combinations(range(len(wide)), 2) if bits(a, b) <= 11)
+    for a, b in pairs:
+        parent[find(b)] = find(a)
+    assert all(find(a) == find(b) for a, b in alike if got[a] == got[b])
+    assert {got[len(texts) + k] for k in range(3)} == {len(texts)}
+
+
+def test_sketch_slices(monkeypatch):
+    """Borders of the slices in which shingles are hashed, and a text above a megabyte."""
+    text = " ".join(str(i * i % 977) for i in range(300_000))
+    whole = simhash.sketch(text, 4, 2, True)
+    assert len(text) > 1 << 20
+    monkeypatch.setattr(simhash, "_STEP", 1000)
+    parts = simhash.sketch(text, 4, 2, True)
+    assert whole[:2] == parts[:2] and (whole[2] == parts[2]).all()
+    short = " ".join(text.split()[:2500])
+    monkeypatch.setattr(simhash, "_STEP", 7)
+    assert simhash.fingerprint(short) == [plain_fingerprint(short)]
+
+
+def test_clashing_columns(spark):
+    df = docs(spark, ["a b c d e f", "a b c d e f"]).withColumnRenamed("source", "fp").withColumnRenamed("lang", "fingerprint").withColumnRenamed("n_chars", "Text2")
+    assert {r["component_id"] for r in simhash.near_duplicates(df).collect()} == {0}
+    assert {r["component_id"] for r in simhash.near_duplicates(df.withColumnRenamed("doc_id", "row"), "row", similarity=0.8).collect()} == {0}
 
 
 def test_empty_and_repeats(spark):

@@ -9,22 +9,28 @@ about one fingerprint in 2^24 by chance instead of one in 256. For each pair
 that meets in a list all shared positional bytes are tallied, pairs that reach
 the guaranteed minimum stay, and their differing bits are counted to verify.
 
-A fingerprint can be several words of 64 bits, hashed with seeds of their own,
-which estimate a similarity more sharply: each word is indexed with its own
-number of differing bits, and pairs are verified on all words together. Pairs
-that differ in at most ``words * (max_bits + 1) - 1`` bits in all are found for
-sure, as one of their words must be within ``max_bits``.
+A fingerprint can be several words of 64 bits, which estimate a similarity more
+sharply; the words are mixed from one hash a shingle. Its positional bytes, over
+all words, are posted under triples of which no two have a pair in common, three
+dozen or more for each word, and each triple once more with its least certain bit
+turned (that where the shingles' votes are closest): a pair that differs in few
+bits meets for sure, and one at the bound with the probability that the README
+gives. Such pairs can be confirmed by the exact similarity (Jaccard) of their sets
+of shingles.
 
-Equal fingerprints are one vertex. A list that many fingerprints share is split
-into blocks, every pair of blocks is searched by a task of its own, and a task
-emits a spanning forest of its links, not the links. Components come from
-distributed star contraction.
+Vertices are distinct fingerprints (with exact confirmation: distinct sets of
+shingles), as 64-bit numbers. A list that many of them share is split into
+blocks, every pair of blocks is a list of its own, dealt to any task, and a task
+emits the lightest spanning forest (by differing bits) of the links it finds,
+not the links. A link that the forest leaves out joins vertices that lighter
+links join, so confirming the forest's links alone loses a group only where all
+of its lighter links fail. Components come from distributed star contraction.
 
 Defined cases: a null text has no words; without words the fingerprint is zero
 and links like any other; texts of fewer words than a shingle are one shingle;
-repeated rows (ids) keep their rows; null ids count as larger than any other in
-the choice of a component's id and get one of it all the same; other columns of
-the input are neither read nor returned.
+two texts without words are alike; repeated rows (ids) keep their rows; null ids
+count as larger than any other in the choice of a component's id and get one of
+it all the same; other columns of the input are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import connected_components
@@ -44,41 +50,87 @@ from textloom.session import spread, stored
 WORDS = 4
 MAX_BITS = 4
 SEED = 42
-#: Fingerprints of a block of a posting list.
-BLOCK = 2048
+#: Vertices of a block of a posting list.
+BLOCK = 1024
+#: Rows of posting lists that a task looks at together, and links it holds before it thins them.
+ROWS, HELD = 1 << 16, 1 << 20
 _STEP = 1 << 15
+#: Texts of an Arrow batch that are hashed before their results go out.
+TEXTS = 256
 
 
-def fingerprint(text: str | None, words: int = WORDS, width: int = 1) -> list[int]:
-    """The SimHash of the word shingles of a whole text, ``width`` times 64 bits."""
+def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """Another 64 bits for each hash (splitmix64); the first word is the hash itself."""
+    if not word:
+        return hashes
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(text: str | None, words: int = WORDS, width: int = 1, shingles: bool = False) -> tuple[list[int], bytes, np.ndarray | None]:
+    """The SimHash of the word shingles of a whole text, ``width`` times 64 bits; how
+    certain its bytes are; and, if asked for, its distinct shingles as sorted 32-bit hashes.
+
+    The second has, by positional byte, its rank among all by how close its closest
+    vote was, times 8, plus the bit of that vote.
+    """
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return [0] * width
+        return [0] * width, bytes(range(0, 64 * width, 8)), np.zeros(0, np.int32) if shingles else None
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
     ends = np.cumsum(lengths)
     joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
     starts = (ends - lengths)[:n].tolist()
     stops = (ends[min(words, len(tokens)) - 1 :] - 1)[:n].tolist()
-    digest, ones = xxhash.xxh64_digest, np.zeros((width, 64), np.int64)
+    digest, ones, distinct = xxhash.xxh64_digest, np.zeros((width, 64), np.int64), []
     for at in range(0, n, _STEP):
-        shingles = [joined[i:j] for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)]
+        got = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)])
+        hashes = np.frombuffer(got, ">u8").astype(np.uint64)
         for k in range(width):
-            got = b"".join([digest(s, SEED + k) for s in shingles])
-            ones[k] += np.unpackbits(np.frombuffer(got, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return [int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones]
+            bits = np.unpackbits(mixed(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            ones[k] += bits.sum(axis=0, dtype=np.int64)
+        if shingles:
+            distinct.append(np.unique(hashes.astype(np.uint32)))
+    found = np.unique(np.concatenate(distinct)).view(np.int32) if shingles else None
+    # bytes from the lowest, as they are posted, and bits in them likewise
+    votes = np.abs(2 * ones - n)[:, ::-1].reshape(8 * width, 8)
+    weakest = votes.argmin(axis=1)
+    rank = votes.min(axis=1).argsort(kind="stable").argsort(kind="stable")
+    certain = (rank.clip(max=31) * 8 + weakest).astype(np.uint8).tobytes()
+    return [int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones], certain, found
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1) -> DataFrame:
-    """``id_col`` and ``fp``, the fingerprint as an array of signed longs."""
+def fingerprint(text: str | None, words: int = WORDS, width: int = 1) -> list[int]:
+    return sketch(text, words, width)[0]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1, shingles: bool = False) -> DataFrame:
+    """``id_col``, ``fp``, the fingerprint as an array of signed longs, how certain it is, and if asked for ``sh``, the shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
+    schema = "id " + kind + ", fp array<long>, certain binary" + ", sh array<int>" * shingles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.array([fingerprint(t.as_py(), words, width) for t in batch.column(1)], np.uint64).reshape(-1)
-            offsets = pa.array(np.arange(0, len(got) + 1, width), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(got.view(np.int64)))], [id_col, "fp"])
+        for big in batches:
+            for at in range(0, big.num_rows, TEXTS):
+                batch = big.slice(at, TEXTS)
+                made = [sketch(t.as_py(), words, width, shingles) for t in batch.column(1)]
+                got = np.array([m[0] for m in made], np.uint64).reshape(-1)
+                cols = [batch.column(0), _lists(got.view(np.int64), width), pa.array([m[1] for m in made], pa.binary())]
+                names = ["id", "fp", "certain"]
+                if shingles:
+                    ends = np.cumsum([0, *(len(m[2]) for m in made)])
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([m[2] for m in made]))))
+                    names.append("sh")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    return spread(docs.select(docs[id_col], docs[text_col])).mapInArrow(run, f"`{id_col}` {kind}, fp array<long>")
+    read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return spread(read).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def _lists(flat: np.ndarray, size: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size), pa.int32()), pa.array(flat))
 
 
 def covering(max_bits: int) -> list[tuple[int, ...]]:
@@ -95,94 +147,193 @@ def covering(max_bits: int) -> list[tuple[int, ...]]:
     return chosen
 
 
-def close(a: np.ndarray, b: np.ndarray, word: int, max_bits: int, total_bits: int) -> np.ndarray:
-    """Rows of fingerprints against others: count filter on the indexed word, then verification on all."""
+def triples(positions: int) -> list[tuple[int, ...]]:
+    """Triples of positions of which no two have a pair in common, taken greedily in order of their sums."""
+    used, chosen = set(), []
+    for c in sorted(combinations(range(positions), 3), key=lambda c: (sum(c) % positions, c)):
+        pairs = set(combinations(c, 2))
+        if not pairs & used:
+            used |= pairs
+            chosen.append(c)
+    return chosen
+
+
+def designs(width: int, max_bits: int) -> list[tuple[int, ...]]:
+    """The combinations of positional bytes under which a fingerprint is posted."""
+    return covering(max_bits) if width == 1 else triples(8 * width)
+
+
+def keys(fps: np.ndarray, chosen: list[tuple[int, ...]], certain: np.ndarray | None) -> np.ndarray:
+    """Row by row the lists under which a fingerprint is posted; with ``certain``, twice as many."""
+    low = np.ascontiguousarray(fps, "<u8").view(np.uint8).astype(np.int64)
+    out = np.empty((len(fps), len(chosen) * (1 if certain is None else 2)), np.int64)
+    for i, positions in enumerate(chosen):
+        key = np.full(len(fps), i, np.int64)
+        for p in positions:
+            key = key * 256 + low[:, p]
+        out[:, i] = key
+        if certain is not None:
+            own = certain[:, list(positions)]
+            at = own.argmin(axis=1)
+            weak = own[np.arange(len(own)), at].astype(np.int64) & 7
+            out[:, len(chosen) + i] = key ^ (1 << (8 * (len(positions) - 1 - at) + weak))
+    return out
+
+
+def differing(a: np.ndarray, b: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row by row: which pairs pass the count filter on shared bytes and the bits, and how many bits differ."""
     diff = np.ascontiguousarray(a ^ b)
-    own = np.ascontiguousarray(diff[..., word])
-    tally = (own.view(np.uint8).reshape(*own.shape, 8) == 0).sum(axis=-1)
-    return (tally >= 8 - max_bits) & (np.bitwise_count(diff).sum(axis=-1) <= total_bits)
-
-
-def forest(fps: np.ndarray, word: int, max_bits: int, total_bits: int) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among distinct fingerprints, breadth first."""
-    left, a, b = np.arange(len(fps)), [], []
-    while len(left):
-        queue, left = [int(left[0])], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            hit = close(fps[left], fps[at], word, max_bits, total_bits)
-            if hit.any():
-                new = left[hit].tolist()
-                a += [at] * len(new)
-                b += new
-                queue += new
-                left = left[~hit]
-    return a, b
-
-
-def _links(width: int, max_bits: int, total_bits: int):
+    bits = np.bitwise_count(diff).sum(axis=1)
+    tally = (diff.view(np.uint8) == 0).sum(axis=1)
+    return (tally >= least) & (bits <= most), bits
+
+
+def lightest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which links make a lightest spanning forest: all components take their lightest link, round by round."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    order = np.lexsort((ends[len(u) :], ends[: len(u)], weight))
+    a, b, own, chosen = ends[: len(u)][order], ends[len(u) :][order], np.arange(len(nodes)), []
+    while True:
+        x, y = own[a], own[b]
+        live = x != y
+        order, a, b, x, y = order[live], a[live], b[live], x[live], y[live]
+        if not len(order):
+            return np.concatenate([*chosen, np.zeros(0, np.int64)]).astype(np.int64)
+        ranks = np.arange(len(order))
+        best = np.full(len(nodes), len(order))
+        best[x[::-1]] = ranks[::-1]
+        other = np.full(len(nodes), len(order))
+        other[y[::-1]] = ranks[::-1]
+        best = np.minimum(best, other)
+        some = np.flatnonzero(best < len(order))
+        chosen.append(order[np.unique(best[some])])
+        up = np.arange(len(nodes))
+        up[some] = x[best[some]] + y[best[some]] - some
+        both = (up[up] == np.arange(len(nodes))) & (np.arange(len(nodes)) < up)
+        up[both] = np.flatnonzero(both)
+        while (up[up] != up).any():
+            up = up[up]
+        own = up[own]
+
+
+def forest(lists: np.ndarray, vids: np.ndarray, fps: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A lightest spanning forest of the links within runs of one value of ``lists``."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def thinned() -> tuple[np.ndarray, ...]:
+        u, v, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        keep = lightest(u, v, w)
+        return u[keep], v[keep], w[keep]
+
+    at, n, step = np.arange(len(lists) - 1), 0, 1
+    while len(at):
+        at = at[at + step < len(lists)]
+        at = at[lists[at] == lists[at + step]]
+        for k in range(0, len(at), HELD // 8):
+            part = at[k : k + HELD // 8]
+            ok, bits = differing(fps[part], fps[part + step], least, most)
+            if ok.any():
+                part, bits = part[ok], bits[ok]
+                held.append((np.minimum(vids[part], vids[part + step]), np.maximum(vids[part], vids[part + step]), bits))
+                n += len(part)
+                if n > HELD:
+                    held = [thinned()]
+                    n = len(held[0][0]) // 2  # what stays is a forest: at most the rows of a batch
+        step += 1
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v, _ = thinned()
+    return u, v
+
+
+def _links(width: int, least: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: np.ndarray) -> pa.RecordBatch:
+            new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+            u, v = forest(np.cumsum(new), rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), least, most)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
+
+        waiting, n = [], 0
         for batch in batches:
-            word_of = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(1)
-            flat = lists.flatten()
-            fps = flat.field(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, width)
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            a, b = [], []
-            for word in range(width):
-                mine = word_of == word
-                # short lists all at once: the pairs at a distance of 1, 2, ... in the list
-                short = mine & (sizes <= 8)
-                for step in range(1, int(sizes[short].max(initial=0))):
-                    for first in range(int(sizes[short].max(initial=0)) - step):
-                        at = begin[short & (sizes > first + step)] + first
-                        hit = at[close(fps[at], fps[at + step], word, max_bits, total_bits)]
-                        a.append(hit)
-                        b.append(hit + step)
-                for at, n in zip(begin[mine & (sizes > 8)].tolist(), sizes[mine & (sizes > 8)].tolist(), strict=True):
-                    x, y = forest(fps[at : at + n], word, max_bits, total_bits)
-                    a.append(at + np.array(x, np.int64))
-                    b.append(at + np.array(y, np.int64))
-            cols = [flat.take(pa.array(np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64))) for v in (a, b)]
-            yield pa.RecordBatch.from_arrays(cols, ["src", "dst"])
+            waiting.append(np.column_stack([batch.column(i).to_numpy() for i in range(batch.num_columns)]))
+            n += batch.num_rows
+            if n >= ROWS:
+                rows = np.concatenate(waiting)
+                # the last list may go on in the next batch
+                last = (rows[:, :2] != rows[-1, :2]).any(axis=1)
+                cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+                if cut:
+                    yield found(rows[:cut])
+                waiting, n = [rows[cut:]], len(rows) - cut
+        if n:
+            yield found(np.concatenate(waiting))
 
     return run
 
 
-def links(distinct: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
-    """A set of links ``(src, dst)`` with the components of all links.
+def links(vertices: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
+    """Links ``(src, dst)`` of rows (vid, fp, certain) that join what all links join, lightest first.
 
-    ``distinct`` has one row (first, fp) for each ``fp``; links are between such
-    rows, as structs, so the smallest of a component holds its smallest ``first``.
+    Without ``certain``, or with one word, lists hold equal bytes only.
     """
-    total_bits = max_bits if total_bits is None else total_bits
-    keys = []
-    for word in range(width):
-        byte = [F.shiftrightunsigned(F.get("fp", F.lit(word)), 8 * p).bitwiseAND(F.lit(255)) for p in range(8)]
-        for i, positions in enumerate(covering(max_bits)):
-            key = F.lit(i * width + word).cast("long")
-            for p in positions:
-                key = key * 256 + byte[p]
-            keys.append(F.struct(F.lit(word).alias("word"), key.alias("key")))
-    posted = distinct.select(F.struct("first", "fp").alias("item"), F.explode(F.array(*keys)).alias("k")).select("item", "k.word", "k.key")
+    most = max_bits if total_bits is None else total_bits
+    chosen = designs(width, max_bits)
+    turned = width > 1 and "certain" in vertices.columns
+    # what those that meet are known to share
+    least = max(8 * width - most, len(chosen[0]) - turned)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, width)
+            certain = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 8 * width) if turned else None
+            found = keys(fps, chosen, certain)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found.reshape(-1), found.shape[1])], ["vid", "keys"])
+
+    posted = vertices.select("vid", "fp", *["certain"] * turned).mapInArrow(post, "vid long, keys array<long>")
+    posted = stored(posted).select("vid", F.explode("keys").alias("key"))
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = posted.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("item.fp"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = met.select("word", "key", "item", F.explode(pairs).alias("at"))
-    lists = dealt.groupBy("word", "key", "at").agg(F.collect_list("item").alias("items")).filter(F.size("items") > 1).select("word", "items")
-    kind = posted.schema["item"].dataType.simpleString()
-    return lists.mapInArrow(_links(width, max_bits, total_bits), f"src {kind}, dst {kind}")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
-    """``id_col``, ``fingerprint`` and ``component_id``, the smallest id of the document's group."""
-    fps = stored(fingerprints(docs, id_col, text_col, words, width))
-    distinct = stored(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
-    groups = connected_components(links(distinct, width, max_bits, total_bits)).select(F.col("node.fp").alias("fp"), F.col("component.first").alias("group"))
-    by_fp = distinct.join(groups.withColumn("found", F.lit(True)), "fp", "left").select("fp", F.when(F.col("found"), F.col("group")).otherwise(F.col("first")).alias("component_id"))
+    own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.lit(1 << 31) + F.greatest(own, o))
+    dealt = met.select("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "vid")
+    words = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(width)]
+    lists = dealt.join(vertices.select("vid", *words), "vid").select("key", "pair", "vid", *(f"f{w}" for w in range(width)))
+    return lists.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links(width, least, most), "src long, dst long")
+
+
+def confirmed(found: DataFrame, vertices: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+    """The links whose sets of shingles are so similar: each set is read once, for the vertices of links only."""
+    found = stored(found.distinct())
+    ends = found.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+    sets = stored(fps.select("row", "sh").join(ends.join(vertices, "vid").select("vid", F.col("rep").alias("row")), "row").select("vid", "sh"))
+    one, two = (sets.select(F.col("vid").alias(e), F.col("sh").alias(f"{e}_sh")) for e in ("src", "dst"))
+    common = F.size(F.array_intersect("src_sh", "dst_sh"))
+    both = found.join(one, "src").join(two, "dst").select("src", "dst", common.alias("common"), (F.size("src_sh") + F.size("dst_sh")).alias("sizes"))
+    return both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("src", "dst")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None, similarity: float | None = None
+) -> DataFrame:
+    """``id_col``, ``fingerprint`` and ``component_id``, the smallest id of the document's group.
+
+    With ``similarity``, a pair that the index finds links only if the share of
+    common shingles is at least that.
+    """
+    exact = similarity is not None
+    fps = fingerprints(docs, id_col, text_col, words, width, exact).withColumnRenamed(id_col, "id")
+    same = [F.xxhash64("sh").alias("a"), F.xxhash64(F.lit("second"), "sh").alias("b")] if exact else []
+    fps = stored(fps.select(F.monotonically_increasing_id().alias("row"), "*", *same))
+    key = ["fp", "a", "b"] if exact else ["fp"]
+    vertices = stored(fps.groupBy(*key).agg(F.min("id").alias("first"), F.min("row").alias("rep"), F.min("certain").alias("certain")).withColumn("vid", F.monotonically_increasing_id()))
+    found = links(vertices, width, max_bits, total_bits)
+    if exact:
+        found = confirmed(found, vertices, fps, similarity)
+    groups = stored(connected_components(found).join(vertices.select(F.col("vid").alias("node"), "first"), "node"))
+    named = groups.select("node", "component").join(groups.groupBy("component").agg(F.min("first").alias("group")), "component")
+    by_fp = vertices.join(named.select(F.col("node").alias("vid"), "group", F.lit(True).alias("found")), "vid", "left")
+    by_fp = by_fp.select(*key, F.when(F.col("found"), F.col("group")).otherwise(F.col("first")).alias("component_id"))
     # two stored sides: a fingerprint that many documents share is split by the adaptive skew join
     by_fp = stored(by_fp)
     shown = F.array_join(F.transform("fp", lambda f: F.lower(F.lpad(F.hex(f), 16, "0"))), "")
-    return fps.join(by_fp, "fp").select(F.col(id_col), shown.alias("fingerprint"), "component_id")
+    return fps.select("id", *key).join(by_fp, key).select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
