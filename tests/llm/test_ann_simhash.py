@@ -233,11 +233,13 @@ def test_recall_and_precision_of_exact_links(spark):
 def test_sketch_slices(monkeypatch):
     """Borders of the slices in which shingles are hashed, and a text above a megabyte."""
     text = " ".join(str(i * i % 977) for i in range(300_000))
-    whole = simhash.sketch(text, 4, 2, True)
+    texts = [None, "a b", text, "", "a b c d e f", " ".join(text.split()[:900])]
+    whole = simhash.sketches(texts, 4, 2, True)
     assert len(text) > 1 << 20
+    assert [len(set(simhash.sketches([t], 4, 1, True)[2].tolist())) for t in texts] == whole[3].tolist()
     monkeypatch.setattr(simhash, "_STEP", 1000)
-    parts = simhash.sketch(text, 4, 2, True)
-    assert whole[:2] == parts[:2] and (whole[2] == parts[2]).all()
+    parts = simhash.sketches(texts, 4, 2, True)
+    assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
     short = " ".join(text.split()[:2500])
     monkeypatch.setattr(simhash, "_STEP", 7)
     assert simhash.fingerprint(short) == [plain_fingerprint(short)]

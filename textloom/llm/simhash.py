@@ -36,7 +36,7 @@ it all the same; other columns of the input are neither read nor returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.graph import connected_components
-from textloom.session import spread, stored
+from textloom.session import discard, spread, stored
 
 WORDS = 4
 MAX_BITS = 4
@@ -69,41 +69,63 @@ def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sketch(text: str | None, words: int = WORDS, width: int = 1, shingles: bool = False) -> tuple[list[int], bytes, np.ndarray | None]:
-    """The SimHash of the word shingles of a whole text, ``width`` times 64 bits; how
-    certain its bytes are; and, if asked for, its distinct shingles as sorted 32-bit hashes.
+def sketches(texts: list[str | None], words: int = WORDS, width: int = 1, shingles: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
+    """The SimHashes of the word shingles of whole texts, ``width`` times 64 bits a row; how
+    certain their bytes are; and, if asked for, the distinct shingles of all texts as sorted
+    32-bit hashes, text by text, with the number of each text's.
 
-    The second has, by positional byte, its rank among all by how close its closest
-    vote was, times 8, plus the bit of that vote.
+    The second has, by positional byte, its rank among all of the row by how close its
+    closest vote was, times 8, plus the bit of that vote. Shingles are hashed ``_STEP`` at
+    a time, of one text or of many.
     """
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return [0] * width, bytes(range(0, 64 * width, 8)), np.zeros(0, np.int32) if shingles else None
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    ends = np.cumsum(lengths)
-    joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
-    starts = (ends - lengths)[:n].tolist()
-    stops = (ends[min(words, len(tokens)) - 1 :] - 1)[:n].tolist()
-    digest, ones, distinct = xxhash.xxh64_digest, np.zeros((width, 64), np.int64), []
-    for at in range(0, n, _STEP):
-        got = b"".join([digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)])
-        hashes = np.frombuffer(got, ">u8").astype(np.uint64)
+    ones, total = np.zeros((len(texts), width * 64), np.int64), np.zeros(len(texts), np.int64)
+    distinct, waiting, spans, held = [], [], [], 0
+
+    def count() -> None:
+        nonlocal waiting, spans, held
+        hashes = np.frombuffer(b"".join(waiting), ">u8").astype(np.uint64)
+        rows, sizes = np.array(spans).T
+        starts = np.cumsum(sizes) - sizes
         for k in range(width):
             bits = np.unpackbits(mixed(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones[k] += bits.sum(axis=0, dtype=np.int64)
+            np.add.at(ones[:, 64 * k : 64 * k + 64], rows, np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
         if shingles:
-            distinct.append(np.unique(hashes.astype(np.uint32)))
-    found = np.unique(np.concatenate(distinct)).view(np.int32) if shingles else None
+            distinct.append(np.unique(np.repeat(rows.astype(np.uint64) << np.uint64(32), sizes) | (hashes & np.uint64(0xFFFFFFFF))))
+        waiting, spans, held = [], [], 0
+
+    digest = xxhash.xxh64_digest
+    for row, text in enumerate(texts):
+        tokens = (text or "").encode().lower().split()
+        if not tokens:
+            continue
+        joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
+        ends = list(accumulate(len(t) + 1 for t in tokens))
+        starts, stops = [0, *ends[: n - 1]], ends[min(words, len(tokens)) - 1 :]
+        total[row] = n
+        for at in range(0, n, _STEP):
+            got = [digest(joined[i : j - 1], SEED) for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)]
+            waiting += got
+            spans.append((row, len(got)))
+            held += len(got)
+            if held >= _STEP:
+                count()
+    if held:
+        count()
+    set_bits = 2 * ones > total[:, None]
+    fps = np.packbits(set_bits, axis=1).view(">u8").astype(np.uint64).reshape(len(texts), width)
     # bytes from the lowest, as they are posted, and bits in them likewise
-    votes = np.abs(2 * ones - n)[:, ::-1].reshape(8 * width, 8)
-    weakest = votes.argmin(axis=1)
-    rank = votes.min(axis=1).argsort(kind="stable").argsort(kind="stable")
-    certain = (rank.clip(max=31) * 8 + weakest).astype(np.uint8).tobytes()
-    return [int.from_bytes(np.packbits(2 * o > n).tobytes(), "big") for o in ones], certain, found
+    votes = np.abs(2 * ones - total[:, None]).reshape(len(texts), width, 64)[:, :, ::-1].reshape(len(texts), 8 * width, 8)
+    rank = votes.min(axis=2).argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+    certain = (rank.clip(max=31) * 8 + votes.argmin(axis=2)).astype(np.uint8)
+    if not shingles:
+        return fps, certain, None, None
+    found = np.unique(np.concatenate([*distinct, np.zeros(0, np.uint64)]))
+    sizes = np.bincount((found >> np.uint64(32)).astype(np.int64), minlength=len(texts))
+    return fps, certain, found.astype(np.uint32).view(np.int32), sizes
 
 
 def fingerprint(text: str | None, words: int = WORDS, width: int = 1) -> list[int]:
-    return sketch(text, words, width)[0]
+    return sketches([text], words, width)[0][0].tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1, shingles: bool = False) -> DataFrame:
@@ -115,15 +137,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for big in batches:
             for at in range(0, big.num_rows, TEXTS):
                 batch = big.slice(at, TEXTS)
-                made = [sketch(t.as_py(), words, width, shingles) for t in batch.column(1)]
-                got = np.array([m[0] for m in made], np.uint64).reshape(-1)
-                cols = [batch.column(0), _lists(got.view(np.int64), width), pa.array([m[1] for m in made], pa.binary())]
-                names = ["id", "fp", "certain"]
+                fps, certain, found, sizes = sketches(batch.column(1).to_pylist(), words, width, shingles)
+                cols = [batch.column(0), _lists(fps.view(np.int64).reshape(-1), width), pa.array([c.tobytes() for c in certain], pa.binary())]
                 if shingles:
-                    ends = np.cumsum([0, *(len(m[2]) for m in made)])
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([m[2] for m in made]))))
-                    names.append("sh")
-                yield pa.RecordBatch.from_arrays(cols, names)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(found)))
+                yield pa.RecordBatch.from_arrays(cols, ["id", "fp", "certain", "sh"][: len(cols)])
 
     read = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return spread(read).mapInArrow(run, schema).withColumnRenamed("id", id_col)
@@ -272,7 +290,7 @@ def _links(width: int, least: int, most: int):
 
 
 def links(vertices: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
-    """Links ``(src, dst)`` of rows (vid, fp, certain) that join what all links join, lightest first.
+    """A stored table of links ``(src, dst)`` of rows (vid, fp, certain) that join what all links join, lightest first.
 
     Without ``certain``, or with one word, lists hold equal bytes only.
     """
@@ -290,26 +308,31 @@ def links(vertices: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_b
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists(found.reshape(-1), found.shape[1])], ["vid", "keys"])
 
     posted = vertices.select("vid", "fp", *["certain"] * turned).mapInArrow(post, "vid long, keys array<long>")
-    posted = stored(posted).select("vid", F.explode("keys").alias("key"))
+    lists = stored(posted)
+    posted = lists.select("vid", F.explode("keys").alias("key"))
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = posted.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.lit(1 << 31) + F.greatest(own, o))
     dealt = met.select("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "vid")
     words = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(width)]
-    lists = dealt.join(vertices.select("vid", *words), "vid").select("key", "pair", "vid", *(f"f{w}" for w in range(width)))
-    return lists.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links(width, least, most), "src long, dst long")
+    met = dealt.join(vertices.select("vid", *words), "vid").select("key", "pair", "vid", *(f"f{w}" for w in range(width)))
+    found = met.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links(width, least, most), "src long, dst long")
+    found = stored(found.distinct())
+    discard(lists)
+    return found
 
 
-def confirmed(found: DataFrame, vertices: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
+def confirmed(found: DataFrame, vertices: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """The links whose sets of shingles are so similar: each set is read once, for the vertices of links only."""
-    found = stored(found.distinct())
     ends = found.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
-    sets = stored(fps.select("row", "sh").join(ends.join(vertices, "vid").select("vid", F.col("rep").alias("row")), "row").select("vid", "sh"))
+    sets = stored(shingles.join(ends.join(vertices, "vid").select("vid", F.col("rep").alias("row")), "row").select("vid", "sh"))
     one, two = (sets.select(F.col("vid").alias(e), F.col("sh").alias(f"{e}_sh")) for e in ("src", "dst"))
     common = F.size(F.array_intersect("src_sh", "dst_sh"))
     both = found.join(one, "src").join(two, "dst").select("src", "dst", common.alias("common"), (F.size("src_sh") + F.size("dst_sh")).alias("sizes"))
-    return both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("src", "dst")
+    alike = stored(both.filter(F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).select("src", "dst"))
+    discard(sets, found)
+    return alike
 
 
 def near_duplicates(
@@ -321,19 +344,22 @@ def near_duplicates(
     common shingles is at least that.
     """
     exact = similarity is not None
-    fps = fingerprints(docs, id_col, text_col, words, width, exact).withColumnRenamed(id_col, "id")
+    wide = fingerprints(docs, id_col, text_col, words, width, exact).withColumnRenamed(id_col, "id")
     same = [F.xxhash64("sh").alias("a"), F.xxhash64(F.lit("second"), "sh").alias("b")] if exact else []
-    fps = stored(fps.select(F.monotonically_increasing_id().alias("row"), "*", *same))
+    wide = stored(wide.select(F.monotonically_increasing_id().alias("row"), "*", *same))
     key = ["fp", "a", "b"] if exact else ["fp"]
-    vertices = stored(fps.groupBy(*key).agg(F.min("id").alias("first"), F.min("row").alias("rep"), F.min("certain").alias("certain")).withColumn("vid", F.monotonically_increasing_id()))
+    fps = stored(wide.select("id", *key))
+    vertices = stored(wide.groupBy(*key).agg(F.min("id").alias("first"), F.min("row").alias("rep"), F.min("certain").alias("certain")).withColumn("vid", F.monotonically_increasing_id()))
     found = links(vertices, width, max_bits, total_bits)
     if exact:
-        found = confirmed(found, vertices, fps, similarity)
+        found = confirmed(found, vertices, wide.select("row", "sh"), similarity)
+    discard(wide)
     groups = stored(connected_components(found).join(vertices.select(F.col("vid").alias("node"), "first"), "node"))
     named = groups.select("node", "component").join(groups.groupBy("component").agg(F.min("first").alias("group")), "component")
     by_fp = vertices.join(named.select(F.col("node").alias("vid"), "group", F.lit(True).alias("found")), "vid", "left")
     by_fp = by_fp.select(*key, F.when(F.col("found"), F.col("group")).otherwise(F.col("first")).alias("component_id"))
     # two stored sides: a fingerprint that many documents share is split by the adaptive skew join
     by_fp = stored(by_fp)
+    discard(found, groups, vertices)
     shown = F.array_join(F.transform("fp", lambda f: F.lower(F.lpad(F.hex(f), 16, "0"))), "")
-    return fps.select("id", *key).join(by_fp, key).select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
+    return fps.join(by_fp, key).select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
