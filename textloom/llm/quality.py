@@ -33,7 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import stored
+from textloom.session import discard, stored
 
 #: White space of the word rule: blank, and tab to carriage return.
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -82,7 +82,7 @@ def normalised(line: Column) -> Column:
 
 
 def frequent_lines(measured: DataFrame, limits: Limits) -> DataFrame:
-    """(host, line) above the limits, of rows (host, doc, lines)."""
+    """A stored table of the (host, line) above the limits, of rows (host, doc, lines)."""
     sets = measured.select("host", "doc", F.expr("array_distinct(transform(lines, l -> l.line))").alias("set"))
     sets = stored(sets.groupBy("host", "doc").agg(F.first("set").alias("set")))
     each = sets.select("host", "doc", F.explode("set").alias("line"))
@@ -94,41 +94,50 @@ def frequent_lines(measured: DataFrame, limits: Limits) -> DataFrame:
     left = hits.join(sets, ["host", "doc"]).select("host", "line", F.ceil(F.col("n") / size).alias("buckets"), F.struct("doc", "set").alias("x"))
     copies = f"size(array_intersect(a.set, x.set)) > {limits.copy_share} * greatest(size(a.set), size(x.set))"
     pick = f"aggregate(xs, slice(xs, 1, 0), (p, x) -> CASE WHEN size(p) > {limits.max_docs} OR exists(p, a -> {copies}) THEN p ELSE concat(p, array(x)) END)"
-    above, buckets = None, -(-most // size)
+    above, buckets, rounds_ = None, -(-most // size), []
     while True:
         bucket = F.pmod("x.doc", F.col("buckets")).alias("bucket")
         rounds = left.groupBy("host", "line", "buckets", bucket).agg(F.sort_array(F.collect_list("x")).alias("xs"))
         picked = stored(rounds.select("host", "line", "buckets", F.expr(pick).alias("p")))
         full = picked.filter(F.size("p") > limits.max_docs).select("host", "line")
         above = full if above is None else above.union(full)
+        rounds_.append(picked)
         if buckets <= 1:
-            return above.distinct()
+            above = stored(above.distinct())
+            discard(sets, hits, *rounds_)
+            return above
         left = picked.select("host", "line", F.ceil(F.col("buckets") / 6).alias("buckets"), F.explode("p").alias("x"))
         buckets = -(-buckets // 6)
 
 
-def _measured(docs: DataFrame, keep: list[str], host_col: str, text_col: str) -> DataFrame:
-    named = docs.select(
+def _keyed(docs: DataFrame, keep: list[str], host_col: str, text_col: str) -> DataFrame:
+    """``keep`` under names that don't clash, with the text, its host and 128 bits that know it."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(
         *[F.col(f"`{c}`").alias(_KEEP + c) for c in keep],
         F.coalesce(F.xxhash64(F.col(f"`{host_col}`")), F.lit(0)).alias("host"),
-        F.col(f"`{text_col}`").alias("__text"),
-        F.xxhash64(F.col(f"`{text_col}`")).alias("doc"),
+        text.alias("__text"),
+        F.xxhash64(text).alias("doc"),
+        F.xxhash64(F.lit("second"), text).alias("doc2"),
     )
-    return stored(statistics(named, "__text").drop("__text").withColumn("row", F.monotonically_increasing_id()))
+
+
+def _failed(limits: Limits) -> Column:
+    return (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", limits: Limits | None = None) -> DataFrame:
     """Statistics and verdict of every document: ``id_col``, the counts, ``base_failed``, ``kept``, ``removed_words``."""
     limits = limits or Limits()
-    measured = _measured(docs, [id_col], host_col, text_col)
+    measured = statistics(_keyed(docs, [id_col], host_col, text_col), "__text").drop("__text", "doc2")
+    measured = stored(measured.withColumn("row", F.monotonically_increasing_id()))
     each = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
     above = frequent_lines(measured, limits)
     hits = each.select("row", "host", "line", "words").join(above, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
-    failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
     measured = measured.withColumnRenamed(_KEEP + id_col, id_col)
     out = measured.drop("lines", "host", "doc").join(hits, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long"))
-    out = out.withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~failed & (F.col("n_words") - F.col("removed_words") >= limits.min_left * F.col("n_words")))
+    out = out.withColumn("base_failed", _failed(limits))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= limits.min_left * F.col("n_words")))
     return out.select(F.col(f"`{id_col}`"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
@@ -136,17 +145,25 @@ def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", l
     """The documents that are kept, without the lines above the limits; same columns.
 
     Lines that go take their line feed along; a text without such lines is left
-    as it is.
+    as it is. A verdict depends on host and text alone, so verdicts are stored
+    for distinct texts, only where something goes, and no text is stored twice.
     """
     limits = limits or Limits()
-    measured = _measured(docs, docs.columns, host_col, text_col)
-    each = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.*")
-    hits = each.select("row", "host", "line", "words").join(frequent_lines(measured, limits), ["host", "line"])
-    hits = hits.groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
-    failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
-    left = measured.filter(~failed).select("row", "n_words", *[f"`{_KEEP}{c}`" for c in docs.columns]).join(hits, "row", "left")
-    left = left.filter(F.col("n_words") - F.coalesce("removed_words", F.lit(0)) >= limits.min_left * F.col("n_words"))
+    keyed = _keyed(docs, docs.columns, host_col, text_col)
+    # the counts of one text are equal, so any row may give them
+    measured = statistics(keyed.select("host", "doc", "doc2", "__text"), "__text").groupBy("host", "doc", "doc2")
+    measured = stored(measured.agg(*[F.first(c).alias(c) for c in ("n_words", "n_repeat_words", "lines")]))
+    above = frequent_lines(measured, limits)
+    each = measured.select("host", "doc", "doc2", F.explode("lines").alias("l")).select("host", "doc", "doc2", "l.*")
+    hits = each.join(above, ["host", "line"]).groupBy("host", "doc", "doc2").agg(F.sum("words").alias("removed_words"), F.collect_set("line").alias("removed"))
+    found = measured.drop("lines").join(hits, ["host", "doc", "doc2"], "left")
+    left = F.col("n_words") - F.coalesce("removed_words", F.lit(0))
+    found = found.select("host", "doc", "doc2", (_failed(limits) | (left < limits.min_left * F.col("n_words"))).alias("goes"), "removed")
+    found = stored(found.filter(F.col("goes") | F.col("removed").isNotNull()))
+    discard(measured, above)
+    # each line is dealt with by its own hash, so nothing but hashes was stored
+    rest = keyed.drop("__text").join(found, ["host", "doc", "doc2"], "left").filter(~F.coalesce("goes", F.lit(False)))
     text = F.col(f"`{_KEEP}{text_col}`")
     kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x))))
-    left = left.withColumn(f"{_KEEP}{text_col}", F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(text))
-    return left.select(*[F.col(f"`{_KEEP}{c}`").alias(c) for c in docs.columns])
+    rest = rest.withColumn(f"{_KEEP}{text_col}", F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(text))
+    return rest.select(*[F.col(f"`{_KEEP}{c}`").alias(c) for c in docs.columns])
