@@ -89,8 +89,45 @@ def test_udfs(spark):
     assert [g[0] for g in got] == ["wicasta", "", "", "abcdef"]
     assert [g[1] for g in got] == [True, False, False, True]
     assert [g[2] for g in got] == [0.0] * 4
-    one = df.limit(1).select(udfs.strip_leak(F.lit("Pattern: p\nExamples:\n - kin\nGo"), F.lit("kin"), F.lit("zz")), udfs.pattern_score(F.lit("it has p[x here"), F.lit("rule: p[x"))).first()
-    assert tuple(one) == ("Pattern: (hidden)\nGo", 1.0)
+    one = df.limit(1).select(X.hide_leak(F.lit("Rule\nPattern: zz\nExamples:\n - kin\nGo"), F.lit("kin"), F.lit("zz")), udfs.pattern_score(F.lit("it has p[x here"), F.lit("rule: p[x"))).first()
+    assert tuple(one) == ("Rule\nPattern: [hidden]\nGo", 1.0)
+
+
+def test_hide_leak_and_stems_against_plain_versions(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    parts = ["Rule\n", "Pattern: kin\n", "pattern:  KIN \n", "Pattern: b\n", "\nExamples:\n", " - kin\n", "- other\n", "\t-Kin\n", "kin ", "Do it", "\n\n", "k.n", "Pattern: x\\Ey\n"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))), rng.choice(["kin", " ", None, "k.n", "x\\Ey"]), rng.choice(["b", "kin ", None])) for _ in range(300)]
+
+    def plain(text, *said):
+        needles = [n.strip() for n in said if n and n.strip()]
+        out, at = "", 0
+        for m in re.finditer(r"\n+Examples:\n(?:[ \t]*-[ \t]*.+\n?)+", text):
+            out += text[at : m.start()] + ("\n" if any(n in m[0] for n in needles) else m[0])
+            at = m.end()
+        out += text[at:]
+        for n in needles:
+            if len(n) > 1:
+                out = re.sub(rf"(?im)^Pattern:\s*{re.escape(n)}\s*$", "Pattern: [hidden]", out)
+        return out.strip()
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p string, g string, t string").repartition(1)
+    got = [r[0] for r in df.orderBy("i").select(X.hide_leak(F.col("p"), F.col("g"), F.col("t"))).collect()]
+    assert got == [plain(p, g, t) for p, g, t in rows]
+
+    def stem(a, b):
+        run = any(a[i : i + 4] in b for i in range(len(a) - 3))
+        part = any(len(x) > 2 and x in y for x, y in ((a, b), (b, a)))
+        cut = any(b.startswith(p) and len(b) > len(p) + 2 and len(a) > 2 and (a in b[len(p) :] or b[len(p) :] in a) for p in udfs.STEM_PREFIXES)
+        return bool(a and b) and (run or part or cut)
+
+    words = ["".join(rng.choice("wotakin") for _ in range(rng.randint(0, 7))) for _ in range(400)]
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(pairs)], "i int, a string, b string").repartition(1)
+    got = [r[0] for r in df.orderBy("i").select(udfs.shares_stem(F.col("a"), F.col("b"))).collect()]
+    assert got == [stem(a, b) for a, b in pairs] and 100 < sum(got) < 1400
 
 
 def test_edit_mining_finds_all_pairs(spark, tmp_path):

@@ -245,21 +245,91 @@ def qa_score(answer: Column, gold: Column) -> Column:
     return weighted(qa_parts(answer, gold), QA_WEIGHTS)
 
 
-def mcq_score(answer: Column, correct: Column, brief: int = 40) -> Column:
-    """0.9 for the letter and 0.1 for a brief answer."""
-    return 0.9 * _flag(X.extract_option(answer) == F.upper(correct)) + 0.1 * _flag(F.length(F.trim(X.text(answer))) <= brief)
+def mcq_score(answer: Column, correct: Column, lines: int = 3) -> Column:
+    """0.9 for the letter and 0.1 if what was parsed, a letter or nothing, has no more than so many lines that aren't blank."""
+    return X.let(X.extract_option(answer), lambda said: 0.9 * _flag(said == F.upper(F.trim(correct))) + 0.1 * _flag(F.size(F.filter(F.split(said, "\n"), lambda x: F.trim(x) != "")) <= lines))
 
 
-def five_part_score(answer: Column, gold: Column, affixes: Column, pattern: Column, difficulty: Column) -> Column:
-    parts = {"semantic": word_overlap(answer, gold), "char": char_f1(answer, gold), "pattern": pattern, "affix": affix_score(answer, gold, affixes), "length": length_penalty(answer, gold, 8.0)}
-    return weighted(parts, FIVE_PART_WEIGHTS) * difficulty_weight(difficulty)
+def shown_affixes(answer: Column, affixes: Column) -> Column:
+    """Share of the affixes that stand in the answer where their hyphen says: at a word's end, at its start, or anywhere; 1 if none is asked for."""
+    bare = lambda a: F.regexp_replace(a, "^-+|-+$", "")
+    quoted = lambda a: F.concat(F.lit(r"\Q"), F.replace(bare(a), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    ends, starts = lambda a: a.startswith("-") & ~a.endswith("-"), lambda a: a.endswith("-") & ~a.startswith("-")
+    word = r"[\p{L}\p{N}_]"
+    hit = lambda a: (
+        F.when(ends(a), F.rlike(X.text(answer), F.concat(F.lit(word + "+"), quoted(a), F.lit(f"(?!{word})"))))
+        .when(starts(a), F.rlike(X.text(answer), F.concat(F.lit(f"(?<!{word})"), quoted(a), F.lit(word + "+"))))
+        .otherwise(F.contains(X.text(answer), bare(a)))
+    )
+    return _share(F.filter(affixes, hit), affixes)
 
 
-def adaptive_score(task: Column, answer: Column, gold: Column, affixes: Column, difficulty: Column) -> Column:
-    """Weights of characters, affixes and meaning by task, times difficulty."""
-    char, affix, meaning = char_f1(answer, gold), affix_score(answer, gold, affixes), word_overlap(answer, gold)
-    base = F.when(task == "morphology", 0.4 * char + 0.4 * affix + 0.2 * meaning).when(task.endswith("translation"), 0.3 * char + 0.7 * meaning).otherwise(0.4 * char + 0.2 * affix + 0.4 * meaning)
-    return base * difficulty_weight(difficulty)
+def _share(found: Column, asked: Column) -> Column:
+    return F.when(F.coalesce(F.size(asked), F.lit(0)) > 0, F.size(found) / F.size(asked)).otherwise(1.0)
+
+
+def shown_letters(answer: Column, letters: Column) -> Column:
+    """Share of the expected marked letters that the answer has; 1 if none is expected."""
+    wanted = F.array_distinct(letters)
+    return _share(F.array_intersect(wanted, F.regexp_extract_all(X.text(answer), F.lit(f"([{X.EXPECTED_LETTERS}])"), 1)), wanted)
+
+
+def _words_of(c: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(c, r"(?U)\s+"), lambda t: t != ""))
+
+
+def meaning(answer: Column, gold: Column) -> Column:
+    """1 if the answer holds the gold, else the share of the gold's distinct words; 1 if it has none."""
+    a, g = X.normalize_ws(answer), X.normalize_ws(gold)
+    share = lambda v: F.size(F.array_intersect(_words_of(v["a"]), _words_of(v["g"]))) / F.size(_words_of(v["g"]))
+    return X.let(F.struct(a.alias("a"), g.alias("g")), lambda v: F.when((v["g"] == "") | F.contains(v["a"], v["g"]), 1.0).otherwise(share(v)))
+
+
+def hinted(answer: Column, pattern: Column, found: Column, hints: Column) -> Column:
+    """1 if the pattern was found, else the share of hints that the answer has; 1 where nothing is asked for."""
+    some = F.coalesce(F.size(hints), F.lit(0)) > 0
+    covered = F.size(F.filter(hints, lambda h: F.contains(F.lower(X.text(answer)), F.lower(h)))) / F.size(hints)
+    return F.when(found == 1.0, 1.0).when(some, covered).when(X.text(pattern) == "", 1.0).otherwise(0.0)
+
+
+def length_quality(answer: Column, gold: Column, ratio: float = 8.0, least: int = 2) -> Column:
+    """0 for fewer than two characters, 1 up to ``ratio`` times the gold, then shrinking."""
+    n, g = F.length(X.strip_ws(answer)), F.length(X.strip_ws(gold))
+    return F.when(n < least, 0.0).when((g > 0) & (n > ratio * g), ratio * g / n).otherwise(1.0)
+
+
+def five_part_score(answer: Column, gold: Column, affixes: Column, pattern: Column, found: Column, hints: Column, difficulty: Column) -> Column:
+    """Meaning, characters, pattern (``found``: 1 or 0, of `udfs.pattern_score`) or hints, affixes and length, times difficulty."""
+    parts = {"semantic": meaning(answer, gold), "char": char_f1(answer, gold), "pattern": hinted(answer, pattern, found, hints), "affix": shown_affixes(answer, affixes), "length": length_quality(answer, gold)}
+    return weighted(parts, FIVE_PART_WEIGHTS) * difficulty_weight(F.coalesce(difficulty, F.lit("medium")))
+
+
+# Weights of marked letters, affixes and meaning by task; any other task has the last.
+ADAPTIVE_WEIGHTS = {
+    "morphology": (0.4, 0.4, 0.2),
+    "word_translation": (0.3, 0.0, 0.7),
+    "sentence_translation": (0.3, 0.0, 0.7),
+    "reverse_translation": (0.5, 0.0, 0.5),
+    "": (0.33, 0.33, 0.34),
+}
+
+
+def adaptive_score(task: Column, answer: Column, gold: Column, letters: Column, affixes: Column, difficulty: Column) -> Column:
+    """Expected letters, affixes and meaning, weighted by task, times difficulty.
+
+    The meaning is 1 if the answer holds the gold; else the share of the gold's
+    words in a translation of a word or sentence, and 0 in other tasks.
+    """
+    a, g = (F.lower(X.strip_ws(c)) for c in (answer, gold))
+    words = X.let(_words_of(g), lambda ws: F.when(F.size(ws) > 0, F.size(F.array_intersect(ws, _words_of(a))) / F.size(ws)).otherwise(0.0))
+    held = F.when((g != "") & F.contains(a, g), 1.0).when(task.isin("word_translation", "sentence_translation"), words).otherwise(0.0)
+    both = F.struct(shown_letters(answer, letters).alias("c"), shown_affixes(answer, affixes).alias("x"), held.alias("m"))
+
+    def base(v: Column) -> Column:
+        by = {kind: w[0] * v["c"] + w[1] * v["x"] + w[2] * v["m"] for kind, w in ADAPTIVE_WEIGHTS.items()}
+        return reduce(lambda rest, kind: F.when(task == kind, by[kind]).otherwise(rest), [k for k in by if k], by[""])
+
+    return X.let(both, base) * difficulty_weight(difficulty)
 
 
 def binary_rubric(score_: Column, threshold: float = 0.95) -> Column:
@@ -267,10 +337,14 @@ def binary_rubric(score_: Column, threshold: float = 0.95) -> Column:
 
 
 def curriculum_rubric(score_: Column, level: Column, student: Column) -> Column:
-    """A tenth more for each level above the student's."""
-    return score_ * (1.0 + 0.1 * F.greatest(level - student, F.lit(0)))
+    """A tenth on top for each level above the student's."""
+    return score_ + 0.1 * F.greatest(level - student, F.lit(0))
 
 
-def single_turn_check(answer: Column, gold: Column, affixes: Column) -> Column:
-    """Exact, or nearly so in characters and affixes."""
-    return (exact_match(answer, gold) == 1.0) | ((char_f1(answer, gold) > 0.9) & (affix_score(answer, gold, affixes) > 0.9))
+def single_turn_check(answer: Column, gold: Column, letters: Column, affixes: Column) -> Column:
+    """Equal but for case, or more than nine in ten of the expected letters and of the affixes, wherever they stand."""
+    bare = lambda a: F.regexp_replace(a, "^-+|-+$", "")
+    same = F.lower(X.strip_ws(answer)) == F.lower(X.strip_ws(gold))
+    distinct = F.array_intersect(letters, F.regexp_extract_all(X.text(answer), F.lit(f"([{X.EXPECTED_LETTERS}])"), 1))
+    held = _share(F.filter(affixes, lambda a: F.contains(X.text(answer), bare(a))), affixes)
+    return same | ((_share(distinct, letters) > 0.9) & (held > 0.9))

@@ -45,6 +45,8 @@ META_NOUNS = "village tense verbs variety".split()
 META_GLOSS = "word verb noun tense prefix suffix particle grammatical sentence pronoun adjective adverb conjunction syntax morphology phonology plural singular animate inanimate orthograph".split()
 #: Letters that mark a transcribed form.
 SPECIAL = "ćšŋḣṡǧźžčśġṭḳṗʼ"
+# The letters that a task may expect.
+EXPECTED_LETTERS = "ćšŋḣṡáéíóúķśṅźėčžʼ"
 #: How much a task of a difficulty counts.
 DIFFICULTY_WEIGHTS = {"basic": 1.0, "easy": 1.0, "intermediate": 1.2, "medium": 1.2, "advanced": 1.5, "hard": 1.5, "expert": 2.0}
 
@@ -76,6 +78,10 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))
 
 
+def strip_ws(c: Column) -> Column:
+    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+
+
 def normalize_ws(c: Column) -> Column:
     return collapse(F.lower(text(c)))
 
@@ -406,6 +412,23 @@ def version_tuple(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.regexp_extract(text(c), r"^([0-9.]*)", 1), F.lit("([0-9]+)"), 1), lambda p: p.cast("int"))
 
 
+def hide_leak(prompt: Column, gold: Column, pattern: Column) -> Column:
+    """A prompt without what gives its gold or pattern away.
+
+    A block of examples that holds one of them goes; a pattern line that is one of
+    two letters or more is hidden. Without either the prompt is only stripped.
+    """
+    needles = F.filter(F.transform(F.array(gold, pattern), strip_ws), lambda n: n != "")
+    block = r"(?d)\n+Examples:\n(?:[ \t]*-[ \t]*.+\n?)+"
+    told = F.regexp_extract_all(text(prompt), F.lit(block), 0)
+    kept = F.transform(told, lambda b: F.when(F.exists(needles, lambda n: F.contains(b, n)), F.lit("\n")).otherwise(b))
+    between = F.split(text(prompt), block, -1)
+    rest = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(kept, i), F.lit("")))), "")
+    line = lambda n: F.concat(F.lit(r"(?imud)^Pattern:(?U:\s*)\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?U:\s*)$"))
+    hidden = F.aggregate(F.filter(needles, lambda n: F.length(n) >= 2), rest, lambda t, n: F.regexp_replace(t, line(n), F.lit("Pattern: [hidden]")))
+    return strip_ws(hidden)
+
+
 def sha_bucket(c: Column) -> Column:
     """sha256 as a number, modulo ten (16^k leaves 6 for k >= 1)."""
     h = F.sha2(text(c), 256)

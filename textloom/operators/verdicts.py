@@ -146,9 +146,17 @@ def multi_turn(rows: DataFrame, conv: str, turn: str, ok: Column, most: int = 3)
     return df.groupBy(conv).agg(F.coalesce(first, F.max("attempt")).alias("attempts"), first.isNotNull().alias("solved"))
 
 
+# What a step counts by its difficulty; any other counts once.
+STEP_WEIGHTS = {"easy": 1.0, "medium": 1.5, "hard": 2.0}
+
+
 def step_reward(valid: Column, accuracy: Column, difficulty: Column, first_of_category: Column) -> Column:
-    """Validity and accuracy times difficulty, and a bonus for a category not seen before."""
-    return (0.3 * F.when(valid, 1.0).otherwise(0.0) + 0.7 * accuracy) * difficulty + F.when(first_of_category, 0.1).otherwise(0.0)
+    """1 and the accuracy for a valid step, times difficulty, and 0.5 for a category not seen before."""
+    level = F.coalesce(difficulty, F.lit("medium"))
+    times = F.lit(1.0)
+    for name, weight in STEP_WEIGHTS.items():
+        times = F.when(level == name, weight).otherwise(times)
+    return F.when(valid, 1.0 + accuracy).otherwise(0.0) * times + F.when(first_of_category, 0.5).otherwise(0.0)
 
 
 def model_card_checks(cards: DataFrame, text: str, sections: list[str]) -> DataFrame:

@@ -142,7 +142,7 @@ def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.substring_index("text", "\n", 1)
     d = table(spark, sf_dir, "documents").select("doc_id", head.alias("head"), F.lag(head).over(Window.partitionBy("lang").orderBy("doc_id")).alias("other"))
     prompt = F.concat(F.lit("Pattern: x\nExamples:\n - "), F.col("head"), F.lit("\nDo it"))
-    return d.select("doc_id", udfs.nfc("head").alias("nfc"), udfs.nfkc("head").alias("nfkc"), udfs.fold_letters("head").alias("folded"), udfs.shares_stem(F.coalesce("other", F.lit("")), F.col("head")).alias("stem"), udfs.diacritic_preservation(F.col("head"), F.coalesce("other", F.lit(""))).alias("marks"), udfs.strip_leak(prompt, F.col("head"), F.lit("x")).alias("prompt"), udfs.stable_id("task_")(F.col("head"), F.col("doc_id"), F.col("head"), F.lit("r")).alias("id"))
+    return d.select("doc_id", udfs.nfc("head").alias("nfc"), udfs.nfkc("head").alias("nfkc"), udfs.fold_letters("head").alias("folded"), udfs.shares_stem(F.coalesce("other", F.lit("")), F.col("head")).alias("stem"), udfs.diacritic_preservation(F.col("head"), F.coalesce("other", F.lit(""))).alias("marks"), X.hide_leak(prompt, F.col("head"), F.lit("x")).alias("prompt"), udfs.stable_id("task_")(F.col("head"), F.col("doc_id"), F.col("head"), F.lit("r")).alias("id"))
 
 
 @query("""
