@@ -336,12 +336,13 @@ def common_prefix_len(a: Column, b: Column) -> Column:
 
 def single_edit(a: Column, b: Column) -> Column:
     """Struct (old, new, pos): what differs after the common prefix and suffix."""
-    pre = common_prefix_len(a, b)
-    ra, rb = F.reverse(F.substring(a, pre + 1, F.length(a))), F.reverse(F.substring(b, pre + 1, F.length(b)))
-    suf = common_prefix_len(ra, rb)
-    old = F.substring(a, pre + 1, F.length(a) - pre - suf)
-    new = F.substring(b, pre + 1, F.length(b) - pre - suf)
-    return F.struct(old.alias("old"), new.alias("new"), pre.alias("pos"))
+
+    def after_prefix(v: Column) -> Column:
+        rest = lambda c: F.substring(c, v["pre"] + 1, F.length(c))
+        tails = F.struct(rest(v["a"]).alias("a"), rest(v["b"]).alias("b"))
+        return let(tails, lambda r: let(common_prefix_len(F.reverse(r["a"]), F.reverse(r["b"])), lambda suf: F.struct(F.left(r["a"], F.length(r["a"]) - suf).alias("old"), F.left(r["b"], F.length(r["b"]) - suf).alias("new"), v["pre"].alias("pos"))))
+
+    return let(F.struct(a.alias("a"), b.alias("b"), common_prefix_len(a, b).alias("pre")), after_prefix)
 
 
 def is_placeholder(c: Column) -> Column:

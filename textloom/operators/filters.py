@@ -16,8 +16,8 @@ POS_NAMES = {
 }
 
 
-#: Edits that `candidate_counts` takes.
-MAX_EDITS = 10_000
+#: Edits that `candidate_counts` applies to a headword at once.
+EDITS_AT_ONCE = 10_000
 
 
 def by_confidence(rows: DataFrame, col: str, least: float) -> DataFrame:
@@ -57,13 +57,14 @@ def translation_pair(entry: Column, word: Column, gloss: Column) -> Column:
 
 
 def candidate_counts(forms: DataFrame, head: str, edits: DataFrame) -> DataFrame:
-    """Per headword, how many distinct forms the edits (old, new) can build: a small, mined list of edits.
+    """Per headword, how many distinct forms the edits (old, new) can build.
 
-    The list goes to every task: more than ``MAX_EDITS`` are refused. Every occurrence of ``old`` may become ``new``; an empty ``old`` is an insertion at every place.
+    Every occurrence of ``old`` may become ``new``; an empty ``old`` is an insertion at
+    every place. Edits are a small, mined list; they meet the headwords in chunks.
     """
-    if edits.limit(MAX_EDITS + 1).count() > MAX_EDITS:
-        raise ValueError(f"more than {MAX_EDITS} edits")
-    pairs = F.broadcast(edits.agg(F.collect_list(F.struct("old", "new")).alias("edits")))
+    chunks = -(-edits.count() // EDITS_AT_ONCE) or 1
+    chunk = F.pmod(F.xxhash64("old", "new"), F.lit(chunks))
+    pairs = edits.groupBy(chunk.alias("__c")).agg(F.collect_list(F.struct("old", "new")).alias("edits"))
     h = F.col(head)
     at = F.sequence(F.lit(0), F.length(h))
     build = lambda e: F.transform(
@@ -71,7 +72,11 @@ def candidate_counts(forms: DataFrame, head: str, edits: DataFrame) -> DataFrame
         lambda i: F.concat(F.substring(h, F.lit(1), i), e["new"], F.substring(h, i + 1 + F.length(e["old"]), F.length(h))),
     )
     made = F.array_distinct(F.flatten(F.transform("edits", build)))
-    return forms.select(head).distinct().crossJoin(pairs).select(head, F.size(made).alias("candidates"))  # one row on the right
+    heads = forms.select(head).distinct()
+    if chunks == 1:  # one row on the right
+        return heads.join(F.broadcast(pairs), F.lit(True), "left").select(head, F.coalesce(F.when(F.col("edits").isNotNull(), F.size(made)), F.lit(0)).alias("candidates"))
+    forms = heads.join(pairs, F.lit(True)).select(head, F.explode(made).alias("__f")).distinct().groupBy(head).agg(F.count("*").cast("int").alias("candidates"))
+    return heads.join(forms, head, "left").fillna(0, ["candidates"])
 
 
 def upper_median(rows: DataFrame, col: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.session import stored
+
 
 def _truthy(c: Column) -> Column:
     return c.isNotNull() & (F.trim(c.cast("string")) != "")
@@ -126,12 +128,26 @@ def dedup_merge(rows: DataFrame, key: str, order: str, confidence: str, fields:
     return out.withColumn("absorbed", F.transform("__i", lambda x: x["v"])).drop("__a", "__e", "__i", "__last")
 
 
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """The rows as structs ``name`` with their place ``pos`` (from 1) in an order.
+
+    Rows are dealt by ranges of the order and stored; a place is a row's number in
+    its part, shifted by the sizes of the parts before, so no task sees all rows.
+    """
+    dealt = rows.select(F.struct(*rows.columns).alias(name), F.col(order).alias("__o")).repartitionByRange("__o").sortWithinPartitions("__o")
+    dealt = stored(dealt.select(name, F.monotonically_increasing_id().alias("__i")))
+    part, place = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    # one row a part: as many as there are shuffle partitions
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return dealt.withColumn("__p", part).join(F.broadcast(sizes), "__p").select(name, (place + F.col("__before") + 1).alias("pos"))
+
+
 def pair_zip(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Rows of two tables by position, as structs a and b; raises if their lengths differ."""
     if a.count() != b.count():
         raise ValueError("both sides need the same number of rows")
-    number = lambda d, o, n: d.select(F.struct(*d.columns).alias(n), F.row_number().over(Window.orderBy(o)).alias("pos"))
-    return number(a, order_a, "a").join(number(b, order_b, "b"), "pos")
+    return numbered(a, order_a, "a").join(numbered(b, order_b, "b"), "pos")
 
 
 def last_assistant(messages: Column) -> Column:

@@ -11,12 +11,28 @@ def hash_order(seed: int | str, *keys: str) -> list[Column]:
     return [F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]), 256), *[F.col(k) for k in keys]]
 
 
+def ranked(rows: DataFrame, strata: list[str], key: str, seed: int = 42) -> DataFrame:
+    """Add ``__nth``, the place in its stratum's hash order (from 1), and ``__total``, the stratum's size.
+
+    Places are counted within 4096 hash ranges and shifted by the sizes of the
+    ranges before, so a stratum that holds most rows is dealt over many tasks.
+    """
+    h, *_ = hash_order(seed, key)
+    df = rows.withColumn("__h", h).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = df.groupBy(*strata, "__b").agg(F.count("*").alias("__n"))
+    every = Window.partitionBy(*strata)
+    before = every.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.col("__b").alias("__r"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias("__total"))
+    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(strata)]
+    inside = Window.partitionBy(*strata, "__b").orderBy("__h", key)
+    df = df.withColumn("__i", F.row_number().over(inside)).join(sizes, [F.col("__b") == F.col("__r"), *same])
+    return df.withColumn("__nth", F.col("__before") + F.col("__i")).drop("__h", "__b", "__r", "__i", "__before", *[f"__s{i}" for i in range(len(strata))])
+
+
 def stratified_split(rows: DataFrame, strata: list[str], key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
-    """Add ``split``: of each stratum the half-even share is heldout."""
-    w = Window.partitionBy(*strata)
-    n = F.bround(F.count("*").over(w) * F.lit(share)).cast("long")
-    nth = F.row_number().over(w.orderBy(*hash_order(seed, key)))
-    return rows.withColumn("split", F.when(nth <= n, "heldout").otherwise("train"))
+    """Add ``split``: of each stratum the half-even share is heldout. A null is a stratum like any other."""
+    heldout = F.col("__nth") <= F.bround(F.col("__total") * F.lit(share))
+    return ranked(rows, strata, key, seed).withColumn("split", F.when(heldout, "heldout").otherwise("train")).drop("__nth", "__total")
 
 
 def cut_by_hash(rows: DataFrame, key: str, share: float, seed: int = 42, names: tuple[str, str] = ("train", "valid")) -> DataFrame:
@@ -45,8 +61,8 @@ def cut_by_hash(rows: DataFrame, key: str, share: float, seed: int = 42, names:
 
 def spot_check(rows: DataFrame, key: str, share: float = 0.01, seed: int = 42) -> DataFrame:
     """The half-even share of all rows, one at least, first in the hash order."""
-    n = max(1, round(rows.count() * share))
-    return rows.orderBy(*hash_order(seed, key)).limit(n)
+    chosen = F.col("__nth") <= F.greatest(F.lit(1), F.bround(F.col("__total") * F.lit(share)))
+    return ranked(rows, [], key, seed).filter(chosen).drop("__nth", "__total")
 
 
 def limit_per_group(rows: DataFrame, group: list[str], key: str, k: int, seed: int = 42) -> DataFrame:

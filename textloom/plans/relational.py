@@ -204,21 +204,23 @@ def dedup_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("nation", "id", "name", "conf", "examples", "absorbed")
 
 
-_EDGES = "e AS (SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 17 = 0)"
+_EDGES = """e AS (SELECT 2 * o_orderkey + 1 AS a, 2 * o_custkey AS b FROM orders
+  UNION ALL SELECT 2 * c_custkey, 2 * min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) FROM customer)"""
 
 
 @query(f"""
-WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(v, r) AS (SELECT a, a FROM s UNION SELECT s.b, r FROM reach JOIN s ON s.a = v),
-f AS (SELECT v AS node, min(r) AS family FROM reach GROUP BY v), h AS (SELECT *, sha256(family) AS h FROM f)
+WITH RECURSIVE {_EDGES}, s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), reach(v, r) AS (SELECT a, a FROM s UNION SELECT s.b, r FROM reach JOIN s ON s.a = v),
+f AS (SELECT v AS node, min(r) AS family FROM reach GROUP BY v), h AS (SELECT *, sha256(CAST(family AS VARCHAR)) AS h FROM f)
 SELECT node, family, count(*) OVER (PARTITION BY family) AS family_size,
        CASE WHEN (6 * list_sum(list_transform(string_split(h[1:63], ''), lambda c: strpos('0123456789abcdef', c) - 1)) + strpos('0123456789abcdef', h[64]) - 1) % 10 = 0 THEN 'heldout' ELSE 'train' END AS split
 FROM h
 """)
 def family_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Families of a thinned order-part graph, and the split that keeps them whole."""
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2 and l_orderkey % 17 = 0")
-    edges = items.select(F.concat(F.lit("o"), "l_orderkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
-    return graph.families(edges)
+    """Families of all orders and customers, where the customers of a nation and segment belong together, and the split that keeps them whole."""
+    customers = table(spark, sf_dir, "customer")
+    first = customers.groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("first"))
+    near = customers.join(first, ["c_nationkey", "c_mktsegment"]).select((2 * F.col("c_custkey")).alias("src"), (2 * F.col("first")).alias("dst"))
+    return graph.families(table(spark, sf_dir, "orders").select((2 * F.col("o_orderkey") + 1).alias("src"), (2 * F.col("o_custkey")).alias("dst")).unionAll(near))
 
 
 @query("""

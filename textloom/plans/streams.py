@@ -31,10 +31,12 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EPISODES)
 def lookup_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stateful episodes over a stream of turns; the last state of each."""
+    """Stateful episodes over a stream of turns, which come in three batches by their numbers; the last state of each."""
     at, turns = _place(spark), _turns(spark, sf_dir)
-    turns.repartition(1).write.parquet(f"{at}/in")
-    stream = sessions.lookup_episodes(spark.readStream.schema(turns.schema).parquet(f"{at}/in"))
+    for part in (F.col("turn") < 2, F.col("turn").between(2, 3), F.col("turn") > 3):  # files are read in the order of their times
+        turns.filter(part).repartition(1).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream = sessions.lookup_episodes(source)
     out = f"{at}/out"
 
     def put(batch: DataFrame, number: int) -> None:
@@ -52,13 +54,12 @@ def lookup_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type AS metric, CAST(user_id % 10 AS BIGINT) AS step, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY ALL")
 def tail_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric rows written as files, tailed as a stream, and averaged by step."""
+    """Metric rows written as files, tailed as a stream of several batches, and averaged by step."""
     at = _place(spark)
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("step"), F.create_map("event_type", "value").alias("metrics"))
-    rows.write.json(f"{at}/in")
-    name = "tail_" + uuid.uuid4().hex
-    stream = sessions.step_means(sessions.tail(spark, f"{at}/in", "step long, metrics map<string,double>"))
-    return sessions.drain_latest(stream, name, f"{at}/checkpoint").select("metric", "step", F.round("mean", 6).alias("mean"), "n")
+    rows.repartition(3).write.json(f"{at}/in")
+    stream = sessions.step_means(sessions.tail(spark, f"{at}/in", "step long, metrics map<string,double>", per_trigger=1))
+    return sessions.drain_latest(stream, f"{at}/out", f"{at}/checkpoint").select("metric", "step", F.round("mean", 6).alias("mean"), "n")
 
 
 @query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -69,6 +70,26 @@ def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+@query("""
+WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, event_type FROM events), x AS (SELECT max(ts) AS top, min(ts) AS low FROM e)
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM e, x WHERE ts >= date_trunc('day', low) + INTERVAL 2 DAY GROUP BY ALL
+""")
+def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of a stream whose first two days come last: they lie behind the watermark and are dropped."""
+    at = _place(spark)
+    ev = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    low = ev.agg(F.date_trunc("day", F.min("ts"))).first()[0]
+    late = F.col("ts") < F.lit(low) + F.expr("INTERVAL 2 DAYS")
+    end = ev.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"), F.lit(None).cast("string").alias("event_type"))
+    # in time order, then a row that moves the watermark on, then what is late
+    for part in (ev.filter(~late), end, ev.filter(late)):
+        part.repartition(1).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    sessions.drain(sessions.windowed_counts(source, "ts", ["event_type"], "1 day"), f"{at}/out", f"{at}/checkpoint")
+    out = spark.read.parquet(f"{at}/out").filter("event_type is not null")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 @query("SELECT user_id % 20 AS run, event_type AS group_id, round(avg(value), 6) AS mean_reward, count(*) AS rollouts, max(value) AS best FROM events GROUP BY ALL")
 def trace_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), F.lit(0).alias("pass"), F.lit(0).alias("batch"), F.col("event_type").alias("group_id"), F.col("value").alias("reward"))

@@ -19,7 +19,7 @@ def parquet(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).parquet(path)
 
 
-def csv(rows: DataFrame, path: str, single: bool = True, mode: str = "errorifexists") -> None:
+def csv(rows: DataFrame, path: str, single: bool = False, mode: str = "errorifexists") -> None:
     (rows.coalesce(1) if single else rows).write.mode(mode).option("header", True).csv(path)
 
 
@@ -32,8 +32,10 @@ def report(table: DataFrame, /, **counters: Column) -> DataFrame:
     return table.agg(*[c.alias(k) for k, c in counters.items()])
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A table as Markdown, for reports: the first ``limit`` rows."""
-    shown = rows.limit(limit).collect()
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown, for reports; more than ``most`` rows raise."""
+    shown = rows.limit(most + 1).collect()
+    if len(shown) > most:
+        raise ValueError(f"more than {most} rows: no table for a report")
     cells = lambda xs: "| " + " | ".join("" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x) for x in xs) + " |"
     return "\n".join([cells(rows.columns), cells(["---"] * len(rows.columns)), *[cells(r) for r in shown]])

@@ -26,10 +26,18 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", f
     stream.writeStream.outputMode(mode).format(fmt).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def drain_latest(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
-    """A running aggregate in complete mode, as an in-memory table of its last state."""
-    stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(name)
+def drain_latest(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """A running aggregate's last state: each batch writes the whole result to a folder of its own, distributed."""
+    last: list[str] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        at = f"{path}/batch={number}"
+        batch.write.mode("overwrite").parquet(at)
+        last[:] = [at]
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint)
+    query.trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(last[0])
 
 
 def step_means(metrics: DataFrame) -> DataFrame:
