@@ -35,13 +35,15 @@ def test_replay(spark):
     assert [r["id"] for r in filters.replay(df, shown).filter("passed").collect()] == ["good"]
 
 
-def test_candidates_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(filters, "MAX_EDITS", 1)
-    heads = spark.createDataFrame([("aba",)], "h string")
-    edit = lambda *e: spark.createDataFrame(list(e), "old string, new string")
-    assert filters.candidate_counts(heads, "h", edit(("a", "o"))).first()["candidates"] == 2
-    with pytest.raises(ValueError, match="more than 1"):
-        filters.candidate_counts(heads, "h", edit(("a", "o"), ("b", "x")))
+@pytest.mark.parametrize("at_once", [1, 10_000])
+def test_candidates_in_chunks(spark, monkeypatch, at_once):
+    monkeypatch.setattr(filters, "EDITS_AT_ONCE", at_once)
+    heads = spark.createDataFrame([("aba",), ("aba",), ("c",)], "h string")
+    edit = lambda *xs: spark.createDataFrame(list(xs), "old string, new string")
+    got = lambda *xs: {r["h"]: r["candidates"] for r in filters.candidate_counts(heads, "h", edit(*xs)).collect()}
+    assert got(("a", "o")) == {"aba": 2, "c": 0}
+    assert got(("a", "o"), ("b", "x"), ("", "b")) == {"aba": 6, "c": 2}
+    assert got() == {"aba": 0, "c": 0}
 
 
 @pytest.mark.parametrize("values", [[3], [1, 2], [5, 1, 3], [4, 1, 2, 9], [1, 1, 7, 7]])

@@ -130,24 +130,40 @@ def test_hide_leak_and_stems_against_plain_versions(spark):
     assert got == [stem(a, b) for a, b in pairs] and 50 < sum(got) < 1450
 
 
-def test_edit_mining_finds_all_pairs(spark, tmp_path):
+def test_edits_against_a_plain_version(spark):
     import random
-    from itertools import combinations
+    from collections import Counter
 
-    from textloom.plans import registry
+    from textloom.operators import edits
 
     rng = random.Random(12)
-    words = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(700)}
-    rows = [(" ".join(x.upper() if k % 3 else x for k, x in enumerate(sorted(words))) + ", 1 2!",), (None,), ("",)]
-    spark.createDataFrame(rows, "text string").write.parquet(str(tmp_path / "documents.parquet"))
-    want = {}
-    for a, b in combinations(sorted(words), 2):
-        pre = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        ra, rb = a[pre:], b[pre:]
-        while ra and rb and ra[-1] == rb[-1]:
-            ra, rb = ra[:-1], rb[:-1]
-        if max(len(ra), len(rb)) == 1:
-            want.setdefault((ra, rb), []).append(pre)
-    got = {(r["old"], r["new"]): (r["n"], r["first_pos"]) for r in registry.QUERIES["edit_mining"](spark, str(tmp_path)).collect()}
-    assert got == {e: (len(at), min(at)) for e, at in want.items() if len(at) >= 25}
-    assert {bool(a) + bool(b) for a, b in got} == {1, 2}
+    letters = "abpiŋ"
+    heads = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(80)]
+    change = lambda w: w[: (i := rng.randint(0, len(w)))] + rng.choice(["", "a", "wa", "ŋ", "abcabc"]) + w[i + rng.randint(0, 3) :] + rng.choice(["", "pi"])
+    pairs = [(h, change(h)) for h in heads for _ in range(12)] + [("a", None), ("a", ""), ("ab", "ab")]
+
+    def edit(a, b):
+        p = next(k for k in range(min(len(a), len(b)), -1, -1) if a[:k] == b[:k])
+        s = next(k for k in range(min(len(a), len(b)) - p, -1, -1) if a[len(a) - k :] == b[len(b) - k :])
+        return a[p : len(a) - s], b[p : len(b) - s]
+
+    def variants(f):
+        return [g for g in (f, f[:-2] if f and f.endswith("pi") and len(f) > 3 else None) if g]
+
+    counts = Counter()
+    for h, f in pairs:
+        e = [x for g in variants(f) if g != h and len((x := edit(h, g))[0]) <= 2 and len(x[1]) <= 5]
+        counts.update(e[:1])
+    admitted = {e for e, n in counts.items() if n >= 9}
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, head string, form string")
+    mined = edits.mined_edits(df, "head", "form", 9)
+    assert {(r["old"], r["new"]): r["n"] for r in mined.collect()} == {e: counts[e] for e in admitted} and len(admitted) > 3
+    for loose in (False, True):
+        bare = lambda x: x.replace("ŋ", "n") if loose else x  # noqa: E731, B023
+        known = {(bare(a), bare(b)) for a, b in admitted}
+        want = {i: any(g == h or edit(bare(h), bare(g)) in known for g in variants(f)) for i, (h, f) in enumerate(pairs)}
+        assert {r["i"]: r["explained"] for r in edits.explained(df, "head", "form", mined, loose).collect()} == want
+    got = edits.suspect_pairs(df, "head", "form", ("a", "p"), 2).first()
+    bad = sorted((h, f) for h, f in pairs if f and h.startswith("a") and f.startswith("p"))
+    assert got["n"] == len(bad) and [tuple(x) for x in got["examples"]] == bad[:2]
+    assert edits.suspect_pairs(df.limit(0), "head", "form").first()["n"] == 0

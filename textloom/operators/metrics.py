@@ -210,6 +210,21 @@ def column_pick(rows: DataFrame, names: list[str]) -> str | None:
     return next((n for i, n in enumerate(there) if counts[i]), None)
 
 
+def pair_metrics(rows: DataFrame, by: list[str], said: tuple[str, ...], truth: tuple[str, ...]) -> DataFrame:
+    """n, the rate of rows right in every column, and the means over rows and columns of the edit distance (over the longer text) and of the marks that are kept."""
+    from textloom.functions import text as X
+    from textloom.functions import udfs
+
+    pairs = [(X.strip_ws(udfs.nfkc(a)), X.strip_ws(udfs.nfkc(b))) for a, b in zip(said, truth, strict=True)]
+    right = F.lit(True)
+    for a, b in pairs:
+        right = right & (a == b)
+    mean = lambda each: F.avg(sum(each[1:], each[0]) / len(each))
+    distance = mean([X.levenshtein_norm(a, b) for a, b in pairs])
+    marks = mean([udfs.diacritic_preservation(a, b) for a, b in pairs])
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(right.cast("int")).alias("exact_rate"), distance.alias("char_dist"), marks.alias("diacritics"))
+
+
 def audit(rows: DataFrame, required: list[str]) -> list[str]:
     """Required channels that are missing, or zero throughout."""
     there = [c for c in required if c in rows.columns]

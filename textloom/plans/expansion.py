@@ -128,10 +128,10 @@ def entry_to_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules made of parts, with their line items as examples."""
-    items = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
+    """Rules made of parts, with all their line items as examples."""
+    items = table(spark, sf_dir, "lineitem")
     word = F.concat(F.lit("ta"), F.translate(F.col("l_orderkey").cast("string"), "0123456789", "aeiouabcde"), F.lit("ku"))
-    ex = items.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.slice(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", word.alias("w"), F.concat("l_returnflag", F.lit(" thing")).alias("e")))), 1, 6).alias("items"))
+    ex = items.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", word.alias("w"), F.concat("l_returnflag", F.lit(" thing")).alias("e")))).alias("items"))
     p = table(spark, sf_dir, "part").join(ex, "p_partkey", "left")
     shape = lambda c: F.transform(F.coalesce(c, F.array().cast(p.schema["items"].dataType)), lambda x: F.struct(x["w"].alias("dakota"), x["e"].alias("english"), F.lit("").alias("gloss"), F.lit("").alias("notes")))
     kinds = F.element_at(F.array(F.lit("morphology"), F.lit("syntax"), F.lit("translation")), (F.col("p_partkey") % 3 + 1).cast("int"))
@@ -142,8 +142,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT l_partkey, l_orderkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_linenumber <= 4),
-x AS (SELECT l_partkey, count(*) AS n FROM i WHERE k <= 6 GROUP BY 1),
+WITH x AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1),
 r AS (SELECT p_partkey, coalesce(n, 0) AS n, p_size, p_partkey % 3 AS kind, CASE WHEN coalesce(n, 0) < 2 THEN 'hard' WHEN coalesce(n, 0) < 4 THEN 'medium' ELSE 'easy' END AS level FROM part LEFT JOIN x ON p_partkey = l_partkey),
 t AS (
   SELECT 'word_translation' AS task_type, level AS difficulty, n AS c FROM r
@@ -168,14 +167,14 @@ def rule_task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT conv_id, turn, string_split(text, ' ')[1:6] AS w, string_split(replace(text, 'e', '3'), ' ')[1:4] AS g, text FROM conversations)
+WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS w, string_split(replace(text, 'e', '3'), ' ')[2:] AS g, text FROM conversations)
 SELECT CAST(conv_id AS VARCHAR) || '.' || turn AS text_id, CAST(i - 1 AS BIGINT) AS pos, CASE WHEN i <= least(len(w), len(g)) THEN 'word_translation' WHEN i = least(len(w), len(g)) + 1 THEN 'sentence_translation' ELSE 'reverse_translation' END AS task_type,
        CASE WHEN i <= least(len(w), len(g)) THEN g[i] WHEN i = least(len(w), len(g)) + 1 THEN replace(text, 'e', '3') ELSE text END AS answer
 FROM (SELECT *, unnest(range(1, least(len(w), len(g)) + 3)) AS i FROM c)
 """)
 def interlinear_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = lambda c: F.split(c, " ")
-    t = table(spark, sf_dir, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("text_id"), F.slice(words(F.col("text")), 1, 6).alias("words"), F.slice(words(F.translate("text", "e", "3")), 1, 4).alias("glosses"), F.col("text").alias("dakota"), F.translate("text", "e", "3").alias("english"))
+    t = table(spark, sf_dir, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("text_id"), words(F.col("text")).alias("words"), F.slice(words(F.translate("text", "e", "3")), F.lit(2), F.size(words(F.col("text")))).alias("glosses"), F.col("text").alias("dakota"), F.translate("text", "e", "3").alias("english"))
     return taskgen.interlinear_to_tasks(t).select("text_id", F.col("pos").cast("long").alias("pos"), "task_type", "answer")
 
 
@@ -226,7 +225,7 @@ def nested_size_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH i AS (SELECT l_partkey, translate(CAST(l_orderkey AS VARCHAR), '0123456789', 'aeiouabcde') AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_linenumber <= 4)
+WITH i AS (SELECT l_partkey, translate(CAST(l_orderkey AS VARCHAR), '0123456789', 'aeiouabcde') AS x, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem)
 SELECT printf('r%06d', l_partkey) AS rule_id, k - 1 AS i, 'Transform: ' || x AS prompt, 'ta' || x || 'ku' AS answer FROM i WHERE k <= 3 AND l_partkey % 3 = 0
 """)
 def transformations_to_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

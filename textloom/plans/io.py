@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import filters, relops, taskgen
-from textloom.plans.expansion import lexicon
+from textloom.plans import expansion
 from textloom.plans.registry import query
 from textloom.session import shared_dir, table
 from textloom.sources import readers, sinks
@@ -58,15 +58,84 @@ def sink_partition_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.parquet(spark, at).groupBy("answer").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey % 40 AS page, p_name AS headword FROM part")
-def scan_page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as one JSON document a page, with a byte-order mark, read as entries."""
+def _write_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Parts as one JSON document a page, with a byte-order mark, in folders named by page."""
     at = _place(spark)
-    entry = F.struct(F.col("p_name").alias("headword"))
-    pages = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 40).alias("page")).agg(F.collect_list(entry).alias("entries"))
-    doc = F.concat(F.lit("﻿"), F.to_json(F.struct("entries", F.struct(F.col("page").cast("int").alias("page_number")).alias("metadata"))))
+    entry = F.struct(F.col("p_name").alias("headword"), F.when(F.col("p_size") % 2 == 0, F.format_string("id%d", "p_partkey")).alias("entry_id"))
+    pages = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 40).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
+    meta = F.struct(F.col("page").cast("int").alias("page_number"), F.concat(F.lit("i"), "page").alias("image_path"))
+    doc = F.concat(F.lit("\ufeff"), F.to_json(F.struct("entries", meta.alias("metadata"))))
     pages.select(doc.alias("value"), F.concat(F.lit("page_"), "page").alias("name")).repartition("name").write.partitionBy("name").text(at)
-    return spark.read.text(at, wholetext=False).select(F.from_json(F.regexp_replace("value", "^﻿", ""), "entries array<struct<headword:string>>, metadata struct<page_number:int>").alias("d")).select(F.col("d.metadata.page_number").cast("long").alias("page"), F.explode("d.entries.headword").alias("headword"))
+    return at
+
+
+@query("SELECT p_partkey % 40 AS page, p_name AS headword FROM part WHERE trim(p_name) <> ''")
+def scan_page_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.page_docs(spark, _write_pages(spark, sf_dir)).select(F.col("page").cast("long").alias("page"), "headword")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey % 40 AS page, p_name, p_size, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) AS n FROM part)
+SELECT page AS meta_page, 'i' || page AS meta_image, CASE WHEN p_size % 2 = 0 THEN 'id' || p_partkey ELSE printf('page_%d_entry_%03d', page, n) END AS entry_id, p_name AS headword FROM p
+""")
+def scan_page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = readers.page_meta(spark, _write_pages(spark, sf_dir))
+    return out.select(F.col("meta_page").cast("long").alias("meta_page"), "meta_image", "entry_id", "headword")
+
+
+@query("SELECT 'page_' || (p_partkey % 40) AS name, CAST(count(*) AS BIGINT) AS n FROM part GROUP BY 1")
+def scan_bom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that begin with a byte-order mark, and how many entries each has."""
+    docs = readers.without_bom(spark, _write_pages(spark, sf_dir), "entries array<struct<headword:string>>")
+    return docs.select(F.regexp_extract("path", r"name=(page_\d+)", 1).alias("name"), F.size("doc.entries").cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0")
+def scan_lfs_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file a nation, of which every other one is a stub."""
+    at = _place(spark)
+    body = F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit(readers.STUB), F.lit("v1\noid sha256:0")))
+    table(spark, sf_dir, "nation").select(body.alias("value"), "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(at)
+    return readers.without_stubs(spark, at).select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"))
+
+
+@query("SELECT CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS rule_index, 'r' || n_nationkey AS rule_id, n_name AS rule_name, 'syntax' AS rule_type FROM nation")
+def scan_rules_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document of rules for each region."""
+    at = _place(spark)
+    rule = F.struct("n_nationkey", F.concat(F.lit("r"), "n_nationkey").alias("rule_id"), F.col("n_name").alias("rule_name"), F.lit("syntax").alias("rule_type"))
+    docs = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    docs.select(F.to_json(F.struct("rules")).alias("value"), "n_regionkey").repartition("n_regionkey").write.partitionBy("n_regionkey").text(at)
+    return readers.rules_json(spark, at).select(F.col("rule_index").cast("long").alias("rule_index"), "rule_id", "rule_name", "rule_type")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def scan_source_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A missing source, an empty one, and one with rows."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return readers.first_source([lambda: readers.parquet(spark, _place(spark)), lambda: nations.limit(0), lambda: nations])
+
+
+@query("SELECT n_nationkey, CAST(length(n_name) + 1 AS BIGINT) AS length, sha256(n_name || chr(10)) AS sha256 FROM nation")
+def file_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file a nation: its length and digest."""
+    at = _place(spark)
+    table(spark, sf_dir, "nation").select("n_name", "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(at)
+    files = readers.fingerprints(spark, f"{at}/*/*.txt")
+    return files.select(F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int").alias("n_nationkey"), "length", "sha256")
+
+
+@query("SELECT '| r_regionkey | r_name | share |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' | ' || printf('%.3f', r_regionkey / 3.0::DOUBLE) || ' |', chr(10) ORDER BY r_regionkey) AS report FROM region")
+def sink_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "region").select("r_regionkey", "r_name", (F.col("r_regionkey") / 3.0).alias("share")).orderBy("r_regionkey")
+    return spark.createDataFrame([(sinks.markdown(rows),)], "report string")
+
+
+@query("SELECT o_orderkey, o_orderstatus AS task FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def filter_tasks_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the states asked for, all of which are known."""
+    kinds = readers.strict_kinds(["F", "P"], ["F", "O", "P"])
+    return table(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin(kinds)).select("o_orderkey", F.col("o_orderstatus").alias("task"))
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT c_mktsegment) AS segments, round(sum(c_acctbal), 2) AS balance FROM customer")
@@ -127,7 +196,7 @@ SELECT printf('lookup_gloss:e%06d', p_partkey) AS id, true AS in_budget, true AS
 """)
 def replay_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made lookup conversations, replayed against the dictionary: all pass."""
-    lex = lexicon(spark, sf_dir)
+    lex = expansion.lexicon(spark, sf_dir)
     shown = lex.filter("headword_ok").withColumn("text", taskgen.format_entry(F.col("headword"), F.col("pos"), F.col("gloss"), F.col("derived_from"), F.col("inflected_forms"), F.col("page")))
     shown = relops.dedup_first(shown, ["plain"], ["entry_id"]).select("plain", "text")
     tasks = taskgen.entry_to_tasks(lex).filter(F.startswith("task", F.lit("lookup"))).withColumn("word", F.regexp_extract("prompt", r"Dakota word (\w+)", 1))

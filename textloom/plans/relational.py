@@ -165,7 +165,9 @@ def doc_canon_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relops.dedup_first(df.select("doc_id", "lang", "key"), ["key"], ["doc_id"]).drop("key")
 
 
-@query()
+@query("""
+SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY regexp_replace(strip_accents(lower(text)), '[^\\p{L}]', '', 'g') ORDER BY doc_id) AS n FROM documents) WHERE n = 1
+""")
 def doc_unicode_key_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by decomposed letters of any script."""
     df = table(spark, sf_dir, "documents").withColumn("key", F.sha2(canonical_key("text"), 256))

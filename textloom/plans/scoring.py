@@ -296,13 +296,18 @@ def group_advantage_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT d.doc_id, d.lang, d.text AS a, lag(d.text) OVER (PARTITION BY d.lang ORDER BY d.doc_id) AS b FROM documents d)
-SELECT lang, count(*) AS n, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS exact_rate FROM p WHERE b IS NOT NULL GROUP BY lang
+WITH p AS (SELECT p_partkey AS k, p_mfgr, p_name || CASE WHEN p_size % 2 = 0 THEN 'q̣' ELSE '' END AS d, p_brand AS e, length(p_name) AS n, p_size % 2 = 0 AS m FROM (SELECT *, p_type AS p_mfgr FROM part)),
+j AS (SELECT a.p_mfgr AS kind, a.d AS da, b.d AS db, a.e AS ea, b.e AS eb, CASE WHEN a.m AND b.m THEN (a.n = b.n)::INT WHEN a.m OR b.m THEN 0 ELSE 1 END AS marks FROM p a JOIN p b ON b.k = a.k + 1 UNION ALL SELECT p_mfgr, d, d, e, e, 1 FROM p)
+SELECT kind, count(*) AS n, round(avg((da = db AND ea = eb)::INT), 6) AS exact_rate,
+  round(avg((levenshtein(ea, eb) / greatest(length(ea), length(eb), 1)::DOUBLE + levenshtein(replace(da, 'q̣', 'QX'), replace(db, 'q̣', 'QX')) / greatest(length(da), length(db), 1)::DOUBLE) / 2), 6) AS char_dist, round(avg((1.0 + marks) / 2), 6) AS diacritics FROM j GROUP BY kind
 """)
 def pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    df = table(spark, sf_dir, "documents").withColumn("b", F.lag("text").over(w)).filter("b is not null")
-    return df.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("text") == F.col("b"), 1.0).otherwise(0.0)), 6).alias("exact_rate"))
+    """Each part as the prediction of itself and of the next one: exact pairs, mean distance and marks that are kept, by type."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.concat("p_name", F.when(F.col("p_size") % 2 == 0, "q\u0323").otherwise("")).alias("d"), F.col("p_brand").alias("e"))
+    truth = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("d").alias("td"), F.col("e").alias("te"))
+    pairs = p.join(truth, "p_partkey").unionByName(p.withColumn("td", F.col("d")).withColumn("te", F.col("e")))
+    out = metrics.pair_metrics(pairs.withColumnRenamed("p_type", "kind"), ["kind"], ("d", "e"), ("td", "te"))
+    return out.select("kind", "n", *[F.round(c, 6).alias(c) for c in ("exact_rate", "char_dist", "diacritics")])
 
 
 @query("""
@@ -315,10 +320,13 @@ def levenshtein_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT lang, ch, count(*) AS expected, count(*) FILTER (WHERE contains(t.head, ch)) AS hit, round(count(*) FILTER (WHERE contains(t.head, ch)) / count(*)::DOUBLE, 6) AS accuracy
-FROM (SELECT lang, regexp_extract(text, '^[^\\n]*') AS head, unnest(list_distinct(regexp_extract_all(text, '[áéíóúñäöüßçèêà]'))) AS ch FROM documents) t GROUP BY lang, ch
+WITH p AS (SELECT lang, text, lag(text) OVER (PARTITION BY lang ORDER BY doc_id) AS said FROM documents),
+t AS (SELECT lang, said, unnest(list_distinct(regexp_extract_all(text, '[áéíóúñäöüßçèêà]'))) AS ch FROM p WHERE said IS NOT NULL)
+SELECT lang, ch, count(*) AS expected, count(*) FILTER (WHERE contains(said, ch)) AS hit, round(count(*) FILTER (WHERE contains(said, ch)) / count(*)::DOUBLE, 6) AS accuracy FROM t GROUP BY lang, ch
 """)
 def accuracy_by_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each marked letter of a text, whether its first line has it, by language."""
-    each = table(spark, sf_dir, "documents").select("lang", F.substring_index("text", "\n", 1).alias("head"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([áéíóúñäöüßçèêà])"), 1))).alias("ch"))
-    return each.groupBy("lang", "ch").agg(F.count("*").alias("expected"), F.count_if(F.contains("head", "ch")).alias("hit"), F.round(F.avg(F.contains("head", "ch").cast("int")), 6).alias("accuracy"))
+    """For each marked letter of a text, whether the text before it in its language has it."""
+    before = F.lag("text").over(Window.partitionBy("lang").orderBy("doc_id"))
+    pairs = table(spark, sf_dir, "documents").select("lang", "text", before.alias("said"))
+    each = pairs.select("lang", "said", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([áéíóúñäöüßçèêà])"), 1))).alias("ch")).filter("said is not null")
+    return each.groupBy("lang", "ch").agg(F.count("*").alias("expected"), F.count_if(F.contains("said", "ch")).alias("hit"), F.round(F.avg(F.contains("said", "ch").cast("int")), 6).alias("accuracy"))

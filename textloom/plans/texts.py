@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions import udfs
 from textloom.operators import verdicts
 from textloom.plans.registry import query
-from textloom.session import stored, table
+from textloom.session import table
 
 _MARKED = "[áéíóúñäöüßçèêà]"
 
@@ -26,14 +26,13 @@ _TERMS = ", ".join(f"'{t}'" for t in X.META_TERMS + X.META_PHRASES)
 
 
 @query(f"""
-WITH d AS (SELECT doc_id, regexp_extract(text, '^[^.\\n]*') AS g FROM documents), t AS (SELECT doc_id, g, trim(g) AS v, regexp_extract_all(lower(g), '[a-z'']+') AS w FROM d)
+WITH d AS (SELECT doc_id, text AS g FROM documents), t AS (SELECT doc_id, g, trim(g) AS v, regexp_extract_all(lower(g), '[a-z'']+') AS w FROM d)
 SELECT doc_id, CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(g, '[^\\x00-\\x7F]') THEN 'marked'
   WHEN lower(v) IN ({_TERMS}) OR (len(w) >= 2 AND (len(list_filter(w, lambda x: regexp_full_match(x, '{_FUNCTION}'))) > 0 OR regexp_matches(lower(v), '\\b({_GLOSS})\\b'))) THEN 'english_like' ELSE 'ascii_or_unknown' END AS class FROM t
 """)
 def gold_language_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of each document's first sentence."""
-    first = F.regexp_extract("text", r"^[^.\n]*", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", X.gold_language(first).alias("class"))
+    """The class of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.gold_language(F.col("text")).alias("class"))
 
 
 @query("""
@@ -60,24 +59,39 @@ _FROM, _TO = "".join(X.GLYPH_VARIANTS), "".join(X.GLYPH_VARIANTS.values())
 
 
 @query(f"""
-WITH w AS (SELECT DISTINCT unnest(string_split(regexp_extract(text, '^[^\\n]*'), ' ')) AS w FROM documents), c AS (SELECT w, translate(translate(trim(translate(lower(w), '{_FROM}', '{_TO}')), '-', ''), '''', '') AS p FROM w WHERE w <> '')
+WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '\\s+')) AS w FROM documents), c AS (SELECT w, translate(translate(trim(translate(lower(w), '{_FROM}', '{_TO}')), '-', ''), '''', '') AS p FROM w WHERE w <> '')
 SELECT w, p AS plain, replace(p, 'ŋ', 'n') AS loose, translate(p, '{_ALPHA} ', '') <> '' AS suspect, list_sort(list_distinct(list_filter(string_split(translate(p, '{_ALPHA} ', ''), ''), lambda x: x <> ''))) AS bad FROM c
 """)
 def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain and loose forms and offenders of the words of first lines."""
-    w = table(spark, sf_dir, "documents").select(F.explode(F.split(F.substring_index("text", "\n", 1), " ")).alias("w")).filter("w <> ''").distinct()
+    """Plain and loose forms and offenders of all words of the documents."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("w")).filter("w <> ''").distinct()
     c = F.col("w")
     return w.select("w", X.plain(c).alias("plain"), X.loose(c).alias("loose"), X.is_suspect(c).alias("suspect"), X.bad_chars(c).alias("bad"))
 
 
-@query()
+_STRIPPED = "trim({c}, ' .,;:()[]')"
+_HINTS = "|".join(X.ENGLISH_HINTS)
+_CLEAN = "CASE WHEN {c} <> '' AND length({c}) <= 60 AND translate(translate({c}, '-' || chr(39), ''), '" + _ALPHA + " ', '') = '' AND NOT regexp_matches({c}, '\\b(" + _HINTS + ")\\b') THEN {c} END"
+
+
+@query(f"""
+WITH b AS (SELECT p_partkey, replace(lower(p_type), ' ', '-') || CASE WHEN p_partkey % 2 = 0 THEN chr(39) ELSE '' END AS made, trim(translate(lower(p_brand), '{_FROM}', '{_TO}'), ' .,;:()[]') AS br, lower(p_name) AS n, p_partkey % 4 AS k FROM part),
+c AS (SELECT *, translate(made, '{_FROM}', '{_TO}') AS f FROM b), g AS (SELECT *, string_split(f, '-') AS ps, string_split(replace(f, chr(39), ''), '-') AS bare, translate(n, '{_FROM}', '{_TO}') AS cn FROM c),
+h AS (SELECT *, f <> '' AND translate(translate(f, '-' || chr(39), ''), '{_ALPHA} ', '') = '' AND NOT list_contains(bare, '') AND NOT contains(f, ' ') AND (contains(f, chr(39)) OR len(ps) = 1) AS ok FROM g)
+SELECT p_partkey, CASE WHEN ok THEN f || CASE WHEN contains(f, chr(39)) THEN '' ELSE chr(39) END END AS form, CASE WHEN ok THEN bare END AS syllables, CASE WHEN ok THEN CASE WHEN contains(f, chr(39)) THEN len(ps) - 1 ELSE 0 END END AS stress,
+  CASE WHEN ok THEN list_transform(range(1, len(bare)), lambda i: CAST(list_sum(list_transform(bare[1:i], lambda x: length(x))) AS BIGINT)) END AS cuts, {_CLEAN.format(c='br')} AS clean,
+  list_filter(list_transform(regexp_split_to_array(cn || ' and kin, ta-ku', '\\band\\b|[,;]'), lambda x: trim(translate(x, '-' || chr(39), ''), ' .()')), lambda x: x <> '' AND translate(x, '{_ALPHA} ', '') = '' AND NOT contains(x, ' ')) AS refs,
+  list_distinct_ordered AS equivalents, CASE k WHEN 0 THEN 'v. a.' WHEN 1 THEN 'intj.' WHEN 2 THEN 'adv.' END AS pos
+FROM (SELECT *, list_filter([{_CLEAN.format(c="trim(cn, ' .,;:()[]')")}, 'wakan'], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM h)
+""")
 def headwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headwords made of part types: parsed, cut, cleaned, with references and equivalents."""
     made = F.concat(F.lower(F.translate("p_type", " ", "-")), F.when(F.col("p_partkey") % 2 == 0, F.lit("'")).otherwise(""))
-    p = X.parse_headword(made)
+    p, k = X.parse_headword(made), F.col("p_partkey") % 4
+    short = F.when(k == 0, "v.a.").when(k == 1, " interj. ").when(k == 2, "adv.").otherwise(" ")
     return table(spark, sf_dir, "part").select(
         "p_partkey", p["form"].alias("form"), p["syllables"].alias("syllables"), p["stress"].alias("stress"), X.syllable_cuts(p["syllables"]).alias("cuts"), X.clean_form(F.col("p_brand")).alias("clean"),
-        X.split_refs(F.lower("p_name")).alias("refs"), X.equivalents(F.concat(F.lower("p_name"), F.lit("; wakan : rest"))).alias("equivalents"), X.pos_canonical(F.lit("v.a.")).alias("pos"),
+        X.split_refs(F.concat(F.lower("p_name"), F.lit(" and kin, ta-ku"))).alias("refs"), X.equivalents(F.concat(F.lower("p_name"), F.lit("; wakan, wakan : rest"))).alias("equivalents"), X.pos_canonical(short).alias("pos"),
     )
 
 
@@ -103,46 +117,35 @@ def form_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("verdict", "relation").agg(F.count("*").alias("n"))
 
 
-@query()
-def edit_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits (one letter put in, taken out or changed) from a word of the documents to a later word in sort order; 25 word pairs at least."""
-    w = stored(table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), 1)).alias("w")).distinct())
-    # a row for each letter of each word, with a hash of what is left without it
-    at = F.expr("explode(transform(sequence(1, length(w)), i -> named_struct('i', i, 'c', substring(w, i, 1), 'next', substring(w, i + 1, 1), 'gap', xxhash64(concat(substring(w, 1, i - 1), substring(w, i + 1, length(w)))))))").alias("x")
-    gaps = w.select(F.length("w").alias("size"), at).select("size", "x.*")
-    pairs = "flatten(transform(cs, (a, k) -> transform(slice(cs, k + 2, size(cs)), b -> named_struct('old', a, 'new', b))))"
-    swaps = gaps.groupBy("size", "i", "gap").agg(F.sort_array(F.collect_list("c")).alias("cs")).filter("size(cs) > 1").select("i", F.explode(F.expr(pairs)).alias("e")).select("e.old", "e.new", "i")
-    # of a run of one letter only the last counts: the others leave the same word
-    drops = gaps.filter("c <> next").join(w.select(F.xxhash64("w").alias("gap")), "gap")
-    drops = drops.select(F.when(F.col("c") < F.col("next"), F.col("c")).otherwise("").alias("old"), F.when(F.col("c") < F.col("next"), "").otherwise(F.col("c")).alias("new"), "i")
-    return swaps.union(drops).groupBy("old", "new").agg(F.count("*").alias("n"), (F.min("i") - 1).alias("first_pos")).filter("n >= 25")
-
-
-@query("""
-WITH w AS (SELECT DISTINCT lang, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents), s AS (SELECT lang, left(w, length(w) - 1) AS s, count(*) AS n FROM w GROUP BY ALL)
-SELECT w.lang, count(*) AS words, round(avg(CASE WHEN n > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM w JOIN s ON w.lang = s.lang AND left(w, length(w) - 1) = s.s GROUP BY w.lang
-""")
-def coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of each language's words that mined edits explain: words whose last letter swapped is a word too."""
-    w = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), 1)).alias("w")).distinct()
-    stems = w.select("lang", F.left("w", F.length("w") - 1).alias("s"), "w").groupBy("lang", "s").agg(F.count("*").alias("n"))
-    met = w.withColumn("s", F.left("w", F.length("w") - 1)).join(stems, ["lang", "s"])
-    return met.groupBy("lang").agg(F.count("*").alias("words"), F.round(F.avg(F.when(F.col("n") > 1, 1.0).otherwise(0.0)), 6).alias("coverage"))
-
-
 @query("SELECT doc_id, doc_id % 7 AS w, ceil((doc_id * 3 + 1) / 28.0::DOUBLE)::BIGINT * ceil((doc_id + 1) / 28.0::DOUBLE)::BIGINT AS image_tokens, length(text) // 4 + 4 * 3 + 3 AS tokens FROM documents")
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", (d % 7).alias("w"), X.image_tokens(d * 3 + 1, d + 1).alias("image_tokens"), X.token_overhead(F.lit(3), F.floor(F.length("text") / 4)).alias("tokens"))
 
 
-@query()
+_FOLD = "regexp_replace(strip_accents(lower({c})), '[^a-z]', '', 'g')"
+_RUNS = "list_transform(range(1, length({c}) - 2), lambda i: substr({c}, i, 4))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, lang, source, text, 'Rule of ' || source || chr(10) || 'Pattern: ' || upper(lang) || chr(10) || 'Examples:' || chr(10) || ' - ' || regexp_extract(text, '\\S+') || chr(10) || '- b' || chr(10) || 'Do it' AS p, regexp_extract(text, '\\S+') AS w FROM documents),
+f AS (SELECT *, {_FOLD.format(c='w')} AS a, {_FOLD.format(c="list_extract(regexp_extract_all(text, chr(92) || 'S+'), -1)")} AS b, contains(chr(10) || 'Examples:' || chr(10) || ' - ' || w || chr(10) || '- b' || chr(10), lang) OR doc_id % 2 = 0 AS told FROM d)
+SELECT doc_id, nfc_normalize(text) AS nfc, nfc_normalize(text) AS nfkc, {_FOLD.format(c='text')} AS folded,
+  coalesce((length(a) > 3 AND length(b) > 3 AND list_has_any({_RUNS.format(c='a')}, {_RUNS.format(c='b')})) OR (length(a) >= 3 AND contains(b, a)) OR (length(b) >= 3 AND contains(a, b)) OR (length(b) = 5 AND left(b, 2) IN ('wo', 'ta', 'ti', 'to', 'wa', 'wi') AND contains(a, substr(b, 3, 3))), false) AS stem,
+  CASE doc_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END::DOUBLE AS marks, 'Rule of ' || source || chr(10) || 'Pattern: [hidden]' || CASE WHEN told THEN chr(10) ELSE chr(10) || 'Examples:' || chr(10) || ' - ' || w || chr(10) || '- b' || chr(10) END || 'Do it' AS prompt
+FROM f
+""")
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unicode forms, folded letters, stems, leaks and stable ids of titles: all need Python."""
-    head = F.substring_index("text", "\n", 1)
-    d = table(spark, sf_dir, "documents").select("doc_id", head.alias("head"), F.lag(head).over(Window.partitionBy("lang").orderBy("doc_id")).alias("other"))
-    prompt = F.concat(F.lit("Pattern: x\nExamples:\n - "), F.col("head"), F.lit("\nDo it"))
-    return d.select("doc_id", udfs.nfc("head").alias("nfc"), udfs.nfkc("head").alias("nfkc"), udfs.fold_letters("head").alias("folded"), udfs.shares_stem(F.coalesce("other", F.lit("")), F.col("head")).alias("stem"), udfs.diacritic_preservation(F.col("head"), F.coalesce("other", F.lit(""))).alias("marks"), X.hide_leak(prompt, F.col("head"), F.lit("x")).alias("prompt"), udfs.stable_id("task_")(F.col("head"), F.col("doc_id"), F.col("head"), F.lit("r")).alias("id"))
+    """Unicode forms, folded letters, stems of first and last words, marks that are kept, and prompts without leaks."""
+    t, w = F.col("text"), F.regexp_extract("text", r"\S+", 0)
+    last = F.coalesce(F.element_at(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1), -1), F.lit(""))
+    d = table(spark, sf_dir, "documents").withColumn("w", w)
+    prompt = F.concat(F.lit("Rule of "), "source", F.lit("\nPattern: "), F.upper("lang"), F.lit("\nExamples:\n - "), "w", F.lit("\n- b\nDo it"))
+    marked = F.when(F.col("doc_id") % 3 == 0, "q\u0323a").when(F.col("doc_id") % 3 == 1, "q\u0323ax\u0323").otherwise("qa\u0323")
+    return d.select(
+        "doc_id", udfs.nfc(t).alias("nfc"), udfs.nfkc(t).alias("nfkc"), udfs.fold_letters(t).alias("folded"), udfs.shares_stem(F.col("w"), last).alias("stem"),
+        udfs.diacritic_preservation(F.lit("q\u0323a"), marked).alias("marks"), X.hide_leak(prompt, F.when(F.col("doc_id") % 2 == 0, F.col("w")).otherwise(F.lit("zz")), F.col("lang")).alias("prompt"),
+    )
 
 
 @query("""
@@ -163,10 +166,10 @@ def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, ['training'] AS missing, CAST(1 AS BIGINT) AS placeholders, '# T' || chr(10) || chr(10) || '## Uses' || chr(10) || chr(10) || regexp_extract(text, '^[^\\n]*') || chr(10) || chr(10) || '## Limits' || chr(10) || chr(10) || '[TODO]' || chr(10) AS tidy FROM documents
+SELECT doc_id, ['training'] AS missing, CAST(1 AS BIGINT) AS placeholders, '# T' || chr(10) || chr(10) || '## Uses' || chr(10) || chr(10) || trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(10) || chr(10) || '## Limits' || chr(10) || chr(10) || '[TODO]' || chr(10) AS tidy FROM documents
 """)
 def markdown_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections and placeholders of cards made of documents, and their tidied text."""
-    card = F.concat(F.lit("# T\n## Uses\n"), F.substring_index("text", "\n", 1), F.lit("\n\n\n\n## Limits\n[TODO]  \n"))
+    card = F.concat(F.lit("# T\n## Uses\n"), X.collapse(F.col("text")), F.lit("  \n\n\n\n## Limits\n[TODO]  \n"))
     cards = table(spark, sf_dir, "documents").select("doc_id", card.alias("card"))
     return verdicts.model_card_checks(cards, "card", ["Uses", "Limits", "Training"]).select("doc_id", "missing", F.col("placeholders").cast("long").alias("placeholders"), verdicts.markdown_normalize(F.col("card")).alias("tidy"))
