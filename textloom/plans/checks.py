@@ -72,12 +72,12 @@ def audit_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(x,) for x in found], "finding string")
 
 
-@query("SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS BIGINT) AS step, round(user_id * 3 * value / 8 / 3600.0::DOUBLE, 6) AS hours FROM events")
+@query("SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS BIGINT) AS step, CAST(floor(user_id * 3 * value / 8 / 3600.0::DOUBLE * 1000 + 0.0001) AS BIGINT) AS hours FROM events")
 def ensure_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps for rows that have none, and the hours of a run by its size."""
+    """Steps for rows that have none, and the thousandths of hours of a run by its size."""
     rows = metrics.ensure_step(table(spark, sf_dir, "events"), ["ts", "event_id"], ["event_type"])
     hours = metrics.training_time(F.col("user_id"), F.lit(3), F.col("value"), F.lit(8))
-    return metrics.ensure_step(rows, [], []).select("event_type", "event_id", F.col("step").cast("long").alias("step"), F.round(hours, 6).alias("hours"))
+    return metrics.ensure_step(rows, [], []).select("event_type", "event_id", F.col("step").cast("long").alias("step"), F.floor(hours * 1000 + 0.0001).alias("hours"))
 
 
 @query("""

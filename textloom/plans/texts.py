@@ -78,8 +78,8 @@ _CLEAN = "CASE WHEN {c} <> '' AND length({c}) <= 60 AND translate(translate({c},
 WITH b AS (SELECT p_partkey, replace(lower(p_type), ' ', '-') || CASE WHEN p_partkey % 2 = 0 THEN chr(39) ELSE '' END AS made, trim(translate(lower(p_brand), '{_FROM}', '{_TO}'), ' .,;:()[]') AS br, lower(p_name) AS n, p_partkey % 4 AS k FROM part),
 c AS (SELECT *, translate(made, '{_FROM}', '{_TO}') AS f FROM b), g AS (SELECT *, string_split(f, '-') AS ps, string_split(replace(f, chr(39), ''), '-') AS bare, translate(n, '{_FROM}', '{_TO}') AS cn FROM c),
 h AS (SELECT *, f <> '' AND translate(translate(f, '-' || chr(39), ''), '{_ALPHA} ', '') = '' AND NOT list_contains(bare, '') AND NOT contains(f, ' ') AND (contains(f, chr(39)) OR len(ps) = 1) AS ok FROM g)
-SELECT p_partkey, CASE WHEN ok THEN f || CASE WHEN contains(f, chr(39)) THEN '' ELSE chr(39) END END AS form, CASE WHEN ok THEN bare END AS syllables, CASE WHEN ok THEN CASE WHEN contains(f, chr(39)) THEN len(ps) - 1 ELSE 0 END END AS stress,
-  CASE WHEN ok THEN list_transform(range(1, len(bare)), lambda i: CAST(list_sum(list_transform(bare[1:i], lambda x: length(x))) AS BIGINT)) END AS cuts, {_CLEAN.format(c='br')} AS clean,
+SELECT p_partkey, CASE WHEN ok THEN f || CASE WHEN contains(f, chr(39)) THEN '' ELSE chr(39) END END AS form, CASE WHEN ok THEN bare ELSE [] END AS syllables, CASE WHEN NOT ok THEN -1 WHEN contains(f, chr(39)) THEN len(ps) - 1 ELSE 0 END AS stress,
+  CASE WHEN ok THEN list_transform(range(1, len(bare)), lambda i: CAST(list_sum(list_transform(bare[1:i], lambda x: length(x))) AS BIGINT)) ELSE [] END AS cuts, {_CLEAN.format(c='br')} AS clean,
   list_filter(list_transform(regexp_split_to_array(cn || ' and kin, ta-ku', '\\band\\b|[,;]'), lambda x: trim(translate(x, '-' || chr(39), ''), ' .()')), lambda x: x <> '' AND translate(x, '{_ALPHA} ', '') = '' AND NOT contains(x, ' ')) AS refs,
   list_distinct_ordered AS equivalents, CASE k WHEN 0 THEN 'v. a.' WHEN 1 THEN 'intj.' WHEN 2 THEN 'adv.' END AS pos
 FROM (SELECT *, list_filter([{_CLEAN.format(c="trim(cn, ' .,;:()[]')")}, 'wakan'], lambda x: x IS NOT NULL) AS list_distinct_ordered FROM h)
@@ -88,9 +88,10 @@ def headwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headwords made of part types: parsed, cut, cleaned, with references and equivalents."""
     made = F.concat(F.lower(F.translate("p_type", " ", "-")), F.when(F.col("p_partkey") % 2 == 0, F.lit("'")).otherwise(""))
     p, k = X.parse_headword(made), F.col("p_partkey") % 4
+    none = F.array().cast("array<string>")
     short = F.when(k == 0, "v.a.").when(k == 1, " interj. ").when(k == 2, "adv.").otherwise(" ")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", p["form"].alias("form"), p["syllables"].alias("syllables"), p["stress"].alias("stress"), X.syllable_cuts(p["syllables"]).alias("cuts"), X.clean_form(F.col("p_brand")).alias("clean"),
+        "p_partkey", p["form"].alias("form"), F.coalesce(p["syllables"], none).alias("syllables"), F.coalesce(p["stress"], F.lit(-1)).alias("stress"), F.coalesce(X.syllable_cuts(p["syllables"]), none.cast("array<int>")).alias("cuts"), X.clean_form(F.col("p_brand")).alias("clean"),
         X.split_refs(F.concat(F.lower("p_name"), F.lit(" and kin, ta-ku"))).alias("refs"), X.equivalents(F.concat(F.lower("p_name"), F.lit("; wakan, wakan : rest"))).alias("equivalents"), X.pos_canonical(short).alias("pos"),
     )
 
