@@ -45,6 +45,39 @@ def test_recall_and_order(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_work_and_recall_at_two_sizes():
+    """Points looked at by a query stay below all points, at a recall of nine in ten and more, with leaves that grow with them."""
+    rng = np.random.default_rng(4)
+    for n in (6000, 24_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        forest = ann.grow(x[: 1 << 13], 1.0, leaves=n // ann.LEAF_POINTS)
+        leaves = forest.leaves(x)
+        sizes = np.array([np.bincount(own, minlength=1 << forest.depth) for own in leaves])
+        hits = work = 0
+        for q in range(40):
+            seen = forest.visits(x[q], max(ann.VISITS * n, ann.LEAST_POINTS), sizes)
+            work += sum(sizes[t, leaf] for t, leaf in seen)
+            found = set(np.concatenate([np.flatnonzero(leaves[t] == leaf) for t, leaf in seen]).tolist())
+            hits += len(found & set(np.argsort(-(x @ x[q]))[:21].tolist()))
+        assert work < 40 * n * 1.05 and hits >= 0.9 * 40 * 21 and forest.depth == int(np.log2(n // ann.LEAF_POINTS))
+
+
+def test_leaves_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_POINTS", 7)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(300)]
+    for q, near in found(spark, rows, leaf_points=40).items():
+        assert [i for _, i, _ in near] == brute(rows, rows[q])
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)], 0, 0, "x") for i in range(30)], "q long, points array<double>, leaf int, score int, items string")
+    got = ann.nearest(df, F.col("q") == 0, "q", "points")
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 20
+
+
 def test_copies_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(2)
     some = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(60)]

@@ -2,17 +2,20 @@
 
 A tree splits its points by random projections at their medians. Trees are
 fitted on a bounded sample of the vectors and broadcast; every vector is routed
-to one leaf of each tree. A query walks all trees at once: a priority queue,
+to one leaf of each tree. Leaves grow in number with the vectors, as far as the
+sample can tell them apart. A query walks all trees at once: a priority queue,
 shared by the trees, holds the branches not taken, ordered by how far the query
-lies on their wrong side, and gives the next leaf to visit until the visits are
-used up. All vectors of the visited leaves are candidates and are ranked by
+lies on their wrong side, and gives the next leaf to visit until the leaves seen
+hold a share of the points, and some thousands at least: few points are all
+looked at. All vectors of the visited leaves are candidates and are ranked by
 their exact inner product in double precision.
 
 For inner products of vectors of any length, points get one more component that
 makes all norms equal; for unit vectors it is zero.
 
 Leaves and the queries that visit them meet in blocks of bounded size, joined
-on (tree, leaf) and multiplied as matrices. Visits come in two rounds: the first
+on (tree, leaf, block of points) and multiplied as matrices, so a leaf of any
+size is dealt over many tasks. Visits come in two rounds: the first
 leaf of each tree gives each query a bound, and later leaves return only what
 reaches it.
 
@@ -38,14 +41,17 @@ from pyspark.sql import functions as F
 
 from textloom.session import stored
 
-TREES = 10
-#: Leaves of a tree. More leaves and fewer visits suit vectors with clear clusters.
-LEAVES = 64
-#: Leaves a query visits, as a multiple of the leaves of one tree. Vectors without
-#: any cluster need about this much for nine in ten neighbours in 64 dimensions.
-VISITS = 1.7
-#: The fit reads about so many vectors at most.
-FIT_ROWS = 1 << 15
+TREES = 3
+#: About the points of a leaf.
+LEAF_POINTS = 256
+#: Points that a query's leaves hold, over all trees, as a share of all points: under 1, so a query
+#: costs less than a search of everything. Vectors without any cluster need about this much for
+#: nine in ten neighbours in 64 dimensions; clustered ones need far less.
+VISITS = 0.98
+#: A query's leaves hold so many points at least.
+LEAST_POINTS = 4096
+#: The fit reads about so many vectors at most; a leaf has 8 of them at least.
+FIT_ROWS = 1 << 17
 TOP = 20
 BLOCK_POINTS, BLOCK_QUERIES = 2048, 1024
 
@@ -75,14 +81,14 @@ class Forest:
             out.append(node - first)
         return np.array(out)
 
-    def visits(self, q: np.ndarray, most: int) -> list[tuple[int, int]]:
-        """The first ``most`` (tree, leaf) of the shared priority queue."""
+    def visits(self, q: np.ndarray, most: float, sizes: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """The first (tree, leaf) of the shared priority queue until they hold ``most`` points by ``sizes`` (trees x leaves; without them, each counts 1)."""
         unit = np.append(q / np.linalg.norm(q), 0.0)
         sides = (self.planes @ unit - self.cuts).tolist()
         first, trees = (1 << self.depth) - 1, len(self.planes)
         queue = [(0.0, t, 0) for t in range(trees)]
-        out = []
-        while queue and len(out) < most:
+        out, held = [], 0
+        while queue and held < most:
             far, tree, node = heapq.heappop(queue)
             side = sides[tree]
             while node < first:
@@ -92,12 +98,13 @@ class Forest:
                 heapq.heappush(queue, (max(far, abs(d)), tree, other))
                 node = near
             out.append((tree, node - first))
+            held += 1 if sizes is None else int(sizes[tree, node - first])
         return out
 
 
-def grow(sample: np.ndarray, scale: float, trees: int = TREES, leaves: int = LEAVES, seed: int = 7) -> Forest:
+def grow(sample: np.ndarray, scale: float, trees: int = TREES, leaves: int = 64, seed: int = 7) -> Forest:
     """Fit on a sample: as deep as ``leaves`` need, with 8 sample rows a leaf at least."""
-    depth = min(int(np.log2(leaves)), int(np.log2(max(1, len(sample) / 8))))
+    depth = min(int(np.log2(max(1, leaves))), int(np.log2(max(1, len(sample) / 8))))
     nodes, rng = max(1, (1 << depth) - 1), np.random.default_rng(seed)
     made = Forest(depth, scale, np.zeros((trees, nodes, sample.shape[1] + 1)), np.zeros((trees, nodes)))
     x = made.lifted(sample)
@@ -124,13 +131,13 @@ def _usable(vec: Column) -> Column:
 
 
 def _blocks(rows: DataFrame, keys: list[str], item: str, most: int, item_id: str) -> DataFrame:
-    """Items of a key in blocks of about ``most``."""
+    """Items of a key in blocks ``b`` of about ``most``."""
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    dealt = rows.join(sizes, keys).withColumn("__b", F.pmod(F.xxhash64(item_id), F.ceil(F.col("__n") / most)))
-    return dealt.groupBy(*keys, "__b").agg(F.collect_list(item).alias("items")).drop("__b")
+    dealt = rows.join(sizes, keys).withColumn("b", F.pmod(F.xxhash64(item_id), F.ceil(F.col("__n") / most)).cast("int"))
+    return dealt.groupBy(*keys, "b").agg(F.collect_list(item).alias("items"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, trees: int = TREES, leaves: int = LEAVES, visits: float = VISITS, fit_rows: int = FIT_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", top: int = TOP, trees: int = TREES, leaf_points: int = LEAF_POINTS, visits: float = VISITS, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The ``top`` nearest found of each query: query_id, rank (from 1), vec_id, score."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), is_query.alias("is_query"))
@@ -148,10 +155,11 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     n, scale = points.agg(F.count("*"), F.max(norm)).first()
     if not n:
         return spark.range(0).select(F.col("id").alias("query_id"), F.col("id").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    share = int(min(1.0, fit_rows / n) * 1_000_000)
-    sample = points.filter(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_000)) < share).select("id", "vec").toArrow()
+    # below a bound on the whole range of 64-bit hashes, so any number of points gives its sample
+    below = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, fit_rows / n) * 2**64))
+    sample = points.filter(F.xxhash64("id", F.lit("fit")) <= F.lit(below)).select("id", "vec").toArrow()
     at = np.argsort(sample.column("id").to_numpy())
-    forest = grow(_matrix(sample.column("vec").combine_chunks(), dim)[at], scale * (1 + 1e-12), trees, leaves)
+    forest = grow(_matrix(sample.column("vec").combine_chunks(), dim)[at], scale * (1 + 1e-12), trees, n // leaf_points)
     sent = spark.sparkContext.broadcast(forest)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +171,19 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     posted = points.select("id", "vec").mapInArrow(route, "id long, vec array<double>, tree int, leaf int")
     posted = _blocks(posted.withColumn("p", F.struct("id", "vec")), ["tree", "leaf"], "p", BLOCK_POINTS, "id").withColumnRenamed("items", "points")
     posted = stored(posted)
-
-    most = int(np.ceil(visits * (1 << forest.depth)))
+    # a row for each leaf: bounded by the sample of the fit
+    held = posted.groupBy("tree", "leaf").agg(F.sum(F.size("points")).alias("n"), (F.max("b") + 1).alias("blocks"))
+    sizes = np.zeros((trees, 1 << forest.depth), np.int64)
+    for r in held.collect():
+        sizes[r["tree"], r["leaf"]] = r["n"]
+    known = spark.sparkContext.broadcast(sizes)
+    most = max(visits * n, LEAST_POINTS)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             for r, q in enumerate(x):
-                seen = np.array(sent.value.visits(q, most), np.int32)
+                seen = np.array(sent.value.visits(q, most, known.value), np.int32)
                 k = pa.array(np.full(len(seen), r), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(k), batch.column(1).take(k), pa.array(seen[:, 0]), pa.array(seen[:, 1]), pa.array(np.arange(len(seen)), pa.int32())], ["q", "vec", "tree", "leaf", "nth"])
 
@@ -196,8 +209,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_id, out_s)], ["q", "id", "score"])
 
     def found(visiting: DataFrame) -> DataFrame:
-        asking = _blocks(visiting.withColumn("p", F.struct("q", "vec", "least")), ["tree", "leaf"], "p", BLOCK_QUERIES, "q").withColumnRenamed("items", "queries")
-        met = posted.join(asking, ["tree", "leaf"]).select("points", "queries")
+        asking = _blocks(visiting.withColumn("p", F.struct("q", "vec", "least")), ["tree", "leaf"], "p", BLOCK_QUERIES, "q").select("tree", "leaf", F.col("items").alias("queries"))
+        asking = asking.join(F.broadcast(held.select("tree", "leaf", "blocks")), ["tree", "leaf"])
+        asking = asking.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        met = posted.join(asking, ["tree", "leaf", "b"]).select("points", "queries")
         return met.mapInArrow(ranked, "q long, id long, score double").groupBy("q", "id").agg(F.max("score").alias("score"))
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
