@@ -144,6 +144,79 @@ def test_probabilities_add_up(spark):
             assert ((own + 0.5) / vocab.class_divisor[c]).sum() + 0.5 / vocab.class_divisor[c] == pytest.approx(1)
 
 
+def plain_classes(texts, of):
+    """Per text its tokens' classes, the end included."""
+    return [[of(w.encode()) for w in WORD.findall(low(t))] + [maxent.END] for t in texts]
+
+
+def plain_rows(one, two):
+    """The four weight rows of a history (class before, class before that)."""
+    h = (two * maxent.CLASSES + one) * 0x9E3779B97F4A7C15 % 2**64
+    return [0, one, two, (h >> 40) % maxent.TRIGRAM_BUCKETS]
+
+
+def plain_softmax(tables, rows):
+    logits = [sum(t[r][c] for t, r in zip(tables, rows, strict=True)) for c in range(maxent.CLASSES)]
+    top = max(x for c, x in enumerate(logits) if c != maxent.START)
+    out = [0.0 if c == maxent.START else math.exp(x - top) for c, x in enumerate(logits)]
+    return [x / sum(out) for x in out]
+
+
+def test_model_against_plain_loops(spark):
+    """Training by loops over histories, and scores token by token, without tables."""
+    texts = ["the dog the cat", "a dog. end of it", "zz yy the dog", None, "", "The  dog\nran"] * 3
+    df = docs(spark, texts)
+    vocab, _ = maxent.vocabulary(maxent.word_counts(df.select("text")))
+    seen = Counter()
+    for classes in plain_classes(texts, vocab.classes.of):
+        two = one = maxent.START
+        for c in classes:
+            seen[two, one, c] += 1
+            two, one = one, c
+    sizes = [1, maxent.CLASSES, maxent.CLASSES, maxent.TRIGRAM_BUCKETS]
+    tables = [np.zeros((n, maxent.CLASSES)) for n in sizes]
+    for _ in range(maxent.ROUNDS):
+        real, model = [np.zeros_like(t) for t in tables], [np.zeros_like(t) for t in tables]
+        for two, one in {k[:2] for k in seen}:
+            rows = plain_rows(one, two)
+            after = {c: n for (a, b, c), n in seen.items() if (a, b) == (two, one)}
+            p = plain_softmax(tables, rows)
+            for k, r in enumerate(rows):
+                model[k][r] += np.array(p) * sum(after.values())
+                for c, n in after.items():
+                    real[k][r][c] += n
+        for t, x, m in zip(tables, real, model, strict=True):
+            t += maxent.RATE * (x - m) / (0.5 * (x + m) + 1.0)
+    trained = maxent.train(maxent.history_counts(df.select("text"), vocab))
+    for t, w in zip(tables, trained.parts(), strict=True):
+        assert np.allclose(np.delete(t, maxent.START, 1), np.delete(w, maxent.START, 1), atol=1e-9)
+    counts = Counter(w for t in texts for w in WORD.findall(low(t)))
+    alone = {maxent.END, *vocab.classes.own.values()}
+    members = {c: [w for w in counts if vocab.classes.of(w.encode()) == c] for c in range(maxent.CLASSES)}
+    asked = [*texts[:6], "the unseen word", "dog dog dog the"]
+    got = {r["doc_id"]: r["score"] for r in maxent.score(docs(spark, [*texts, *asked[6:]]), F.col("doc_id") < len(texts), most=3).collect()}
+    for i, t in [*enumerate(texts), (len(texts), asked[6]), (len(texts) + 1, asked[7])]:
+        want, two, one = 0.0, maxent.START, maxent.START
+        for w in [*WORD.findall(low(t)), None]:
+            c = maxent.END if w is None else vocab.classes.of(w.encode())
+            want += math.log10(plain_softmax(tables, plain_rows(one, two))[c])
+            if c not in alone:
+                total = sum(counts[x] for x in members[c]) + 0.5 * (len(members[c]) + 1)
+                want += math.log10((counts[w] + 0.5) / total)
+            two, one = one, c
+        assert got[i] == pytest.approx(want, rel=1e-5)
+
+
+def test_token_slices(spark, monkeypatch):
+    """Borders of slices fall into words and blanks; a text above a megabyte."""
+    text = "aé b\n" * 300_000
+    whole = [w for part in maxent.tokens(text) for w in part]
+    assert len(text.encode()) > maxent.SLICE and whole == text.encode().split()
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(maxent, "SLICE", size)
+        assert [w for part in maxent.tokens(text[:60]) for w in part] == text[:60].encode().split()
+
+
 def test_scores_of_odd_texts(spark):
     df = docs(spark, ODD).withColumnRenamed("lang", "score").withColumnRenamed("n_chars", "word")
     got = {r["doc_id"]: r for r in maxent.score(df, F.lit(True)).collect()}

@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from helpers import DOCS, ODD, WORD, docs
 
-from textloom.llm import pii, quality
+from textloom.llm import pii, quality, queries
 
 
 def base(text):
@@ -75,6 +76,80 @@ def test_line_blocks_go_and_copies_hide_no_line(spark):
     assert got == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, t in enumerate(texts)}
 
 
+def plain_verdicts(rows, limits):
+    """The same rule with plain loops, where every bucket holds all documents of a line: (id, host, text) -> id: (kept, removed words)."""
+    norm = lambda x: " ".join(WORD.findall(x)).lower()
+    lines = {i: [norm(x) for x in (t or "").split("\n") if WORD.search(x)] for i, _, t in rows}
+    texts = {}
+    for i, h, t in rows:
+        texts.setdefault(h, {}).setdefault(t, set(lines[i]))
+    above = set()
+    for host, own in texts.items():
+        for line in {x for s in own.values() for x in s}:
+            sets = [s for s in own.values() if line in s]
+            if len(sets) > limits.max_docs:
+                picked = []
+                for s in sorted(sets, key=lambda s: sorted(s)):
+                    if not any(len(s & p) > limits.copy_share * max(len(s), len(p)) for p in picked):
+                        picked.append(s)
+                if len(picked) > limits.max_docs:
+                    above.add((host, line))
+    out = {}
+    for i, h, t in rows:
+        n, *_, failed = base(t)
+        gone = sum(len(x.split(" ")) for x in lines[i] if (h, x) in above)
+        out[i] = (not failed and n - gone >= limits.min_left * n, gone)
+    return out
+
+
+def test_verdicts_against_plain_loops(spark):
+    """Groups that are either clear copies or clearly not, so that the order of picking can't matter."""
+    rng, rows = random.Random(11), []
+    for k in range(140):
+        body = [words(rng, 12) for _ in range(6)]
+        if k % 3 == 0:
+            body.insert(rng.randint(0, 6), "Shared  line one here")
+        if k % 4 == 0:
+            body.insert(rng.randint(0, 6), "another shared\tline")
+        for c in range(rng.choice([1, 1, 3])):
+            copy = list(body)
+            if c:
+                copy[rng.randrange(len(copy))] = words(rng, 9)
+            rows.append((len(rows), f"h{k % 2}" if k % 5 else None, "\n".join(copy)))
+    rows += [(len(rows) + j, "h0", t) for j, t in enumerate(ODD)]
+    limits = quality.Limits(min_words=20)
+    want = plain_verdicts(rows, limits)
+    df = spark.createDataFrame([(i, t, "en", h, 0) for i, h, t in rows], DOCS).repartition(4)
+    got = {r["doc_id"]: (r["kept"], r["removed_words"]) for r in quality.rules(df, limits=limits).collect()}
+    assert got == want and 20 < sum(n > 0 for _, n in want.values()) < len(rows)
+
+
+def test_quality_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    made = con.execute(queries.ORACLE_SQL["op2_quality"])
+    names = [c[0] for c in made.description]
+    assert sorted(tuple(r[c] for c in names) for r in queries.op2_quality(spark, sf).collect()) == sorted(made.fetchall())
+
+
+def test_quality_equals_sql_over_many_rounds(spark, tmp_path):
+    """Lines of so many documents that copies are picked in several rounds of buckets."""
+    rng = random.Random(12)
+    page = [f"line {k} of a page that is copied" for k in range(12)]
+    rows = [(i, "\n".join([*page[: i % 12], words(rng, 6), *page[i % 12 + 1 :], "seen by all", *(["seen by some"] * (i % 4 == 0))]), "en", "h", 0) for i in range(700)]
+    rows += [(1000 + i, words(rng, 60) + "\nseen by all\n" + words(rng, 5), "en", "h", 0) for i in range(500)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    made = con.execute(queries.ORACLE_SQL["op2_quality"])
+    names = [c[0] for c in made.description]
+    got = sorted(tuple(r[c] for c in names) for r in queries.op2_quality(spark, str(tmp_path)).collect())
+    assert got == sorted(made.fetchall())
+    removed = {r[names.index("doc_id")]: r[names.index("removed_words")] for r in got}
+    assert all(removed[i] == 3 for i in removed if i >= 1000) and all(removed[i] == 3 for i in range(700))
+
+
 def test_quality_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality.rules(empty).count() == 0 and quality.cleaned(empty).count() == 0
@@ -128,4 +203,7 @@ def test_redaction(spark):
     got = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert got == {0: "mail [EMAIL] or [IP]!", 1: None, 2: "none", 3: "[EMAIL]"}
     assert pii.redact(df).columns == df.columns
+    odd = df.withColumnRenamed("lang", "__text").withColumnRenamed("source", "__all").withColumnRenamed("n_chars", "spans")
+    assert {r["text"] for r in pii.redact(odd).collect()} == set(got.values()) and pii.redact(odd).columns == odd.columns
+    assert pii.digest(odd).count() == 4
     assert pii.redact(df.limit(0)).count() == 0

@@ -30,12 +30,49 @@ def test_shards(spark):
     assert where.version == 1
 
 
-def test_hot_group_is_dealt(spark):
-    rows = sharding.shard(docs(spark, ["y" * 50] * 1000 + [str(i) for i in range(500)]))[0].collect()
-    loads = defaultdict(int)
+def test_groups_are_cut_only_where_no_shard_holds_them(spark):
+    texts = ["y" * 50] * 1000 + ["z" * 50] * 120 + [str(i) * 9 for i in range(500)]
+    placed, where = sharding.shard(docs(spark, texts))
+    rows, loads, of = placed.collect(), defaultdict(int), defaultdict(set)
     for r in rows:
         loads[r["shard"]] += r["size"]
-    assert max(loads.values()) < 1.02 * min(loads.values())
+        of[texts[r["doc_id"]]].add(r["shard"])
+    assert max(loads.values()) < 1.1 * sum(loads.values()) / 8
+    share = 51 * 1000 * 8 / sum(loads.values())
+    assert [p for _, _, p in where.cut] == [-(-share // 1)] and len(of["y" * 50]) <= where.cut[0][2] and len(of["z" * 50]) == 1
+    assert all(len(s) == 1 for t, s in of.items() if t[0] != "y")
+
+
+def test_stored_maps(spark, tmp_path):
+    """A second run edits the stored map; records keep their slots; saving twice leaves one copy."""
+    at = str(tmp_path / "map")
+    texts = ["same" * 9] * 400 + [f"text {i}" * (i % 7) for i in range(300)]
+    first, one = sharding.shard(docs(spark, texts), path=at)
+    one.save(spark, at)
+    assert sharding.SlotMap.load(spark, at) == one and one.cut
+    second, two = sharding.shard(docs(spark, [*texts, *("new" * 40 for _ in range(90))]), path=at)
+    assert (one.version, two.version) == (1, 2) and {r["map_version"] for r in second.collect()} == {2}
+    slot = {r["doc_id"]: r["vslot"] for r in first.collect()}
+    assert all(slot[r["doc_id"]] == r["vslot"] for r in second.collect() if r["doc_id"] in slot)
+    spark.range(5).selectExpr("cast(id as int) slot", "0 shard", "8 shards", "cast(null as long) text_hash", "cast(null as int) pieces").write.mode("append").parquet(f"{at}/version=2")
+    with pytest.raises(ValueError, match="not whole"):
+        sharding.SlotMap.load(spark, at)
+
+
+def test_parts_of_a_slot(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 1)
+    rows = sharding.shard(docs(spark, ["a"] * 70 + ["b"] * 50 + ["c"]), slots=32)[0].collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(rows) == 121 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_shards_beside_clashing_columns(spark):
+    df = docs(spark, ["a", "b"]).withColumnRenamed("lang", "vslot").withColumnRenamed("source", "size").withColumnRenamed("n_chars", "__g")
+    assert sharding.shard(df)[0].count() == 2
+    conv = spark.createDataFrame([(1, 0, "user", "x", 5)], "conv_id long, turn long, role string, text string, block int")
+    assert [r["text"] for r in chat.render(conv).collect()] == ["<|user|>\nx<|end|>\n"]
 
 
 def test_map_edits(spark, tmp_path):

@@ -167,11 +167,12 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace each span by its kind in brackets; a null text stays null. All columns are kept."""
-    df = find(docs, text_col, "__base", "__all")
+    # the input travels in one column, so that no name clashes
+    df = find(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__in")), "__in", "__base", "__all")
     # where spans overlap, the first gives its kind and the rest go with it
     ends = F.transform("__all", lambda s: s["end"])
     df = df.withColumn("__cuts", F.when(F.size("__all") > 0, _running_max(ends)).otherwise(F.array().cast("array<bigint>")))
-    text = F.col(f"`{text_col}`")
+    text = F.col("__in")
 
     def piece(s: Column, i: Column) -> Column:
         before = F.coalesce(F.get("__cuts", i - 1), F.lit(0).cast("long"))
@@ -180,7 +181,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     parts = F.transform("__all", piece)
     rest = F.substring(text, F.try_element_at("__cuts", F.lit(-1)) + 1, F.length(text))
     new = F.when(F.size("__all") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
-    return df.withColumn(text_col, new).select(*docs.columns)
+    return df.select(*[new.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _running_max(values: Column) -> Column:

@@ -117,8 +117,9 @@ def _keyed(docs: DataFrame, keep: list[str], host_col: str, text_col: str) -> Da
         *[F.col(f"`{c}`").alias(_KEEP + c) for c in keep],
         F.coalesce(F.xxhash64(F.col(f"`{host_col}`")), F.lit(0)).alias("host"),
         text.alias("__text"),
-        F.xxhash64(text).alias("doc"),
-        F.xxhash64(F.lit("second"), text).alias("doc2"),
+        # 60 bits in which SQL engines agree give the order in which copies are looked for
+        F.conv(F.left(F.md5(text), F.lit(15)), 16, 10).cast("long").alias("doc"),
+        F.xxhash64(text).alias("doc2"),
     )
 
 

@@ -55,9 +55,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's shard of eight, near equal in bytes, and its place there."""
+    """Every document's shard of eight, near equal in bytes, and its place there, by a map that is stored, loaded and shown with its version."""
     placed, _ = sharding.shard(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot", "map_version")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ WHERE NOT EXISTS (SELECT 1 FROM c d WHERE d.said[1] = c.said[1] AND d.n > c.n AN
   AND NOT EXISTS (SELECT 1 FROM c d WHERE d.said = c.said AND d.conv_id < c.conv_id)
 """
 
-_QUALITY_SQL = r"""
+_QUALITY_TEMPLATE = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, text, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t,
          list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -102,11 +102,17 @@ WITH w AS (
     SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, a, b, c) AS k FROM tri) WHERE k > 1
   ) GROUP BY r
 ), lines AS (
-  SELECT r, host, text, j, norm[j] AS l, CASE WHEN j > 1 THEN norm[j - 1] END AS p, norm[j + 1] AS q FROM (SELECT *, unnest(range(1, len(norm) + 1)) AS j FROM n)
-), once AS (
-  SELECT host, l, text, arg_min({'p': p, 'q': q}, j) AS place FROM lines GROUP BY host, l, text
-), above AS (
-  SELECT host, l FROM (SELECT host, l, place, count(*) AS k FROM once GROUP BY host, l, place) GROUP BY host, l HAVING sum(k) > 10 AND count(*) >= 0.8::DOUBLE * sum(k)
+  SELECT r, host, norm[j] AS l FROM (SELECT *, unnest(range(1, len(norm) + 1)) AS j FROM n)
+), sets AS (
+  SELECT host, CAST('0x' || left(md5(text), 15) AS BIGINT) AS doc, list_distinct(any_value(norm)) AS s FROM n WHERE text IS NOT NULL GROUP BY host, text
+), each_line AS (
+  SELECT host, doc, s, unnest(s) AS l FROM sets
+), common AS (
+  SELECT host, l, count(*) AS c FROM each_line GROUP BY host, l HAVING count(*) > 10
+), r0 AS (
+  SELECT host, l, CAST(ceil(c / 66.0::DOUBLE) AS BIGINT) AS b, {'doc': doc, 's': s} AS x FROM each_line JOIN common USING (host, l)
+), @PICKS@ above AS (
+  @ABOVE@
 ), hits AS (
   SELECT r, CAST(sum(len(string_split(l, ' '))) AS BIGINT) AS removed FROM lines JOIN above USING (host, l) GROUP BY r
 ), stats AS (
@@ -120,4 +126,12 @@ SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines
 FROM stats
 """
 
+#: Rounds in which copies are picked: enough for lines of 66 * 6 ** 7 documents.
+_ROUNDS = 8
+_PICK = """p{k} AS (
+  SELECT host, l, b, list_reduce(list([x] ORDER BY x.doc), lambda p, y: CASE WHEN len(p) > 10 OR len(list_filter(p, lambda a: len(list_intersect(a.s, y[1].s)) > 0.5::DOUBLE * greatest(len(a.s), len(y[1].s)))) > 0 THEN p ELSE list_concat(p, y) END) AS p
+  FROM r{k} GROUP BY host, l, b, x.doc % b
+), r{n} AS (SELECT host, l, CAST(ceil(b / 6.0::DOUBLE) AS BIGINT) AS b, unnest(p) AS x FROM p{k}),"""
+_QUALITY_SQL = _QUALITY_TEMPLATE.replace("@PICKS@", " ".join(_PICK.format(k=k, n=k + 1) for k in range(_ROUNDS))).replace("@ABOVE@", " UNION ".join(f"SELECT host, l FROM p{k} WHERE len(p) > 10" for k in range(_ROUNDS)))
+
 ORACLE_SQL: dict[str, str] = {"op2_quality": _QUALITY_SQL, "op9_chat": _CHAT_SQL}
