@@ -34,7 +34,7 @@ from textloom.session import shared_dir, stored
 SLOTS = 4096
 SHARDS = 8
 #: Rows of a part of a slot, about, within which places are counted.
-PART_ROWS = 20_000
+PART_ROWS = 2_000
 
 
 @dataclass(frozen=True)
@@ -168,11 +168,13 @@ def slot_bytes(records: DataFrame, slots: int = SLOTS) -> list[int]:
 def placed(records: DataFrame, where: SlotMap, id_col: str = "doc_id") -> DataFrame:
     """Add ``shard`` and ``slot``, the record's place in its shard, gapless from 0.
 
-    Places are counted within parts of virtual slots and shifted by the sizes of
-    the parts before, so no task holds more than a part of a slot.
+    Places are counted within parts of virtual slots, as many as a slot's records
+    need, and shifted by the sizes of the parts before, so no task holds more than
+    a part of a slot.
     """
-    parts = 1 + records.count() // (len(where.of) * PART_ROWS)
-    dealt = records.withColumn("__part", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("part")), F.lit(parts)))
+    # a row for each virtual slot, whatever the number of records
+    held = F.broadcast(records.groupBy("vslot").agg((1 + F.floor(F.count("*") / PART_ROWS)).alias("__parts")))
+    dealt = records.join(held, "vslot").withColumn("__part", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit("part")), F.col("__parts"))).drop("__parts")
     sizes = dealt.groupBy("vslot", "__part").agg(F.count("*").alias("__n")).withColumn("shard", where.column(F.col("vslot")))
     before = Window.partitionBy("shard").orderBy("vslot", "__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("vslot", "__part", "shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
