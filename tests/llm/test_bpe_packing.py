@@ -193,3 +193,10 @@ def test_packing_repeats_and_empty(spark):
     rows = packing.pack_documents(twice, WORD).collect()
     assert len(rows) == 3 and held(rows, 2048) == 1
     assert packing.pack_documents(spark.createDataFrame([], DOCS), WORD).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = docs(spark, ["a b", None]).withColumnRenamed("lang", "n_tokens").withColumnRenamed("source", "length").withColumnRenamed("n_chars", "ids")
+    assert [r["decoded"] for r in bpe.encode_column(df, BYTE).orderBy("doc_id").collect()] == ["a b", ""]
+    assert [r["length"] for r in packing.pack_documents(df, WORD).orderBy("doc_id").collect()] == [3, 1]
+    assert bpe.encode_column(df.withColumnRenamed("text", "ids2"), BYTE, text_col="ids2", ids=False).count() == 2

@@ -50,6 +50,10 @@ WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+# The characters that Unicode calls white space.
+WHITE_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+
+
 def splits_at_blanks(spec: dict) -> bool:
     """Whether a tokenizer's description makes white space a border that leaves no ids."""
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
@@ -89,8 +93,8 @@ class Chunked:
         probe = "übere"
         if self._word(probe) != self.tokenizer.encode(probe, add_special_tokens=False).ids:
             self.word = re.compile(r"(?!)")
-        # U+001C to U+001F are no white space of the vocabulary's, though they are of Python's
-        self.runs = re.compile(r"(?:[^0-9A-Za-zÀ-ÖØ-öø-įı-ſ\s]|[\x1C-\x1F])[.,]")
+        # white space of the vocabulary's by name: U+001C to U+001F are some of Python's only
+        self.runs = re.compile(rf"[^0-9A-Za-zÀ-ÖØ-öø-įı-ſ{WHITE_SPACE}][.,]")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -119,8 +123,8 @@ class Chunked:
                     got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
                     table.update(zip(part, [_packed(e.ids) for e in got], strict=True))
                 out.append(b"".join([table[c] for c in chunks]))
-                for c in missing:
-                    if len(c) > LONGEST_KEPT:
+                if max(map(len, missing)) > LONGEST_KEPT:
+                    for c in [c for c in missing if len(c) > LONGEST_KEPT]:
                         del table[c]
         return out
 
