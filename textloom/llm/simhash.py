@@ -36,7 +36,7 @@ it all the same; other columns of the input are neither read nor returned.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,8 @@ def sketches(texts: list[str | None], words: int = WORDS, width: int = 1, shingl
         starts = np.cumsum(sizes) - sizes
         for k in range(width):
             bits = np.unpackbits(mixed(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            np.add.at(ones[:, 64 * k : 64 * k + 64], rows, np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
+            # a text has one span at most in what is counted together
+            ones[rows, 64 * k : 64 * k + 64] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         if shingles:
             distinct.append(np.unique(np.repeat(rows.astype(np.uint64) << np.uint64(32), sizes) | (hashes & np.uint64(0xFFFFFFFF))))
         waiting, spans, held = [], [], 0
@@ -99,11 +100,12 @@ def sketches(texts: list[str | None], words: int = WORDS, width: int = 1, shingl
         if not tokens:
             continue
         joined, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
-        ends = list(accumulate(len(t) + 1 for t in tokens))
-        starts, stops = [0, *ends[: n - 1]], ends[min(words, len(tokens)) - 1 :]
+        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
+        ends = np.cumsum(lengths)
+        starts, stops = (ends - lengths)[:n].tolist(), (ends[min(words, len(tokens)) - 1 :] - 1).tolist()
         total[row] = n
         for at in range(0, n, _STEP):
-            got = [digest(joined[i : j - 1], SEED) for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)]
+            got = [digest(joined[i:j], SEED) for i, j in zip(starts[at : at + _STEP], stops[at : at + _STEP], strict=True)]
             waiting += got
             spans.append((row, len(got)))
             held += len(got)
