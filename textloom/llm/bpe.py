@@ -175,6 +175,7 @@ class Encoder:
                 node = nxt
             self.at[node] = i
         self.length = [len(x) for x in self.auto.labels]
+        self.longest = max((self.length[i] for i in self.auto.arcs), default=0)
         # per label: the next shorter label that begins it
         self.shorter: dict[int, int] = {}
         for i in self.auto.arcs:
@@ -206,13 +207,13 @@ class Encoder:
         if self.final and word:
             keys = [*word[:-1], word[-1] + 256]
         n, out, pos, dead = len(word), [], 0, None
-        trie, at, length, table = self.trie, self.at, self.length, self.table
+        trie, at, length, table, longest = self.trie, self.at, self.length, self.table, self.longest
         label = -1
         while pos < n:
             if label < 0:  # the longest label that begins here
                 node = 0
-                for i in range(pos, n):
-                    node = trie[node].get(keys[i])
+                for b in keys[pos : pos + longest]:
+                    node = trie[node].get(b)
                     if node is None:
                         break
                     if at[node] >= 0:
