@@ -94,11 +94,24 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of an Arrow batch that goes to Python: texts of some kilobytes each make a few megabytes.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of no more than ``BATCH_ROWS`` rows in this session, so that what tasks hold outside the heap stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of an input with fewer parts than there are cores over all cores.
+    """Prepare an input of Python stages: small batches, and few parts are dealt over all cores.
 
     A small file is often one row group and would keep one core busy. Inputs with
     at least as many parts as cores are left as they are, without a shuffle.
     """
+    small_batches(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
