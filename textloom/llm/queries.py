@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, chat, langid, maxent, packing, pii, quality, sharding, simhash
+from textloom.llm import ann, bpe, chat, divergence, langid, maxent, packing, pii, quality, sharding, simhash
 from textloom.session import table
 
 
@@ -71,7 +71,12 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(docs, ~F.col("held_out"), keep=("held_out",))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and what each overuses."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent, "op11_divergence": op11_divergence}
 _CHAT_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -134,4 +139,38 @@ _PICK = """p{k} AS (
 ), r{n} AS (SELECT host, l, CAST(ceil(b / 6.0::DOUBLE) AS BIGINT) AS b, unnest(p) AS x FROM p{k}),"""
 _QUALITY_SQL = _QUALITY_TEMPLATE.replace("@PICKS@", " ".join(_PICK.format(k=k, n=k + 1) for k in range(_ROUNDS))).replace("@ABOVE@", " UNION ".join(f"SELECT host, l FROM p{k} WHERE len(p) > 10" for k in range(_ROUNDS)))
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": _QUALITY_SQL, "op9_chat": _CHAT_SQL}
+_DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), w AS (
+  SELECT r, lang, source, unnest(ts) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*) AS v, sum(c) AS total FROM kept GROUP BY lang
+), had AS (
+  SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term
+), every AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, k.c,
+         CAST(sum(coalesce(n, 0)) OVER (PARTITION BY g.lang, g.source) AS HUGEINT) + 2 * v.v AS base, CAST(v.total AS HUGEINT) + 2 * v.v AS whole
+  FROM g JOIN kept k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN had h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term
+), p AS (
+  SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // base AS p, 1 + (1000000000::HUGEINT * (c + 2)) // whole AS q FROM every
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality": _QUALITY_SQL, "op9_chat": _CHAT_SQL, "op11_divergence": _DIVERGENCE_SQL}
