@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, chat, divergence, langid, maxent, packing, pii, quality, sharding, simhash
+from textloom.llm import ann, bpe, chat, divergence, langid, maxent, packing, phrases, pii, quality, sharding, simhash
 from textloom.session import table
 
 
@@ -76,7 +76,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent, "op11_divergence": op11_divergence}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent, "op11_divergence": op11_divergence, "op13_phrases": op13_phrases}
 _CHAT_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -173,4 +178,32 @@ WITH d AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality": _QUALITY_SQL, "op9_chat": _CHAT_SQL, "op11_divergence": _DIVERGENCE_SQL}
+_PHRASES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps
+  FROM documents
+), p AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM d)
+), g AS (
+  SELECT lang, k, ws[i : i + k - 1] AS w FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4), (5)) t(k))
+), f AS (
+  SELECT lang, k, w, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY lang, k, w HAVING count(*) >= 100
+), n AS (
+  SELECT lang, CAST(sum(len(ws)) AS HUGEINT) AS n FROM p GROUP BY lang
+), inside AS (
+  SELECT DISTINCT lang, w[i : i + m - 1] AS w, a FROM (SELECT lang, w, a, m, unnest(range(1, k - m + 2)) AS i FROM f, (VALUES (2), (3), (4)) t(m) WHERE m < k)
+), c AS (
+  SELECT lang, w, a, k, unnest(range(1, k)) AS j FROM f WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = f.lang AND i.w = f.w AND i.a = f.a)
+), cut AS (
+  SELECT c.lang, c.w, c.a, x.a AS l, y.a AS r, n.n, (1000 * c.a * n.n) // (x.a * y.a) AS score, j
+  FROM c JOIN n USING (lang) JOIN f x ON x.lang = c.lang AND x.w = c.w[1:j] JOIN f y ON y.lang = c.lang AND y.w = c.w[j + 1:c.k]
+), best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(w, ' ')) AS rank, array_to_string(w, ' ') AS phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality": _QUALITY_SQL, "op9_chat": _CHAT_SQL, "op11_divergence": _DIVERGENCE_SQL, "op13_phrases": _PHRASES_SQL}
