@@ -65,6 +65,12 @@ def drop_stored(spark: SparkSession) -> int:
     return n
 
 
+def keep(path: str) -> str:
+    """Note a folder that this process writes itself, so that `drop_stored` deletes it too; returns it."""
+    _STORED.append(path)
+    return path
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, such as those of an earlier round."""
     for df in tables:
