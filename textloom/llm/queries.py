@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import ann, bpe, chat, divergence, langid, maxent, packing, phrases, pii, quality, sharding, simhash
+from textloom.llm import ann, bpe, chat, divergence, idfiles, langid, maxent, packing, phrases, pii, quality, sharding, simhash
 from textloom.session import table
 
 
@@ -76,12 +76,20 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids, written to files and read back by its key."""
+    docs = table(spark, sf_dir, "documents")
+    path = idfiles.write(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    found = idfiles.read(spark, path, idfiles.lookup(spark, path, docs), ids=False)
+    return found.select(F.col("key").alias("doc_id"), "start", F.col("n").alias("n_tokens"), "ids_crc32")
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2000 collocations of each language."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent, "op11_divergence": op11_divergence, "op13_phrases": op13_phrases}
+QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_langid": op3_langid, "op4_ann": op4_ann, "op5_simhash": op5_simhash, "op6_packing": op6_packing, "op7_pii": op7_pii, "op8_sharding": op8_sharding, "op9_chat": op9_chat, "op10_maxent": op10_maxent, "op11_divergence": op11_divergence, "op12_idfiles": op12_idfiles, "op13_phrases": op13_phrases}
 _CHAT_SQL = """
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
