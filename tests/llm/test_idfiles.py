@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from helpers import DOCS, ODD, docs
+from test_bpe_packing import PARTS
 from tokenizers import Tokenizer
 
 from textloom.llm import idfiles as I
@@ -71,15 +72,8 @@ def test_keys_that_are_not_there(spark, tmp_path):
 def test_text_keys_and_wide_ids(spark, tmp_path, monkeypatch):
     rows = [(None, "x"), ("", "y z"), ("é", "New York"), ("b", "")]
     frame = spark.createDataFrame(rows, "name string, body string")
-    real = I._encoded
-
-    def wide(*args):
-        out, _ = real(*args)
-        four = I.F.udf(lambda b: bytes(np.frombuffer(b, "<u2").astype("<u4").tobytes()), "binary")
-        return I.stored(out.withColumn("ids", four("ids"))), 4
-
-    monkeypatch.setattr(I, "_encoded", wide)
-    path = I.write(frame, BYTE, str(tmp_path / "ids"), end_id=50256, key_col="name", text_col="body")
+    monkeypatch.setattr(I, "BOUND_BYTES", 0)  # the way beyond it
+    path = I.write(frame, BYTE, str(tmp_path / "ids"), end_id=50256, width=4, key_col="name", text_col="body")
     got = {r.key: r.ids for r in I.read(spark, path, I.lookup(spark, path, frame, "name")).collect()}
     assert got == {k: [*ids_of(t)[:-1], 50256] for k, t in rows}
 
@@ -92,6 +86,21 @@ def test_no_rows(spark, tmp_path):
     assert found.count() == 0 and I.read(spark, path, found).count() == 0 and I.meta(spark, path)["docs"] == 0
 
 
+def test_encoder_equals_the_library(monkeypatch):
+    coder = I.Encoder(open(BYTE, "rb").read())
+    assert coder.quick is not None
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+    # every code point between, before and after letters, digits, blanks and signs
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{c}b {c} 1{c}2{c}{c}. {c}\n" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    for text, want in zip(texts, REF.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert coder.encode(text).tolist() == want.ids
+    for text in ODD + [" " * 50_000 + "x", "\t\n" * 30_000, "ab" * 40_000]:
+        assert coder.encode(text).tolist() == ids_of(text)[:-1]
+    assert not coder.plain(" " * 9000 + "x") and not coder.plain("x" * 9000) and not coder.plain("a <|endoftext|>")
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 100, 40_000):

@@ -33,7 +33,7 @@ Defined cases: a null text counts as empty, which leaves the end id alone; null
 keys come first and are a key like any other; repeated rows are documents of
 their own; among equal keys the order is that of the ids' hash, then any; an
 empty table makes an index without shards; other columns don't matter. Keys
-may be of any type that Spark sorts and hashes.
+are integers, strings, dates or decimals (Spark and Python order them alike).
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,12 @@ BUCKET_KEYS, SPARE = 1 << 15, 2
 RANGE_ROWS = 1 << 17
 #: Levels of a bucket; half of the keys stay at each, so this is never reached by distinct hashes.
 LEVELS = 64
+#: Texts, words and runs of white space beyond these lengths are encoded by the automaton.
+LONG_TEXT, LONG_WORD = 1 << 22, 4096
+#: Fixed value: the published pre-splitting pattern of byte-level vocabularies, as the library of merge ranks spells it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of the shards' first keys up to which they are broadcast; beyond, places are joined.
+BOUND_BYTES = 1 << 25
 #: What a slot holds.
 SLOT = np.dtype([("mark", "<u8"), ("start", "<u8"), ("shard", "<u4"), ("ids", "<u8"), ("copies", "<u8")])
 
@@ -123,34 +130,100 @@ def _bucket(n: int) -> Column:
 # --- writing -----------------------------------------------------------------------------------
 
 
-def _encoded(docs: DataFrame, vocabulary: str, key_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Stored rows (key, ids, n, h): payload without the end id, its length with it; and the bytes of an id."""
-    spark = docs.sparkSession
-    blob = bpe.read_file(spark, vocabulary)
-    digest, sent = hashlib.sha256(blob).hexdigest(), spark.sparkContext.broadcast(blob)
-    spec = json.loads(blob)
-    top = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
-    width = 2 if top < 1 << 16 else 4
+class Encoder:
+    """Encodes as `bpe.TextCodec` does; by the library of merge ranks where that is the same.
+
+    Ranks say which pieces of a word merge first by what they make, merges say
+    it by the pieces. If ids come in the order of merges and every merge can
+    fire, both are one: the inside of a label merges alike wherever it stands, so
+    it is made of the pieces of its merge and no others. Very long texts, words
+    and runs of white space go to the automaton, whose time and stack are bounded.
+    """
+
+    def __init__(self, blob: bytes):
+        spec = json.loads(blob)
+        self.codec, self.quick = bpe.TextCodec(spec), None
+        model, auto, alphabet = spec["model"], self.codec.encoder.auto, bpe.byte_alphabet()
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        base = [model["vocab"].get(c, -1) for c in alphabet]
+        if not model.get("end_of_word_suffix") and made == sorted(made) and min(base) >= 0 and max(base) < min(made, default=1 << 31) and all(i in auto.born for i in made):
+            import tiktoken
+
+            ranks = {auto.labels[i]: i for i in [*base, *made]}
+            self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bool:
+        """Whether a text is of common shape and names no added label."""
+        if self.quick is None or len(text) > LONG_TEXT or any(t in text for t in self.codec.added):
+            return False
+        words = text.split()
+        blanks = len(text) - sum(map(len, words))
+        return max(map(len, words), default=0) <= LONG_WORD and blanks <= 1.25 * len(words) + LONG_WORD
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if text and self.plain(text):
+            return self.quick.encode_to_numpy(text, disallowed_special=())
+        return np.frombuffer(self.codec.encode(text), "<u4")
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoded(docs: DataFrame, blob: bytes, width: int, key_col: str, text_col: str) -> DataFrame:
+    """Stored rows (key, ids, n, h, row): compressed payload without the end id, its number of ids with it."""
+    digest, sent = hashlib.sha256(blob).hexdigest(), docs.sparkSession.sparkContext.broadcast(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.codec_of(digest, sent.value)
+        if digest not in _ENCODERS:
+            _ENCODERS[digest] = Encoder(sent.value)
+        encode = _ENCODERS[digest].encode
         for big in batches:
             for at in range(0, big.num_rows, 64):  # few texts at once: memory follows the texts, not the batch
-                batch = big.slice(at, 64)
-                ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-                n = [len(x) // 4 + 1 for x in ids]
-                if width == 2:
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+                batch, ids, n = big.slice(at, 64), [], []
+                for text in batch.column(1):
+                    got = encode(text.as_py())
+                    n.append(len(got) + 1)
+                    ids.append(pa.compress(got.astype(f"<u{width}").tobytes(), "zstd", asbytes=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["key", "ids", "n"])
 
     kind = docs.schema[key_col].dataType.simpleString()
     made = spread(docs.select(docs[key_col].alias("key"), docs[text_col].alias("text"))).mapInArrow(run, f"key {kind}, ids binary, n long")
     # the row's own number tells equal rows apart and is the same wherever the stored table is read
-    return stored(made.select("key", "ids", "n", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"))), width
+    return stored(made.select("key", "ids", "n", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")))
+
+
+def _sharded(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows with their shard.
+
+    A shard is known by its first row, so where the list of those is small, rows
+    are looked up in it where they are; otherwise they are joined with their places.
+    """
+    first = places.groupBy("shard").agg(F.min_by(F.struct("key", "h", "row"), "start").alias("x"))
+    size = first.agg(F.sum(F.coalesce(F.octet_length(F.col("x.key").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    if size > BOUND_BYTES:
+        return rows.join(places.select("row", "shard"), "row")
+    found = sorted((_ordered(*r["x"]), r["shard"]) for r in first.collect())
+    sent = rows.sparkSession.sparkContext.broadcast(([x for x, _ in found], [s for _, s in found]))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", shard int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, shards = sent.value
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            keys = zip(*[col[c].to_pylist() for c in ("key", "h", "row")], strict=True)
+            at = [shards[bisect_right(bounds, _ordered(*x)) - 1] for x in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "shard"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _ordered(key, h: int, row: int) -> tuple:
+    """A row's place in the order of the files; null keys come first."""
+    return (key is not None, key, h, row) if key is not None else (False, h, row)
 
 
 def placed(rows: DataFrame, shard_ids: int | None = None) -> DataFrame:
-    """Stored (row, key, n, start, nth, shard) of rows (key, h, row, n), in ascending order of keys.
+    """Stored (row, key, h, n, start, nth, shard) of rows (key, h, row, n), in ascending order of keys.
 
     ``start`` counts the ids before, ``nth`` the documents before with the same key.
     """
@@ -177,32 +250,48 @@ def placed(rows: DataFrame, shard_ids: int | None = None) -> DataFrame:
     sums = sums.withColumn("opened", F.last(opens, ignorenulls=True).over(gone)).withColumn("follows", follows)
     found = dealt.join(sums.select("part", "ids_before", "docs_before", "opened", "follows"), "part")
     first = F.when((F.col("run") == 1) & F.col("follows"), F.col("opened")).otherwise(F.col("docs_before") + F.col("run"))
-    found = found.select("row", "key", "n", (F.col("own") + F.col("ids_before")).alias("start"), (F.col("docs_before") + F.col("i") - first).alias("nth"), (F.col("docs_before") + F.col("i") - 1).alias("at"))
+    found = found.select("row", "key", "h", "n", (F.col("own") + F.col("ids_before")).alias("start"), (F.col("docs_before") + F.col("i") - first).alias("nth"), (F.col("docs_before") + F.col("i") - 1).alias("at"))
     shard = F.floor((F.col("start") + ROW_COST * F.col("at")) / shard_ids).cast("int").alias("shard")
-    out = stored(found.select("row", "key", "n", "start", "nth", shard))
+    out = stored(found.select("row", "key", "h", "n", "start", "nth", shard))
     discard(ranged, dealt)
     return out
 
 
-def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END_ID, shard_ids: int | None = None, key_col: str = "doc_id", text_col: str = "text") -> str:
-    """Encode ``docs`` and write files and index to ``path``, a new folder (default: in the shared one); returns it."""
+def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int = END_ID, shard_ids: int | None = None, width: int | None = None, key_col: str = "doc_id", text_col: str = "text") -> str:
+    """Encode ``docs`` and write files and index to ``path``, a new folder (default: in the shared one); returns it.
+
+    ``width`` is the bytes of an id: 2 or 4, by default what the vocabulary needs.
+    """
     spark = docs.sparkSession
     if path is None:
         path = keep(f"{shared_dir(spark)}/textloom-ids-{uuid.uuid4().hex}")
-    rows, width = _encoded(docs, vocabulary, key_col, text_col)
+    blob = bpe.read_file(spark, vocabulary)
+    spec = json.loads(blob)
+    top = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
+    width = width or (2 if top < 1 << 16 else 4)
+    rows = _encoded(docs, blob, width, key_col, text_col)
     places = placed(rows, shard_ids)
-    payload = rows.select("row", "ids").join(places.select("row", "shard", "start"), "row")
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns, strict=True))
+            ids = [pa.decompress(x.as_buffer(), (n - 1) * width, "zstd", asbytes=True) for x, n in zip(col["ids"], col["n"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[col[c] for c in ("shard", "key", "h", "row")], pa.array(ids, pa.binary())], ["shard", "key", "h", "row", "ids"])
+
+    payload = _sharded(rows, places).repartition("shard").mapInArrow(opened, f"shard int, key {kind}, h long, row long, ids binary")
     # one task writes a shard, in order: it is sorted by the folder first, so the writer adds no sort of its own
-    payload = payload.repartition("shard").sortWithinPartitions("shard", "start").select(F.col("ids").cast("string").alias("ids"), "shard")
+    payload = payload.sortWithinPartitions("shard", "key", "h", "row").select(F.col("ids").cast("string").alias("ids"), "shard")
     end = end_id.to_bytes(width, "little").decode("latin-1")
     payload.write.partitionBy("shard").option("lineSep", end).option("encoding", "ISO-8859-1").text(f"{path}/ids")
+    discard(rows)
     counts = places.agg(F.count("*").alias("docs"), F.sum("n").alias("ids")).first()
     buckets = 1 + counts["docs"] // BUCKET_KEYS
     places.groupBy("shard").agg(F.min("start").alias("first"), F.sum("n").alias("ids")).write.parquet(f"{path}/shards")
     _index(places, buckets).write.parquet(f"{path}/index")
-    meta = {"width": width, "end_id": end_id, "docs": counts["docs"], "ids": counts["ids"] or 0, "buckets": buckets, "vocabulary_sha256": hashlib.sha256(bpe.read_file(spark, vocabulary)).hexdigest()}
+    meta = {"width": width, "end_id": end_id, "docs": counts["docs"], "ids": counts["ids"] or 0, "buckets": buckets, "vocabulary_sha256": hashlib.sha256(blob).hexdigest()}
     spark.range(1).select(F.lit(json.dumps(meta)).alias("value")).coalesce(1).write.text(f"{path}/meta")
-    discard(rows, places)
+    discard(places)
     return path
 
 
