@@ -31,7 +31,7 @@ def value(spark, col):
         (X.json_array_slice, "x [1, [2]] y", "[1, [2]]"),
         (X.gold_language, "[TO BE GENERATED]", "placeholder"),
         (X.gold_language, "the verb tense", "english_like"),
-        (X.gold_language, "šuŋka", "marked"),
+        (X.gold_language, "šuŋka", "dakota_markers"),
         (X.gold_language, "kin", "ascii_or_unknown"),
         (X.gold_language, None, "empty"),
         (X.term_rule_type, "Negative prefix", "morphology"),
@@ -66,7 +66,8 @@ def test_arrays(spark):
     assert value(spark, X.gloss_tokens(F.lit("The dog, the cat"))) == ["dog", "cat"]
     assert value(spark, X.gloss_tokens(F.lit("of the"))) == ["of", "the"]
     assert value(spark, X.marked_terms(F.lit("`šúŋka` and **a-b** šúŋka tok'n"))) == ["šúŋka", "a-b", "tok'n"]
-    assert value(spark, X.extract_affixes(F.lit("add -ku or ta- here"))) == ["-ku", "ta-"]
+    assert value(spark, X.extract_affixes(F.lit("add (-ku) or ho-ku and ta- x"))) == ["ho-ku", "ta-"]
+    assert value(spark, X.extract_affixes(F.lit("-ku ta- wa-, a-b.c -\u0161u"), F.lit("ta-"))) == ["-ku", "-\u0161u", "a-b", "ta-", "wa-"]
     assert value(spark, X.strip_affixes(F.lit("taatkuku"), lit("-ku", "ta-"))) == "atku"
     assert value(spark, X.affix_tokens(F.lit("atkuku ku, kux"), F.lit("-ku"))) == ["atkuku"]
     assert tuple(value(spark, X.single_edit(F.lit("abcde"), F.lit("abXde")))) == ("c", "X", 2)

@@ -68,10 +68,17 @@ def char_f1(pred: Column, gold: Column) -> Column:
     return multiset_f1(bare(pred), bare(gold))
 
 
-def special_char_f1(span: Column, gold: Column) -> Column:
-    """F1 of the marked characters; -1 if the gold has none."""
-    only = lambda c: F.array_join(F.regexp_extract_all(X.text(c), F.lit(f"([{X.SPECIAL}])"), 1), "")
-    return F.when(only(gold) == "", NOT_APPLICABLE).otherwise(multiset_f1(only(span), only(gold)))
+def special_char_f1(span: Column, gold: Column, expected: Column | None = None) -> Column:
+    """F1 of the marked characters, those of the gold or, if a row names some, the expected ones.
+
+    -1 if there are none to find; an empty answer gives 0.
+    """
+    only = lambda c: F.array_join(F.regexp_extract_all(X.text(c), F.lit(f"([{X.EXPECTED_LETTERS}])"), 1), "")
+    wanted = only(gold)
+    if expected is not None:
+        wanted = F.when(F.size(F.coalesce(expected, F.array().cast("array<string>"))) > 0, F.array_join(expected, "")).otherwise(wanted)
+    found = lambda w: F.when(w == "", NOT_APPLICABLE).when(X.strip_ws(span) == "", 0.0).otherwise(multiset_f1(only(span), w))
+    return X.let(wanted, found)
 
 
 def exact_match(span: Column, gold: Column) -> Column:
@@ -129,7 +136,7 @@ def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(w) * parts[k] for k, w in weights.items()])
 
 
-def grammar_ledger(raw: Column, gold: Column, affixes: Column, pattern: Column, difficulty: Column) -> dict[str, Column]:
+def grammar_ledger(raw: Column, gold: Column, affixes: Column, pattern: Column, difficulty: Column, letters: Column | None = None) -> dict[str, Column]:
     """Components, contributions and the reward, of which the rest is rebuilt."""
     span = X.extract_final(raw)
     parts = {"exact": exact_match(span, gold), "char": char_f1(span, gold), "pattern": pattern, "affix": affix_score(span, gold, affixes)}
@@ -137,7 +144,7 @@ def grammar_ledger(raw: Column, gold: Column, affixes: Column, pattern: Column,
     pre = weighted(parts, GRAMMAR_WEIGHTS)
     out = {f"{k}_raw": v for k, v in parts.items()}
     out |= {f"contrib_{k}": GRAMMAR_WEIGHTS[k] * v for k, v in parts.items()}
-    out |= {"special_char_raw": special_char_f1(span, gold), "length_penalty": length, "composite_pre": pre, "difficulty_multiplier": difficulty_weight(difficulty)}
+    out |= {"special_char_raw": special_char_f1(span, gold, letters), "length_penalty": length, "composite_pre": pre, "difficulty_multiplier": difficulty_weight(difficulty)}
     return out | {"reward": pre * length, "passed": _flag(parts["exact"] == 1.0)}
 
 

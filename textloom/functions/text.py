@@ -43,8 +43,18 @@ META_TERMS = "agreement antecedent article circumfix conjunction demonstrative i
 META_PHRASES = ["end village", "marsh village", "village at the end", "village of the prairie", "second variety", "active transitive verbs", "aorist tense"]
 META_NOUNS = "village tense verbs variety".split()
 META_GLOSS = "word verb noun tense prefix suffix particle grammatical sentence pronoun adjective adverb conjunction syntax morphology phonology plural singular animate inanimate orthograph".split()
-#: Letters that mark a transcribed form.
-SPECIAL = "ćšŋḣṡǧźžčśġṭḳṗʼ"
+# Words that don't count when a free answer is compared.
+QA_STOP = [
+    "the", "and", "that", "with", "from", "this", "they", "their", "there",
+    "would", "could", "should", "which", "what", "when", "where", "using",
+    "into", "about", "also", "because", "within", "while", "your", "you",
+    "are", "for", "of", "to", "in", "on", "or", "is", "be", "a", "an", "it",
+    "as", "by", "its", "not", "than", "then", "these", "those", "has", "have",
+]
+# The letters that mark a term of a free answer.
+QA_LETTERS = "ćšŋḣṡǧáéíóúķśṅźėčžʼ’"
+# The letters by which a headword is taken for a transcribed form.
+ORTHOGRAPHIC_MARKERS = "áâäéíóúǫȟŋṡšžčḣĺǧṫų"
 # The letters that a task may expect.
 EXPECTED_LETTERS = "ćšŋḣṡáéíóúķśṅźėčžʼ"
 #: How much a task of a difficulty counts.
@@ -201,7 +211,7 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(normalize_quotes(c), r"[^0-9a-zćšŋḣṡǧáéíóúķśṅźėčž'ʼ-]+", "")
 
 
-def word_set(c: Column, stop: list[str] = META_FUNCTION) -> Column:
+def word_set(c: Column, stop: list[str] = QA_STOP) -> Column:
     """Distinct words of three letters or more, without stop words."""
     found = F.regexp_extract_all(normalize_quotes(c), F.lit(r"([0-9a-zćšŋḣṡǧáéíóúķśṅźėčž'ʼ-]{3,})"), 1)
     bare = F.transform(found, lambda w: F.when(~w.isin(stop), _strip(w, "-'ʼ")))  # null: a stop word
@@ -219,20 +229,29 @@ def marked_terms(c: Column, most: int = 12) -> Column:
     quoted = F.regexp_extract_all(text(c), F.lit("`([^`]{2,80})`"), 1)
     bold = F.regexp_extract_all(text(c), F.lit(r"\*\*([^*]{2,80})\*\*"), 1)
     tokens = F.regexp_extract_all(text(c), F.lit(r"([A-Za-zćšŋḣṡǧáéíóúķśṅźėčž'ʼ-]{3,})"), 1)
-    seen = F.filter(tokens, lambda t: F.lower(t).rlike(f"[{SPECIAL}'ʼ-]"))
-    every = F.transform(F.concat(quoted, bold, seen), lambda t: let(_strip(F.trim(t), ".,;:()[]{}"), lambda x: F.struct(x.alias("t"), compact(x).alias("k"))))
-    firsts = lambda xs: F.filter(xs, lambda x, i: F.array_position(F.transform(xs, lambda y: y["k"]), x["k"]) == i + 1)
-    return F.slice(F.transform(let(F.filter(every, lambda x: x["k"] != ""), firsts), lambda x: x["t"]), 1, most)
+    seen = F.filter(tokens, lambda t: F.lower(t).rlike(f"[{QA_LETTERS}'ʼ-]"))
+    every = F.transform(F.concat(quoted, bold, seen), lambda t: let(_strip(strip_ws(t), ".,;:()[]{}"), lambda x: F.struct(x.alias("t"), compact(x).alias("k"))))
+    full = lambda acc, x: (F.size(acc) >= most) | (x["k"] == "") | F.exists(acc, lambda y: y["k"] == x["k"])
+    none = F.array().cast("array<struct<t:string,k:string>>")
+    firsts = F.aggregate(every, none, lambda acc, x: F.when(full(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.transform(firsts, lambda x: x["t"])
 
 
-def special_chars(c: Column, alphabet: str = SPECIAL) -> Column:
+def special_chars(c: Column, alphabet: str = EXPECTED_LETTERS) -> Column:
+    """The marked letters of a text, sorted."""
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text(c), F.lit(f"([{alphabet}])"), 1)))
 
 
-def extract_affixes(c: Column) -> Column:
-    """Prefixes and suffixes named in a text, sorted."""
-    found = F.regexp_extract_all(text(c), F.lit(rf"(?U)(?<![\w-])(-\w+|\w+-)(?![\w-])"), 1)  # noqa: F541
-    return F.array_sort(F.array_distinct(found))
+def extract_affixes(*texts: Column) -> Column:
+    """Affixes named in the texts, sorted: with a hyphen before, after or inside.
+
+    White space or the start comes before; white space, the end, a comma or a
+    full stop after. A border is used up, so of two affixes with one blank
+    between them the first counts.
+    """
+    named = rf"(?:^|[\s\x1c-\x1f\x85])((?:{_WORD}+)?-{_WORD}+|{_WORD}+-)(?:[\s\x1c-\x1f\x85]|$|,|\.)"
+    found = [F.regexp_extract_all(text(c), F.lit("(?U)" + named), 1) for c in texts]
+    return F.array_sort(F.array_distinct(F.concat(*found)))
 
 
 def is_plausible_affix(c: Column) -> Column:
@@ -367,13 +386,13 @@ def english_metalanguage(c: Column) -> Column:
 
 
 def gold_language(c: Column) -> Column:
-    """empty, placeholder, marked, english_like or ascii_or_unknown."""
-    return F.when(F.trim(text(c)) == "", "empty").when(is_placeholder(c), "placeholder").when(has_marked_letter(c), "marked").when(english_metalanguage(c), "english_like").otherwise("ascii_or_unknown")
+    """empty, placeholder, dakota_markers, english_like or ascii_or_unknown."""
+    return F.when(F.trim(text(c)) == "", "empty").when(is_placeholder(c), "placeholder").when(has_marked_letter(c), "dakota_markers").when(english_metalanguage(c), "english_like").otherwise("ascii_or_unknown")
 
 
 def orthography_probable(c: Column) -> Column:
     """At least one marked letter, else a combining mark."""
-    return text(c).rlike(f"[{SPECIAL}]") | text(c).rlike("[̀-ͯ]")
+    return text(c).rlike(f"[{ORTHOGRAPHIC_MARKERS}\u0300-\u036f]")
 
 
 def difficulty_rule(confidence: Column, examples: Column) -> Column:

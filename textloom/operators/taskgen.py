@@ -170,7 +170,7 @@ def rule_to_tasks(rules: DataFrame) -> DataFrame:
     constraints, difficulty, positive_examples and negative_examples (arrays of
     dakota, english, gloss, notes) and exceptions. Order: rule, example, maker.
     """
-    df = rules.withColumn("affixes", X.extract_affixes(F.concat_ws(" ", "dakota_pattern", "constraints")))
+    df = rules.withColumn("affixes", X.extract_affixes(F.col("dakota_pattern"), F.col("constraints")))
     has = lambda c: F.trim(X.text(c)) != ""
     desc, pattern, level = F.col("rule_description"), F.col("dakota_pattern"), F.col("difficulty")
     add = lambda cond, *parts: F.when(cond, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise("")

@@ -132,7 +132,7 @@ def quality_counts(rows: DataFrame, gold: str, affixes: str) -> DataFrame:
     """Rows, placeholders, English golds, marked golds, and affixes by state, before or after a repair."""
     lang = X.gold_language(F.col(gold))
     n = F.greatest(F.coalesce(F.size(affixes), F.lit(0)), F.lit(0))
-    tests = {"placeholder": lang == "placeholder", "english_like": lang == "english_like", "marked": lang == "marked", "empty": lang == "empty", "ascii_or_unknown": lang == "ascii_or_unknown", "with_affixes": n > 0, "without_affixes": n == 0}
+    tests = {"placeholder": lang == "placeholder", "english_like": lang == "english_like", "marked": lang == "dakota_markers", "empty": lang == "empty", "ascii_or_unknown": lang == "ascii_or_unknown", "with_affixes": n > 0, "without_affixes": n == 0}
     return rows.agg(F.count("*").alias("rows"), *[F.count_if(t).alias(k) for k, t in tests.items()])
 
 

@@ -123,13 +123,14 @@ WITH {_PAIRS}, s AS (SELECT *, {_LAST.format(c='text')} AS span FROM pairs),
 n AS (SELECT *, {_NORM.format(c='span')} AS na, {_NORM.format(c='gold')} AS nb, {_GOLD_TOKENS} AS toks,
   CASE WHEN (turn % 2 = 0 AND contains({_NORM.format(c='span')}, '[the')) OR (turn % 2 <> 0 AND regexp_matches(span, 'th(e|at)s', 'i')) THEN 1.0 ELSE 0.0 END AS hit FROM s),
 t AS (SELECT *, string_split(na, ' ') AS said, replace(na, ' ', '') AS ba, replace(nb, ' ', '') AS bb FROM n),
-r AS (SELECT conv_id, turn, CASE WHEN na <> '' AND na = nb THEN 1.0 ELSE 0.0 END AS e, {_char_sql('ba', 'bb')} AS c, hit AS p,
+r AS (SELECT conv_id, turn, CASE WHEN na <> '' AND na = nb THEN 1.0 ELSE 0.0 END AS e, {_char_sql('ba', 'bb')} AS c, hit AS p, span,
+  regexp_extract_all(span, '[ćšŋḣṡáéíóúķśṅźėčžʼ]') AS sa, regexp_extract_all(gold, '[ćšŋḣṡáéíóúķśṅźėčžʼ]') AS sb,
   ((len(list_intersect(said, list_transform(list_filter(toks, lambda t: ends_with(lower(t), 'ing') AND length(t) > 3), lambda t: lower(t)))) > 0)::INT
    + (len(list_intersect(said, list_transform(list_filter(toks, lambda t: starts_with(lower(t), 'th') AND length(t) > 2), lambda t: lower(t)))) > 0)::INT) / 2.0::DOUBLE AS x,
   CASE WHEN length(trim(text)) = 0 THEN 0.0 WHEN length(trim(text)) / greatest(length(trim(gold)), 1) <= 3 THEN 1.0 ELSE 3.0::DOUBLE / (length(trim(text)) / greatest(length(trim(gold)), 1)) END AS l FROM t),
 w AS (SELECT *, 0.4::DOUBLE * e + 0.2::DOUBLE * c + 0.15::DOUBLE * p + 0.1::DOUBLE * x AS pre FROM r)
 SELECT conv_id, turn, e::DOUBLE AS exact_raw, round(c, 6) AS char_raw, p::DOUBLE AS pattern_raw, x AS affix_raw, round(0.4::DOUBLE * e, 6) AS contrib_exact, round(0.2::DOUBLE * c, 6) AS contrib_char,
-  round(0.15::DOUBLE * p, 6) AS contrib_pattern, round(0.1::DOUBLE * x, 6) AS contrib_affix, -1.0::DOUBLE AS special_char_raw, round(l::DOUBLE, 6) AS length_penalty, round(pre, 6) AS composite_pre, 1.5::DOUBLE AS difficulty_multiplier,
+  round(0.15::DOUBLE * p, 6) AS contrib_pattern, round(0.1::DOUBLE * x, 6) AS contrib_affix, CASE WHEN len(sb) = 0 THEN -1.0 WHEN span = '' OR len(sa) = 0 THEN 0.0 ELSE round(2.0::DOUBLE * list_sum(list_transform(list_distinct(sb), lambda x: least(len(list_filter(sa, lambda y: y = x)), len(list_filter(sb, lambda y: y = x))))) / (len(sa) + len(sb)), 6) END::DOUBLE AS special_char_raw, round(l::DOUBLE, 6) AS length_penalty, round(pre, 6) AS composite_pre, 1.5::DOUBLE AS difficulty_multiplier,
   round(pre * l, 6) AS reward, e::DOUBLE AS passed FROM w
 """)
 def score_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,14 +233,16 @@ def score_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _QUOTES = "trim(regexp_replace(translate(lower({c}), '`*“”’', '  \"\"' || chr(39)), '\\s+', ' ', 'g'))"
 _TERM = "0-9a-zćšŋḣṡǧáéíóúķśṅźėčž''ʼ-"
 _COMPACT = f"regexp_replace({_QUOTES}, '[^{_TERM}]+', '', 'g')"
-_META = ", ".join(f"'{w}'" for w in X.META_FUNCTION)
+#: The twin's own list of words that don't count.
+_STOPPED = "the and that with from this they their there would could should which what when where using into about also because within while your you are for of to in on or is be a an it as by its not than then these those has have"
+_META = ", ".join(f"'{w}'" for w in _STOPPED.split())
 _WORDSET = f"list_distinct(list_filter(list_transform(list_filter(regexp_extract_all({_QUOTES}, '[{_TERM}]{{{{3,}}}}'), lambda w: NOT list_contains([{_META}], w)), lambda w: trim(w, '-' || chr(39) || 'ʼ')), lambda w: w <> ''))"
 
 
 @query(f"""
 WITH {_PAIRS}, q AS (SELECT conv_id, turn, text, '`Wo-ka` **Ta** ' || gold AS gold FROM pairs),
 t AS (SELECT *, {_COMPACT.format(c='text')} AS ca, {_COMPACT.format(c='gold')} AS cb, {_WORDSET.format(c='text')} AS wa, {_WORDSET.format(c='gold')} AS wb, {_QUOTES.format(c='text')} = {_QUOTES.format(c='gold')} AS same,
-  list_concat(regexp_extract_all(gold, '`([^`]{{2,80}})`', 1), regexp_extract_all(gold, '\\*\\*([^*]{{2,80}})\\*\\*', 1), list_filter(regexp_extract_all(gold, '[A-Za-zćšŋḣṡǧáéíóúķśṅźėčž''ʼ-]{{3,}}'), lambda x: regexp_matches(lower(x), '[{X.SPECIAL}''ʼ-]'))) AS raw FROM q),
+  list_concat(regexp_extract_all(gold, '`([^`]{{2,80}})`', 1), regexp_extract_all(gold, '\\*\\*([^*]{{2,80}})\\*\\*', 1), list_filter(regexp_extract_all(gold, '[A-Za-zćšŋḣṡǧáéíóúķśṅźėčž''ʼ-]{{3,}}'), lambda x: regexp_matches(lower(x), '[ćšŋḣṡǧáéíóúķśṅźėčžʼ’''ʼ-]'))) AS raw FROM q),
 u AS (SELECT *, list_filter(list_transform(raw, lambda x: {_COMPACT.format(c="trim(x, ' .,;:()[]{}')")}), lambda x: x <> '') AS every, list_transform(list_sort(list_transform(wb, lambda w: {{'n': -length(w), 'w': w}})), lambda x: x.w)[1:20] AS top FROM t),
 v AS (SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i)[1:12] AS terms, length(trim({_STRIP.format(c='text')})) AS n, greatest(length(gold), 1) AS g FROM u),
 p AS (SELECT *, same::INT AS e, CASE WHEN len(terms) = 0 THEN 1.0 ELSE len(list_filter(terms, lambda x: contains(ca, x))) / len(terms)::DOUBLE END AS ts, {_char_sql('ca', 'cb')} AS ch, CASE WHEN len(top) = 0 THEN 1.0 ELSE len(list_intersect(top, wa)) / len(top)::DOUBLE END AS ks,

@@ -27,7 +27,7 @@ _TERMS = ", ".join(f"'{t}'" for t in X.META_TERMS + X.META_PHRASES)
 
 @query(f"""
 WITH d AS (SELECT doc_id, text AS g FROM documents), t AS (SELECT doc_id, g, trim(g) AS v, regexp_extract_all(lower(g), '[a-z'']+') AS w FROM d)
-SELECT doc_id, CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(g, '[^\\x00-\\x7F]') THEN 'marked'
+SELECT doc_id, CASE WHEN v = '' THEN 'empty' WHEN regexp_matches(g, '[^\\x00-\\x7F]') THEN 'dakota_markers'
   WHEN lower(v) IN ({_TERMS}) OR (len(w) >= 2 AND (len(list_filter(w, lambda x: regexp_full_match(x, '{_FUNCTION}'))) > 0 OR regexp_matches(lower(v), '\\b({_GLOSS})\\b'))) THEN 'english_like' ELSE 'ascii_or_unknown' END AS class FROM t
 """)
 def gold_language_class(spark: SparkSession, sf_dir: str) -> DataFrame:
