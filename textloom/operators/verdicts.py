@@ -136,16 +136,6 @@ def quality_counts(rows: DataFrame, gold: str, affixes: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), *[F.count_if(t).alias(k) for k, t in tests.items()])
 
 
-def multi_turn(rows: DataFrame, conv: str, turn: str, ok: Column, most: int = 3) -> DataFrame:
-    """Per conversation: attempts until the first that passes, or ``most``; and whether one did."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(conv).orderBy(turn)
-    df = rows.withColumn("attempt", F.row_number().over(w)).filter(F.col("attempt") <= most).withColumn("ok", ok)
-    first = F.min(F.when(F.col("ok"), F.col("attempt")))
-    return df.groupBy(conv).agg(F.coalesce(first, F.max("attempt")).alias("attempts"), first.isNotNull().alias("solved"))
-
-
 # What a step counts by its difficulty; any other counts once.
 STEP_WEIGHTS = {"easy": 1.0, "medium": 1.5, "hard": 2.0}
 

@@ -26,5 +26,5 @@ def query(sql: str | None = None) -> Callable[[Plan], Plan]:
     return put
 
 
-for _name in ("scoring", "relational", "ordered", "texts", "edits", "expansion", "streams", "io", "checks", "marks"):
+for _name in ("scoring", "relational", "ordered", "texts", "edits", "expansion", "streams", "io", "checks", "marks", "dialogues"):
     import_module(f"textloom.plans.{_name}")

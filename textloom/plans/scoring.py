@@ -268,15 +268,6 @@ def reward_improvement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", "turn", F.round(F.greatest(F.lit(0.0), gain), 6).alias("improvement"))
 
 
-@query(f"""
-WITH {_PAIRS}, a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(text) > length(gold) AS ok FROM pairs)
-SELECT conv_id, coalesce(min(CASE WHEN ok THEN k END), max(k)) AS attempts, min(CASE WHEN ok THEN k END) IS NOT NULL AS solved FROM a WHERE k <= 3 GROUP BY conv_id
-""")
-def multi_turn_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = verdicts.multi_turn(_answers(spark, sf_dir), "conv_id", "turn", F.length("text") > F.length("gold"))
-    return out.select("conv_id", F.col("attempts").cast("long").alias("attempts"), "solved")
-
-
 @query(f"""
 WITH {_PAIRS}, g AS (SELECT conv_id, min((length(text) > length(gold))::INT) AS lo, max((length(text) > length(gold))::INT) AS hi FROM pairs GROUP BY conv_id),
 k AS (SELECT CASE WHEN hi = 0 THEN 'all_wrong' WHEN lo = 1 THEN 'all_right' ELSE 'mixed' END AS outcome, count(*) AS groups FROM g GROUP BY 1)
