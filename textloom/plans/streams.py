@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.plans.registry import query
-from textloom.session import shared_dir, table
+from textloom.session import keep, shared_dir, table
 from textloom.streaming import sessions
 
 
@@ -20,7 +20,7 @@ SELECT conv_id, count(*) FILTER (WHERE ask AND asked <= 3) AS lookups, bool_or(a
 
 
 def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return keep(f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +90,47 @@ def windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
+_SESSIONS = """
+WITH e AS (SELECT CAST(ts AS TIMESTAMP) AS ts, user_id % 50 AS k, CAST(round(value * 100) AS BIGINT) AS cents FROM events), x AS (SELECT date_trunc('day', min(ts)) + INTERVAL 2 DAY AS low FROM e),
+f AS (SELECT e.* FROM e, x WHERE {live}),
+g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 3 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM f WINDOW w AS (PARTITION BY k ORDER BY ts)),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY k ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM g)
+SELECT k, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM i GROUP BY k, island
+"""
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 50).alias("k"), F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
+def _shown_sessions(out: DataFrame) -> DataFrame:
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return out.select("k", shown("start"), shown("last"), "n", "total")
+
+
+@query(_SESSIONS.format(live="true"))
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of events by key, three quiet hours apart."""
+    return _shown_sessions(sessions.session_windows(_timed(spark, sf_dir), "ts", ["k"], "3 hours", "cents"))
+
+
+@query(_SESSIONS.format(live="ts >= low"))
+def session_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over a stream whose batches overlap in time, so that sessions grow and merge; the first two days come last, behind the watermark, and are dropped."""
+    at, ev = _place(spark), _timed(spark, sf_dir)
+    low = ev.agg(F.date_trunc("day", F.min("ts"))).first()[0]
+    late = F.col("ts") < F.lit(low) + F.expr("INTERVAL 2 DAYS")
+    hour = F.hour("ts")
+    ends = [ev.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr(f"INTERVAL {d} DAYS")).alias("ts"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("long").alias("cents")) for d in (50, 51, 52)]
+    live = ev.filter(~late)
+    # even hours, then odd ones: what lies between merges windows of the first batch; a batch is late by the watermark before its last
+    for part in (live.filter(hour % 2 == 0), live.filter(hour % 2 == 1), *ends[:2], ev.filter(late), ends[2]):
+        part.repartition(1).write.mode("append").parquet(f"{at}/in")
+    source = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    sessions.drain(sessions.session_windows(source, "ts", ["k"], "3 hours", "cents", late="40 days"), f"{at}/out", f"{at}/checkpoint")
+    return _shown_sessions(spark.read.parquet(f"{at}/out").filter("k IS NOT NULL"))
+
+
 @query("SELECT user_id % 20 AS run, event_type AS group_id, round(avg(value), 6) AS mean_reward, count(*) AS rollouts, max(value) AS best FROM events GROUP BY ALL")
 def trace_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), F.lit(0).alias("pass"), F.lit(0).alias("batch"), F.col("event_type").alias("group_id"), F.col("value").alias("reward"))

@@ -52,7 +52,7 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.episode = handle.getValueState("episode", self.kept)
+        self.episode = handle.getValueState("episode", f"{self.kept}, last long")
         self.held = handle.getListState("held", f"at long, {self.kinds}")
         self.ends = handle.getValueState("ends", "at long")
 
@@ -79,12 +79,16 @@ class Ordered(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         every = list(self.held.get())
         ripe = sorted((r for r in every if r[0] <= now), key=lambda r: r[:2])
-        state, said = self.episode.get() if self.episode.exists() else self.fresh, []
+        *state, last = self.episode.get() if self.episode.exists() else (*self.fresh, None)
+        state, said = tuple(state), []
         for row in ripe:
+            if last is not None and row[0] >= last + QUIET:  # it expired before this row, whenever that is noticed
+                said += self.quiet(key[0], state)
+                state = self.fresh
             state, told = self.step(key[0], state, row[1:])
-            said += told
+            said, last = said + told, row[0]
         if ripe:
-            self.episode.update(state)
+            self.episode.update((*state, last))
             rest = [r for r in every if r[0] > now]
             self.held.put(rest) if rest else self.held.clear()
         if self.ends.exists() and expiredTimerInfo.getExpiryTimeInMs() >= self.ends.get()[0]:

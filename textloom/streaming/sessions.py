@@ -52,6 +52,18 @@ def windowed_counts(events: DataFrame, ts: str, keys: list[str], width: str, sli
     return events.withWatermark(ts, late).groupBy(w, *keys).agg(F.count("*").alias("n"))
 
 
+def session_windows(events: DataFrame, ts: str, keys: list[str], gap: str, value: str, late: str = "1 hour") -> DataFrame:
+    """A key's events with no more than ``gap`` from one to the next: start, end (the last event plus the gap), count and sum; batch or stream.
+
+    Windows of a key merge as events come between them. A stream gives a window
+    out once the watermark has passed its end; events behind it are dropped.
+    Partial windows are merged before they are shuffled.
+    """
+    w = F.session_window(F.col(ts), gap)
+    merged = events.withWatermark(ts, late).groupBy(w.alias("w"), *keys).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(ts).alias("last"))
+    return merged.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "last", "n", "total")
+
+
 def trace_group_stats(traces: DataFrame) -> DataFrame:
     """Mean reward and size of each group of rollouts; batch or stream."""
     return traces.groupBy("run", "pass", "batch", "group_id").agg(F.avg("reward").alias("mean_reward"), F.count("*").alias("rollouts"), F.max("reward").alias("best"))
