@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators import ranges
 
 # Parts of speech, short and spelt out.
 POS_NAMES = {
@@ -80,9 +81,9 @@ def candidate_counts(forms: DataFrame, head: str, edits: DataFrame) -> DataFrame
 
 
 def upper_median(rows: DataFrame, col: str) -> DataFrame:
-    """Element n // 2 of the sorted values, and the highest."""
-    # the discrete median from above is the upper one
-    return rows.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{col}` DESC)").cast(rows.schema[col].dataType).alias("median"), F.max(col).alias("highest"))
+    """Element n // 2 of the sorted values, and the highest; values are ranked by ranges if there are very many."""
+    found = ranges.ranks(rows, [], col, {"median": lambda n: F.floor(n / 2)})
+    return found.crossJoin(F.broadcast(rows.agg(F.max(col).alias("highest"))))  # one row each
 
 
 def replay(dialogues: DataFrame, shown: DataFrame, budget: int = 3) -> DataFrame:

@@ -7,12 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ranges
+
 
 def ensure_step(rows: DataFrame, order: list[str], by: list[str], step: str = "step") -> DataFrame:
-    """Add a step from 0 in the given order, unless there is one."""
-    if step in rows.columns:
-        return rows
-    return rows.withColumn(step, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    """Add a step from 0 in the given order, unless there is one; a series of any length."""
+    return rows if step in rows.columns else ranges.placed(rows, by, order, step)
 
 
 def rolling(value: Column, w, size: int, least: int, kind: str = "mean") -> Column:
@@ -30,6 +30,11 @@ def cumsum(value: Column, w) -> Column:
     return F.sum(F.coalesce(value, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
+def running_total(rows: DataFrame, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Add the running sum of a value; a series of any length."""
+    return ranges.running(rows, by, order, **{name: F.col(value)}).withColumn(name, F.col(name) + F.coalesce(value, F.lit(0.0)))
+
+
 def rolling_frac(rows: DataFrame, by: list[str], step: str, value: str, share: float = 0.02, least: int = 5) -> DataFrame:
     """Rolling mean over ``max(5, floor(share * n))`` rows of a series of n; each length has a frame of its own.
 
@@ -47,19 +52,29 @@ def rolling_frac(rows: DataFrame, by: list[str], step: str, value: str, share: f
 
 
 def describe(rows: DataFrame, by: list[str], value: str, step: str) -> DataFrame:
-    """n, mean, median, sample deviation, min, max, first and last value that isn't null."""
+    """n, mean, median, sample deviation, min, max, first and last value that isn't null.
+
+    Medians are exact. A series with many distinct values has them ranked by
+    ranges (`ranges.medians`); the others hold theirs in one task.
+    """
     v, at = F.col(value), F.when(F.col(value).isNotNull(), F.col(step))
-    return rows.groupBy(*by).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.percentile(v, 0.5).alias("median"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.min_by(v, at).alias("first_value"),
-        F.max_by(v, at).alias("final_value"),
-        F.count_if(v != 0).alias("nonzero"),
-    )
+    cols = {
+        "n": F.count(v),
+        "mean": F.avg(v),
+        "median": F.percentile(v, 0.5),
+        "std": F.stddev_samp(v),
+        "min": F.min(v),
+        "max": F.max(v),
+        "first_value": F.min_by(v, at),
+        "final_value": F.max_by(v, at),
+        "nonzero": F.count_if(v != 0),
+    }
+    if not ranges.is_hot(rows, by):
+        return rows.groupBy(*by).agg(*[c.alias(n) for n, c in cols.items()])
+    out = rows.groupBy(*by).agg(*[c.alias(n) for n, c in cols.items() if n != "median"])
+    middle = ranges.medians(rows, by, value)
+    out = ranges.meet(out, middle, by) if by else out.crossJoin(F.broadcast(middle))  # without keys: one row
+    return out.select(*by, *cols)
 
 
 def milestones(rows: DataFrame, by: list[str], step: str, value: str, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9)) -> DataFrame:
@@ -126,8 +141,9 @@ def sliding_buffer(rows: DataFrame, by: list[str], order: str, size: int = 5, st
 
 
 def batches(rows: DataFrame, by: list[str], order: str, size: int) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1
-    return rows.withColumn("__i", i).withColumn("batch", F.floor(F.col("__i") / size)).withColumn("pos", (F.col("__i") % size).cast("int")).drop("__i")
+    """Add ``batch`` and ``pos``, a row's place in it; a series of any length."""
+    df = ranges.placed(rows, by, [order], "__i")
+    return df.withColumn("batch", F.floor(F.col("__i") / size)).withColumn("pos", (F.col("__i") % size).cast("int")).drop("__i")
 
 
 def interpolate(rows: DataFrame, by: list[str], step: str, value: str, points: int = 500) -> DataFrame:

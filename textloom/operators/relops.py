@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import ranges
 from textloom.session import stored
 
 
@@ -69,12 +70,13 @@ def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], value: str,
     """Backward as-of: the last right row at or before each left row, as one merge sort by key.
 
     ``tie`` orders right rows of one time. Left rows without a match have nulls.
+    A key with very many rows is dealt by ranges of its times, and the last right
+    row of a range is carried over to the next.
     """
     names = [c for c in left.columns if c not in (*by, on)]
     r = right.select(*by, F.col(on), F.lit(0).alias("__side"), F.struct(F.col(on).alias("at"), F.col(value).alias("v")).alias("__r"), F.col(tie).cast("string").alias("__tie"), F.lit(None).cast(left.select(F.struct(*names)).schema[0].dataType).alias("__l"))
     lf = left.select(*by, F.col(on), F.lit(1).alias("__side"), F.lit(None).cast(r.schema["__r"].dataType).alias("__r"), F.lit("").alias("__tie"), F.struct(*names).alias("__l"))
-    w = Window.partitionBy(*by).orderBy(F.col(on), "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(lf).withColumn("__m", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
+    both = ranges.carried(r.unionByName(lf), by, [on, "__side", "__tie"], "__r", "__m").filter("__side = 1")
     return both.select(*by, on, "__l.*", F.col("__m.at").alias(f"{on}_right"), F.col("__m.v").alias(value))
 
 

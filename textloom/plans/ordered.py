@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.operators import metrics, relops
+from textloom.operators import metrics, ranges, relops
 from textloom.plans.registry import query
 from textloom.session import table
 
@@ -28,11 +28,10 @@ SELECT event_id, round(CASE WHEN count(value) OVER w25 >= 5 THEN avg(value) OVER
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), w25 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 24 PRECEDING), w10 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 9 PRECEDING), w15 AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 14 PRECEDING)
 """)
 def rolling_mean_min_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, v = Window.partitionBy("user_id").orderBy("ts", "event_id"), F.col("value")
-    return table(spark, sf_dir, "events").select(
-        "event_id", F.round(metrics.rolling(v, w, 25, 5), 6).alias("mean25"), F.round(metrics.rolling(v, w, 10, 5, "std"), 6).alias("std10"), F.round(metrics.rolling(v, w, 15, 1), 6).alias("trailing15"),
-        F.round(metrics.diff(v, w), 6).alias("diff"), F.round(metrics.cumsum(v, w), 4).alias("cumsum"),
-    )
+    by, order, v = ["user_id"], ["ts", "event_id"], F.col("value")
+    rolled = lambda w: {"mean25": metrics.rolling(v, w, 25, 5), "std10": metrics.rolling(v, w, 10, 5, "std"), "trailing15": metrics.rolling(v, w, 15, 1), "diff": metrics.diff(v, w)}
+    df = ranges.framed(metrics.running_total(table(spark, sf_dir, "events").select(*by, *order, "value"), by, order, "value", "cumsum"), by, order, 25, rolled)
+    return df.select("event_id", *[F.round(c, 6).alias(c) for c in ("mean25", "std10", "trailing15", "diff")], F.round("cumsum", 4).alias("cumsum"))
 
 
 @query(f"""

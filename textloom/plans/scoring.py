@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import scores as S
 from textloom.functions import text as X
 from textloom.functions import udfs
-from textloom.operators import metrics, verdicts
+from textloom.operators import metrics, ranges, verdicts
 from textloom.plans.registry import query
 from textloom.session import table
 
@@ -319,8 +319,10 @@ t AS (SELECT lang, said, unnest(list_distinct(regexp_extract_all(text, '[áéí
 SELECT lang, ch, count(*) AS expected, count(*) FILTER (WHERE contains(said, ch)) AS hit, round(count(*) FILTER (WHERE contains(said, ch)) / count(*)::DOUBLE, 6) AS accuracy FROM t GROUP BY lang, ch
 """)
 def accuracy_by_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each marked letter of a text, whether the text before it in its language has it."""
-    before = F.lag("text").over(Window.partitionBy("lang").orderBy("doc_id"))
-    pairs = table(spark, sf_dir, "documents").select("lang", "text", before.alias("said"))
-    each = pairs.select("lang", "said", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([áéíóúñäöüßçèêà])"), 1))).alias("ch")).filter("said is not null")
-    return each.groupBy("lang", "ch").agg(F.count("*").alias("expected"), F.count_if(F.contains("said", "ch")).alias("hit"), F.round(F.avg(F.contains("said", "ch").cast("int")), 6).alias("accuracy"))
+    """For each marked letter of a text, whether the text before it in its language has it; only letters are carried along."""
+    letters = F.array_distinct(F.regexp_extract_all("text", F.lit("([áéíóúñäöüßçèêà])"), 1))
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", letters.alias("letters"))
+    pairs = ranges.framed(docs, ["lang"], ["doc_id"], 2, lambda w: {"said": F.lag("letters").over(w)})
+    each = pairs.filter("said is not null").select("lang", "said", F.explode("letters").alias("ch"))
+    hit = F.array_contains("said", F.col("ch"))
+    return each.groupBy("lang", "ch").agg(F.count("*").alias("expected"), F.count_if(hit).alias("hit"), F.round(F.avg(hit.cast("int")), 6).alias("accuracy"))
