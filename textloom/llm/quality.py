@@ -4,13 +4,17 @@ Lines are normalised (lower case, white space collapsed) and hashed. Per host
 and line, the distinct documents that hold it are counted; equal texts are one
 document. Lines above the limits are removed and documents of which too little
 is left are rejected. Copies of a document with small edits count once, so they
-neither make a line boilerplate nor hide that it is: two documents are copies if
-they share more than ``copy_share`` of the distinct lines of the larger one. A
-line is above the limits if more than ``max_docs`` documents hold it of which no
-two are copies. They are picked greedily, first within buckets of some dozens of
-documents, then among those that were picked, until one bucket a line is left;
-a line is decided once a bucket has enough of them. (Copies of a text of two or
-three lines, each edited somewhere else, share too little to be told apart.)
+neither make a line boilerplate nor hide that it is. Copies are found once a
+document, not once a line: of the lines that more than ``max_docs`` documents of
+the host hold, each document has ``BANDS`` least ones, by as many orders; in each
+band, the first document with the same least line stands for it. Two documents
+are copies if one stands for the other in at least ``AGREE`` bands and they share
+more than ``copy_share`` of the distinct lines of the larger one. A document
+counts as the first of itself and those it is a copy of, and a line is above
+the limits if more than ``max_docs`` such firsts hold it. So a document meets no
+more than half as many others as there are bands, whatever the number of its
+lines or of its copies, and work grows with the text. (Copies of a text of two
+or three lines, each edited somewhere else, share too little to be told apart.)
 
 Everything is DataFrame code. One pass over the texts makes a narrow table
 (statistics, line hashes) in the shared folder; counts and the join back run on
@@ -39,6 +43,9 @@ from textloom.session import discard, stored
 _SPACE = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
+#: Bands, how many of them copies agree in, and the multipliers that order lines differently in each.
+BANDS, AGREE, PRIME = 8, 2, 2**31 - 1
+MULTIPLIERS = [pow(48271, i + 1, PRIME) for i in range(BANDS)]
 #: Before the names of columns that are carried along, so that none clashes.
 _KEEP = "__in_"
 
@@ -70,7 +77,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("n_symbols", (F.length("__t") - F.length(F.translate("__t", _SYMBOLS, ""))).cast("long"))
     df = df.withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     df = df.withColumn("__n", F.transform("__l", normalised))
-    df = df.withColumn("__h", F.expr("transform(__n, x -> xxhash64(x))"))
+    df = df.withColumn("__h", F.transform("__n", line_id))
     lines = "transform(__h, (h, j) -> named_struct('line', h, 'words', size(split(__n[j], ' '))))"
     df = df.withColumn("lines", F.expr(lines))
     return df.drop("__t", "__w", "__l", "__s", "__p", "__n", "__h", "__bits", "__mask")
@@ -81,33 +88,39 @@ def normalised(line: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(line, _SPACE, " ")))
 
 
+def line_id(line: Column) -> Column:
+    """60 bits that know a normalised line, in which SQL engines agree."""
+    return F.conv(F.left(F.md5(line), F.lit(15)), 16, 10).cast("long")
+
+
+def least_lines(hits: DataFrame) -> DataFrame:
+    """Rows (host, doc, band, least) of the lines (host, doc, line) that documents share."""
+    x = F.pmod("line", F.lit(PRIME))
+    least = hits.groupBy("host", "doc").agg(*[F.min((x * m) % PRIME).alias(f"b{i}") for i, m in enumerate(MULTIPLIERS)])
+    return least.select("host", "doc", F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("band", "least"))
+
+
 def frequent_lines(measured: DataFrame, limits: Limits) -> DataFrame:
     """A stored table of the (host, line) above the limits, of rows (host, doc, lines)."""
     sets = measured.select("host", "doc", F.expr("array_distinct(transform(lines, l -> l.line))").alias("set"))
     sets = stored(sets.groupBy("host", "doc").agg(F.first("set").alias("set")))
     each = sets.select("host", "doc", F.explode("set").alias("line"))
-    common = each.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs)
-    hits = stored(each.join(common, ["host", "line"]))
-    # at most max_docs + 1 are picked of a bucket, so the next round needs a sixth of the buckets
-    size = 6 * (limits.max_docs + 1)
-    most = hits.agg(F.max("n")).first()[0] or 0
-    left = hits.join(sets, ["host", "doc"]).select("host", "line", F.ceil(F.col("n") / size).alias("buckets"), F.struct("doc", "set").alias("x"))
-    copies = f"size(array_intersect(a.set, x.set)) > {limits.copy_share} * greatest(size(a.set), size(x.set))"
-    pick = f"aggregate(xs, slice(xs, 1, 0), (p, x) -> CASE WHEN size(p) > {limits.max_docs} OR exists(p, a -> {copies}) THEN p ELSE concat(p, array(x)) END)"
-    above, buckets, rounds_ = None, -(-most // size), []
-    while True:
-        bucket = F.pmod("x.doc", F.col("buckets")).alias("bucket")
-        rounds = left.groupBy("host", "line", "buckets", bucket).agg(F.sort_array(F.collect_list("x")).alias("xs"))
-        picked = stored(rounds.select("host", "line", "buckets", F.expr(pick).alias("p")))
-        full = picked.filter(F.size("p") > limits.max_docs).select("host", "line")
-        above = full if above is None else above.union(full)
-        rounds_.append(picked)
-        if buckets <= 1:
-            above = stored(above.distinct())
-            discard(sets, hits, *rounds_)
-            return above
-        left = picked.select("host", "line", F.ceil(F.col("buckets") / 6).alias("buckets"), F.explode("p").alias("x"))
-        buckets = -(-buckets // 6)
+    common = each.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(each.join(common, ["host", "line"]))
+    hits = shared.filter(F.col("n") > limits.max_docs).drop("n")
+    # only what holds a frequent line need be told from its copies
+    bands = stored(least_lines(shared.join(hits.select("host", "doc").distinct(), ["host", "doc"], "left_semi")))
+    firsts = bands.groupBy("host", "band", "least").agg(F.min("doc").alias("first"))
+    pairs = bands.join(firsts, ["host", "band", "least"]).filter("doc != first")
+    pairs = pairs.groupBy("host", "doc", "first").agg(F.count("*").alias("n")).filter(F.col("n") >= AGREE).drop("n")
+    # a pair meets the two sets once
+    met = pairs.join(sets, ["host", "doc"]).join(sets.select("host", F.col("doc").alias("first"), F.col("set").alias("other")), ["host", "first"])
+    copies = met.filter(F.size(F.array_intersect("set", "other")) > limits.copy_share * F.greatest(F.size("set"), F.size("other")))
+    copies = copies.groupBy("host", "doc").agg(F.min("first").alias("first"))
+    counted = hits.join(copies, ["host", "doc"], "left").select("host", "line", F.least("doc", F.coalesce("first", "doc")).alias("first")).distinct()
+    above = stored(counted.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > limits.max_docs).drop("n"))
+    discard(sets, shared, bands)
+    return above
 
 
 def _keyed(docs: DataFrame, keep: list[str], host_col: str, text_col: str) -> DataFrame:
@@ -165,6 +178,6 @@ def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", l
     # each line is dealt with by its own hash, so nothing but hashes was stored
     rest = keyed.drop("__text").join(found, ["host", "doc", "doc2"], "left").filter(~F.coalesce("goes", F.lit(False)))
     text = F.col(f"`{_KEEP}{text_col}`")
-    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("removed", F.xxhash64(normalised(x))))
+    kept = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("removed", line_id(normalised(x))))
     rest = rest.withColumn(f"{_KEEP}{text_col}", F.when(F.col("removed").isNotNull(), F.array_join(kept, "\n")).otherwise(text))
     return rest.select(*[F.col(f"`{_KEEP}{c}`").alias(c) for c in docs.columns])

@@ -126,11 +126,20 @@ WITH w AS (
 ), each_line AS (
   SELECT host, doc, s, unnest(s) AS l FROM sets
 ), common AS (
-  SELECT host, l, count(*) AS c FROM each_line GROUP BY host, l HAVING count(*) > 10
-), r0 AS (
-  SELECT host, l, CAST(ceil(c / 66.0::DOUBLE) AS BIGINT) AS b, {'doc': doc, 's': s} AS x FROM each_line JOIN common USING (host, l)
-), @PICKS@ above AS (
-  @ABOVE@
+  SELECT host, l, count(*) AS c FROM each_line GROUP BY host, l HAVING count(*) > 1
+), shared AS (
+  SELECT host, doc, l, c, CAST('0x' || left(md5(l), 15) AS BIGINT) % 2147483647 AS x FROM each_line JOIN common USING (host, l)
+), bands AS (
+  SELECT host, doc, band, min((x * m) % 2147483647) AS least FROM shared, (VALUES @BANDS@) v(band, m) GROUP BY host, doc, band
+), firsts AS (
+  SELECT host, band, least, min(doc) AS first FROM bands SEMI JOIN (SELECT host, doc FROM shared WHERE c > 10) USING (host, doc) GROUP BY host, band, least
+), pairs AS (
+  SELECT host, doc, first FROM bands SEMI JOIN (SELECT host, doc FROM shared WHERE c > 10) USING (host, doc) JOIN firsts USING (host, band, least) WHERE doc <> first GROUP BY host, doc, first HAVING count(*) >= 2
+), copies AS (
+  SELECT p.host, p.doc, min(p.first) AS first FROM pairs p JOIN sets a ON a.host = p.host AND a.doc = p.doc JOIN sets b ON b.host = p.host AND b.doc = p.first
+  WHERE len(list_intersect(a.s, b.s)) > 0.5::DOUBLE * greatest(len(a.s), len(b.s)) GROUP BY p.host, p.doc
+), above AS (
+  SELECT host, l FROM shared LEFT JOIN copies USING (host, doc) WHERE c > 10 GROUP BY host, l HAVING count(DISTINCT least(doc, coalesce(first, doc))) > 10
 ), hits AS (
   SELECT r, CAST(sum(len(string_split(l, ' '))) AS BIGINT) AS removed FROM lines JOIN above USING (host, l) GROUP BY r
 ), stats AS (
@@ -144,13 +153,9 @@ SELECT doc_id, n_words, coalesce(chars, 0) AS word_chars, n_symbols, n_dup_lines
 FROM stats
 """
 
-#: Rounds in which copies are picked: enough for lines of 66 * 6 ** 7 documents.
-_ROUNDS = 8
-_PICK = """p{k} AS (
-  SELECT host, l, b, list_reduce(list([x] ORDER BY x.doc), lambda p, y: CASE WHEN len(p) > 10 OR len(list_filter(p, lambda a: len(list_intersect(a.s, y[1].s)) > 0.5::DOUBLE * greatest(len(a.s), len(y[1].s)))) > 0 THEN p ELSE list_concat(p, y) END) AS p
-  FROM r{k} GROUP BY host, l, b, x.doc % b
-), r{n} AS (SELECT host, l, CAST(ceil(b / 6.0::DOUBLE) AS BIGINT) AS b, unnest(p) AS x FROM p{k}),"""
-_QUALITY_SQL = _QUALITY_TEMPLATE.replace("@PICKS@", " ".join(_PICK.format(k=k, n=k + 1) for k in range(_ROUNDS))).replace("@ABOVE@", " UNION ".join(f"SELECT host, l FROM p{k} WHERE len(p) > 10" for k in range(_ROUNDS)))
+#: The orders of the bands: powers of one multiplier.
+_BANDS = ", ".join(f"({i}, {pow(48271, i + 1, 2**31 - 1)})" for i in range(8))
+_QUALITY_SQL = _QUALITY_TEMPLATE.replace("@BANDS@", _BANDS)
 
 _DIVERGENCE_SQL = r"""
 WITH d AS (
