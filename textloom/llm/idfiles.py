@@ -40,8 +40,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -62,7 +64,10 @@ BUCKET_KEYS, SPARE = 1 << 15, 2
 RANGE_ROWS = 1 << 17
 #: Levels of a bucket; half of the keys stay at each, so this is never reached by distinct hashes.
 LEVELS = 64
-#: Texts, words and runs of white space beyond these lengths are encoded by the automaton.
+#: How hard a row's ids are compressed while they are stored and shuffled; files hold them as they are.
+ROW_LEVEL = 5
+#: Texts of more characters are encoded by the automaton, and those that have words or runs of white space of
+#: twice the second number (some that have them of once as many).
 LONG_TEXT, LONG_WORD = 1 << 22, 4096
 #: Fixed value: the published pre-splitting pattern of byte-level vocabularies, as the library of merge ranks spells it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -156,14 +161,22 @@ class Encoder:
         """Whether a text is of common shape and names no added label."""
         if self.quick is None or len(text) > LONG_TEXT or any(t in text for t in self.codec.added):
             return False
-        words = text.split()
-        blanks = len(text) - sum(map(len, words))
-        return max(map(len, words), default=0) <= LONG_WORD and blanks <= 1.25 * len(words) + LONG_WORD
+        # a blank, and something that is none, in every stretch: words and runs are less than two stretches long
+        stretches = range(0, len(text) - LONG_WORD + 1, LONG_WORD)
+        return all(text.find(" ", i, i + LONG_WORD) >= 0 and not text[i : i + LONG_WORD].isspace() for i in stretches)
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None) -> list[int]:
         if text and self.plain(text):
-            return self.quick.encode_to_numpy(text, disallowed_special=())
-        return np.frombuffer(self.codec.encode(text), "<u4")
+            return self.quick.encode_ordinary(text)
+        return np.frombuffer(self.codec.encode(text), "<u4").tolist()
+
+
+def packed(ids: list[int], width: int) -> bytes:
+    """Ids as little-endian integers of so many bytes."""
+    got = array("H" if width == 2 else "I", ids)
+    if sys.byteorder != "little":
+        got.byteswap()
+    return got.tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -176,14 +189,14 @@ def _encoded(docs: DataFrame, blob: bytes, width: int, key_col: str, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if digest not in _ENCODERS:
             _ENCODERS[digest] = Encoder(sent.value)
-        encode = _ENCODERS[digest].encode
+        encode, codec = _ENCODERS[digest].encode, pa.Codec("zstd", ROW_LEVEL)
         for big in batches:
             for at in range(0, big.num_rows, 64):  # few texts at once: memory follows the texts, not the batch
                 batch, ids, n = big.slice(at, 64), [], []
                 for text in batch.column(1):
                     got = encode(text.as_py())
                     n.append(len(got) + 1)
-                    ids.append(pa.compress(got.astype(f"<u{width}").tobytes(), "zstd", asbytes=True))
+                    ids.append(codec.compress(packed(got, width), asbytes=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["key", "ids", "n"])
 
     kind = docs.schema[key_col].dataType.simpleString()
@@ -405,13 +418,20 @@ def read(spark: SparkSession, path: str, places: DataFrame, ids: bool = True) ->
     kind = places.schema["key"].dataType.simpleString()
     names = ["key", "nth", "start", "shard", "n", "ids_crc32"] + ["ids"] * ids
 
+    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, content in zip(*batch.columns, strict=True):
+                raw = content.as_buffer()
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([raw.size], pa.int64()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], ["shard", "size", "content"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = np.empty(0), 0
         for batch in batches:
             col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
             for a, b in _runs(col["shard"].to_numpy()):
                 if col["content"][a].is_valid:  # the shard comes before its places
-                    held, first = np.frombuffer(col["content"][a].as_py(), f"<u{width}"), col["first"][a].as_py()
+                    raw = pa.decompress(col["content"][a].as_buffer(), col["size"][a].as_py(), "zstd", asbytes=True)
+                    held, first = np.frombuffer(raw, f"<u{width}"), col["first"][a].as_py()
                     a += 1
                 for at in range(a, b, 4096):
                     size = min(4096, b - at)
@@ -422,5 +442,6 @@ def read(spark: SparkSession, path: str, places: DataFrame, ids: bool = True) ->
                         cols.append(pa.array([p.view("<i4") for p in parts], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(cols, names)
 
+    files = files.mapInArrow(compressed, "shard long, size long, content binary")
     met = _streamed(files.join(firsts, "shard"), places.select(*names[:5]), "shard", "content")
     return met.mapInArrow(run, f"key {kind}, nth long, start long, shard long, n long, ids_crc32 long" + ", ids array<int>" * ids)
