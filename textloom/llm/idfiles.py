@@ -64,8 +64,8 @@ BUCKET_KEYS, SPARE = 1 << 15, 2
 RANGE_ROWS = 1 << 17
 #: Levels of a bucket; half of the keys stay at each, so this is never reached by distinct hashes.
 LEVELS = 64
-#: How hard a row's ids are compressed while they are stored and shuffled; files hold them as they are.
-ROW_LEVEL = 5
+#: How hard a row's ids, and a shard's, are compressed while they are stored and shuffled; files hold them as they are.
+ROW_LEVEL, SHARD_LEVEL = 5, 3
 #: Texts of more characters are encoded by the automaton, and those that have words or runs of white space of
 #: twice the second number (some that have them of once as many).
 LONG_TEXT, LONG_WORD = 1 << 22, 4096
@@ -251,6 +251,7 @@ def placed(rows: DataFrame, shard_ids: int | None = None) -> DataFrame:
     dealt = ranged.withColumn("own", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("i", F.row_number().over(order)).withColumn("new", new)
     # of a run of equal keys: where it starts in its range
     dealt = stored(dealt.withColumn("run", F.max(F.when(F.col("new"), F.col("i"))).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    discard(ranged)
     sums = dealt.groupBy("part").agg(F.sum("n").alias("ids"), F.count("*").alias("docs"), F.min_by("key", "i").alias("first"), F.max_by("key", "i").alias("last"), F.max("run").alias("tail"))
     # one row for each range
     every = Window.partitionBy(F.lit(0)).orderBy("part")
@@ -266,7 +267,7 @@ def placed(rows: DataFrame, shard_ids: int | None = None) -> DataFrame:
     found = found.select("row", "key", "h", "n", (F.col("own") + F.col("ids_before")).alias("start"), (F.col("docs_before") + F.col("i") - first).alias("nth"), (F.col("docs_before") + F.col("i") - 1).alias("at"))
     shard = F.floor((F.col("start") + ROW_COST * F.col("at")) / shard_ids).cast("int").alias("shard")
     out = stored(found.select("row", "key", "h", "n", "start", "nth", shard))
-    discard(ranged, dealt)
+    discard(dealt)
     return out
 
 
@@ -419,10 +420,11 @@ def read(spark: SparkSession, path: str, places: DataFrame, ids: bool = True) ->
     names = ["key", "nth", "start", "shard", "n", "ids_crc32"] + ["ids"] * ids
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", SHARD_LEVEL)
         for batch in batches:
             for shard, content in zip(*batch.columns, strict=True):
                 raw = content.as_buffer()
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([raw.size], pa.int64()), pa.array([pa.compress(raw, "zstd", asbytes=True)], pa.binary())], ["shard", "size", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([raw.size], pa.int64()), pa.array([codec.compress(raw, asbytes=True)], pa.binary())], ["shard", "size", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = np.empty(0), 0
