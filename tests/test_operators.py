@@ -101,13 +101,27 @@ def test_audit_and_pick(spark):
         metrics.select_checkpoint(df, "a", "b", 9.0)
 
 
-def test_guardrail(spark):
+def test_guardrail(spark, tmp_path):
     good = spark.createDataFrame([("šuŋka", "dog"), ("ḣaŋ", "dream")], "a string, b string")
-    assert verdicts.guardrail(good, "a", "b", F.col("a").rlike("[^a-z]"), 0.5)["total"] == 2
-    with pytest.raises(ValueError, match="identical"):
-        verdicts.guardrail(spark.createDataFrame([("áni", "áni")], "a string, b string"), "a", "b", F.lit(True), 0.5)
-    with pytest.raises(ValueError, match="improbable"):
-        verdicts.guardrail(good, "a", "b", F.lit(False), 0.5)
+    jobs = []
+
+    def write(df):
+        jobs.append(len(jobs))
+        df.write.parquet(str(tmp_path / f"build{len(jobs)}"))
+
+    marked = F.col("a").rlike("[^a-z]")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("guardrail", "")
+    assert verdicts.guardrail(good, "a", "b", marked, 0.5, write) == {"total": 2, "improbable": 0, "identical": 0, "missing": 0, "improbable_ratio": 0.0}
+    assert len(tracker.getJobIdsForGroup("guardrail")) == 1  # counted while it was written
+    assert spark.read.parquet(str(tmp_path / "build1")).count() == 2
+    assert verdicts.guardrail(good.limit(0), "a", "b", marked, 0.5, write)["total"] == 0
+    with pytest.raises(ValueError, match="1 entries are identical in both languages: áni"):
+        verdicts.guardrail(spark.createDataFrame([("áni", "ÁNI "), ("x", "y")], "a string, b string"), "a", "b", F.lit(True), 0.5, write)
+    with pytest.raises(ValueError, match="100.000% of entries look improbable: ḣaŋ, šuŋka|100.000% of entries look improbable: šuŋka, ḣaŋ"):
+        verdicts.guardrail(good, "a", "b", F.lit(False), 0.5, write)
+    with pytest.raises(ValueError, match="2 entries lack a text"):
+        verdicts.guardrail(spark.createDataFrame([("á", None), (" ", "y"), ("á", "b")], "a string, b string"), "a", "b", F.lit(True), 0.5, write)
 
 
 def test_repair_never_invents(spark):

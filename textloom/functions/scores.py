@@ -206,6 +206,21 @@ SCORERS: dict[str, Callable[[Column, Column, Column, Column], dict[str, Column]]
 }
 
 
+# The arms of an experiment, and the version of the rules that each is scored by.
+SCORER_VERSIONS = {"baseline": "2026-11-10.2", "gated": "2026-11-13-gated.1"}
+
+
+def scorer_version(arm: Column) -> Column:
+    """The version of an arm's rules; an unknown arm is scored as the first."""
+    known = F.create_map(*[F.lit(x) for kv in SCORER_VERSIONS.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, arm), F.lit(SCORER_VERSIONS["baseline"]))
+
+
+def every_arm() -> Column:
+    """A row for each arm, by an explode."""
+    return F.explode(F.array(*map(F.lit, SCORER_VERSIONS)))
+
+
 def score(task: Column, completion: Column, gold: Column, accepted: Column, arm: Column | None = None) -> Column:
     """Struct (reward, exact, raw, parsed, answer_len, length_mult, parts) of one completion, by its task."""
     arm = F.lit("baseline") if arm is None else arm

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
@@ -59,22 +62,39 @@ def _with_issues(rows: DataFrame, tests: list[tuple[Column, Column]]) -> DataFra
     return rows.withColumn("issues", issues).withColumn("is_valid", F.size("issues") == 0)
 
 
-def guardrail_counts(rows: DataFrame, a: str, b: str, probable: Column) -> DataFrame:
-    """Counts by which a build is judged: improbable, identical and missing pairs."""
+def _judged(a: str, b: str, probable: Column) -> dict[str, Column]:
     blank = lambda c: F.trim(X.text(F.col(c))) == ""
     same = (F.lower(F.trim(a)) == F.lower(F.trim(b))) & ~blank(a)
-    out = rows.agg(F.count("*").alias("total"), F.count_if(~probable).alias("improbable"), F.count_if(same).alias("identical"), F.count_if(blank(a) | blank(b)).alias("missing"))
+    return {"total": F.count(F.lit(1)), "improbable": F.count_if(~probable), "identical": F.count_if(same), "missing": F.count_if(blank(a) | blank(b))}
+
+
+def guardrail_counts(rows: DataFrame, a: str, b: str, probable: Column) -> DataFrame:
+    """Counts by which a build is judged: improbable, identical and missing pairs."""
+    out = rows.agg(*[c.alias(n) for n, c in _judged(a, b, probable).items()])
     return out.withColumn("improbable_ratio", F.col("improbable") / F.greatest(F.col("total"), F.lit(1)))
 
 
-def guardrail(rows: DataFrame, a: str, b: str, probable: Column, most: float) -> dict:
-    """The counts, or an error with samples if a limit is passed."""
-    got = guardrail_counts(rows, a, b, probable).first().asDict()
+def guardrail(rows: DataFrame, a: str, b: str, probable: Column, most: float, write: Callable[[DataFrame], None]) -> dict:
+    """Write a build and count while its rows pass; the counts, or an error with samples if a limit is passed.
+
+    The counters are an observation of the write, so a build that is in order
+    takes one job. Only where a limit is passed are rows looked at again, for
+    the five least samples. Empty builds pass.
+    """
+    watch = Observation(f"guardrail-{uuid.uuid4().hex}")
+    write(rows.observe(watch, *[c.alias(n) for n, c in _judged(a, b, probable).items()]))
+    got = watch.get
+    got["improbable_ratio"] = got["improbable"] / max(got["total"], 1)
+
+    def least(bad: Column) -> str:
+        return ", ".join(r[0] for r in rows.filter(bad).select(X.text(F.col(a)).alias("a")).orderBy("a").limit(5).collect())
+
     if got["improbable_ratio"] > most:
-        samples = [r[0] for r in rows.filter(~probable).select(a).limit(5).collect()]
-        raise ValueError(f"{got['improbable_ratio']:.3%} of entries look improbable: {samples}")
-    if got["identical"] or got["missing"]:
-        raise ValueError(f"{got['identical']} identical and {got['missing']} missing pairs")
+        raise ValueError(f"{got['improbable_ratio']:.3%} of entries look improbable: {least(~probable)}")
+    if got["identical"]:
+        raise ValueError(f"{got['identical']} entries are identical in both languages: {least((F.lower(F.trim(a)) == F.lower(F.trim(b))) & (F.trim(X.text(F.col(a))) != ''))}")
+    if got["missing"]:
+        raise ValueError(f"{got['missing']} entries lack a text")
     return got
 
 

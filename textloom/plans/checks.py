@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import metrics, relops, verdicts
 from textloom.plans.registry import query
-from textloom.session import table
+from textloom.session import stored, table
 
 _FOLD_FROM, _FOLD_TO = "".join(X.FOLDED), "".join(X.FOLDED.values())
 
@@ -59,9 +59,31 @@ WITH p AS (SELECT p_partkey, p_name AS a, CASE WHEN p_size % 4 = 0 THEN upper(p_
 SELECT *, round(improbable / greatest(total, 1)::DOUBLE, 6) AS improbable_ratio FROM c
 """)
 def guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.guardrail_counts(_pairs(spark, sf_dir), "a", "b", F.contains("a", F.lit("e"))).withColumn("improbable_ratio", F.round("improbable_ratio", 6))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size")
-    pairs = table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.when(n % 4 == 0, F.concat(F.upper("p_name"), F.lit(" "))).when(n % 4 == 1, " ").otherwise(F.col("p_brand")).alias("b"))
-    return verdicts.guardrail_counts(pairs, "a", "b", F.contains("a", F.lit("e"))).withColumn("improbable_ratio", F.round("improbable_ratio", 6))
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("a"), F.when(n % 4 == 0, F.concat(F.upper("p_name"), F.lit(" "))).when(n % 4 == 1, " ").otherwise(F.col("p_brand")).alias("b"), (n % 4).alias("k"))
+
+
+@query("""
+WITH p AS (SELECT p_name AS a, p_size % 4 AS k FROM part), s AS (SELECT * FROM p WHERE NOT contains(a, 'o') ORDER BY a LIMIT 5), i AS (SELECT * FROM p WHERE k = 0 ORDER BY a LIMIT 5)
+SELECT 'improbable' AS build, printf('%.3f%%', 100.0 * (SELECT count(*) FROM p WHERE NOT contains(a, 'o')) / (SELECT count(*) FROM p)) || ' of entries look improbable: ' || (SELECT string_agg(a, ', ' ORDER BY a) FROM s) AS said
+UNION ALL SELECT 'identical', (SELECT count(*) FROM p WHERE k = 0) || ' entries are identical in both languages: ' || (SELECT string_agg(a, ', ' ORDER BY a) FROM i)
+UNION ALL SELECT 'missing', (SELECT count(*) FROM p WHERE k = 1) || ' entries lack a text' UNION ALL SELECT 'sound', (SELECT count(*) FROM p WHERE k > 1) || ' entries'
+""")
+def guardrail_raised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the guardrail says of four builds of the pairs: with an unlikely letter, identical texts, missing texts, and none of these."""
+    pairs, yes, said = _pairs(spark, sf_dir), F.lit(True), []
+    builds = {"improbable": (pairs, F.contains("a", F.lit("o"))), "identical": (pairs.filter("k <> 1"), yes), "missing": (pairs.filter("k <> 0"), yes), "sound": (pairs.filter("k > 1"), yes)}
+    for name, (rows, probable) in builds.items():
+        try:
+            got = verdicts.guardrail(rows, "a", "b", probable, 0.1, stored)
+            said.append((name, f"{got['total']} entries"))
+        except ValueError as e:
+            said.append((name, str(e)))
+    return spark.createDataFrame(said, "build string, said string")
 
 
 @query("SELECT unnest(['missing: loss', 'zero: nothing']) AS finding UNION ALL SELECT 'picked: l_tax'")

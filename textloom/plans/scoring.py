@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import scores as S
 from textloom.functions import text as X
 from textloom.functions import udfs
 from textloom.operators import metrics, ranges, verdicts
-from textloom.plans.registry import query
+from textloom.plans.registry import ORACLE_SQL, query
 from textloom.session import table
 
 
@@ -175,13 +175,36 @@ SELECT conv_id, turn, task, round((raw * guard)::DOUBLE, 6) AS reward, exact::DO
 """)
 def score_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scorer by its task: the turns of a conversation go through the tasks; the gold is the turn itself, its words with hyphens, or the turn before."""
+    return _scored_tasks(_answers(spark, sf_dir), F.lit("gated"))
+
+
+#: The same by arm: the baseline pays for the overlap of a form, the gated one doesn't.
+_ARMS_SQL = ORACLE_SQL["score_tasks"]
+for _old, _new in (
+    ("AS gold FROM pairs)", "AS gold, arm, version FROM pairs, (VALUES ('baseline', '2026-11-10.2'), ('gated', '2026-11-13-gated.1')) v(arm, version))"),
+    ("WHEN near THEN 0.7 ELSE 0.0 END ELSE tf", "WHEN near THEN 0.7 WHEN arm = 'gated' THEN 0.0 ELSE 0.25::DOUBLE * dice END ELSE tf"),
+    ("SELECT conv_id, turn, task, round((raw", "SELECT conv_id, turn, arm, version, task, round((raw"),
+):
+    assert _old in _ARMS_SQL
+    _ARMS_SQL = _ARMS_SQL.replace(_old, _new)
+
+
+@query(_ARMS_SQL)
+def score_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every scorer under every arm of the experiment at once, with the version of the arm's rules."""
+    df = _answers(spark, sf_dir).withColumn("arm", S.every_arm()).withColumn("version", S.scorer_version(F.col("arm")))
+    return _scored_tasks(df, F.col("arm"), ("arm", "version"))
+
+
+def _scored_tasks(df: DataFrame, arm: Column, more: tuple[str, ...] = ()) -> DataFrame:
     kinds = F.array(*[F.lit(k) for k in S.SCORERS])
-    df = _answers(spark, sf_dir).withColumn("task", F.element_at(kinds, (F.col("turn") % len(S.SCORERS) + 1).cast("int")))
+    df = df.withColumn("task", F.element_at(kinds, (F.col("turn") % len(S.SCORERS) + 1).cast("int")))
     kind = F.col("conv_id") % 3
     df = df.withColumn("gold", F.when(kind == 0, F.col("text")).when(kind == 1, F.replace("text", F.lit(" "), F.lit("-"))).otherwise(F.col("gold")))
-    led = S.score(F.col("task"), F.concat(F.lit("<think>hm</think>ANSWER: "), "text"), F.col("gold"), F.array("gold"), F.lit("gated"))
-    out = df.select("conv_id", "turn", "task", led.alias("l")).select("conv_id", "turn", "task", "l.*")
-    return out.select("conv_id", "turn", "task", *[F.round(c, 6).alias(c) for c in out.columns[3:]])
+    led = S.score(F.col("task"), F.concat(F.lit("<think>hm</think>ANSWER: "), "text"), F.col("gold"), F.array("gold"), arm)
+    keys = ["conv_id", "turn", *more, "task"]
+    out = df.select(*keys, led.alias("l")).select(*keys, "l.*")
+    return out.select(*keys, *[F.round(c, 6).alias(c) for c in out.columns[len(keys) :]])
 
 
 def _scored(df: DataFrame) -> DataFrame:
