@@ -4,6 +4,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from textloom.sources import readers, sinks
@@ -15,6 +16,9 @@ def test_jsonl(spark, tmp_path):
     schema = "prompt string, question string, answer string"
     got = readers.jsonl_tolerant(spark, str(p), schema, {"prompt": ["question"]}, ("prompt", "answer"))
     assert sorted(r["prompt"] for r in got.collect()) == ["q1", "q2"]
+    watch = Observation("warnings")
+    assert readers.jsonl_tolerant(spark, str(p), schema, {"prompt": ["question"]}, ("prompt", "answer"), watch).count() == 2
+    assert watch.get == {"lines": 4, "malformed": 1, "incomplete": 1}
     assert [r[0] for r in readers.rejected(spark, str(p), schema).collect()] == ["not json"]
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.jsonl_strict(spark, str(p), schema).collect()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
@@ -22,8 +23,23 @@ EDITS_AT_ONCE = 10_000
 
 
 def by_confidence(rows: DataFrame, col: str, least: float) -> DataFrame:
+    return rows.filter(confidence(col, least))
+
+
+def watched(rows: DataFrame, keep: Column) -> tuple[DataFrame, Observation]:
+    """The rows that are kept, and counters (total, rejected) that are known once an action on them has run.
+
+    They are gathered while the rows pass, without a job of their own. A null
+    verdict rejects.
+    """
+    watch = Observation(f"filter-{uuid.uuid4().hex}")
+    keep = F.coalesce(keep, F.lit(False))
+    return rows.observe(watch, F.count(F.lit(1)).alias("total"), F.count_if(~keep).alias("rejected")).filter(keep), watch
+
+
+def confidence(col: str, least: float) -> Column:
     """A missing confidence counts as 0."""
-    return rows.filter(F.coalesce(F.col(col), F.lit(0.0)) >= least)
+    return F.coalesce(F.col(col), F.lit(0.0)) >= least
 
 
 def by_language(rows: DataFrame, col: str, language: str) -> DataFrame:

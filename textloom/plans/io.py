@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import filters, relops, taskgen
 from textloom.plans import expansion
 from textloom.plans.registry import query
-from textloom.session import shared_dir, table
+from textloom.session import keep, shared_dir, stored, table
 from textloom.sources import readers, sinks
 
 
 def _place(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/io-{uuid.uuid4().hex}"
+    return keep(f"{shared_dir(spark)}/io-{uuid.uuid4().hex}")
 
 
 def _qa(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,23 @@ def scan_jsonl_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("pair_id", "question", "answer")
 
 
+@query("""
+SELECT 'scan' AS step, count(*) AS rows, count(*) FILTER (WHERE c_custkey % 3 = 0) AS rejected, count(*) FILTER (WHERE c_custkey % 3 <> 0 AND c_custkey % 5 = 0) AS incomplete FROM customer
+UNION ALL SELECT 'filter', count(*), count(*) FILTER (WHERE c_custkey % 7 = 0 OR c_acctbal < 0), 0 FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0
+""")
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a tolerant scan skips and rows that a filter of confidence rejects, counted while the kept rows are written once."""
+    at, scan = _place(spark), Observation(f"scan-{uuid.uuid4().hex}")
+    key = F.col("c_custkey")
+    row = F.struct(key.alias("pair_id"), F.when(key % 5 == 0, " ").otherwise(F.col("c_name")).alias("question"), F.when(key % 7 != 0, F.col("c_acctbal")).alias("confidence"))
+    table(spark, sf_dir, "customer").select(F.when(key % 3 == 0, F.lit("{broken")).otherwise(F.to_json(row)).alias("value")).write.text(at)
+    read = readers.jsonl_tolerant(spark, at, "pair_id long, question string, confidence double", required=("question",), watch=scan)
+    sure, held = filters.watched(read, F.col("confidence").isNotNull() & filters.confidence("confidence", 0.0))
+    stored(sure)
+    a, b = scan.get, held.get
+    return spark.createDataFrame([("scan", a["lines"], a["malformed"], a["incomplete"]), ("filter", b["total"], b["rejected"], 0)], "step string, rows long, rejected long, incomplete long")
+
+
 @query(_QA_SQL)
 def scan_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _place(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,17 +26,22 @@ def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def jsonl_tolerant(spark: SparkSession, path: str, schema: str, renames: dict[str, list[str]] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
-    """Malformed lines are skipped, columns fall back to others, and rows without a required value go."""
+def jsonl_tolerant(spark: SparkSession, path: str, schema: str, renames: dict[str, list[str]] | None = None, required: tuple[str, ...] = (), watch: Observation | None = None) -> DataFrame:
+    """Malformed lines are skipped, columns fall back to others, and rows without a required value go.
+
+    ``watch`` counts lines, malformed ones and rows that lack a value, while the first action on the result runs.
+    """
     fields = T._parse_datatype_string(schema)
     kept = T.StructType([*fields, T.StructField(CORRUPT, T.StringType())])
     df = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    df = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     for name, others in (renames or {}).items():
         df = df.withColumn(name, first_truthy(*[F.col(c) for c in [name, *others] if c in df.columns]))
+    good, whole = F.col(CORRUPT).isNull(), F.lit(True)
     for name in required:
-        df = df.filter(F.trim(F.col(name).cast("string")) != "")
-    return df
+        whole = whole & F.coalesce(F.trim(F.col(name).cast("string")) != "", F.lit(False))
+    if watch is not None:
+        df = df.observe(watch, F.count(F.lit(1)).alias("lines"), F.count_if(~good).alias("malformed"), F.count_if(good & ~whole).alias("incomplete"))
+    return df.filter(good & whole).drop(CORRUPT)
 
 
 def rejected(spark: SparkSession, path: str, schema: str) -> DataFrame:
