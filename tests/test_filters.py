@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,15 +37,22 @@ def test_replay(spark):
     assert [r["id"] for r in filters.replay(df, shown).filter("passed").collect()] == ["good"]
 
 
-@pytest.mark.parametrize("at_once", [1, 10_000])
-def test_candidates_in_chunks(spark, monkeypatch, at_once):
-    monkeypatch.setattr(filters, "EDITS_AT_ONCE", at_once)
-    heads = spark.createDataFrame([("aba",), ("aba",), ("c",)], "h string")
+def test_candidates(spark):
+    heads = spark.createDataFrame([("aba",), ("aba",), ("c",), (None,), ("",)], "h string")
     edit = lambda *xs: spark.createDataFrame(list(xs), "old string, new string")
     got = lambda *xs: {r["h"]: r["candidates"] for r in filters.candidate_counts(heads, "h", edit(*xs)).collect()}
-    assert got(("a", "o")) == {"aba": 2, "c": 0}
-    assert got(("a", "o"), ("b", "x"), ("", "b")) == {"aba": 6, "c": 2}
-    assert got() == {"aba": 0, "c": 0}
+    assert got(("a", "o")) == {"aba": 2, "c": 0, None: 0, "": 0}
+    assert got(("a", "o"), ("b", "x"), ("", "b"), ("", None), (None, "x")) == {"aba": 6, "c": 2, None: 0, "": 1}
+    assert got() == {"aba": 0, "c": 0, None: 0, "": 0}
+
+
+def test_candidates_are_those_of_all_edits_tried(spark):
+    rng = random.Random(9)
+    word = lambda a, b: "".join(rng.choice("abš") for _ in range(rng.randint(a, b)))
+    heads, edits = [word(0, 7) for _ in range(60)], [(word(0, 3), word(0, 2)) for _ in range(30)]
+    want = {h: len({h[:i] + new + h[i + len(old) :] for old, new in edits for i in range(len(h) - len(old) + 1) if h[i:].startswith(old)}) for h in heads}
+    got = filters.candidate_counts(spark.createDataFrame([(h,) for h in heads], "h string"), "h", spark.createDataFrame(edits, "old string, new string"))
+    assert {r["h"]: r["candidates"] for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("values", [[3], [1, 2], [5, 1, 3], [4, 1, 2, 9], [1, 1, 7, 7]])

@@ -7,12 +7,18 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textloom.operators import graph, metrics, relops, splits, taskgen, verdicts
+from textloom.functions import text as X
+from textloom.functions import udfs
+from textloom.operators import graph, metrics, ranges, relops, splits, taskgen, verdicts
 
 
-def test_dedup_merge_equals_a_fold(spark):
+@pytest.mark.parametrize("keys", [8, 1])
+@pytest.mark.parametrize("most", [10**6, 20])
+def test_dedup_merge_equals_a_fold(spark, monkeypatch, keys, most):
+    """With a few keys and with one for all rows; in one task a key, and by ranges."""
+    monkeypatch.setattr(ranges, "HOT_ROWS", most)
     rng = random.Random(5)
-    rows = [(i, f"k{rng.randint(0, 7)}", f"id{i}", rng.choice(["", "x", "y", None]), rng.choice([None, 0.1, 0.5, 0.9]), rng.sample("abc", rng.randint(0, 2)), rng.sample("pqr", rng.randint(0, 2))) for i in range(200)]
+    rows = [(i, f"k{rng.randint(1, keys)}", f"id{i}", rng.choice(["", "x", "y", None]), rng.choice([None, 0.1, 0.5, 0.9]), rng.sample("abc", rng.randint(0, 2)), rng.sample("pqr", rng.randint(0, 2))) for i in range(200)]
     df = spark.createDataFrame(rows, "at int, k string, id string, f string, conf double, al array<string>, ex array<string>").repartition(5)
     got = {r["k"]: r for r in relops.dedup_merge(df, "k", "at", "conf", ["f"], "id", "al", "ex").collect()}
     want = {}
@@ -33,6 +39,17 @@ def test_dedup_merge_equals_a_fold(spark):
         assert {x: got[k][x] for x in w} == w
 
 
+def test_dedup_merge_edges(spark):
+    schema = "at int, k string, id string, f string, conf double, al array<string>, ex array<string>"
+    df = spark.createDataFrame([(1, None, "a", " ", None, None, None), (2, None, None, "x", 0.5, ["p", "p"], []), (3, "k", "b", None, None, [], ["q", None])], schema)
+    got = {r["k"]: r for r in relops.dedup_merge(df, "k", "at", "conf", ["f"], "id", "al", "ex").collect()}
+    assert got[None].asDict() == {"k": None, "id": "a", "f": "x", "conf": 0.5, "al": ["p"], "ex": [], "absorbed": [None]}
+    assert got["k"].asDict() == {"k": "k", "id": "b", "f": None, "conf": None, "al": [], "ex": ["q", None], "absorbed": []}
+    assert relops.dedup_merge(df.limit(0), "k", "at", "conf", ["f"], "id", "al", "ex").count() == 0
+    parts = relops.merge_parts(df, "k", "at", "conf", ["f"], "id", "al", "ex")
+    assert [p.columns for p in parts] == [["k", "id", "f", "conf"], ["k", "kind", "value", "n", "place"], ["k", "n", "id"]]
+
+
 def test_asof(spark):
     left = spark.createDataFrame([(1, t, i) for i, t in enumerate([0, 5, 7, 9])], "u int, t int, i int")
     right = spark.createDataFrame([(1, 5, 10.0, 1), (1, 5, 11.0, 2), (1, 8, None, 3), (2, 0, 9.0, 4)], "u int, t int, v double, e int")
@@ -143,6 +160,41 @@ def test_repair_never_invents(spark):
     assert got["t3"]["answer"] == "šuŋka"
 
 
+def words(rng, n, least=1, most=7, letters="akuštwo"):
+    return ["".join(rng.choice(letters) for _ in range(rng.randint(least, most))) for _ in range(n)]
+
+
+def test_stem_keys_meet_where_stems_are_shared(spark):
+    rng = random.Random(3)
+    a, b = words(rng, 40, 0) + ["kuk", "takuk", "", "wako"], words(rng, 40, 0) + ["kuk", "takuk", "wokuk", "tako"]
+    pairs = spark.createDataFrame([(x, y) for x in a for y in b], "a string, b string")
+    meet = F.arrays_overlap(udfs.stem_keys(F.col("a"), True), udfs.stem_keys(F.col("b"), False))
+    rows = pairs.select("a", "b", udfs.shares_stem(F.col("a"), F.col("b")).alias("share"), F.coalesce(meet, F.lit(False)).alias("meet")).collect()
+    assert {r["share"] for r in rows} == {True, False}
+    assert [(r["a"], r["b"]) for r in rows if r["share"] != r["meet"]] == []
+
+
+def test_better_forms_are_those_of_a_search_of_all(spark):
+    """The lookup by borders and runs against every pair of an ask and a form of its rule."""
+    rng = random.Random(11)
+    affixes = ["-ku", "ta-", "-š", "wo-", "-", "-a-", "ku"]
+    asks = [(rng.choice(["r", "s", None]), rng.choice([w, f"{w} {w}", None]), rng.sample(affixes, 2)) for w in words(rng, 300, 2, 6, "kuš")] * 2
+    forms = [(rng.choice(["r", "s", None]), rng.choice([w, f"({w}), kušta", f"ta{w}", f"{w}KU", None]), "x") for w in words(rng, 400, 2, 7, "kuš")] * 2
+    asks = spark.createDataFrame(asks, "rule_id string, source string, want array<string>")
+    forms = spark.createDataFrame(forms, "rule_id string, form string, english string")
+    got = {(r["__ask"]["rule_id"], r["__ask"]["source"], tuple(r["__ask"]["want"])): r["__better"] for r in verdicts.better_forms(asks, forms).collect()}
+    bears = F.exists("want", lambda a: X.affix_border(a).isNotNull() & (F.size(X.affix_tokens(F.col("form"), a)) > 0))
+    tried = asks.distinct().join(forms.filter(X.has_marked_letter(F.col("form"))), "rule_id").filter(bears & udfs.shares_stem(F.col("source"), F.col("form")))
+    want = {}
+    for r in tried.collect():
+        k = (r["rule_id"], r["source"], tuple(r["want"]))
+        want[k] = min(want.get(k, r["form"]), r["form"], key=lambda f: (len(f), f))
+    want = {k: v for k, v in want.items() if k[1] is not None}
+    assert len(want) > 10, len(want)
+    assert {k: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k) != want.get(k)} == {}
+    assert verdicts.better_forms(asks.limit(0), forms).count() == 0 == verdicts.better_forms(asks, forms.limit(0)).count()
+
+
 def test_tasks_and_splits_are_disjoint(spark):
     from places import SF
 

@@ -287,6 +287,26 @@ def affix_tokens(c: Column, affix: Column) -> Column:
     return F.filter(tokens, lambda t: (t != "") & (bare != "") & hit(t))
 
 
+#: Letters of a border by which affixes are looked up; plausible affixes have no more than half as many.
+BORDER_LETTERS = 16
+
+
+def affix_border(affix: Column) -> Column:
+    """The key of an affix among `token_borders`: its side and its letters; null for one that has no single side."""
+    bare = F.lower(F.regexp_replace(affix, "^-+|-+$", ""))
+    last, first = affix.startswith("-"), affix.endswith("-")
+    return F.when((bare != "") & last & ~first, F.concat(F.lit("-"), bare)).when((bare != "") & first & ~last, F.concat(bare, F.lit("-")))
+
+
+def token_borders(c: Column) -> Column:
+    """Distinct ends and starts of the tokens of a form, each shorter than its token, keyed as `affix_border` does."""
+    tokens = F.transform(F.split(collapse(c), " "), lambda t: F.lower(F.regexp_replace(t, r"(?U)^[^\wʼ]+|[^\wʼ]+$", "")))
+    sizes = lambda t: F.sequence(F.lit(1), F.least(F.length(t) - 1, F.lit(BORDER_LETTERS)))
+    ends = lambda t: F.transform(sizes(t), lambda n: F.concat(F.lit("-"), F.right(t, n)))
+    starts = lambda t: F.transform(sizes(t), lambda n: F.concat(F.left(t, n), F.lit("-")))
+    return F.array_distinct(F.flatten(F.transform(F.filter(tokens, lambda t: F.length(t) > 1), lambda t: F.concat(ends(t), starts(t)))))
+
+
 def extract_answer(c: Column) -> Column:
     """Struct (span, parsed): what follows the last ``ANSWER:``, else the last line that isn't blank.
 

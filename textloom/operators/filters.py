@@ -18,8 +18,8 @@ POS_NAMES = {
 }
 
 
-#: Edits that `candidate_counts` applies to a headword at once.
-EDITS_AT_ONCE = 10_000
+#: Keys over which the edits of one ``old`` are dealt.
+EDIT_SALTS = 16
 
 
 def by_confidence(rows: DataFrame, col: str, least: float) -> DataFrame:
@@ -77,23 +77,25 @@ def candidate_counts(forms: DataFrame, head: str, edits: DataFrame) -> DataFrame
     """Per headword, how many distinct forms the edits (old, new) can build.
 
     Every occurrence of ``old`` may become ``new``; an empty ``old`` is an insertion at
-    every place. Edits are a small, mined list; they meet the headwords in chunks.
+    every place. Edits are looked up by ``old`` among the letter runs of a headword,
+    so work follows the edits that apply. Insertions apply to every headword: each
+    ``old`` is dealt over ``EDIT_SALTS`` keys, so that one of them is no hot key. An
+    edit with a null part builds nothing; a null headword has no forms.
     """
-    chunks = -(-edits.count() // EDITS_AT_ONCE) or 1
-    chunk = F.pmod(F.xxhash64("old", "new"), F.lit(chunks))
-    pairs = edits.groupBy(chunk.alias("__c")).agg(F.collect_list(F.struct("old", "new")).alias("edits"))
-    h = F.col(head)
-    at = F.sequence(F.lit(0), F.length(h))
-    build = lambda e: F.transform(
-        F.filter(at, lambda i: F.substring(h, i + 1, F.length(e["old"])) == e["old"]),
-        lambda i: F.concat(F.substring(h, F.lit(1), i), e["new"], F.substring(h, i + 1 + F.length(e["old"]), F.length(h))),
-    )
-    made = F.array_distinct(F.flatten(F.transform("edits", build)))
-    heads = forms.select(head).distinct()
-    if chunks == 1:  # one row on the right
-        return heads.join(F.broadcast(pairs), F.lit(True), "left").select(head, F.coalesce(F.when(F.col("edits").isNotNull(), F.size(made)), F.lit(0)).alias("candidates"))
-    forms = heads.join(pairs, F.lit(True)).select(head, F.explode(made).alias("__f")).distinct().groupBy(head).agg(F.count("*").cast("int").alias("candidates"))
-    return heads.join(forms, head, "left").fillna(0, ["candidates"])
+    heads = forms.select(F.col(head).alias("__h")).distinct()
+    edits = edits.filter("old IS NOT NULL AND new IS NOT NULL").select("old", "new").distinct()
+    # as many numbers as there are lengths of ``old``
+    lengths = sorted(r[0] for r in edits.select(F.length("old")).distinct().collect())
+    if not lengths:
+        return heads.select(F.col("__h").alias(head), F.lit(0).alias("candidates"))
+    size = F.explode(F.array(*[F.lit(n) for n in lengths]))
+    runs = heads.select("__h", size.alias("__n")).filter(F.col("__n") <= F.length("__h")).withColumn("__i", F.explode(F.sequence(F.lit(0), F.length("__h") - F.col("__n"))))
+    runs = runs.select("__h", "__n", "__i", F.substring("__h", F.col("__i") + 1, F.col("__n")).alias("old"), F.pmod(F.xxhash64("__h", "__i"), F.lit(EDIT_SALTS)).alias("__s"))
+    dealt = edits.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(EDIT_SALTS - 1)).cast("array<bigint>")))
+    built = F.concat(F.substring("__h", F.lit(1), F.col("__i")), "new", F.substring("__h", F.col("__i") + F.col("__n") + 1, F.length("__h")))
+    made = runs.join(dealt, ["old", "__s"]).select("__h", built.alias("__f")).distinct().groupBy("__h").agg(F.count("*").cast("int").alias("__c"))
+    same = F.col("__h").eqNullSafe(F.col("__k"))
+    return heads.join(made.withColumnRenamed("__h", "__k"), same, "left").select(F.col("__h").alias(head), F.coalesce("__c", F.lit(0)).alias("candidates"))
 
 
 def upper_median(rows: DataFrame, col: str) -> DataFrame:

@@ -52,21 +52,26 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
-def running(rows: DataFrame, by: list[str], order: list[str], **sums: Column) -> DataFrame:
-    """Add, for each name, the sum over the rows before in the series; nulls add nothing."""
-    zero = F.lit(0)
+def running(rows: DataFrame, by: list[str], order: list[str], highest: dict[str, Column] | None = None, **sums: Column) -> DataFrame:
+    """Add, for each name, the sum over the rows before in the series; nulls add nothing.
+
+    For the names of ``highest`` it is the highest value of the rows before, null if there is none.
+    """
+    zero, tops = F.lit(0), highest or {}
+    add = lambda c, w: F.coalesce(F.sum(c).over(w), zero)
     if not is_hot(rows, by):
         before = _series(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.select("*", *[F.coalesce(F.sum(c).over(before), zero).alias(n) for n, c in sums.items()])
+        return rows.select("*", *[add(c, before).alias(n) for n, c in sums.items()], *[F.max(c).over(before).alias(n) for n, c in tops.items()])
     df = _ranged(rows, by, order)
     before = _series(by, "__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = df.select("*", *[F.coalesce(F.sum(c).over(before), zero).alias(f"__own_{n}") for n, c in sums.items()])
+    own = df.select("*", *[add(c, before).alias(f"__own_{n}") for n, c in sums.items()], *[F.max(c).over(before).alias(f"__own_{n}") for n, c in tops.items()])
     # one row a range and series
-    totals = df.groupBy("__p", *by).agg(*[F.coalesce(F.sum(c), zero).alias(f"__sum_{n}") for n, c in sums.items()])
+    totals = df.groupBy("__p", *by).agg(*[F.coalesce(F.sum(c), zero).alias(f"__all_{n}") for n, c in sums.items()], *[F.max(c).alias(f"__all_{n}") for n, c in tops.items()])
     gone = _series(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("__p", *by, *[F.coalesce(F.sum(f"__sum_{n}").over(gone), zero).alias(f"__sum_{n}") for n in sums])
+    totals = totals.select("__p", *by, *[add(f"__all_{n}", gone).alias(f"__all_{n}") for n in sums], *[F.max(f"__all_{n}").over(gone).alias(f"__all_{n}") for n in tops])
     out = meet(own, totals, ["__p", *by])
-    return out.select(*rows.columns, *[(F.col(f"__own_{n}") + F.col(f"__sum_{n}")).alias(n) for n in sums])
+    both = [(F.col(f"__own_{n}") + F.col(f"__all_{n}")).alias(n) for n in sums] + [F.greatest(f"__own_{n}", f"__all_{n}").alias(n) for n in tops]
+    return out.select(*rows.columns, *both)
 
 
 def placed(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:

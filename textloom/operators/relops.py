@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.operators import ranges
 from textloom.session import stored
@@ -107,27 +108,53 @@ def dedup_merge(rows: DataFrame, key: str, order: str, confidence: str, fields:
     A field is the last record's that has it; the confidence is the highest, or
     the first row's own if none is higher; aliases are all distinct values in
     order; examples are those from the last record that has some; the ids of
-    all rows but the first are listed as absorbed.
+    all rows but the first are listed as absorbed. A null key is a key like any
+    other; null lists count as empty; the order must be total within a key.
+
+    A key may hold any number of rows: `merge_parts` does the work, and an array
+    is made only of what the result itself lists.
+    """
+    heads, values, absorbed = merge_parts(rows, key, order, confidence, fields, id_col, aliases, examples)
+    listed = values.groupBy(key).agg(*[_in_order(F.when(F.col("kind") == kind, F.struct("n", "place", "value"))).alias(kind) for kind in ("aliases", "examples")])
+    out = ranges.meet(heads, listed, [key])
+    out = ranges.meet(out, absorbed.groupBy(key).agg(_in_order(F.struct("n", F.col("id").alias("value"))).alias("absorbed")), [key])
+    empty = lambda c, like: F.coalesce(F.col(c), F.array().cast(like)).alias(c)
+    lists = [F.coalesce(kind, F.array().cast(rows.schema[c].dataType)).alias(c) for kind, c in (("aliases", aliases), ("examples", examples))]
+    return out.select(key, id_col, *fields, confidence, *lists, empty("absorbed", T.ArrayType(rows.schema[id_col].dataType)))
+
+
+def _in_order(item: Column) -> Column:
+    """The values of structs that sort by what comes before ``value``; nulls are left out."""
+    return F.transform(F.array_sort(F.collect_list(item)), lambda x: x["value"])
+
+
+def merge_parts(rows: DataFrame, key: str, order: str, confidence: str, fields: list[str], id_col: str, aliases: str, examples: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `dedup_merge` finds, in three tables in which no row grows with a key's rows.
+
+    The first has a row a key: id, fields and confidence. The second has the
+    distinct values (key, kind, value) of ``kind`` aliases or examples and where
+    each comes first (n, place). The third has the absorbed rows (key, n, id).
+
+    A row needs of the rows before it only their number and highest confidence,
+    which `ranges.running` carries over ranges; all else is a maximum or minimum
+    that is merged in any order, so parts of a key meet as one row each.
     """
-    w = Window.partitionBy(key).orderBy(order)
-    conf = F.coalesce(F.col(confidence), F.lit(0.0))
-    df = rows.withColumn("__n", F.row_number().over(w)).withColumn("__c", conf)
-    df = df.withColumn("__top", F.max("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    df = df.withColumn("__rec", (F.col("__n") == 1) | (F.col("__c") > F.col("__top")))
-    has_ex = F.coalesce(F.size(examples), F.lit(0)) > 0
-    out = df.groupBy(key).agg(
+    df = rows.withColumn("__c", F.coalesce(F.col(confidence), F.lit(0.0)))
+    df = ranges.running(df, [key], [order], highest={"__top": F.col("__c")}, __n=F.lit(1))
+    df = stored(df.withColumn("__rec", F.col("__top").isNull() | (F.col("__c") > F.col("__top"))))
+    has = lambda f: F.when(F.col("__rec") & _truthy(F.col(f)), F.col("__n"))
+    shown = F.col("__rec") & (F.coalesce(F.size(examples), F.lit(0)) > 0)
+    heads = df.groupBy(key).agg(
         F.min_by(id_col, "__n").alias(id_col),
-        *[F.max_by(F.when(F.col("__rec") & _truthy(F.col(f)), F.col(f)), F.when(F.col("__rec") & _truthy(F.col(f)), F.col("__n"))).alias(f) for f in fields],
+        *[F.max_by(f, has(f)).alias(f) for f in fields],
         F.when(F.max("__c") > F.min_by("__c", "__n"), F.max("__c")).otherwise(F.min_by(F.col(confidence), "__n")).alias(confidence),
-        F.array_sort(F.collect_list(F.struct("__n", F.col(aliases).alias("v")))).alias("__a"),
-        F.array_sort(F.collect_list(F.struct("__n", F.when(F.col("__rec"), has_ex).otherwise(False).alias("r"), F.col(examples).alias("v")))).alias("__e"),
-        F.array_sort(F.collect_list(F.when(F.col("__n") > 1, F.struct("__n", F.col(id_col).alias("v"))))).alias("__i"),
+        F.coalesce(F.max(F.when(shown, F.col("__n"))), F.lit(0)).alias("__last"),
     )
-    last = F.coalesce(F.array_max(F.transform(F.filter("__e", lambda x: x["r"]), lambda x: x["__n"])), F.lit(1))
-    flat = lambda c: F.array_distinct(F.flatten(F.transform(F.filter(c, lambda x: x["v"].isNotNull()), lambda x: x["v"])))
-    out = out.withColumn(aliases, flat("__a")).withColumn("__last", last)
-    out = out.withColumn(examples, flat(F.filter("__e", lambda x: x["__n"] >= F.col("__last"))))
-    return out.withColumn("absorbed", F.transform("__i", lambda x: x["v"])).drop("__a", "__e", "__i", "__last")
+    said = df.select(key, "__n", F.lit("aliases").alias("kind"), F.posexplode(aliases).alias("place", "value"))
+    late = ranges.meet(df.select(key, "__n", examples), heads.select(key, "__last"), [key]).filter("__n >= __last")
+    said = said.unionByName(late.select(key, "__n", F.lit("examples").alias("kind"), F.posexplode(examples).alias("place", "value")))
+    values = said.groupBy(key, "kind", "value").agg(F.min(F.struct(F.col("__n").alias("n"), "place")).alias("f")).select(key, "kind", "value", "f.n", "f.place")
+    return heads.drop("__last"), values, df.filter("__n > 0").select(key, F.col("__n").alias("n"), F.col(id_col).alias("id"))
 
 
 def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.functions.udfs import shares_stem
+from textloom.functions.udfs import stem_keys
 
 
 def relation(form: Column, head: Column) -> Column:
@@ -111,6 +111,25 @@ def is_form_gold(gold: Column, attested: Column) -> Column:
     return (F.trim(X.text(gold)) != "") & ~X.is_placeholder(gold) & ~X.english_metalanguage(gold) & (X.has_marked_letter(gold) | attested)
 
 
+def better_forms(asks: DataFrame, examples: DataFrame) -> DataFrame:
+    """(__ask, __better): for each distinct (rule_id, source, want), the shortest example form of the rule, the least of
+    equally short ones, that bears a wanted affix and shares the source's stem; asks without one have no row.
+
+    Forms are looked up, not tried: by the ends and starts of their tokens for
+    affixes, and by runs of letters for stems. Only the best form of a rule, affix
+    and run can be an answer, so a list of forms is one row, and work follows the
+    letters of forms and sources. Nulls in any column meet nothing.
+    """
+    asks = asks.filter("rule_id IS NOT NULL AND source IS NOT NULL AND want IS NOT NULL").distinct()
+    wanted = asks.select("rule_id", F.explode("want").alias("affix")).distinct().withColumn("border", X.affix_border(F.col("affix")))
+    forms = examples.filter(X.has_marked_letter(F.col("form"))).select("rule_id", "form").distinct()
+    borne = forms.withColumn("border", F.explode(X.token_borders(F.col("form")))).join(wanted, ["rule_id", "border"]).filter(F.size(X.affix_tokens(F.col("form"), F.col("affix"))) > 0)
+    runs = borne.withColumn("run", F.explode(stem_keys(F.col("form"), left=False)))
+    best = runs.groupBy("rule_id", "affix", "run").agg(F.min(F.struct(F.length("form").alias("n"), "form")).alias("best"))
+    keys = asks.withColumn("__ask", F.struct("rule_id", "source", "want")).withColumn("affix", F.explode("want")).withColumn("run", F.explode(stem_keys(F.col("source"), left=True)))
+    return keys.join(best, ["rule_id", "affix", "run"]).groupBy("__ask").agg(F.min("best").alias("__best")).select("__ask", F.col("__best.form").alias("__better"))
+
+
 def repair(tasks: DataFrame, lexicon: DataFrame, examples: DataFrame) -> DataFrame:
     """Repair or drop tasks; no form is ever made up.
 
@@ -131,11 +150,8 @@ def repair(tasks: DataFrame, lexicon: DataFrame, examples: DataFrame) -> DataFra
     bears = lambda form, a: F.size(X.affix_tokens(form, a)) > 0
     df = df.withColumn("__want", F.filter(F.coalesce("required_affixes", F.array().cast("array<string>")), X.is_plausible_affix))
     df = df.withColumn("__have", F.filter("__want", lambda a: bears(F.col("answer"), a)))
-    forms = examples.filter(X.has_marked_letter(F.col("form"))).select("rule_id", F.col("form").alias("__form")).distinct()
-    short = df.filter((F.size("__want") > 0) & (F.size("__have") < F.size("__want"))).select("id", "rule_id", "__want", "source", "answer")
-    cand = short.join(forms, "rule_id").filter(F.exists("__want", lambda a: bears(F.col("__form"), a)))
-    cand = cand.filter(shares_stem(F.col("source"), F.col("__form"))).groupBy("id").agg(F.min_by("__form", F.struct(F.length("__form"), "__form")).alias("__better"))
-    df = df.join(cand, "id", "left").withColumn("answer", F.coalesce("__better", "answer"))
+    df = df.withColumn("__ask", F.when(F.size("__have") < F.size("__want"), F.struct("rule_id", "source", F.col("__want").alias("want"))))
+    df = df.join(better_forms(df.select("__ask.*"), examples), "__ask", "left").withColumn("answer", F.coalesce("__better", "answer"))
     df = df.withColumn("required_affixes", F.filter("__want", lambda a: bears(F.col("answer"), a)))
     one = lambda d, keys: d.groupBy(*keys).agg(F.min("form").alias("v"), F.countDistinct("form").alias("n")).filter("n = 1").drop("n")
     ex = one(examples.withColumn("en", F.lower(F.trim("english"))), ["rule_id", "en"]).withColumnRenamed("v", "__ex")
