@@ -49,6 +49,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +66,9 @@ RANGE_ROWS = 1 << 17
 #: Levels of a bucket; half of the keys stay at each, so this is never reached by distinct hashes.
 LEVELS = 64
 #: How hard a row's ids, and a shard's, are compressed while they are stored and shuffled; files hold them as they are.
-ROW_LEVEL, SHARD_LEVEL = 5, 3
+ROW_LEVEL, SHARD_LEVEL = 3, 3
+#: Documents whose first characters give the dictionary by which rows are compressed: it saves space, whatever they are.
+HINT_DOCS, HINT_CHARS, HINT_BYTES = 64, 4096, 1 << 17
 #: Texts of more characters are encoded by the automaton, and those that have words or runs of white space of
 #: twice the second number (some that have them of once as many).
 LONG_TEXT, LONG_WORD = 1 << 22, 4096
@@ -182,27 +185,48 @@ def packed(ids: list[int], width: int) -> bytes:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _encoded(docs: DataFrame, blob: bytes, width: int, key_col: str, text_col: str) -> DataFrame:
-    """Stored rows (key, ids, n, h, row): compressed payload without the end id, its number of ids with it."""
+def _hint(content: bytes) -> zstandard.ZstdCompressionDict | None:
+    """The dictionary of rows; without enough content there is none."""
+    return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 64 else None
+
+
+def _encoded(docs: DataFrame, blob: bytes, width: int, key_col: str, text_col: str) -> tuple[DataFrame, bytes]:
+    """Stored rows (key, ids, n, h, row), and the content of their dictionary.
+
+    ``ids`` is the compressed payload without the end id, ``n`` its number of ids with it.
+    """
     digest, sent = hashlib.sha256(blob).hexdigest(), docs.sparkSession.sparkContext.broadcast(blob)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoder() -> Encoder:
         if digest not in _ENCODERS:
             _ENCODERS[digest] = Encoder(sent.value)
-        encode, codec = _ENCODERS[digest].encode, pa.Codec("zstd", ROW_LEVEL)
+        return _ENCODERS[digest]
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([packed(encoder().encode(x.as_py()), width) for x in batch.column(0)], pa.binary())], ["ids"])
+
+    # some documents, each but its first characters: a bounded size, on which no result depends
+    few = docs.select(F.substring(docs[text_col], 1, HINT_CHARS).alias("text")).filter("text <> ''").limit(HINT_DOCS)
+    hint = b"".join(r["ids"] for r in few.mapInArrow(sampled, "ids binary").collect())[-HINT_BYTES:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, codec = encoder().encode, zstandard.ZstdCompressor(level=ROW_LEVEL, dict_data=_hint(hint))
         for big in batches:
             for at in range(0, big.num_rows, 64):  # few texts at once: memory follows the texts, not the batch
-                batch, ids, n = big.slice(at, 64), [], []
+                batch, ids, n, h = big.slice(at, 64), [], [], []
                 for text in batch.column(1):
                     got = encode(text.as_py())
+                    raw = packed(got, width)
                     n.append(len(got) + 1)
-                    ids.append(codec.compress(packed(got, width), asbytes=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["key", "ids", "n"])
+                    ids.append(codec.compress(raw))
+                    h.append(int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(n, pa.int64()), pa.array(h, pa.int64())], ["key", "ids", "n", "h"])
 
     kind = docs.schema[key_col].dataType.simpleString()
-    made = spread(docs.select(docs[key_col].alias("key"), docs[text_col].alias("text"))).mapInArrow(run, f"key {kind}, ids binary, n long")
+    made = spread(docs.select(docs[key_col].alias("key"), docs[text_col].alias("text"))).mapInArrow(run, f"key {kind}, ids binary, n long, h long")
     # the row's own number tells equal rows apart and is the same wherever the stored table is read
-    return stored(made.select("key", "ids", "n", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")))
+    return stored(made.select("key", "ids", "n", "h", F.monotonically_increasing_id().alias("row"))), hint
 
 
 def _sharded(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -283,14 +307,15 @@ def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int
     spec = json.loads(blob)
     top = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
     width = width or (2 if top < 1 << 16 else 4)
-    rows = _encoded(docs, blob, width, key_col, text_col)
+    rows, hint = _encoded(docs, blob, width, key_col, text_col)
     places = placed(rows, shard_ids)
     kind = rows.schema["key"].dataType.simpleString()
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = zstandard.ZstdDecompressor(dict_data=_hint(hint))
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns, strict=True))
-            ids = [pa.decompress(x.as_buffer(), (n - 1) * width, "zstd", asbytes=True) for x, n in zip(col["ids"], col["n"].to_pylist(), strict=True)]
+            ids = [codec.decompress(x.as_py()) for x in col["ids"]]
             yield pa.RecordBatch.from_arrays([*[col[c] for c in ("shard", "key", "h", "row")], pa.array(ids, pa.binary())], ["shard", "key", "h", "row", "ids"])
 
     payload = _sharded(rows, places).repartition("shard").mapInArrow(opened, f"shard int, key {kind}, h long, row long, ids binary")
