@@ -217,3 +217,31 @@ def test_pair_zip(spark):
 def test_last_assistant(spark):
     df = spark.createDataFrame([([("user", "q"), ("assistant", "a"), ("user", "z")],), ([("user", "q")],), (None,)], "m array<struct<role:string,content:string>>")
     assert [r[0] for r in df.select(relops.last_assistant(F.col("m"))).collect()] == ["a", "q", ""]
+
+
+def test_small_edits_of_near_pairs_only(spark):
+    """Every edit within the limits passes the test of nearness, and pairs that don't count are left out."""
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    from textloom.operators import edits
+
+    words = ["".join(w) for n in range(1, 6) for w in product("ab", repeat=n)] + ["ta\0b", "ta\0\0b", "kapi", "ka😀pi", "ka😀"]
+    pairs = spark.createDataFrame([(h, f, len(h) % 2 == 0) for h, f in product(words, words)], "head string, form string, even boolean")
+
+    def edit(a, b):
+        p = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        a, b = a[p:], b[p:]
+        s = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1], strict=False)) if x != y), min(len(a), len(b)))
+        return a[: len(a) - s], b[: len(b) - s]
+
+    want = {}
+    for h, f in product(words, words):
+        for g in (f, f[:-2] if f.endswith("pi") and len(f) > 3 else ""):
+            if g and g != h and len(edit(h, g)[0]) <= 2 and len(edit(h, g)[1]) <= 5:
+                if len(h) % 2 == 0:
+                    want[edit(h, g)] = want.get(edit(h, g), 0) + 1
+                break
+    got = edits.mined_edits(pairs, "head", "form", 2, counted=F.col("even")).collect()
+    assert {(r["old"], r["new"]): r["n"] for r in got} == {e: n for e, n in want.items() if n >= 2}

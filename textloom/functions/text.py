@@ -368,9 +368,12 @@ def levenshtein_norm(a: Column, b: Column) -> Column:
 
 
 def common_prefix_len(a: Column, b: Column) -> Column:
+    """Letters that two texts begin with alike: a back reference across a NUL; texts that hold one are cut letter by letter."""
+    nul = F.lit("\0")
+    fast = F.length(F.regexp_extract(F.concat(a, nul, b), r"(?s)^([^\x00]*)[^\x00]*\x00\1", 1))
     n = F.least(F.length(a), F.length(b))
     hits = F.filter(F.sequence(F.lit(0), n), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k))
-    return F.array_max(hits)
+    return F.when(F.contains(a, nul) | F.contains(b, nul), F.array_max(hits)).otherwise(fast)
 
 
 def single_edit(a: Column, b: Column) -> Column:
@@ -472,8 +475,9 @@ def hide_leak(prompt: Column, gold: Column, pattern: Column) -> Column:
 def sha_bucket(c: Column) -> Column:
     """sha256 as a number, modulo ten (16^k leaves 6 for k >= 1)."""
     h = F.sha2(text(c), 256)
-    digits = F.transform(F.filter(F.split(h, ""), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("int"))
-    return (6 * F.aggregate(F.slice(digits, 1, 63), F.lit(0), lambda a, d: a + d) + F.element_at(digits, 64)) % 10
+    # parts of 15 digits fit a long; all but the last are followed by more digits
+    parts = [F.conv(F.substring(h, at, 15), 16, 10).cast("long") % 10 for at in (1, 16, 31, 46, 61)]
+    return ((6 * reduce(lambda a, p: a + p, parts[:-1]) + parts[-1]) % 10).cast("int")
 
 
 def image_tokens(width: Column, height: Column, patch: int = 28) -> Column:

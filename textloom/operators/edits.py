@@ -18,20 +18,38 @@ def without_ending(form: Column, ending: str = PLURAL) -> Column:
     return F.when(F.endswith(form, F.lit(ending)) & (F.length(form) > n + 1), F.left(form, F.length(form) - n))
 
 
-def mined_edits(pairs: DataFrame, head: str, form: str, least: int = 25) -> DataFrame:
+def within(head: Column, form: Column, old: Column | int, new: Column | int) -> Column:
+    """Whether an edit of ``old`` letters out and ``new`` in, at most, may lead from head to form: none that does is missed.
+
+    What an edit leaves of the head is its beginning and its end, so the longer of
+    the two is half of it at least.
+    """
+    lit = lambda x: F.lit(x) if isinstance(x, int) else x
+    n, m = F.length(head), F.length(form)
+    k = F.greatest(F.floor((n - lit(old) + 1) / 2).cast("int"), F.lit(0))
+    return (m - n).between(-lit(old), lit(new)) & (F.startswith(form, F.left(head, k)) | F.endswith(form, F.right(head, k)))
+
+
+def mined_edits(pairs: DataFrame, head: str, form: str, least: int = 25, counted: Column | None = None) -> DataFrame:
     """(old, new, n): edits of small size that lead from the head to the form in ``least`` pairs or more.
 
     If the form itself is no small edit away, the form without its plural ending
-    may be. Equal forms have no edit; null and empty ones count as none.
+    may be. Equal forms have no edit; null and empty ones count as none. Only pairs
+    that are ``counted`` count: as a filter, that test would run on every pair,
+    here it runs on those that a small edit may explain.
     """
     h, f = F.col(head), F.col(form)
 
+    near = lambda g: within(h, g, MOST_OLD, MOST_NEW)
+
     def small(g: Column) -> Column:
         fits = lambda e: F.when((F.length(e["old"]) <= MOST_OLD) & (F.length(e["new"]) <= MOST_NEW), F.struct(e["old"].alias("old"), e["new"].alias("new")))
-        return F.when((g != "") & (g != h), X.let(X.single_edit(h, g), fits))
+        return F.when((g != "") & (g != h) & near(g), X.let(X.single_edit(h, g), fits))
 
-    found = pairs.select(F.coalesce(small(f), small(without_ending(f))).alias("e")).filter("e is not null")
-    return found.groupBy("e.old", "e.new").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    # a filter for edits would compute each of them twice, so their count leaves the rows without one out
+    edit = F.coalesce(small(f), small(without_ending(f)))
+    found = pairs.select(F.when(near(f) | near(without_ending(f)), edit if counted is None else F.when(counted, edit)).alias("e")).groupBy("e").agg(F.count("e").alias("n"))
+    return found.filter(F.col("n") >= max(least, 1)).select("e.old", "e.new", "n")
 
 
 def explained(pairs: DataFrame, head: str, form: str, admitted: DataFrame, loose: bool = False) -> DataFrame:
@@ -41,9 +59,11 @@ def explained(pairs: DataFrame, head: str, form: str, admitted: DataFrame, loose
     """
     bare = X.fold_glyphs if loose else (lambda c: c)
     known = admitted.select(bare(F.col("old")).alias("__old"), bare(F.col("new")).alias("__new")).distinct().withColumn("__hit", F.lit(True))
+    # two numbers: pairs that no admitted edit can explain need no edit
+    old, new = known.agg(F.max(F.length("__old")), F.max(F.length("__new"))).first()
     h, out, hits = F.col(head), pairs, []
     for i, g in enumerate((F.col(form), without_ending(F.col(form)))):
-        out = out.withColumn(f"__e{i}", F.when(g != "", X.single_edit(bare(h), bare(g))))
+        out = out.withColumn(f"__e{i}", F.when((g != "") & within(bare(h), bare(g), old or 0, new or 0), X.single_edit(bare(h), bare(g))))
         side = known.select(F.col("__old").alias(f"__o{i}"), F.col("__new").alias(f"__n{i}"), F.col("__hit").alias(f"__h{i}"))
         out = out.join(side, (F.col(f"__e{i}.old") == F.col(f"__o{i}")) & (F.col(f"__e{i}.new") == F.col(f"__n{i}")), "left")
         hits += [F.coalesce(F.col(f"__h{i}"), F.lit(False)), F.coalesce((g != "") & (g == h), F.lit(False))]

@@ -41,7 +41,7 @@ adm AS (SELECT e.old AS old, e.new AS new, count(*) AS n FROM m WHERE e IS NOT N
 @query(f"WITH {_MINED} SELECT old, new, n FROM adm")
 def edit_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of the training pairs that occur 25 times or more."""
-    return edits.mined_edits(_pairs(spark, sf_dir).filter("split = 'train'"), "head", "form")
+    return edits.mined_edits(_pairs(spark, sf_dir), "head", "form", counted=F.col("split") == "train")
 
 
 @query(f"""
@@ -54,7 +54,7 @@ SELECT split, count(*) AS pairs, round(avg(strict::INT), 6) AS coverage, round(a
 def coverage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the pairs of each split that the mined edits explain, with and without marks."""
     pairs = stored(_pairs(spark, sf_dir))
-    admitted = stored(edits.mined_edits(pairs.filter("split = 'train'"), "head", "form"))
+    admitted = stored(edits.mined_edits(pairs, "head", "form", counted=F.col("split") == "train"))
     strict = edits.explained(pairs, "head", "form", admitted).withColumnRenamed("explained", "strict")
     both = edits.explained(strict, "head", "form", admitted, loose=True)
     rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
@@ -79,7 +79,7 @@ SELECT CASE WHEN k = 0 THEN 'prefix' ELSE 'inside the word' END AS place, count(
 def insertion_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a given insertion stands in the pairs that it explains."""
     def at(g):
-        return F.when(g != "", X.let(X.single_edit(F.col("head"), g), lambda e: F.when((e["old"] == "") & (e["new"] == "s"), e["pos"])))
+        return F.when((g != "") & edits.within(F.col("head"), g, 0, 1), X.let(X.single_edit(F.col("head"), g), lambda e: F.when((e["old"] == "") & (e["new"] == "s"), e["pos"])))
 
     pos = F.coalesce(at(F.col("form")), at(edits.without_ending(F.col("form"))))
     found = _pairs(spark, sf_dir).select(pos.alias("pos")).filter("pos is not null")
