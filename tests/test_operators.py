@@ -245,3 +245,19 @@ def test_small_edits_of_near_pairs_only(spark):
                 break
     got = edits.mined_edits(pairs, "head", "form", 2, counted=F.col("even")).collect()
     assert {(r["old"], r["new"]): r["n"] for r in got} == {e: n for e, n in want.items() if n >= 2}
+
+
+def test_counted_edges_hold_no_lists(spark):
+    """Entries that refer to a key of many entries: one row each, as many targets as the lists have ids."""
+    from pyspark.sql import functions as F
+
+    from textloom.operators import graph
+
+    rows = [(f"e{i}", "hub" if i % 2 else f"w{i}", ["hub", "none"], ["hub"]) for i in range(400)]
+    entries = spark.createDataFrame(rows, "entry_id string, plain string, derived_from array<string>, see_also array<string>")
+    keys = entries.select("entry_id", "plain")
+    counted = graph.counted_edges(entries, keys, ["derived_from", "see_also"])
+    assert not [t for _, t in counted.dtypes if t.startswith("array")]
+    cols = ["src", "src_plain", "kind", "dst_plain", "targets", "resolved"]
+    listed = graph.reference_edges(entries, keys, ["derived_from", "see_also"]).withColumn("targets", F.size("dst_ids").cast("long"))
+    assert sorted(map(tuple, counted.select(cols).collect())) == sorted(map(tuple, listed.select(cols).collect()))

@@ -61,14 +61,31 @@ def reference_edges(entries: DataFrame, keys: DataFrame, kinds: list[str]) -> Da
     """One edge for each reference of each kind: src, src_plain, kind, dst_plain, dst_ids and resolved.
 
     ``entries`` has entry_id, plain and an array column of each kind; ``keys``
-    has the trusted entries' entry_id and plain.
+    has the trusted entries' entry_id and plain. Each edge holds all ids of its
+    key; where many entries share a key, `counted_edges` doesn't repeat them.
     """
+    from textloom.operators.relops import resolve_refs
+
+    return resolve_refs(_references(entries, kinds), "dst_plain", keys, "plain", "entry_id")
+
+
+def _references(entries: DataFrame, kinds: list[str], plain: str = "plain") -> DataFrame:
     from functools import reduce
 
-    from textloom.operators.relops import resolve_refs
+    return reduce(DataFrame.unionByName, [entries.select(F.col("entry_id").alias("src"), F.col(plain).alias("src_plain"), F.lit(k).alias("kind"), F.explode(k).alias("dst_plain")) for k in kinds])
+
 
-    each = reduce(DataFrame.unionByName, [entries.select(F.col("entry_id").alias("src"), F.col("plain").alias("src_plain"), F.lit(k).alias("kind"), F.explode(k).alias("dst_plain")) for k in kinds])
-    return resolve_refs(each, "dst_plain", keys, "plain", "entry_id")
+def counted_edges(entries: DataFrame, keys: DataFrame, kinds: list[str], plain: str = "plain") -> DataFrame:
+    """The same edges, from each entry to a key, with the number of its ``targets``: src, src_plain, kind, dst_plain, targets and resolved.
+
+    ``keys`` itself tells which ids a key has, so edges and keys together are the
+    whole graph, in as many rows as there are references and entries: n entries
+    that refer to a key of m entries are n + m rows, not n * m ids.
+    """
+    counts = keys.filter("plain IS NOT NULL").groupBy(F.col("plain").alias("__key")).agg(F.count("entry_id").alias("targets"))
+    edges = _references(entries, kinds, plain)
+    met = edges.join(counts, edges["dst_plain"] == F.col("__key"), "left")
+    return met.select("src", "src_plain", "kind", "dst_plain", F.coalesce("targets", F.lit(0).cast("long")).alias("targets"), F.col("__key").isNotNull().alias("resolved"))
 
 
 def equivalent_edges(entries: DataFrame, keys: DataFrame) -> DataFrame:
