@@ -261,3 +261,13 @@ def test_counted_edges_hold_no_lists(spark):
     cols = ["src", "src_plain", "kind", "dst_plain", "targets", "resolved"]
     listed = graph.reference_edges(entries, keys, ["derived_from", "see_also"]).withColumn("targets", F.size("dst_ids").cast("long"))
     assert sorted(map(tuple, counted.select(cols).collect())) == sorted(map(tuple, listed.select(cols).collect()))
+
+
+def test_no_sketch_for_each_order(spark):
+    """The estimate is made of rows that are distinct already, without an expansion for the exact count."""
+    from places import SF
+
+    from textloom.plans import registry
+
+    plan = registry.QUERIES["agg_approx"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count(distinct" not in plan and "merge_approx_count_distinct" not in plan
