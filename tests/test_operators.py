@@ -271,3 +271,16 @@ def test_no_sketch_for_each_order(spark):
 
     plan = registry.QUERIES["agg_approx"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count(distinct" not in plan and "merge_approx_count_distinct" not in plan
+
+
+def test_word_sets_are_made_once(spark):
+    """The words of a text are taken once for both columns, and terms without a test of each token."""
+    from places import SF
+
+    from textloom.plans import registry
+
+    plan = lambda name: registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("word_set").count("regexp_extract_all(") == 1
+    assert "RLIKE" not in plan("dakota_terms")
+    terms = spark.createDataFrame([("a-b ab -- --- xé éxy xyzé x-y-z abc'd 'ab abcdef abcdefé-x Zé-",)], "t string").select(X.marked_terms(F.col("t"))).first()[0]
+    assert terms == ["a-b", "---", "éxy", "xyzé", "x-y-z", "abc'd", "'ab", "abcdefé-x", "Zé-"]

@@ -214,23 +214,30 @@ def compact(c: Column) -> Column:
 def word_set(c: Column, stop: list[str] = QA_STOP) -> Column:
     """Distinct words of three letters or more, without stop words."""
     found = F.regexp_extract_all(normalize_quotes(c), F.lit(r"([0-9a-zćšŋḣṡǧáéíóúķśṅźėčž'ʼ-]{3,})"), 1)
-    bare = F.transform(found, lambda w: F.when(~w.isin(stop), _strip(w, "-'ʼ")))  # null: a stop word
-    return F.array_distinct(F.filter(bare, lambda w: w.isNotNull() & (w != "")))
+    # distinct words first, as a long text has most of its words many times
+    kept = F.array_except(found, F.array(*map(F.lit, stop)))
+    return F.array_remove(F.array_distinct(F.transform(kept, lambda w: F.trim(w, F.lit("-'ʼ")))), "")
 
 
 def top_keywords(c: Column, n: int = 20) -> Column:
     """The longest words; ties in alphabetic order."""
-    keyed = F.array_sort(F.transform(word_set(c), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    return F.slice(F.transform(keyed, lambda s: s["w"]), 1, n)
+    return longest(word_set(c), n)
+
+
+def longest(found: Column, n: int = 20) -> Column:
+    """The longest of distinct words; ties in alphabetic order."""
+    keyed = F.sort_array(F.transform(found, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    return F.transform(F.slice(keyed, 1, n), lambda s: s["w"])
 
 
 def marked_terms(c: Column, most: int = 12) -> Column:
     """Quoted or bold terms, then tokens with marked letters; the first of each compact form."""
     quoted = F.regexp_extract_all(text(c), F.lit("`([^`]{2,80})`"), 1)
     bold = F.regexp_extract_all(text(c), F.lit(r"\*\*([^*]{2,80})\*\*"), 1)
-    tokens = F.regexp_extract_all(text(c), F.lit(r"([A-Za-zćšŋḣṡǧáéíóúķśṅźėčž'ʼ-]{3,})"), 1)
-    seen = F.filter(tokens, lambda t: F.lower(t).rlike(f"[{QA_LETTERS}'ʼ-]"))
-    every = F.transform(F.concat(quoted, bold, seen), lambda t: let(_strip(strip_ws(t), ".,;:()[]{}"), lambda x: F.struct(x.alias("t"), compact(x).alias("k"))))
+    # runs of three or more with a marked letter, hyphen or apostrophe; each is worked on once
+    own = "ćšŋḣṡǧáéíóúķśṅźėčž'ʼ-"
+    seen = F.regexp_extract_all(text(c), F.lit(f"(?<![A-Za-z{own}])((?=[A-Za-z{own}]{{3}})[A-Za-z]*+[{own}][A-Za-z{own}]*+)"), 1)
+    every = F.transform(F.array_distinct(F.concat(quoted, bold, seen)), lambda t: let(_strip(strip_ws(t), ".,;:()[]{}"), lambda x: F.struct(x.alias("t"), compact(x).alias("k"))))
     full = lambda acc, x: (F.size(acc) >= most) | (x["k"] == "") | F.exists(acc, lambda y: y["k"] == x["k"])
     none = F.array().cast("array<struct<t:string,k:string>>")
     firsts = F.aggregate(every, none, lambda acc, x: F.when(full(acc, x), acc).otherwise(F.concat(acc, F.array(x))))

@@ -91,7 +91,8 @@ SELECT doc_id, list(w ORDER BY w) AS words, list(w ORDER BY n) FILTER (WHERE n <
 def word_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct words of each text that count, and the twenty longest."""
     t = _given(F.col("text"), F.col("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_sort(X.word_set(t)).alias("words"), X.top_keywords(t).alias("keywords"))
+    both = X.let(X.word_set(t), lambda w: F.struct(F.sort_array(w).alias("words"), X.longest(w).alias("keywords")))
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("both")).select("doc_id", "both.words", "both.keywords")
 
 
 @query(f"""
