@@ -284,3 +284,11 @@ def test_word_sets_are_made_once(spark):
     assert "RLIKE" not in plan("dakota_terms")
     terms = spark.createDataFrame([("a-b ab -- --- xé éxy xyzé x-y-z abc'd 'ab abcdef abcdefé-x Zé-",)], "t string").select(X.marked_terms(F.col("t"))).first()[0]
     assert terms == ["a-b", "---", "éxy", "xyzé", "x-y-z", "abc'd", "'ab", "abcdefé-x", "Zé-"]
+
+
+def test_makers_are_computed_once(spark):
+    """A maker stands once in the plan, and only those that aren't null make rows."""
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, w string")
+    made = taskgen.explode_makers(rows, [F.when(F.col("w").isNotNull(), F.struct(F.reverse("w").alias("v"))), F.when(F.col("id") > 1, F.struct(F.lit("z").alias("v")))], ["id"])
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    assert sorted(map(tuple, made.collect())) == [(1, 0, "a"), (2, 1, "z")]

@@ -56,9 +56,9 @@ def _task(kind: str, when: Column, split: Column, w: Column, answer: Column, acc
 
 
 def explode_makers(rows: DataFrame, makers: list[Column], keep: list[str]) -> DataFrame:
-    """One row for each maker that isn't null, with its number."""
-    made = F.filter(F.array(*[F.when(m.isNotNull(), F.struct(F.lit(i).alias("maker"), m.alias("t"))) for i, m in enumerate(makers)]), lambda x: x.isNotNull())
-    return rows.select(*keep, F.explode(made).alias("x")).select(*keep, "x.maker", "x.t.*")
+    """One row for each maker that isn't null, with its number; each maker is computed once a row."""
+    made = rows.select(*keep, F.posexplode(F.array(*makers)).alias("maker", "t")).filter("t IS NOT NULL")
+    return made.select(*keep, "maker", "t.*")
 
 
 def entry_to_tasks(entries: DataFrame) -> DataFrame:
@@ -179,20 +179,24 @@ def rule_to_tasks(rules: DataFrame) -> DataFrame:
         none = F.array().cast("array<string>")
         return F.when(when, F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("task_type"), prompt.alias("prompt"), answer.alias("answer"), difficulty.alias("difficulty"), (F.lit("") if base is None else base).alias("base_form"), (none if required is None else required).alias("required_affixes")))
 
-    e = F.col("ex")
-    dak, eng, gloss, notes = (_example(e, k) for k in ("dakota", "english", "gloss", "notes"))
+    # computed once a row, before the makers that use them
+    dak, eng, gloss, notes = (F.col(f"__{k}") for k in ("dakota", "english", "gloss", "notes"))
     both, morph = has(dak) & has(eng), (F.col("rule_type") == "morphology") & has(dak)
-    short = F.size(F.filter(F.split(X.collapse(dak), " "), lambda t: t != "")) <= 3
-    base = X.strip_affixes(dak, F.col("affixes"))
+    short, base = F.col("__short"), F.col("__base")
     per_example = [
         made(F.when(short, "word_translation").otherwise("sentence_translation"), both, F.concat(F.lit("Translate this Dakota sentence to English:\n\n"), dak, add(has(gloss), "\n\nGloss: ", gloss)), eng, level),
         made("reverse_translation", both & level.isin("medium", "hard"), F.concat(F.lit("Translate this English sentence to Dakota:\n\n"), eng, add(has(notes), "\n\nNote: ", notes)), dak, F.lit("advanced")),
-        made("morphology", morph, F.concat(F.lit("Apply this Dakota grammar rule: "), desc, F.lit("\n\n"), add(has(pattern), "Pattern: ", pattern, "\n\n"), add(has(notes), "Context: ", notes, "\n\n"), F.lit("Transform or analyze: "), dak), F.when(e["english"].isNull(), dak).otherwise(eng), level, dak, F.col("affixes")),
+        made("morphology", morph, F.concat(F.lit("Apply this Dakota grammar rule: "), desc, F.lit("\n\n"), add(has(pattern), "Pattern: ", pattern, "\n\n"), add(has(notes), "Context: ", notes, "\n\n"), F.lit("Transform or analyze: "), dak), F.when(F.col("__none"), dak).otherwise(eng), level, dak, F.col("affixes")),
         made("multi_step_morphology", morph & (F.size("affixes") >= 2), F.concat(F.lit("Apply this Dakota grammar rule step-by-step: "), desc, F.lit("\n\nPattern: "), X.text(pattern), F.lit("\n\nStart with: "), dak, F.lit("\n\nTask: Apply the affixes in order to create the complete form.\nShow each intermediate step:\n1. Base form\n2. After first affix\n3. Final form with all affixes\n")), F.concat(F.lit("Step 1: "), dak, F.lit("\n"), add(has(eng), "Step 2: [apply first affix]\nFinal: ", dak, " [with all affixes applied]")), F.lit("hard"), dak, F.col("affixes")),
         made("affix_insertion", morph & (F.size("affixes") > 0) & (base != dak), F.concat(F.lit("Insert the Dakota affix(es) into the base form:\n\nBase form: "), base, F.lit("\nAffix(es) to insert: "), F.array_join("affixes", ", "), F.lit("\nRule: "), desc, F.lit("\n\nShow where each affix should be inserted and write the complete form.")), F.concat(dak, add(has(eng), " (", eng, ")")), F.lit("medium"), base, F.col("affixes")),
         made("syntax", (F.col("rule_type") == "syntax") & has(dak), F.concat(F.lit("Analyze the syntax of this Dakota sentence:\n\n"), dak, F.lit("\n\nRule: "), desc, add(has(gloss), "\n\nGloss: ", gloss)), X.first_truthy(eng, F.col("english_explanation")), level),
     ]
-    examples = df.select("*", F.posexplode("positive_examples").alias("example", "ex"))
+    used = ["rule_id", "rule_type", "rule_description", "dakota_pattern", "english_explanation", "difficulty", "affixes"]
+    examples = df.select(*used, F.posexplode("positive_examples").alias("example", "ex"))
+    examples = examples.select(*used, "example", *(_example(F.col("ex"), k).alias(f"__{k}") for k in ("dakota", "english", "gloss", "notes")), F.col("ex.english").isNull().alias("__none"))
+    words = F.when(dak.rlike(r"(?U)\s"), F.size(F.filter(F.split(X.collapse(dak), " "), lambda t: t != ""))).otherwise(1)
+    bare = F.when((F.col("rule_type") == "morphology") & (F.size("affixes") > 0), X.strip_affixes(dak, F.col("affixes"))).otherwise(dak)
+    examples = examples.select("*", (words <= 3).alias("__short"), bare.alias("__base"))
     of_examples = explode_makers(examples, per_example, ["rule_id", "example"])
 
     pos, neg = F.get("positive_examples", F.lit(0)), F.get("negative_examples", F.lit(0))
