@@ -263,6 +263,31 @@ def test_recall_and_precision_of_exact_links(spark):
     assert {got[len(texts) + k] for k in range(3)} == {len(texts)}
 
 
+@pytest.mark.parametrize("similarity, block", [(0.8, 1024), (0.8, 3), (0.55, 1024)])
+def test_no_similar_pair_is_left_out(spark, monkeypatch, similarity, block):
+    """Groups are those of all pairs of sets so similar: at the bound, of few words, of common passages, of one set with other repeats."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SAMPLE", 2)
+    rng, texts = random.Random(12), ["a b c d e", "a b c d e a b c d e a b c d e a", "a b c d e a b c d e"]
+    passage = [f"p{k}" for k in range(30)]
+    for k in range(160):
+        w = [str(rng.randrange(5000)) for _ in range(rng.randint(5, 150))] + passage * (k % 3 == 0)
+        texts.append(w)
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.randint(0, 1 + len(w) // 45)):
+                v[rng.randrange(len(v))] = str(rng.randrange(5000))
+            texts.append(v[: len(v) - rng.randint(0, len(v) // 12)])
+    texts = [" ".join(t) if isinstance(t, list) else t for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    alike = [{"src": a, "dst": b} for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    root = joined(len(texts), alike)
+    first = {r: i for i, r in reversed(list(enumerate(root)))}
+    got = simhash.near_duplicates(docs(spark, texts), words=5, width=3, total_bits=40, similarity=similarity).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: first[r] for i, r in enumerate(root)}
+    assert 100 < len(first) < len(texts) - 60
+
+
 def test_sketch_slices(monkeypatch):
     """Borders of the slices in which shingles are hashed, and a text above a megabyte."""
     text = " ".join(str(i * i % 977) for i in range(300_000))

@@ -12,19 +12,24 @@ the guaranteed minimum stay, and their differing bits are counted to verify.
 A fingerprint can be several words of 64 bits, which estimate a similarity more
 sharply; the words are mixed from one hash a shingle. Its positional bytes, over
 all words, are posted under triples of which no two have a pair in common, three
-dozen or more for each word, and each triple once more with its least certain bit
-turned (that where the shingles' votes are closest): a pair that differs in few
-bits meets for sure, and one at the bound with the probability that the README
-gives. Such pairs can be confirmed by the exact similarity (Jaccard) of their sets
-of shingles.
+dozen or more for each word, and if asked for, each triple once more with its least
+certain bit turned (that where the shingles' votes are closest): a pair that differs
+in few bits meets for sure, one at the bound with some probability. Such pairs can
+be confirmed by the exact similarity (Jaccard) of their sets of shingles; then all
+other pairs that are so similar are found too, by lists of shingles: in one order of
+all shingles, two sets of similarity t share one of each set's first
+``n - ceil(t n) + 1``. Only lists that hold several of the groups found so far are
+looked at, and of these the pairs of different groups whose sizes, places and
+parities of hash buckets (each shingle that one set alone has turns one) leave it
+possible; their sets are compared. Sets are of 32-bit hashes.
 
 Vertices are distinct fingerprints (with exact confirmation: distinct sets of
 shingles), as 64-bit numbers. A list that many of them share is split into
 blocks, every pair of blocks is a list of its own, dealt to any task, and a task
 emits the lightest spanning forest (by differing bits) of the links it finds,
 not the links. A link that the forest leaves out joins vertices that lighter
-links join, so confirming the forest's links alone loses a group only where all
-of its lighter links fail. Components come from distributed star contraction.
+links join; where these fail to be confirmed, the lists of shingles find it.
+Components come from distributed star contraction.
 
 Defined cases: a null text has no words; without words the fingerprint is zero
 and links like any other; texts of fewer words than a shingle are one shingle;
@@ -55,6 +60,11 @@ BLOCK = 1024
 #: Rows of posting lists that a task looks at together, and links it holds before it thins them.
 ROWS, HELD = 1 << 16, 1 << 20
 _STEP = 1 << 15
+#: One set in ``SAMPLE`` is counted: the ``TOLD`` most frequent shingles of at least ``OFTEN`` of these
+#: come last in the order of shingles. Any order finds all pairs; this one keeps lists short.
+SAMPLE, OFTEN, TOLD = 16, 8, 1 << 16
+#: Words of 64 parities of a set; what may be lost to rounding where a bound is computed.
+PARITIES, SLACK = 8, 1e-6
 #: Texts of an Arrow batch that are hashed before their results go out.
 TEXTS = 256
 
@@ -266,12 +276,14 @@ def forest(lists: np.ndarray, vids: np.ndarray, fps: np.ndarray, least: int, mos
     return u, v
 
 
-def _links(width: int, least: int, most: int):
+def _by_lists(found):
+    """Apply ``found`` to rows sorted by their first two columns, so many at once, no list cut; it gives batches of pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: np.ndarray) -> pa.RecordBatch:
+        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             new = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
-            u, v = forest(np.cumsum(new), rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), least, most)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
+            for u, v in found(np.cumsum(new), rows):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["src", "dst"])
 
         waiting, n = [], 0
         for batch in batches:
@@ -283,14 +295,29 @@ def _links(width: int, least: int, most: int):
                 last = (rows[:, :2] != rows[-1, :2]).any(axis=1)
                 cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
                 if cut:
-                    yield found(rows[:cut])
+                    yield from pairs(rows[:cut])
                 waiting, n = [rows[cut:]], len(rows) - cut
         if n:
-            yield found(np.concatenate(waiting))
+            yield from pairs(np.concatenate(waiting))
 
     return run
 
 
+def _links(width: int, least: int, most: int):
+    def found(lists: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield forest(lists, rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64), least, most)
+
+    return _by_lists(found)
+
+
+def _in_blocks(met: DataFrame, *cols: str) -> DataFrame:
+    """Rows (key, n, vid, ...) of lists of ``n``, each once for each pair of blocks of its list that its own is in."""
+    met = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.lit(1 << 31) + F.greatest(own, o))
+    return met.select("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "vid", *cols)
+
+
 def links(vertices: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None) -> DataFrame:
     """A stored table of links ``(src, dst)`` of rows (vid, fp, certain) that join what all links join, lightest first.
 
@@ -313,10 +340,7 @@ def links(vertices: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_b
     lists = stored(posted)
     posted = lists.select("vid", F.explode("keys").alias("key"))
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    met = posted.join(counts, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(own, o) * F.lit(1 << 31) + F.greatest(own, o))
-    dealt = met.select("key", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(pairs)).alias("pair"), "vid")
+    dealt = _in_blocks(posted.join(counts, "key"))
     words = [F.get("fp", F.lit(w)).alias(f"f{w}") for w in range(width)]
     met = dealt.join(vertices.select("vid", *words), "vid").select("key", "pair", "vid", *(f"f{w}" for w in range(width)))
     found = met.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_links(width, least, most), "src long, dst long")
@@ -337,31 +361,111 @@ def confirmed(found: DataFrame, vertices: DataFrame, shingles: DataFrame, simila
     return alike
 
 
+def frequent(shingles: DataFrame) -> np.ndarray:
+    """The most frequent shingles of one set in ``SAMPLE``, rarest first."""
+    some = shingles.filter(F.pmod(F.xxhash64("sh"), F.lit(SAMPLE)) == 0).select(F.explode("sh").alias("w"))
+    often = some.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "w").limit(TOLD)
+    return np.array([r["w"] for r in often.collect()][::-1], np.int32)
+
+
+def first_shingles(found: np.ndarray, last: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """Those of a set of which any set so similar has one among its own: ``last`` (sorted) by their ranks after all others."""
+    n = len(found)
+    if len(last):
+        at = np.searchsorted(last, found).clip(max=len(last) - 1)
+        found = found[np.argsort(np.where(last[at] == found, ranks[at], -1), kind="stable")]
+    return found[: n - int(np.ceil(similarity * n - SLACK)) + 1]
+
+
+def prefixes(shingles: DataFrame, similarity: float) -> DataFrame:
+    """Rows (row, n, first, parity) of rows (row, sh): a set's size, its first shingles and the parities of its hash buckets."""
+    often = frequent(shingles)
+    order = np.argsort(often)
+    last, size = often[order], 64 * PARITIES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            sets = [x.values.to_numpy() for x in batch.column(1)]
+            first = [first_shingles(x, last, order, similarity) for x in sets]
+            parity = np.array([np.packbits(np.bincount(x & (size - 1), minlength=size) & 1) for x in sets], np.uint8)
+            sizes, starts = pa.array([len(x) for x in sets], pa.int64()), pa.array(np.cumsum([0, *map(len, first)]), pa.int32())
+            cols = [batch.column(0), sizes, pa.ListArray.from_arrays(starts, pa.array(np.concatenate(first))), _lists(parity.reshape(-1).view(np.int64), PARITIES)]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "n", "first", "parity"])
+
+    return shingles.filter(F.size("sh") > 0).select("row", "sh").mapInArrow(run, "row long, n long, first array<int>, parity array<long>")
+
+
+def _possible(similarity: float):
+    """Pairs of rows (key, pair, vid, group, n, at, parities...) of one list and different groups, sorted by ``n`` in it, that may be so similar."""
+
+    def found(lists: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        vids, groups, n, left, parity = rows[:, 2], rows[:, 3], rows[:, 4], rows[:, 4] - rows[:, 5], np.ascontiguousarray(rows[:, 6:]).view(np.uint64)
+        i, step = np.arange(len(rows) - 1), 1
+        while len(i):
+            i = i[i + step < len(rows)]
+            # those further on are larger still
+            i = i[(lists[i] == lists[i + step]) & (n[i] >= similarity * n[i + step] - SLACK)]
+            for k in range(0, len(i), HELD // 8):
+                a = i[k : k + HELD // 8]
+                a = a[groups[a] != groups[a + step]]
+                common = np.ceil(similarity / (1 + similarity) * (n[a] + n[a + step]) - SLACK)
+                ok = np.minimum(left[a], left[a + step]) >= common
+                a, common = a[ok], common[ok]
+                a = a[np.bitwise_count(parity[a] ^ parity[a + step]).sum(axis=1) <= n[a] + n[a + step] - 2 * common]
+                if len(a):
+                    yield np.minimum(vids[a], vids[a + step]), np.maximum(vids[a], vids[a + step])
+            step += 1
+
+    return _by_lists(found)
+
+
+def left_out(shingles: DataFrame, vertices: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """A stored table of all pairs ``(src, dst)`` of vertices of different groups (node, component) whose sets may be so similar."""
+    own = vertices.select(F.col("rep").alias("row"), "vid").join(groups.select(F.col("node").alias("vid"), "component"), "vid", "left")
+    own = own.select("row", "vid", F.coalesce("component", "vid").alias("group"))
+    posted = stored(prefixes(shingles, similarity).join(own, "row").drop("row"))
+    each = posted.select("vid", "group", F.posexplode("first").alias("at", "key"))
+    lists = each.groupBy("key").agg(F.count("*").alias("n"), F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high")
+    lists = stored(lists.select("key", "n"))
+    dealt = _in_blocks(each.join(lists, "key"), "at")
+    parities = [F.get("parity", F.lit(w)).alias(f"p{w}") for w in range(PARITIES)]
+    met = dealt.join(posted.select("vid", "group", F.col("n").alias("size"), *parities), "vid")
+    met = met.select("key", "pair", "vid", "group", "size", "at", *(f"p{w}" for w in range(PARITIES)))
+    found = stored(met.repartition("key", "pair").sortWithinPartitions("key", "pair", "size").mapInArrow(_possible(similarity), "src long, dst long").distinct())
+    discard(posted, lists)
+    return found
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, width: int = 1, max_bits: int = MAX_BITS, total_bits: int | None = None, similarity: float | None = None
 ) -> DataFrame:
     """``id_col``, ``fingerprint`` and ``component_id``, the smallest id of the document's group.
 
-    With ``similarity``, a pair that the index finds links only if the share of
-    common shingles is at least that.
+    With ``similarity``, pairs link if their share of common shingles is at least
+    that, all of them: those that the index finds, then those that it left out.
     """
     exact = similarity is not None
     wide = fingerprints(docs, id_col, text_col, words, width, exact).withColumnRenamed(id_col, "id")
     same = [F.xxhash64("sh").alias("a"), F.xxhash64(F.lit("second"), "sh").alias("b")] if exact else []
-    wide = stored(wide.select(F.monotonically_increasing_id().alias("row"), "*", *same))
+    wide = stored(wide.drop("certain").select(F.monotonically_increasing_id().alias("row"), "*", *same))
     key = ["fp", "a", "b"] if exact else ["fp"]
     fps = stored(wide.select("id", *key))
-    vertices = stored(wide.groupBy(*key).agg(F.min("id").alias("first"), F.min("row").alias("rep"), F.min("certain").alias("certain")).withColumn("vid", F.monotonically_increasing_id()))
+    vertices = stored(wide.groupBy(*key).agg(F.min("id").alias("first"), F.min("row").alias("rep")).withColumn("vid", F.monotonically_increasing_id()))
     found = links(vertices, width, max_bits, total_bits)
+    edges = found
     if exact:
-        found = confirmed(found, vertices, wide.select("row", "sh"), similarity)
+        shingles = wide.select("row", "sh")
+        found = confirmed(found, vertices, shingles, similarity)
+        near = stored(connected_components(found))
+        more = confirmed(left_out(shingles, vertices, near, similarity), vertices, shingles, similarity)
+        edges = near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more)
     discard(wide)
-    groups = stored(connected_components(found).join(vertices.select(F.col("vid").alias("node"), "first"), "node"))
+    groups = stored(connected_components(edges).join(vertices.select(F.col("vid").alias("node"), "first"), "node"))
     named = groups.select("node", "component").join(groups.groupBy("component").agg(F.min("first").alias("group")), "component")
     by_fp = vertices.join(named.select(F.col("node").alias("vid"), "group", F.lit(True).alias("found")), "vid", "left")
     by_fp = by_fp.select(*key, F.when(F.col("found"), F.col("group")).otherwise(F.col("first")).alias("component_id"))
     # two stored sides: a fingerprint that many documents share is split by the adaptive skew join
     by_fp = stored(by_fp)
-    discard(found, groups, vertices)
+    discard(found, groups, vertices, *([near, more] if exact else []))
     shown = F.array_join(F.transform("fp", lambda f: F.lower(F.lpad(F.hex(f), 16, "0"))), "")
     return fps.join(by_fp, key).select(F.col("id").alias(id_col), shown.alias("fingerprint"), "component_id")
