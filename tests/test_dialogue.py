@@ -7,6 +7,7 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+import pandas as pd
 from pyspark.sql import functions as F
 
 from textloom.operators import dialogue as D
@@ -108,3 +109,61 @@ def test_session_windows(spark, n):
                 runs.append([(ts, v)])
         want += [(k, r[0][0], r[-1][0], len(r), sum(v for _, v in r)) for r in runs]
     assert got == sorted(want)
+
+
+def test_held_turns_have_one_timer():
+    """However many turns a key holds, one timer stands for them and one for the episode's end; all come out in order."""
+
+    class Store:
+        def __init__(self):
+            self.value = None
+
+        def get(self):
+            return self.value
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+        put = update
+
+        def appendList(self, rows):
+            self.value = [*(self.value or []), *rows]
+
+        def clear(self):
+            self.value = None
+
+    class Held(Store):
+        def get(self):
+            return iter(self.value or [])
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+            self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+        def getValueState(self, *_):
+            return Store()
+
+        def getListState(self, *_):
+            return Held()
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    state, handle = episodes.Attempts(9), Handle()
+    state.init(handle)
+    for turns in ([3, 1, 2], [5, 4]):
+        rows = pd.DataFrame({"turn": turns, "perfect": False, "feedback": "x", "ts": pd.to_datetime([60_000 * t for t in turns], unit="ms")})
+        list(state.handleInputRows((7,), iter([rows]), None))
+    assert handle.timers == {60_000, 300_000 + episodes.QUIET}
+    handle.timers.discard(60_000)
+    first = pd.concat(state.handleExpiredTimer((7,), Now(120_000), Now(60_000)))
+    assert first["turn"].tolist() == [1, 2] and handle.timers == {180_000, 300_000 + episodes.QUIET}
+    handle.timers.discard(180_000)
+    rest = pd.concat(state.handleExpiredTimer((7,), Now(400_000), Now(180_000)))
+    assert rest["turn"].tolist() == [3, 4, 5] and rest["attempts"].tolist() == [3, 4, 5] and handle.timers == {300_000 + episodes.QUIET}
+    assert not list(state.handleExpiredTimer((7,), Now(10**7), Now(300_000 + episodes.QUIET))) and state.ends.get() is None
