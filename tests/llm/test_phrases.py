@@ -104,3 +104,46 @@ def test_products_beyond_64_bits_are_exact(spark):
     cases = [(100, 10**16, 100, 100), (10**15 + 7, 10**16 + 1, 10**15 + 9, 10**15 + 11), (3, 7, 2, 5), (10**9, 10**12 + 39, 10**10 + 1, 10**9 + 3)]
     got = spark.createDataFrame(cases, "a long, n long, l long, r long").withColumn("s", P.cut_score("a", "n", "l", "r")).collect()
     assert [r.s for r in got] == [1000 * a * n // (l * r) for a, n, l, r in cases]
+
+
+def test_entries_are_shuffled_once_a_level(spark, monkeypatch):
+    plans = []
+
+    def noted(df, stored=P.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(P, "stored", noted)
+    rows = made(60)
+    P.phrases(spark.createDataFrame(rows, DOCS), min_count=5, max_words=3)
+    moved = [p for p in plans if "block#" in p.split("\n")[-1] or "MapInArrow" in p]
+    assert len(moved) >= 5 and not any("Join" in p or "Generate" in p for p in moved)
+    # names of words, pairs, names, pairs, names: one exchange each
+    assert [p.count("Exchange") for p in moved[1:6]] == [1] * 5
+
+
+def test_numbers_are_packed_whole():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 7, 1000):
+        cols = [rng.integers(0, top, size) for top in (1, 200, 1 << 20, 1 << 62)]
+        assert [x.tolist() for x in P.unpacked(P.packed(*cols))] == [x.tolist() for x in cols]
+
+
+@pytest.mark.parametrize("base", [0, 1 << 40])
+def test_equal_pairs_are_summed(base):
+    rng = np.random.default_rng(4)
+    left, right, n = base + rng.integers(0, 9, 500), base + rng.integers(0, 9, 500), rng.integers(1, 5, 500)
+    at, a, of = P.summed(left, right, n)
+    want = Counter()
+    for x, y, k in zip(left.tolist(), right.tolist(), n.tolist(), strict=True):
+        want[x, y] += k
+    keys = list(zip(left[at].tolist(), right[at].tolist(), strict=True))
+    assert dict(zip(keys, a.tolist(), strict=True)) == want
+    assert [keys[i] for i in of] == list(zip(left.tolist(), right.tolist(), strict=True))
+
+
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_BYTES", 50)
+    monkeypatch.setattr(P, "BUCKET_PLACES", 20)
+    rows = made(100)
+    assert shown(P.collocations(spark.createDataFrame(rows, DOCS), min_count=5)) == plain(rows, 5)

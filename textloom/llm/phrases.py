@@ -11,12 +11,16 @@ every cut of a phrase; a phrase is subsumed if a pair points at it that is as
 frequent (a longer phrase around it passes through such a pair).
 
 Texts are kept as blocks of some hundred thousand words of one language: a
-sequence of codes of the block's own, and for each code what it stands for.
-Only a block's distinct words or pairs, with their counts, are shuffled, joined
-with all blocks' and sent back as ids; so the names are global, no table of
-words or phrases is ever broadcast or held by one task, and a frequent pair is
-one row a block. Pieces between separators are never cut, so phrases are
-counted across a block's borders only within the block that holds their piece.
+sequence of codes of the block's own. Only a block's distinct words or pairs,
+with their counts, are dealt by hash into buckets that a task can hold, as one
+row of packed numbers for each block and bucket. A bucket's task sums them over
+all blocks, names what is frequent and sends each block the names of its own
+entries. So an entry is shuffled once, whatever part of them is frequent, and
+back only if it is; the names are global, no table of words or phrases is ever
+broadcast or held by one task, and a frequent pair is one entry a block. Codes
+follow the buckets, so a row's codes are known by the first. Pieces between
+separators are never cut, so phrases are counted across a block's borders only
+within the block that holds their piece.
 
 A cut's score is ``floor(1000 a n / (l r))`` in decimals of 38 digits.
 
@@ -28,10 +32,14 @@ hold any character but blank, tab and the separators.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +48,8 @@ from textloom.session import discard, spread, stored
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Words of a block, about, and all open blocks of a task together.
 BLOCK_WORDS, OPEN_WORDS = 1 << 18, 1 << 21
+#: Bytes of text for a bucket of words, places of the texts for a bucket of pairs, about; buckets for each core, at least.
+BUCKET_BYTES, BUCKET_PLACES, CORE_BUCKETS = 1 << 25, 1 << 22, 4
 #: Bytes of text that are split at once.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -63,10 +73,64 @@ class _Block:
     def __init__(self):
         self.codes, self.parts, self.size = _Codes(), [], 0
 
-    def row(self) -> tuple[bytes, list[bytes], list[int]]:
-        seq = np.concatenate(self.parts) if self.parts else np.empty(0, np.int32)
-        words = list(self.codes)[2:]
-        return without_gaps(seq).tobytes(), words, np.bincount(seq[seq >= 0], minlength=len(words)).tolist()
+    def rows(self, block: int, lang: str, buckets: int) -> pa.RecordBatch:
+        seq = without_gaps(np.concatenate(self.parts)) if self.parts else np.empty(0, "<i4")
+        words, salt = list(self.codes)[2:], zlib.crc32(lang.encode())
+        n = np.bincount(seq[seq >= 0], minlength=len(words))
+        bucket = np.array([zlib.crc32(w, salt) for w in words], np.int64) % buckets
+        seq, order, bucket = by_bucket(seq, bucket, np.argsort(bucket, kind="stable"))
+        words, n = [words[i] for i in order.tolist()], n[order]
+        return _level(block, lang, seq, bucket, lambda a, b: (packed(n[a:b]), zstandard.compress(b"\n".join(words[a:b]), 3)))
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0, of one length: byte by byte, compressed."""
+    parts, head = [], [len(columns[0]), len(columns)]
+    for column in columns:
+        width = max(1, -(-int(column.max(initial=0)).bit_length() // 8))
+        parts.append(column.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
+        head.append(width)
+    return zstandard.compress(b"".join([np.array(head, "<i8").tobytes(), *parts]), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(data)
+    n, columns = np.frombuffer(raw, "<i8", 2).tolist()
+    out, at = [], 16 + 8 * columns
+    for width in np.frombuffer(raw, "<i8", columns, 16).tolist():
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        out.append(wide.reshape(-1).view("<i8"))
+        at += n * width
+    return out
+
+
+def by_bucket(seq: np.ndarray, bucket: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequence with codes in another order, that order, and the buckets in it."""
+    code = np.empty(len(order) + 1, np.int64)
+    code[order] = np.arange(len(order))
+    code[-1] = _GAP
+    return code[seq], order, bucket[order]
+
+
+#: A level's rows: a block's sequence (no bucket), and its entries' parts by bucket: from which code on, counts (and ids of pairs), words.
+_LEVEL = "block long, lang string, bucket long, start long, data binary, words binary"
+
+
+def _level(block: int, lang: str | None, seq: np.ndarray | None, bucket: np.ndarray, part) -> pa.RecordBatch:
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    rows = [(block, lang, None, None, packed(seq + 1), None)] if seq is not None else []
+    rows += [(block, lang, int(bucket[a]), a, *part(a, b)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    return _batch(rows, [("block", pa.int64()), ("lang", pa.string()), ("bucket", pa.int64()), ("start", pa.int64()), ("data", pa.binary()), ("words", pa.binary())])
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    cols = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, (_, k) in zip(cols, fields, strict=True)], [c for c, _ in fields])
+
+
+def _buckets(docs: DataFrame, size: int, most: int) -> int:
+    return max(CORE_BUCKETS * docs.sparkSession.sparkContext.defaultParallelism, (size or 0) // most)
 
 
 def without_gaps(seq: np.ndarray) -> np.ndarray:
@@ -88,19 +152,21 @@ def slices(text: bytes) -> Iterator[tuple[bytes, bool]]:
     yield text[at:], True
 
 
-def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """Stored rows (block, lang, seq, words, n): a sequence of codes, and each code's word and count."""
+def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, int]:
+    """Stored rows of the level of words, and the number of buckets."""
     said = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    names, kinds = ["lang", "seq", "words", "n"], [pa.string(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-
-    def made(lang: str, block: _Block) -> pa.RecordBatch:
-        cols = [pa.array([x], k) for x, k in zip((lang, *block.row()), kinds, strict=True)]
-        cols[2] = cols[2].cast(pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays(cols, names)
+    buckets = _buckets(docs, said.agg(F.sum(F.octet_length("text"))).first()[0], BUCKET_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, _Block] = {}
-        total = 0
+        # a task's blocks have numbers of their own
+        total, number = 0, TaskContext.get().partitionId() << 32
+
+        def made(lang: str) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            return opened.pop(lang).rows(number, lang, buckets)
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for part, ends in slices(text.as_py().translate(_BYTES)):
@@ -113,16 +179,15 @@ def blocks(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
                     total += len(seq)
                     if ends and block.size > BLOCK_WORDS:
                         total -= block.size
-                        yield made(lang, opened.pop(lang))
+                        yield made(lang)
                 if total > OPEN_WORDS:
                     for k in list(opened):
-                        yield made(k, opened.pop(k))
+                        yield made(k)
                     total = 0
         for k in list(opened):
-            yield made(k, opened.pop(k))
+            yield made(k)
 
-    part = spread(said).mapInArrow(run, "lang string, seq binary, words array<string>, n array<long>")
-    return stored(part.withColumn("block", F.monotonically_increasing_id()))
+    return stored(spread(said).mapInArrow(run, _LEVEL)), buckets
 
 
 def paired(seq: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -139,28 +204,122 @@ def paired(seq: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
     return without_gaps(out), name[found // top], name[found % top], n
 
 
-def pairs(texts: DataFrame, named: DataFrame) -> DataFrame:
-    """Rows (block, seq, left, right, n) of blocks and the ids (block, code, id) of what is frequent in them; stored."""
-    sent = named.groupBy("block").agg(F.collect_list(F.struct("code", "id")).alias("x"))
-    sent = sent.select("block", F.col("x.code").alias("code"), F.col("x.id").alias("id"))
-    names, kinds = ["block", "seq", "left", "right", "n"], [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows sorted by their first column, by its values."""
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    for key, own in groupby(rows, lambda row: row[0]):
+        yield key, list(own)
+
+
+def _spread_names(name: np.ndarray, rows: list[tuple], sizes: list[int]) -> Iterator[tuple[int, bytes]]:
+    """Of each row (block, start) of entries, what is named: the block, its codes (by differences) and ids."""
+    at = 0
+    for (block, start), size in zip(rows, sizes, strict=True):
+        own = name[at : at + size]
+        hit = np.flatnonzero(own >= 0)
+        if len(hit):
+            yield block, packed(np.diff(hit + start, prepend=0), own[hit])
+        at += size
+
+
+def named_words(level: DataFrame, buckets: int, min_count: int) -> DataFrame:
+    """Stored rows: (block, data) of named entries; and, without a block, each bucket's and language's count of words and its frequent words (id, phrase, a)."""
+    fields = [("block", pa.int64()), ("data", pa.binary()), ("lang", pa.string()), ("n", pa.int64()), ("id", pa.list_(pa.int64())), ("phrase", pa.list_(pa.string())), ("a", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, seq, code, i in zip(*batch.columns, strict=True):
-                got = paired(np.frombuffer(seq.as_py(), "<i4"), code.values.to_numpy(), i.values.to_numpy())
-                if len(got[1]):
-                    row = [block.as_py(), got[0].tobytes(), *got[1:]]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
+        for bucket, rows in _grouped(batches):
+            first = 0
+            for lang in sorted({r[1] for r in rows}):
+                own = [r for r in rows if r[1] == lang]
+                n = [unpacked(r[4])[0] for r in own]
+                words = pa.array([w for r in own for w in zstandard.decompress(r[5]).split(b"\n")], pa.binary()).dictionary_encode()
+                code, a = words.indices.to_numpy(), np.zeros(len(words.dictionary), np.int64)
+                np.add.at(a, code, np.concatenate(n))
+                good = np.flatnonzero(a >= min_count)
+                ids = np.full(len(a), -1, np.int64)
+                ids[good] = (first + np.arange(len(good))) * buckets + bucket
+                first += len(good)
+                out = [(*x, None, None, None, None, None) for x in _spread_names(ids[code], [(r[2], r[3]) for r in own], [len(x) for x in n])]
+                yield _batch([*out, (None, None, lang, int(a.sum()), ids[good], words.dictionary.take(pa.array(good)).cast(pa.string()).to_pylist(), a[good])], fields)
+
+    parts = level.filter("bucket IS NOT NULL").select("bucket", "lang", "block", "start", "data", "words")
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
+    return stored(parts.mapInArrow(run, "block long, data binary, lang string, n long, id array<long>, phrase array<string>, a array<long>"))
+
+
+def summed(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal pairs as one: where each is found first, its sum, and each entry's pair."""
+    if max(left.max(initial=0), right.max(initial=0)) < 1 << 31:
+        order = np.argsort(left << 32 | right, kind="stable")
+    else:
+        order = np.lexsort((right, left))
+    x, y = left[order], right[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return order[starts], np.add.reduceat(n[order], starts), of
+
+
+def named_pairs(level: DataFrame, buckets: int, min_count: int, last: bool) -> DataFrame:
+    """Stored rows: (block, data) of named entries, unless they are the last ones; and, without a block, each bucket's frequent pairs (id, left, right, a)."""
+    fields = [("block", pa.int64()), ("data", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("id", "left", "right", "a")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _grouped(batches):
+            got = [unpacked(r[3]) for r in rows]
+            left, right, n = (np.concatenate(x) for x in zip(*[(np.cumsum(x[0]), x[1], x[2]) for x in got], strict=True))
+            at, a, of = summed(left, right, n)
+            good = np.flatnonzero(a >= min_count)
+            ids = np.full(len(a), -1, np.int64)
+            ids[good] = np.arange(len(good)) * buckets + bucket
+            out = [] if last else [(*x, None, None, None, None) for x in _spread_names(ids[of], [r[1:3] for r in rows], [len(x[0]) for x in got])]
+            yield _batch([*out, (None, None, ids[good], left[at[good]], right[at[good]], a[good])], fields)
+
+    parts = level.filter("bucket IS NOT NULL").select("bucket", "block", "start", "data")
+    parts = parts.repartition("bucket").sortWithinPartitions("bucket")
+    return stored(parts.mapInArrow(run, "block long, data binary, id array<long>, left array<long>, right array<long>, a array<long>"))
+
+
+def pairs(level: DataFrame, named: DataFrame, buckets: int, last: bool) -> DataFrame:
+    """Stored rows of the next level, without sequences if it is the last one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _grouped(batches):
+            seq = [unpacked(r[2])[0] - 1 for r in rows if r[1]]
+            names = [unpacked(r[2]) for r in rows if not r[1]]
+            if not seq or not names:
+                continue
+            codes, ids = (np.concatenate(x) for x in zip(*[(np.cumsum(x[0]), x[1]) for x in names], strict=True))
+            seq, left, right, n = paired(seq[0].astype(np.int32), codes, ids)
+            if not len(left):
+                continue
+            bucket = (_mixed(left.astype(np.uint64) ^ _mixed(right.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64)
+            seq, order, bucket = by_bucket(seq, bucket, np.lexsort((right, left, bucket)))
+            left, right, n = left[order], right[order], n[order]
+
+            def part(a: int, b: int) -> tuple[bytes, None]:
+                return packed(np.diff(left[a:b], prepend=0), right[a:b], n[a:b]), None  # noqa: B023  called at once
+
+            yield _level(block, None, None if last else seq, bucket, part)
+
+    both = level.filter("bucket IS NULL").select("block", F.lit(True).alias("seq"), "data").union(named.filter("block IS NOT NULL").select("block", F.lit(False), "data"))
+    return stored(both.repartition("block").sortWithinPartitions("block").mapInArrow(run, _LEVEL))
+
 
-    both = texts.select("block", "seq").join(sent, "block").select("block", "seq", "code", "id")
-    return stored(both.mapInArrow(run, "block long, seq binary, left array<long>, right array<long>, n array<long>"))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64 bits over 64 bits (splitmix64)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _exploded(texts: DataFrame, *cols: str) -> DataFrame:
-    """One row for each code of each block, with its columns."""
-    each = texts.select(*[c for c in ("block", "lang") if c in texts.columns], F.posexplode(F.arrays_zip(*cols)).alias("code", "x"))
-    return each.select(*[c for c in each.columns if c != "x"], *[F.col("x")[c].alias(c[:-1] if c == "words" else c) for c in cols])
+def _found(named: DataFrame, *cols: str) -> DataFrame:
+    """What is frequent, one row each."""
+    each = named.filter("block IS NULL").select(*[c for c in ("lang",) if c in named.columns], F.explode(F.arrays_zip(*cols)).alias("x"))
+    return each.select(*[c for c in each.columns if c != "x"], *[F.col("x")[c].alias(c) for c in cols])
 
 
 def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WORDS, lang_col: str = "lang", text_col: str = "text") -> tuple[list[DataFrame], DataFrame]:
@@ -170,25 +329,19 @@ def phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX_WO
     occurrences, the counts ``pf`` of its prefixes and ``sf`` of its suffixes of
     1, 2, ... words, its parents and their counts.
     """
-    texts = blocks(docs, lang_col, text_col)
-    words = _exploded(texts, "words", "n")
+    level, buckets = blocks(docs, lang_col, text_col)
+    named = named_words(level, buckets, min_count)
     none, empty = F.lit(None).cast("long"), F.array().cast("array<long>")
-    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("a"))
-    counts = stored(counts)
-    total = stored(counts.groupBy("lang").agg(F.sum("a").alias("n")))
-    found = counts.filter(F.col("a") >= min_count).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "a")
-    tables = [stored(found.select("*", empty.alias("pf"), empty.alias("sf"), *[none.alias(c) for c in ("left", "right", "la", "ra")]))]
-    discard(counts)
-    named = words.select("block", "lang", "word", "code").join(tables[0].select("id", "lang", F.col("phrase").alias("word")), ["lang", "word"])
-    for _ in range(max_words - 1):
-        after = pairs(texts, named.select("block", "code", "id"))
-        discard(texts)
-        texts = after
-        each = _exploded(texts, "left", "right", "n")
-        found = each.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
-        found = stored(found.withColumn("id", F.monotonically_increasing_id()))
-        tables.append(stored(_told(found, tables[-1])))
-        named = each.join(found.select("id", "left", "right"), ["left", "right"])
+    total = stored(named.filter("block IS NULL").groupBy("lang").agg(F.sum("n").alias("n")))
+    tables = [stored(_found(named, "id", "phrase", "a").select("id", "lang", "phrase", "a", empty.alias("pf"), empty.alias("sf"), *[none.alias(c) for c in ("left", "right", "la", "ra")]))]
+    for k in range(2, max_words + 1):
+        # a pair's places are places of what is frequent
+        buckets = _buckets(docs, tables[-1].agg(F.sum("a")).first()[0], BUCKET_PLACES)
+        after = pairs(level, named, buckets, k == max_words)
+        discard(level, named)
+        level, named = after, named_pairs(after, buckets, min_count, k == max_words)
+        tables.append(stored(_told(_found(named, "id", "left", "right", "a"), tables[-1])))
+    discard(level, named)
     return tables, total
 
 
