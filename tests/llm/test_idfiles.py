@@ -101,6 +101,31 @@ def test_encoder_equals_the_library(monkeypatch):
     assert not coder.plain(" " * 9000 + "x") and not coder.plain("x" * 9000) and not coder.plain("a <|endoftext|>")
 
 
+def test_texts_without_runs_of_white_space():
+    coder = I.Encoder(open(BYTE, "rb").read())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [f"x{c}" for c in I.SPACES] + [f"{c}x" for c in I.SPACES]
+    texts += ["".join(f"a{c}b1{c}2'{c}s.{c}-" for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    for text, want in zip(texts, REF.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert not I.has_runs(text) and coder.single.encode_ordinary(text) == want.ids == coder.encode(text)
+    assert all(I.has_runs(f"a{c}{d}b") for c in I.SPACES for d in I.SPACES)
+    # no other character is white space to the library
+    others = [c for c in points if c not in I.SPACES]
+    for k in range(0, len(others), 64):
+        text = "".join(f"a{c}{c}b" for c in others[k : k + 64])
+        assert not I.has_runs(text) and coder.single.encode_ordinary(text) == coder.quick.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("hint", [b"", bytes(range(256)) * 8])
+def test_rows_come_back_as_they_were(hint):
+    rng = random.Random(6)
+    codec = I._row_compressor(hint)
+    back = I.zstandard.ZstdDecompressor(dict_data=I._hint(hint))
+    for size in (0, 1, 100, 70_000):
+        raw = rng.randbytes(size // 2) + bytes(size - size // 2)
+        assert back.decompress(codec.compress(raw)) == raw
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 100, 40_000):

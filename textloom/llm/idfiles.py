@@ -74,6 +74,10 @@ HINT_DOCS, HINT_CHARS, HINT_BYTES = 64, 4096, 1 << 17
 LONG_TEXT, LONG_WORD = 1 << 22, 4096
 #: Fixed value: the published pre-splitting pattern of byte-level vocabularies, as the library of merge ranks spells it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same where no two characters of white space meet: without the look-ahead the library matches by automata.
+SINGLE_PATTERN = PATTERN.replace(r"|\s+(?!\S)", "")
+#: Fixed value: the characters of white space (Unicode's White_Space).
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of the shards' first keys up to which they are broadcast; beyond, places are joined.
 BOUND_BYTES = 1 << 25
 #: What a slot holds.
@@ -150,7 +154,7 @@ class Encoder:
 
     def __init__(self, blob: bytes):
         spec = json.loads(blob)
-        self.codec, self.quick = bpe.TextCodec(spec), None
+        self.codec, self.quick, self.single = bpe.TextCodec(spec), None, None
         model, auto, alphabet = spec["model"], self.codec.encoder.auto, bpe.byte_alphabet()
         made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
         base = [model["vocab"].get(c, -1) for c in alphabet]
@@ -158,7 +162,7 @@ class Encoder:
             import tiktoken
 
             ranks = {auto.labels[i]: i for i in [*base, *made]}
-            self.quick = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.quick, self.single = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, SINGLE_PATTERN))
 
     def plain(self, text: str) -> bool:
         """Whether a text is of common shape and names no added label."""
@@ -170,10 +174,16 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         if text and self.plain(text):
-            return self.quick.encode_ordinary(text)
+            return (self.quick if has_runs(text) else self.single).encode_ordinary(text)
         return np.frombuffer(self.codec.encode(text), "<u4").tolist()
 
 
+def has_runs(text: str) -> bool:
+    """Whether two characters of white space meet anywhere."""
+    kinds = [c for c in (SPACES[:6] if text.isascii() else SPACES) if c in text]
+    return any(a + b in text for a in kinds for b in kinds)
+
+
 def packed(ids: list[int], width: int) -> bytes:
     """Ids as little-endian integers of so many bytes."""
     got = array("H" if width == 2 else "I", ids)
@@ -190,6 +200,15 @@ def _hint(content: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 64 else None
 
 
+def _row_compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """Compresses rows by their dictionary, which is prepared once, not for each row."""
+    hint = _hint(content)
+    if hint is None:
+        return zstandard.ZstdCompressor(level=ROW_LEVEL)
+    hint.precompute_compress(level=ROW_LEVEL)
+    return zstandard.ZstdCompressor(dict_data=hint)
+
+
 def _encoded(docs: DataFrame, blob: bytes, width: int, key_col: str, text_col: str) -> tuple[DataFrame, bytes]:
     """Stored rows (key, ids, n, h, row), and the content of their dictionary.
 
@@ -211,7 +230,7 @@ def _encoded(docs: DataFrame, blob: bytes, width: int, key_col: str, text_col: s
     hint = b"".join(r["ids"] for r in few.mapInArrow(sampled, "ids binary").collect())[-HINT_BYTES:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, codec = encoder().encode, zstandard.ZstdCompressor(level=ROW_LEVEL, dict_data=_hint(hint))
+        encode, codec = encoder().encode, _row_compressor(hint)
         for big in batches:
             for at in range(0, big.num_rows, 64):  # few texts at once: memory follows the texts, not the batch
                 batch, ids, n, h = big.slice(at, 64), [], [], []
