@@ -313,3 +313,23 @@ def test_empty_and_repeats(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, None), (3, "")], "doc_id long, text string")
     assert sorted((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(twice).collect()) == [(1, 1), (1, 1), (2, 2), (3, 2)]
+
+
+def test_counts_leave_no_similar_sets_out():
+    rng = np.random.default_rng(8)
+
+    def counts(x):
+        return np.bincount(x & (simhash.COUNTS - 1), minlength=simhash.COUNTS).clip(max=255).astype(np.uint8)
+
+    told = []
+    # the last one's counts pass 255
+    for size, mask in [(1, -1), (9, -1), (500, -1), (4000, -1), (4000, ~1023)]:
+        for part in (0, 0.02, 0.1, 0.11, 0.12, 0.5, 1):
+            a = np.unique(rng.integers(0, 1 << 30, size) & mask)
+            b = np.union1d(a[int(part * len(a)) :], rng.integers(0, 1 << 30, int(part * len(a))) & mask)
+            common, n = len(np.intersect1d(a, b)), len(a) + len(b)
+            kept = bool(simhash.within(counts(a)[None], counts(b)[None], np.array([n]), 0.8)[0])
+            told.append((size, part, common >= 0.8 * (n - common), kept))
+            assert kept or not told[-1][2]
+    # large sets that share little are told apart, as parities don't
+    assert (4000, 1, False, False) in told and (4000, 0.5, False, False) in told

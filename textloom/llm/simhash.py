@@ -21,7 +21,8 @@ all shingles, two sets of similarity t share one of each set's first
 ``n - ceil(t n) + 1``. Only lists that hold several of the groups found so far are
 looked at, and of these the pairs of different groups whose sizes, places and
 parities of hash buckets (each shingle that one set alone has turns one) leave it
-possible; their sets are compared. Sets are of 32-bit hashes.
+possible; of these the sets' counts by hash bucket are compared, then the sets. Sets
+are of 32-bit hashes.
 
 Vertices are distinct fingerprints (with exact confirmation: distinct sets of
 shingles), as 64-bit numbers. A list that many of them share is split into
@@ -65,6 +66,8 @@ _STEP = 1 << 15
 SAMPLE, OFTEN, TOLD = 16, 8, 1 << 16
 #: Words of 64 parities of a set; what may be lost to rounding where a bound is computed.
 PARITIES, SLACK = 8, 1e-6
+#: Buckets in which a set's hashes are counted, a byte each; parities of large sets tell little, counts do.
+COUNTS = 1024
 #: Texts of an Arrow batch that are hashed before their results go out.
 TEXTS = 256
 
@@ -349,10 +352,48 @@ def links(vertices: DataFrame, width: int = 1, max_bits: int = MAX_BITS, total_b
     return found
 
 
-def confirmed(found: DataFrame, vertices: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The links whose sets of shingles are so similar: each set is read once, for the vertices of links only."""
+def within(a: np.ndarray, b: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Row by row: whether sets with these counts of hash buckets and ``n`` shingles together may be so similar.
+
+    What the counts differ by, one set has alone; counts end at 255, which takes differences away only.
+    """
+    common = np.ceil(similarity / (1 + similarity) * n - SLACK)
+    return np.abs(a.astype(np.int32) - b).sum(axis=1) <= n - 2 * common
+
+
+def thinned(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """A stored table of the links that remain when sets (vid, sh) are compared by counts of hash buckets, which are short however large the sets."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            each = [x.values.to_numpy() for x in batch.column(1)]
+            counts = [np.bincount(x & (COUNTS - 1), minlength=COUNTS).clip(max=255).astype(np.uint8).tobytes() for x in each]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in each], pa.int64()), pa.array(counts, pa.binary())], ["vid", "n", "counts"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in filter(len, batches):
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COUNTS) for i in (3, 4))
+            keep = pa.array(within(a, b, batch.column(2).to_numpy(), similarity))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["src", "dst"])
+
+    short = stored(sets.mapInArrow(counted, "vid long, n long, counts binary"))
+    one, two = (short.select(F.col("vid").alias(e), F.col("n").alias(f"{e}_n"), F.col("counts").alias(f"{e}_counts")) for e in ("src", "dst"))
+    both = found.join(one, "src").join(two, "dst").select("src", "dst", (F.col("src_n") + F.col("dst_n")).alias("n"), "src_counts", "dst_counts")
+    left = stored(both.mapInArrow(compared, "src long, dst long"))
+    discard(short)
+    return left
+
+
+def confirmed(found: DataFrame, vertices: DataFrame, shingles: DataFrame, similarity: float, thin: bool = False) -> DataFrame:
+    """The links whose sets of shingles are so similar: each set is read once, for the vertices of links only.
+
+    With ``thin``, for links of which few hold, sets are compared by their counts first; the whole set goes along with what remains.
+    """
     ends = found.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
     sets = stored(shingles.join(ends.join(vertices, "vid").select("vid", F.col("rep").alias("row")), "row").select("vid", "sh"))
+    if thin:
+        every, found = found, thinned(found, sets, similarity)
+        discard(every)
     one, two = (sets.select(F.col("vid").alias(e), F.col("sh").alias(f"{e}_sh")) for e in ("src", "dst"))
     common = F.size(F.array_intersect("src_sh", "dst_sh"))
     both = found.join(one, "src").join(two, "dst").select("src", "dst", common.alias("common"), (F.size("src_sh") + F.size("dst_sh")).alias("sizes"))
@@ -457,7 +498,7 @@ def near_duplicates(
         shingles = wide.select("row", "sh")
         found = confirmed(found, vertices, shingles, similarity)
         near = stored(connected_components(found))
-        more = confirmed(left_out(shingles, vertices, near, similarity), vertices, shingles, similarity)
+        more = confirmed(left_out(shingles, vertices, near, similarity), vertices, shingles, similarity, thin=True)
         edges = near.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(more)
     discard(wide)
     groups = stored(connected_components(edges).join(vertices.select(F.col("vid").alias("node"), "first"), "node"))
