@@ -40,10 +40,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
 import uuid
 import zlib
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -162,7 +160,9 @@ class Encoder:
             import tiktoken
 
             ranks = {auto.labels[i]: i for i in [*base, *made]}
-            self.quick, self.single = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, SINGLE_PATTERN))
+            # a special label that is never allowed: with none at all the library looks for an empty one at every place
+            never = {"<|never|>": max(ranks.values()) + 1}
+            self.quick, self.single = (tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens=never) for p in (PATTERN, SINGLE_PATTERN))
 
     def plain(self, text: str) -> bool:
         """Whether a text is of common shape and names no added label."""
@@ -172,10 +172,14 @@ class Encoder:
         stretches = range(0, len(text) - LONG_WORD + 1, LONG_WORD)
         return all(text.find(" ", i, i + LONG_WORD) >= 0 and not text[i : i + LONG_WORD].isspace() for i in stretches)
 
-    def encode(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids as the library's own array: none of them becomes a Python number."""
         if text and self.plain(text):
-            return (self.quick if has_runs(text) else self.single).encode_ordinary(text)
-        return np.frombuffer(self.codec.encode(text), "<u4").tolist()
+            return (self.quick if has_runs(text) else self.single).encode_to_numpy(text, disallowed_special=())
+        return np.frombuffer(self.codec.encode(text), "<u4")
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.ids(text).tolist()
 
 
 def has_runs(text: str) -> bool:
@@ -184,12 +188,9 @@ def has_runs(text: str) -> bool:
     return any(a + b in text for a in kinds for b in kinds)
 
 
-def packed(ids: list[int], width: int) -> bytes:
-    """Ids as little-endian integers of so many bytes."""
-    got = array("H" if width == 2 else "I", ids)
-    if sys.byteorder != "little":
-        got.byteswap()
-    return got.tobytes()
+def packed(ids: np.ndarray, width: int) -> bytes:
+    """Ids as little-endian integers of so many bytes; `write` sees to it that they fit."""
+    return ids.astype(f"<u{width}").tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -223,14 +224,14 @@ def _encoded(docs: DataFrame, blob: bytes, width: int, key_col: str, text_col: s
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([packed(encoder().encode(x.as_py()), width) for x in batch.column(0)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([packed(encoder().ids(x.as_py()), width) for x in batch.column(0)], pa.binary())], ["ids"])
 
     # some documents, each but its first characters: a bounded size, on which no result depends
     few = docs.select(F.substring(docs[text_col], 1, HINT_CHARS).alias("text")).filter("text <> ''").limit(HINT_DOCS)
     hint = b"".join(r["ids"] for r in few.mapInArrow(sampled, "ids binary").collect())[-HINT_BYTES:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, codec = encoder().encode, _row_compressor(hint)
+        encode, codec = encoder().ids, _row_compressor(hint)
         for big in batches:
             for at in range(0, big.num_rows, 64):  # few texts at once: memory follows the texts, not the batch
                 batch, ids, n, h = big.slice(at, 64), [], [], []
@@ -326,6 +327,8 @@ def write(docs: DataFrame, vocabulary: str, path: str | None = None, end_id: int
     spec = json.loads(blob)
     top = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))])
     width = width or (2 if top < 1 << 16 else 4)
+    if top >> 8 * width:
+        raise ValueError(f"id {top} needs more than {width} bytes")
     rows, hint = _encoded(docs, blob, width, key_col, text_col)
     places = placed(rows, shard_ids)
     kind = rows.schema["key"].dataType.simpleString()
@@ -464,11 +467,11 @@ def read(spark: SparkSession, path: str, places: DataFrame, ids: bool = True) ->
     names = ["key", "nth", "start", "shard", "n", "ids_crc32"] + ["ids"] * ids
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", SHARD_LEVEL)
+        codec = zstandard.ZstdCompressor(level=SHARD_LEVEL)  # one context for all shards
         for batch in batches:
             for shard, content in zip(*batch.columns, strict=True):
                 raw = content.as_buffer()
-                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([raw.size], pa.int64()), pa.array([codec.compress(raw, asbytes=True)], pa.binary())], ["shard", "size", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()], pa.int64()), pa.array([raw.size], pa.int64()), pa.array([codec.compress(raw)], pa.binary())], ["shard", "size", "content"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = np.empty(0), 0
