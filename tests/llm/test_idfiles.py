@@ -147,6 +147,15 @@ def test_rows_come_back_as_they_were(hint):
         assert back.decompress(codec.compress(raw)) == raw
 
 
+def test_pairs_of_ids_are_found_again():
+    rng = random.Random(7)
+    words = [rng.randbytes(4) for _ in range(500)]
+    hint, row, shard = (b"".join(rng.choice(words) + rng.randbytes(2) for _ in range(n)) for n in (9000, 1500, 60_000))
+    # half of a word of two ids is saved at least, in rows and in shards, where two other bytes follow each
+    for codec, raw in ((I._row_compressor(hint), row), (I.zstandard.ZstdCompressor(compression_params=I.search(*I.SHARD_SEARCH)), shard)):
+        assert len(codec.compress(raw)) < len(raw) * 2 / 3
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 100, 40_000):

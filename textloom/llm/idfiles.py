@@ -63,10 +63,11 @@ BUCKET_KEYS, SPARE = 1 << 15, 2
 RANGE_ROWS = 1 << 17
 #: Levels of a bucket; half of the keys stay at each, so this is never reached by distinct hashes.
 LEVELS = 64
-#: How hard a row's ids, and a shard's, are compressed while they are stored and shuffled; files hold them as they are.
-ROW_LEVEL, SHARD_LEVEL = 5, 3
+#: Bits of the window and of the table by which a row's ids, and a shard's, are compressed while they are stored and
+#: shuffled; files hold them as they are.
+ROW_SEARCH, SHARD_SEARCH = (19, 18), (20, 17)
 #: Documents whose first characters give the dictionary by which rows are compressed: it saves space, whatever they are.
-HINT_DOCS, HINT_CHARS, HINT_BYTES = 64, 4096, 1 << 17
+HINT_DOCS, HINT_CHARS, HINT_BYTES = 128, 4096, 1 << 18
 #: Texts of more characters are encoded by the automaton, and those that have words or runs of white space of
 #: twice the second number (some that have them of once as many).
 LONG_TEXT, LONG_WORD = 1 << 22, 4096
@@ -201,12 +202,17 @@ def _hint(content: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(content) >= 64 else None
 
 
+def search(window: int, table: int) -> zstandard.ZstdCompressionParameters:
+    """The quickest search, for four bytes alike: levels that search as little want five or more, and many words are two ids."""
+    return zstandard.ZstdCompressionParameters(window_log=window, hash_log=table, chain_log=16, search_log=1, min_match=4, target_length=0, strategy=zstandard.STRATEGY_FAST)
+
+
 def _row_compressor(content: bytes) -> zstandard.ZstdCompressor:
     """Compresses rows by their dictionary, which is prepared once, not for each row."""
     hint = _hint(content)
     if hint is None:
-        return zstandard.ZstdCompressor(level=ROW_LEVEL)
-    hint.precompute_compress(level=ROW_LEVEL)
+        return zstandard.ZstdCompressor(compression_params=search(*ROW_SEARCH))
+    hint.precompute_compress(compression_params=search(*ROW_SEARCH))
     return zstandard.ZstdCompressor(dict_data=hint)
 
 
@@ -467,7 +473,7 @@ def read(spark: SparkSession, path: str, places: DataFrame, ids: bool = True) ->
     names = ["key", "nth", "start", "shard", "n", "ids_crc32"] + ["ids"] * ids
 
     def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = zstandard.ZstdCompressor(level=SHARD_LEVEL)  # one context for all shards
+        codec = zstandard.ZstdCompressor(compression_params=search(*SHARD_SEARCH))  # one context for all shards
         for batch in batches:
             for shard, content in zip(*batch.columns, strict=True):
                 raw = content.as_buffer()
